@@ -27,40 +27,49 @@ def _lines(*parts: Column) -> Column:
     return F.concat_ws("\n", *parts)
 
 
-def _human_parts(body: Column) -> dict[str, Column]:
-    rank = F.col("rank").cast("string")
-    listed = _lines(
-        F.concat(rank, F.lit(". "), _label()),
-        F.concat(
-            F.lit("   Similarity: "),
-            score_text(F.col("similarity")),
-            F.lit(" | Size: "),
-            F.col("size_bytes").cast("string"),
-            F.lit(" bytes"),
-        ),
+def _human_text(hits: Column) -> Column:
+    def listed(hit: Column, index: Column) -> Column:
+        return _lines(
+            F.concat((index + 1).cast("string"), F.lit(". "), hit["label"]),
+            F.concat(
+                F.lit("   Similarity: "),
+                hit["score"],
+                F.lit(" | Size: "),
+                hit["size_bytes"].cast("string"),
+                F.lit(" bytes"),
+            ),
+        )
+
+    def shown(hit: Column, index: Column) -> Column:
+        return _lines(
+            F.concat(F.lit("## "), (index + 1).cast("string"), F.lit(". "), hit["label"], F.lit("\n")),
+            hit["body"],
+            F.lit(HUMAN_HIT_END),
+        )
+
+    return _lines(
+        F.format_string(FOUND, F.size(hits)),
+        F.array_join(F.transform(hits, listed), "\n"),
+        F.lit(HUMAN_RULE),
+        F.array_join(F.transform(hits, shown), "\n"),
     )
-    shown = _lines(
-        F.concat(F.lit("## "), rank, F.lit(". "), _label(), F.lit("\n")),
-        body,
-        F.lit(HUMAN_HIT_END),
-    )
-    return {"listed": listed, "shown": shown}
-
-
-def _machine_parts(body: Column) -> dict[str, Column]:
-    shown = _lines(
-        F.concat(F.lit("\n## "), F.col("rank").cast("string"), F.lit(". "), _label()),
-        F.concat(
-            F.lit("**Relevance:** "),
-            percent_text(F.col("similarity")),
-            F.lit(" | **Type:** "),
-            F.col("extension"),
-        ),
-        F.lit("\n```"),
-        body,
-        F.lit("```\n"),
+
+
+def _machine_text(hits: Column) -> Column:
+    def shown(hit: Column, index: Column) -> Column:
+        return _lines(
+            F.concat(F.lit("\n## "), (index + 1).cast("string"), F.lit(". "), hit["label"]),
+            F.concat(
+                F.lit("**Relevance:** "), hit["percent"], F.lit(" | **Type:** "), hit["extension"]
+            ),
+            F.lit("\n```"),
+            hit["body"],
+            F.lit("```\n"),
+        )
+
+    return _lines(
+        F.format_string(FOUND, F.size(hits)), F.array_join(F.transform(hits, shown), "\n")
     )
-    return {"shown": shown}
 
 
 def render(
@@ -71,29 +80,26 @@ def render(
 ) -> DataFrame:
     """``query_id, text``: one text per query that has hits, or per row of ``queries``.
 
-    Hits are numbered anew in rank order, so that a threshold that left gaps
-    leaves none in the text.
+    Hits are numbered by their place in rank order, so filters that left gaps in
+    the ranks leave none in the text.
     """
     if style not in STYLES:
         raise ValueError(f"style must be human or machine, got {style!r}")
-    body = preview(F.col("content"), max_content_length)
-    # The number of a hit is its place among the kept ones; ranks are unique per
-    # query and a threshold only cuts their tail, so the rank is that place.
-    parts = _human_parts(body) if style == "human" else _machine_parts(body)
     per_hit = hits.select(
-        "query_id", F.struct("rank", *(c.alias(n) for n, c in parts.items())).alias("hit")
+        "query_id",
+        F.struct(
+            "rank",
+            _label().alias("label"),
+            score_text(F.col("similarity")).alias("score"),
+            percent_text(F.col("similarity")).alias("percent"),
+            F.coalesce("size_bytes", F.lit(0)).alias("size_bytes"),
+            F.coalesce("extension", F.lit("")).alias("extension"),
+            F.coalesce(preview(F.col("content"), max_content_length), F.lit("")).alias("body"),
+        ).alias("hit"),
     )
     grouped = per_hit.groupBy("query_id").agg(F.sort_array(F.collect_list("hit")).alias("hits"))
-
-    def joined(name: str) -> Column:
-        return F.array_join(F.transform("hits", lambda hit: hit[name]), "\n")
-
-    found = F.format_string(FOUND, F.size("hits"))
-    if style == "human":
-        text = _lines(found, joined("listed"), F.lit(HUMAN_RULE), joined("shown"))
-    else:
-        text = _lines(found, joined("shown"))
-    texts = grouped.select("query_id", text.alias("text"))
+    build = _human_text if style == "human" else _machine_text
+    texts = grouped.select("query_id", build(F.col("hits")).alias("text"))
     if queries is None:
         return texts
     return (

@@ -30,8 +30,7 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
     per_file = chunks.groupBy("codebase_name", "file_path", "extension").agg(
         F.count(F.lit(1)).alias("chunks")
     )
-    # A file has one extension as a rule; were a path stored with two, the minimum
-    # marks one of its rows so that it still counts once.
+    # The extension is a function of the path, so this counts each file once.
     per_extension = per_file.groupBy("codebase_name", "extension").agg(
         F.sum("chunks").alias("chunks"), F.count(F.lit(1)).alias("files")
     )
