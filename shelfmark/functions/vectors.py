@@ -53,13 +53,20 @@ def zero_vector(dim: int) -> Column:
     return F.array_repeat(F.lit(0.0).cast("float"), dim)
 
 
+def length(vector: Column) -> Column:
+    return F.when(vector.isNotNull(), F.size(vector))
+
+
+def _count(vector: Column, test) -> Column:
+    return F.when(vector.isNotNull(), F.size(F.filter(vector, test)))
+
+
 def inf_count(vector: Column) -> Column:
-    infinite = [F.lit(float("inf")).cast("float"), F.lit(float("-inf")).cast("float")]
-    return F.size(F.filter(vector, lambda v: v.isin(*infinite)))
+    return _count(vector, lambda v: F.abs(v) == F.lit(float("inf")))
 
 
 def nan_count(vector: Column) -> Column:
-    return F.size(F.filter(vector, F.isnan))
+    return _count(vector, F.isnan)
 
 
 def is_valid_vector(vector: Column, dim: int) -> Column:
@@ -67,4 +74,4 @@ def is_valid_vector(vector: Column, dim: int) -> Column:
     entry_ok = F.forall(
         vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf")))
     )
-    return F.coalesce((F.size(vector) == dim) & entry_ok, F.lit(False))
+    return F.coalesce((length(vector) == dim) & entry_ok, F.lit(False))

@@ -174,12 +174,12 @@ def vector_checks(df: DataFrame, dim: int, vector_col: str = "vector") -> DataFr
     v = F.col(vector_col)
     return df.withColumns(
         {
-            "vector_length": F.size(v),
+            "vector_length": vectors.length(v),
             "vector_min": F.array_min(v),
             "vector_max": F.array_max(v),
             "inf_count": vectors.inf_count(v),
             "nan_count": vectors.nan_count(v),
-            "wrong_length": F.coalesce(F.size(v) != dim, F.lit(True)),
+            "wrong_length": F.coalesce(vectors.length(v) != dim, F.lit(True)),
             "vector_ok": vectors.is_valid_vector(v, dim),
         }
     )
