@@ -1,9 +1,8 @@
 """Split text into line-tracked chunks under a character budget.
 
-Everything happens inside the row: no shuffle, no Python worker. The text is cut
-into pieces (a line, or a part of a line longer than the budget), one pass over
-the piece lengths finds where chunks begin, and the pieces between two
-beginnings are joined.
+Everything happens inside the row: no shuffle, no Python worker. One regular
+expression reads the text from chunk to chunk, and line numbers follow from the
+newlines each chunk holds.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -15,62 +14,30 @@ from shelfmark.schema import CONTEXT_TOKENS, positive
 CHUNK_FIELDS = ("content", "start_line", "end_line", "chunk_index", "total_chunks")
 
 
-def _line_pieces(line: Column, budget: int) -> Column:
-    """Parts of one over-long line (newline included), longest first match wins:
-    what is left fits; cut after the last space of the later half; cut at the budget."""
-    late_space = budget // 2 + 1
-    pattern = rf"(?s).{{1,{budget}}}\z|.{{{late_space},{budget - 1}}} |.{{{budget}}}"
-    return F.regexp_extract_all(line, F.lit(pattern), F.lit(0))
+def _chunk_pattern(budget: int) -> str:
+    """Pattern whose successive matches are the chunks of a text that ends in a newline.
 
+    The first alternative that applies is taken:
 
-def _pieces(text: Column, budget: int) -> Column:
-    """Array of ``(line, part, whole)``; ``whole`` is false for parts of a cut line."""
+    * at the beginning of a line, as many whole lines as fit;
+    * inside a line too long for a chunk, its rest, if that fits;
+    * a part of such a line up to its last space, if that lies in the later half;
+    * a part as long as the budget.
 
-    def of_line(line: Column, index: Column) -> Column:
-        full = F.concat(line, F.lit("\n"))
-        number = (index + 1).cast("int")
-        whole = F.array(
-            F.struct(number.alias("line"), full.alias("part"), F.lit(True).alias("whole"))
-        )
-        cut = F.transform(
-            _line_pieces(full, budget),
-            lambda part: F.struct(
-                number.alias("line"), part.alias("part"), F.lit(False).alias("whole")
-            ),
-        )
-        return F.when(F.length(full) > budget, cut).otherwise(whole)
-
-    return F.flatten(F.transform(F.split(text, "\n", -1), of_line))
-
-
-def _chunk_starts(pieces: Column, budget: int) -> Column:
-    """1-based positions of the pieces that open a chunk.
-
-    The state keeps the open chunk's length and the positions only; carrying text
-    along would make the pass quadratic.
+    Every match is at most ``budget`` characters long and is found in time linear
+    in that, so a text takes time linear in its length.
     """
-    start = F.struct(
-        F.lit(0).alias("seen"),
-        F.lit(0).alias("filled"),
-        F.lit(False).alias("open"),
-        F.expr("cast(array() as array<int>)").alias("starts"),
-    )
+    most, late = budget - 1, budget // 2 + 1
+    whole_lines = rf"(?<![^\n])(?s:.{{0,{most}}})\n"
+    rest_of_line = rf"[^\n]{{0,{most}}}\n"
+    up_to_space = rf"[^\n]{{{late},{most}}} "
+    full_length = rf"[^\n]{{{budget}}}"
+    parts = [whole_lines, rest_of_line, *([up_to_space] if late <= most else []), full_length]
+    return "|".join(parts)
 
-    def step(state: Column, piece: Column) -> Column:
-        size = F.length(piece["part"])
-        whole = piece["whole"]
-        opens = ~whole | ~state["open"] | (state["filled"] + size > budget)
-        position = state["seen"] + 1
-        return F.struct(
-            position.alias("seen"),
-            F.when(opens, size).otherwise(state["filled"] + size).alias("filled"),
-            whole.alias("open"),
-            F.when(opens, F.array_append(state["starts"], position))
-            .otherwise(state["starts"])
-            .alias("starts"),
-        )
 
-    return F.aggregate(pieces, start, step, lambda state: state["starts"])
+def _newlines(part: Column) -> Column:
+    return F.octet_length(part) - F.octet_length(F.replace(part, F.lit("\n"), F.lit("")))
 
 
 def _whole_text_chunk(text: Column) -> Column:
@@ -84,18 +51,26 @@ def _whole_text_chunk(text: Column) -> Column:
     )
 
 
-def _split_chunks(pieces: Column, starts: Column) -> Column:
-    def chunk(begin: Column, index: Column) -> Column:
-        following = F.coalesce(F.get(starts, index + 1), F.size(pieces) + 1)
-        part = F.slice(pieces, begin, following - begin)
+def _first_lines(parts: Column) -> Column:
+    """Line each part begins in: one more than the newlines before it."""
+    return F.aggregate(
+        F.transform(parts, _newlines),
+        F.array(F.lit(1)),
+        lambda lines, count: F.array_append(lines, F.element_at(lines, -1) + count),
+    )
+
+
+def _split_chunks(parts: Column, lines: Column) -> Column:
+    def chunk(part: Column, index: Column) -> Column:
+        first, following = F.get(lines, index), F.get(lines, index + 1)
         return F.struct(
-            strip(F.array_join(F.transform(part, lambda p: p["part"]), "")).alias("content"),
-            F.element_at(pieces, begin)["line"].alias("start_line"),
-            F.element_at(pieces, following - 1)["line"].alias("end_line"),
-            F.size(starts).alias("total_chunks"),
+            strip(part).alias("content"),
+            first.alias("start_line"),
+            F.greatest(first, following - 1).alias("end_line"),
+            F.size(parts).alias("total_chunks"),
         )
 
-    return F.transform(starts, chunk)
+    return F.transform(parts, chunk)
 
 
 def chunk_text(
@@ -121,12 +96,15 @@ def chunk_text(
         if budget < 1:
             raise ValueError(f"max_tokens={max_tokens} leaves no room for a character")
         fits = F.length(text) <= budget
-        rows = rows.withColumn("_pieces", F.when(~fits, _pieces(text, budget)))
-        rows = rows.withColumn("_starts", _chunk_starts(F.col("_pieces"), budget))
+        parts = F.regexp_extract_all(
+            F.concat(text, F.lit("\n")), F.lit(_chunk_pattern(budget)), F.lit(0)
+        )
+        rows = rows.withColumn("_parts", F.when(~fits, parts))
+        rows = rows.withColumn("_lines", _first_lines(F.col("_parts")))
         rows = rows.select(
             *others,
             F.when(fits, _whole_text_chunk(text))
-            .otherwise(_split_chunks(F.col("_pieces"), F.col("_starts")))
+            .otherwise(_split_chunks(F.col("_parts"), F.col("_lines")))
             .alias("_chunks"),
         )
     # The outer form stops the optimizer from adding a filter on the array, which

@@ -7,9 +7,11 @@ vector with ``ok = false`` instead of failing the job.
 """
 
 from collections.abc import Callable, Iterator, Sequence
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +22,9 @@ from shelfmark.schema import CONTEXT_TOKENS, EMBEDDING_DIM, positive
 
 _VECTOR = T.ArrayType(T.FloatType())
 
+# Entries of the dense matrix a task holds at a time.
+_ENTRIES_AT_ONCE = 4_000_000
+
 
 def _list_array(matrix: np.ndarray) -> pa.Array:
     rows, dim = matrix.shape
@@ -30,41 +35,56 @@ def _list_array(matrix: np.ndarray) -> pa.Array:
 class HashingEmbedder:
     """Signed feature hashing of words, L2-normalised; needs no model.
 
-    Spark tokenises and hashes; only the hashes go to the Arrow function that
-    adds them up into dense rows.
+    Spark reduces a text to its words; an Arrow function hashes each distinct word
+    of a batch once and adds the words up into dense rows.
     """
 
     def __init__(self, dim: int | None = None, context_tokens: int | None = None):
         self.dim = positive("dim", dim, EMBEDDING_DIM)
         self.context_tokens = positive("context_tokens", context_tokens, CONTEXT_TOKENS)
 
-    def _hashes(self, text: Column) -> Column:
-        """First eight hex digits of each word's MD5, as a number; no words for null text."""
-        words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-        hashes = F.transform(
-            words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint")
-        )
-        return F.coalesce(hashes, F.expr("cast(array() as array<bigint>)"))
+    def _words(self, text: Column) -> Column:
+        """Lower-case words with one space between; empty for null text.
+
+        One string per row crosses to Python far faster than an array of words.
+        """
+        return F.coalesce(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", " "), F.lit(""))
 
     def vector(self, text: Column) -> Column:
         dim = self.dim
-
-        @F.arrow_udf(_VECTOR)
-        def add_up(hashes: pa.Array) -> pa.Array:
-            # seven digits choose the bucket, the eighth the sign
-            flat = hashes.flatten().to_numpy(zero_copy_only=False)
-            lengths = np.diff(hashes.offsets.to_numpy())
-            row = np.repeat(np.arange(len(hashes), dtype=np.int64), lengths)
+        rows_at_once = max(1, _ENTRIES_AT_ONCE // dim)
+
+        def add_up(texts: pa.Array) -> np.ndarray:
+            words = pc.split_pattern(texts, " ")
+            coded = words.flatten().dictionary_encode()
+            distinct = coded.dictionary.to_pylist()
+            # of eight hex digits, seven choose the bucket and the last the sign;
+            # what stands before the first and after the last space is no word
+            hashed = np.array(
+                [int(md5(w.encode()).hexdigest()[:8], 16) for w in distinct], dtype=np.int64
+            )
+            bucket = (hashed >> 4) % dim
+            sign = np.array([w != "" for w in distinct]) * (1.0 - 2.0 * (hashed % 2))
+            word = coded.indices.to_numpy()
+            per_row = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(words), dtype=np.int64), per_row)
             sums = np.bincount(
-                row * dim + (flat >> 4) % dim,
-                weights=1.0 - 2.0 * (flat % 2),
-                minlength=len(hashes) * dim,
-            ).reshape(len(hashes), dim)
+                row * dim + bucket[word], weights=sign[word], minlength=len(words) * dim
+            ).reshape(len(words), dim)
             norms = np.sqrt(np.einsum("ij,ij->i", sums, sums))
             norms[norms == 0] = 1.0
-            return _list_array((sums / norms[:, None]).astype(np.float32))
+            unit = np.empty(sums.shape, dtype=np.float32)
+            return np.divide(sums, norms[:, None], out=unit, casting="unsafe")
+
+        @F.arrow_udf(_VECTOR)
+        def dense(texts: pa.Array) -> pa.Array:
+            parts = [
+                add_up(texts.slice(begin, rows_at_once))
+                for begin in range(0, len(texts), rows_at_once)
+            ]
+            return _list_array(np.concatenate(parts or [np.empty((0, dim), np.float32)]))
 
-        return add_up(self._hashes(text))
+        return dense(self._words(text))
 
     def embedded(self, text: Column) -> Column:
         return F.struct(

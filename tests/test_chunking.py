@@ -66,7 +66,7 @@ EDGES = [
 ]
 
 
-@pytest.mark.parametrize("tokens", [512, 64, 7])
+@pytest.mark.parametrize("tokens", [512, 64, 7, 4, 3, 2, 1])
 def test_edges(spark, tokens):
     budget = chunk_budget(tokens)
     for body, got in zip(EDGES, spark_chunks(spark, EDGES, tokens)):
