@@ -449,20 +449,27 @@ ORACLES["extension_counts"] = f"""WITH RECURSIVE {_FILE_CHUNKS}, {_EXT_CHUNKS}
 SELECT codebase_name, extension, count(*) AS chunks FROM ext_chunks GROUP BY ALL"""
 ORACLES["distinct_files"] = f"WITH {FILES} SELECT DISTINCT file_path FROM files"
 ORACLES["row_count"] = f"WITH RECURSIVE {_FILE_CHUNKS} SELECT count(*) AS rows FROM chunks"
-ORACLES["run_stats"] = f"""WITH RECURSIVE {BYTES},
+_DECODED = f"""CASE WHEN doc_id % 7 = 1 THEN regexp_replace({_LATIN1}, '\\r\\n?', chr(10), 'g')
+    ELSE regexp_replace(decode(CASE WHEN doc_id % 7 = 1 THEN ''::BLOB ELSE content END),
+                        '\\r\\n?', chr(10), 'g') END"""
+
+
+def _statuses(largest: int, extra: str) -> str:
+    """CTEs ``statuses`` (one row per file) and ``decoded`` (the texts of those kept)."""
+    return f"""{BYTES},
 statuses AS (
-  SELECT doc_id, content, CASE
-      WHEN {_BY_DEFAULT} OR {_segment('file_path', '*.vue')} THEN 'excluded'
+  SELECT doc_id, file_path, content, CASE
+      WHEN {_BY_DEFAULT} OR {extra} THEN 'excluded'
       WHEN octet_length(content) = 0 THEN 'empty'
-      WHEN octet_length(content) > 3000 THEN 'too_large'
+      WHEN octet_length(content) > {largest} THEN 'too_large'
       WHEN NOT {_TEXT_BY_NAME} AND {_HEAD_BINARY} THEN 'binary' ELSE 'ok' END AS status
   FROM raw),
 decoded AS (
-  SELECT doc_id, regexp_replace(
-    CASE WHEN doc_id % 7 = 1 THEN {_LATIN1}
-         ELSE decode(CASE WHEN doc_id % 7 = 1 THEN ''::BLOB ELSE content END) END,
-    '\\r\\n?', chr(10), 'g') AS text
-  FROM statuses WHERE status = 'ok'),
+  SELECT doc_id, file_path, octet_length(content)::BIGINT AS size_bytes, {_DECODED} AS text
+  FROM statuses WHERE status = 'ok')"""
+
+
+ORACLES["run_stats"] = f"""WITH RECURSIVE {_statuses(3000, _segment('file_path', '*.vue'))},
 {_chunk_ctes('decoded', 'doc_id', 'text', 537)}
 SELECT count(*) FILTER (status <> 'excluded') AS total_files_found,
   count(*) FILTER (status = 'ok') AS files_processed,
@@ -471,6 +478,21 @@ SELECT count(*) FILTER (status <> 'excluded') AS total_files_found,
   (SELECT count(*) FROM chunks) AS chunks_created
 FROM statuses"""
 
+# -- trees of files ------------------------------------------------------------
+
+ORACLES["scan_tree"] = f"""WITH {BYTES}
+SELECT file_path, octet_length(content)::BIGINT AS length, md5(content) AS digest FROM raw"""
+ORACLES["walk_tree"] = f"""WITH {BYTES}
+SELECT file_path, octet_length(content)::BIGINT AS length, true AS below_root FROM raw
+WHERE NOT {_BY_DEFAULT} AND NOT {_BY_EXTRA}"""
+ORACLES["index_tree"] = f"""WITH RECURSIVE {_statuses(1000000, _BY_EXTRA)},
+{_chunk_ctes('decoded', 'doc_id', 'text', 537)}
+SELECT {_row_id("'The Tree'", 'file_path')} AS id, 'The Tree' AS codebase_name,
+  'the_tree_rag' AS table_name, file_path, content, {_extension('file_path')} AS extension,
+  size_bytes, {_language(_extension('file_path'))} AS language, start_line, end_line, chunk_index,
+  total_chunks, {DIM} AS dim
+FROM chunks JOIN (SELECT doc_id, file_path, size_bytes FROM decoded) USING (doc_id)"""
+
 # -- store ---------------------------------------------------------------------
 
 ORACLES["defaults_append"] = f"""SELECT
@@ -483,6 +505,11 @@ ORACLES["defaults_append"] = f"""SELECT
   0 AS chunk_index, 1 AS total_chunks, {DIM} AS dim, true AS has_time
 FROM embeddings"""
 
+ORACLES["corpus_catalog"] = f"""WITH RECURSIVE {_FILE_CHUNKS}
+SELECT codebase_name AS corpus, true AS found, count(*) AS chunks, {DIM} AS dim
+FROM chunks WHERE codebase_name <> 'src3' GROUP BY codebase_name
+UNION ALL SELECT 'an_empty_one', true, 0, NULL"""
+
 _CORPUS = f"""{_FILE_CHUNKS},
 corpus AS MATERIALIZED (
   SELECT {_row_id('codebase_name', 'file_path')} AS id, codebase_name, file_path, content,

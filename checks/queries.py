@@ -12,6 +12,7 @@ from checks.tables import (
     corpus_chunks,
     document_files,
     document_path,
+    file_tree,
     page_paths,
     questions,
     raw_files,
@@ -23,9 +24,13 @@ from shelfmark import (
     chunk_text,
     context_texts,
     index_documents,
+    index_files,
     nearest,
     nearest_batch,
     query_chunks,
+    read_contents,
+    scan_files,
+    walk_files,
 )
 from shelfmark.functions import display, globs, ids, paths, text
 from shelfmark.operators import embedding, filters, stats
@@ -515,6 +520,48 @@ def blank_queries(spark, sf_dir):
     return filters.with_text(questions(spark, sf_dir))
 
 
+# -- trees of files ------------------------------------------------------------
+
+
+@query
+def scan_tree(spark, sf_dir):
+    """Every file of the tree, with a digest of the bytes read."""
+    root = file_tree(spark, sf_dir)
+    files = read_contents(scan_files(spark, root), root, path="path")
+    return files.select(
+        F.regexp_extract("path", "/tree-[0-9a-f]+/(.*)$", 1).alias("file_path"),
+        "length",
+        F.md5("content").alias("digest"),
+    )
+
+
+@query
+def walk_tree(spark, sf_dir):
+    root = file_tree(spark, sf_dir)
+    files = walk_files(spark, root, globs.split_patterns(EXTRA_RULES))
+    return files.select(
+        "file_path",
+        "length",
+        F.expr("endswith(absolute_path, concat('/', file_path))").alias("below_root"),
+    )
+
+
+@query
+def index_tree(spark, sf_dir):
+    """What indexing a tree of files stores."""
+    root = file_tree(spark, sf_dir)
+    folder = f"{storage.shared_folder(spark)}/indexed-{uuid.uuid4().hex}"
+    store = CorpusStore(spark, folder)
+    index_files(
+        spark, root, "The Tree", store, HashingEmbedder(DIM), globs.split_patterns(EXTRA_RULES)
+    )
+    return store.read("The Tree").select(
+        "id", "codebase_name", "table_name", "file_path", "content", "extension", "size_bytes",
+        "language", "start_line", "end_line", "chunk_index", "total_chunks",
+        F.size("vector").alias("dim"),
+    )
+
+
 # -- statistics ----------------------------------------------------------------
 
 
@@ -605,6 +652,23 @@ def corpus_roundtrip(spark, sf_dir):
     return _stats_rows(store.stats())
 
 
+@query
+def corpus_catalog(spark, sf_dir):
+    """Names, existence and sizes after indexing every source, creating one corpus, dropping one."""
+    folder = f"{storage.shared_folder(spark)}/catalog-{uuid.uuid4().hex}"
+    store, embedder = CorpusStore(spark, folder), HashingEmbedder(DIM)
+    index_documents(document_files(spark, sf_dir), store, embedder)
+    store.create("An Empty One", DIM)
+    store.drop("src3")
+    listed = spark.createDataFrame(
+        [(name, store.exists(name)) for name in store.names()], "corpus string, found boolean"
+    )
+    sizes = store.read().groupBy(ids.corpus_of_table(F.col("table_name")).alias("corpus")).agg(
+        F.count(F.lit(1)).alias("chunks"), F.max(F.size("vector")).alias("dim")
+    )
+    return listed.join(sizes, "corpus", "left").fillna(0, ["chunks"])
+
+
 @query
 def index_documents_rows(spark, sf_dir):
     """The rows indexing stores, with a digest of the vector."""

@@ -1,9 +1,15 @@
 """Inputs of the checked queries: the given tables, and tables Spark derives from them."""
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark import HashingEmbedder
+from shelfmark.sources import storage
 from shelfmark.plans.indexing import chunk_documents, embed_chunks
 from shelfmark.sources.corpus import with_defaults
 from shelfmark.sources.files import documents_as_files, spread_scan
@@ -76,6 +82,25 @@ def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("length", F.octet_length("content").cast("bigint"))
 
 
+def file_tree(spark: SparkSession, sf_dir: str) -> str:
+    """Write every raw file below a new folder, one task per share of them; the folder."""
+    root = storage.qualified(spark, f"{storage.shared_folder(spark)}/tree-{uuid.uuid4().hex}")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file_system, top = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for row in batch.to_pylist():
+                path = f"{top}/{row['file_path']}"
+                file_system.create_dir(path.rpartition("/")[0])
+                with file_system.open_output_stream(path, compression=None) as stream:
+                    stream.write(row["content"])
+            yield batch.select(["doc_id"])
+
+    written = raw_files(spark, sf_dir).mapInArrow(write, "doc_id bigint")
+    written.write.format("noop").mode("overwrite").save()
+    return root
+
+
 def page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``page_id, path``: the path of each URL, without host, query and fragment."""
     return table(spark, sf_dir, "pages").select(

@@ -151,12 +151,14 @@ def index_documents(
     With many corpora the chunks are rebalanced by corpus before they are
     embedded, while a row is still small: adaptive execution then joins small
     corpora into one task and splits a corpus that dominates, which keeps files
-    few and tasks even.
+    few and tasks even. Without adaptive execution a dominating corpus would meet
+    in one task, so rows then stay where they are.
     """
+    adaptive = documents.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true"
     started = time.time()
     found = documents.select("file_path").count()
     chunks = chunk_documents(documents, max_file_size, embedder.context_tokens)
-    if rebalance if rebalance is not None else name is None:
+    if adaptive and (rebalance if rebalance is not None else name is None):
         chunks = chunks.hint("rebalance", "codebase_name")
     if name is not None:
         store.create(name, embedder.dim)
