@@ -35,7 +35,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _pick(values: list[str], index: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, values)), (index + 1).cast("int"))
+    listed = ", ".join(f"'{value}'" for value in values)
+    return F.element_at(F.expr(f"array({listed})"), (index + 1).cast("int"))
 
 
 def document_path() -> Column:

@@ -78,8 +78,8 @@ def extension_or_placeholder(path: Column) -> Column:
 
 def language(ext: Column) -> Column:
     """Language of an extension, looked up in lower case."""
-    pairs = [F.lit(item) for pair in LANGUAGES.items() for item in pair]
-    return F.coalesce(F.create_map(*pairs)[F.lower(ext)], F.lit("unknown"))
+    pairs = ", ".join(f"'{suffix}', '{name}'" for suffix, name in LANGUAGES.items())
+    return F.coalesce(F.expr(f"map({pairs})")[F.lower(ext)], F.lit("unknown"))
 
 
 def relative_path(path: Column, root: str) -> Column:

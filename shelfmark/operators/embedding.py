@@ -6,6 +6,7 @@ model's context is cut first, and a text the model fails on becomes the zero
 vector with ``ok = false`` instead of failing the job.
 """
 
+import time
 from collections.abc import Callable, Iterator, Sequence
 from hashlib import md5
 
@@ -96,7 +97,11 @@ class HashingEmbedder:
 
 class ModelEmbedder:
     """Run a user's model. ``load()`` is called once per task and returns a function
-    from a list of texts to a list of vectors (None for a text it could not do)."""
+    from a list of texts to a list of vectors (None for a text it could not do).
+
+    When a call fails its texts are tried one by one, each ``attempts`` times with
+    growing pauses, so that an error costs the texts that cause it and no others.
+    """
 
     def __init__(
         self,
@@ -104,14 +109,19 @@ class ModelEmbedder:
         dim: int | None = None,
         context_tokens: int | None = None,
         batch_size: int = 64,
+        attempts: int = 3,
+        pause_seconds: float = 1.0,
     ):
         self.load = load
+        self.attempts = positive("attempts", attempts, 3)
+        self.pause_seconds = pause_seconds
         self.dim = positive("dim", dim, EMBEDDING_DIM)
         self.context_tokens = positive("context_tokens", context_tokens, CONTEXT_TOKENS)
         self.batch_size = positive("batch_size", batch_size, 64)
 
     def embedded(self, text: Column) -> Column:
         load, dim, size = self.load, self.dim, self.batch_size
+        attempts, pause = self.attempts, self.pause_seconds
         result = T.StructType(
             [
                 T.StructField("vector", _VECTOR),
@@ -120,18 +130,29 @@ class ModelEmbedder:
             ]
         )
 
-        def attempt(model, texts: list[str]) -> list[tuple]:
+        def call(model, texts: list[str]) -> list:
+            found = list(model(texts))
+            if len(found) != len(texts):
+                raise ValueError(f"model gave {len(found)} vectors for {len(texts)} texts")
+            return found
+
+        def one(model, text: str) -> tuple:
+            for attempt in range(attempts):
+                try:
+                    (vector,) = call(model, [text])
+                    return vector, None if vector is not None else "model gave no vector"
+                except Exception as failure:  # whatever a model raises is its answer
+                    error = f"{type(failure).__name__}: {failure}"
+                if attempt < attempts - 1:
+                    time.sleep(pause * 2**attempt)
+            return None, error
+
+        def many(model, texts: list[str]) -> list[tuple]:
             try:
-                found = list(model(texts))
-                if len(found) != len(texts):
-                    raise ValueError(f"model gave {len(found)} vectors for {len(texts)} texts")
-                return [
-                    (v, None) if v is not None else (None, "model gave no vector") for v in found
-                ]
-            except Exception as failure:  # one bad text must not fail its neighbours
-                if len(texts) == 1:
-                    return [(None, f"{type(failure).__name__}: {failure}")]
-                return [pair for t in texts for pair in attempt(model, [t])]
+                found = call(model, texts)
+                return [(v, None if v is not None else "model gave no vector") for v in found]
+            except Exception:
+                return [one(model, text) for text in texts]
 
         @F.arrow_udf(result)
         def run_model(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -143,7 +164,7 @@ class ModelEmbedder:
                 pairs: list[tuple] = [(zero, None)] * len(texts)
                 for begin in range(0, len(wanted), size):
                     part = wanted[begin : begin + size]
-                    for i, pair in zip(part, attempt(model, [texts[i] for i in part])):
+                    for i, pair in zip(part, many(model, [texts[i] for i in part])):
                         pairs[i] = pair
                 errors = [error for _, error in pairs]
                 rows = [zero if v is None else np.asarray(v, dtype=np.float32) for v, _ in pairs]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions.paths import extension, language, modified_iso
 from shelfmark.functions.text import DOCUMENT_PREFIX, decoded
 from shelfmark.operators.chunking import chunk_text
-from shelfmark.operators.embedding import embed
+from shelfmark.operators.embedding import embed, handle_invalid
 from shelfmark.operators.filters import is_binary, within_size
 from shelfmark.sources import storage
 from shelfmark.sources.corpus import CorpusStore
@@ -59,8 +59,12 @@ def chunk_documents(
     return chunk_text(texts, "content", max_tokens, drop_empty)
 
 
-def embed_chunks(chunks: DataFrame, embedder, use_prefix: bool = False) -> DataFrame:
-    return embed(chunks, embedder, "content", DOCUMENT_PREFIX if use_prefix else None)
+def embed_chunks(
+    chunks: DataFrame, embedder, use_prefix: bool = False, on_invalid: str | None = None
+) -> DataFrame:
+    """Chunks with vectors; ``on_invalid`` (``drop`` or ``zero``) says what becomes of bad ones."""
+    done = embed(chunks, embedder, "content", DOCUMENT_PREFIX if use_prefix else None)
+    return handle_invalid(done, embedder.dim, on_invalid=on_invalid) if on_invalid else done
 
 
 def _store(
@@ -109,6 +113,7 @@ def index_files(
     assume_latin1: bool = True,
     use_prefix: bool = False,
     replace: bool = False,
+    on_invalid: str | None = None,
 ) -> dict:
     """Scan, filter, decode, chunk, embed and store the files below ``root``.
 
@@ -131,7 +136,8 @@ def index_files(
     contents = read_contents(files.where(wanted), root, tasks)
     chunks = chunk_files(contents, max_file_size, embedder.context_tokens, assume_latin1)
     store.create(name, embedder.dim)
-    written = _store(store, embed_chunks(chunks, embedder, use_prefix), name, embedder, replace)
+    embedded = embed_chunks(chunks, embedder, use_prefix, on_invalid)
+    written = _store(store, embedded, name, embedder, replace)
     storage.delete(spark, listing)
     return _summary(found, written, started)
 
@@ -145,6 +151,7 @@ def index_documents(
     use_prefix: bool = False,
     replace: bool = False,
     rebalance: bool | None = None,
+    on_invalid: str | None = None,
 ) -> dict:
     """Chunk, embed and store a table of texts, into one corpus or into one per ``codebase_name``.
 
@@ -162,7 +169,8 @@ def index_documents(
         chunks = chunks.hint("rebalance", "codebase_name")
     if name is not None:
         store.create(name, embedder.dim)
-    written = _store(store, embed_chunks(chunks, embedder, use_prefix), name, embedder, replace)
+    embedded = embed_chunks(chunks, embedder, use_prefix, on_invalid)
+    written = _store(store, embedded, name, embedder, replace)
     return _summary(found, written, started)
 
 

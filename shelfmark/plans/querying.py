@@ -31,9 +31,16 @@ def query_chunks(
     filter_mode: str = "pre",
     metric: str = "l2",
     use_prefix: bool = False,
+    skip_zero_vectors: bool = False,
     **options,
 ) -> DataFrame:
-    """Hits of each query (``query_id, query_text``) in a chunk table, threshold applied."""
+    """Hits of each query (``query_id, query_text``) in a chunk table, threshold applied.
+
+    Blank chunks and chunks the model failed on have a zero vector and can be
+    found like any other, unless ``skip_zero_vectors`` is set.
+    """
+    if skip_zero_vectors:
+        chunks = chunks.where(F.exists("vector", lambda v: v != 0))
     if filter_mode == "pre":
         chunks = with_extension(chunks, extension_filter)
     hits = nearest_batch(

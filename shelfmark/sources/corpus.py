@@ -75,7 +75,9 @@ class CorpusStore:
 
     def table_name(self, name: str) -> str:
         """Sanitized name and suffix; a name with nothing left is refused."""
-        table = self.spark.range(1).select(ids.table_name(F.lit(name))).head()[0]
+        # a one-row relation the optimizer evaluates by itself, without a job
+        given = self.spark.sql("SELECT * FROM VALUES (:name) AS t(name)", args={"name": name})
+        table = given.select(ids.table_name(F.col("name"))).head()[0]
         if table == ids.TABLE_SUFFIX:
             raise ValueError(f"{name!r} has no character usable in a table name")
         return table

@@ -40,7 +40,7 @@ def shared_folder(spark: SparkSession) -> str:
 
     Only a local session, where nothing is named, gets a temporary one.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):

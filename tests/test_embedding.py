@@ -62,12 +62,31 @@ def load_lengths():
 def test_model_embedder_isolates_failures(spark):
     bodies = ["ab", "boom", "", "none", "x" * 700, "abc"]
     df = spark.createDataFrame(list(enumerate(bodies)), "i int, content string").coalesce(1)
-    got = embed(df, ModelEmbedder(load_lengths, 2)).orderBy("i").collect()
+    got = embed(df, ModelEmbedder(load_lengths, 2, pause_seconds=0)).orderBy("i").collect()
     assert [r.vector for r in got] == [[2, 1], [0, 0], [0, 0], [0, 0], [537, 1], [3, 1]]
     assert [r.embed_ok for r in got] == [True, False, True, False, True, True]
     assert got[1].embed_error == "RuntimeError: cannot do boom"
 
 
+def test_model_is_tried_again(spark):
+    def load():
+        calls = {"n": 0}
+
+        def model(texts):
+            calls["n"] += 1
+            if calls["n"] < 4:  # the whole batch once, then the first text twice
+                raise RuntimeError("later")
+            return [[1.0] for _ in texts]
+
+        return model
+
+    df = spark.createDataFrame([("a",), ("b",)], "content string").coalesce(1)
+    patient = embed(df, ModelEmbedder(load, 1, pause_seconds=0)).collect()
+    assert [r.embed_ok for r in patient] == [True, True]
+    hasty = embed(df, ModelEmbedder(load, 1, attempts=1, pause_seconds=0)).collect()
+    assert [r.embed_ok for r in hasty] == [False, False]
+
+
 def test_model_is_loaded_once_per_task(spark):
     def load():
         import os

@@ -174,7 +174,8 @@ def test_too_many_queries_go_by_blocks(spark, data, monkeypatch):
     table, asked = spark.createDataFrame(rows, ROW), spark.createDataFrame(queries, QUERY)
     with pytest.raises(ValueError):
         nearest_batch(table, asked, 3, strategy="ship")
-    found = nearest_batch(table, asked, 3)
+    found = nearest_batch(table, asked, 3, table_block_rows=50, query_block_rows=10)
+    assert "RoundRobinPartitioning" in found._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()
     assert keys(found) == brute(rows, queries, 3)
 

@@ -130,12 +130,32 @@ def test_failures_of_the_model_are_counted(spark, tree, store):
 
         return model
 
-    result = sm.index_files(spark, tree, "m", store, sm.ModelEmbedder(load, 2), max_file_size=9999)
+    result = sm.index_files(spark, tree, "m", store, sm.ModelEmbedder(load, 2, pause_seconds=0), max_file_size=9999)
     zero = store.read("m").where(F.forall("vector", lambda v: v == 0)).count()
     assert result["chunks_failed"] == zero > 0
     assert result["chunks_created"] == store.count("m") > zero
 
 
+def test_bad_vectors_can_be_dropped_or_zeroed(spark, tree, store):
+    def load():
+        return lambda texts: [[float("nan"), 1.0] if "hello" in t else [1.0, 2.0] for t in texts]
+
+    model = sm.ModelEmbedder(load, 2)
+    every = sm.index_files(spark, tree, "n", store, model, max_file_size=9999)["chunks_created"]
+    bad = store.read("n").where(F.exists("vector", F.isnan)).count()
+    assert bad > 0
+    sm.index_files(spark, tree, "d", store, model, max_file_size=9999, on_invalid="drop")
+    assert store.count("d") == every - bad
+    sm.index_files(spark, tree, "z", store, model, max_file_size=9999, on_invalid="zero")
+    assert store.count("z") == every
+    assert store.read("z").where(F.exists("vector", F.isnan)).count() == 0
+    asked = spark.createDataFrame([(1, "q")], "query_id int, query_text string")
+    options = {"limit": every, "min_similarity": 0.0}
+    assert sm.query_corpus(store, "z", asked, model, **options).count() == every
+    kept = sm.query_corpus(store, "z", asked, model, skip_zero_vectors=True, **options)
+    assert kept.count() == every - bad
+
+
 def chunks(spark, rows):
     return spark.createDataFrame(rows, "file_path string, content string, vector array<float>")
 
