@@ -25,7 +25,9 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
     """One row per corpus: chunk rows, distinct files and a map extension -> chunk rows.
 
     Rows are first reduced to one per file, so a corpus that holds most of the
-    table is spread over its files before anything meets per corpus.
+    table is spread over its files before anything meets per corpus. The map has an
+    entry per extension; where names make those very many, ``extension_counts``
+    gives the same numbers as rows.
     """
     per_file = chunks.groupBy("codebase_name", "file_path", "extension").agg(
         F.count(F.lit(1)).alias("chunks")

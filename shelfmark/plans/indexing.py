@@ -13,7 +13,7 @@ from shelfmark.operators.embedding import embed, handle_invalid
 from shelfmark.operators.filters import is_binary, within_size
 from shelfmark.sources import storage
 from shelfmark.sources.corpus import CorpusStore
-from shelfmark.sources.files import TASK_BYTES, read_contents, walk_files
+from shelfmark.sources.files import read_contents, reading_tasks, walk_files
 
 
 def chunk_files(
@@ -132,8 +132,7 @@ def index_files(
     found, size = files.agg(
         F.count(F.lit(1)), F.coalesce(F.sum(F.when(wanted, F.col("length"))), F.lit(0))
     ).head()
-    tasks = max(-(-size // TASK_BYTES), min(found, spark.sparkContext.defaultParallelism), 1)
-    contents = read_contents(files.where(wanted), root, tasks)
+    contents = read_contents(files.where(wanted), root, reading_tasks(spark, found, size))
     chunks = chunk_files(contents, max_file_size, embedder.context_tokens, assume_latin1)
     store.create(name, embedder.dim)
     embedded = embed_chunks(chunks, embedder, use_prefix, on_invalid)

@@ -25,6 +25,10 @@ IGNORE_FILE_LIMIT = 1_000_000
 BATCH_BYTES = 16 * 1024 * 1024
 TASK_BYTES = 128 * 1024 * 1024
 
+# Upper ends of the numbers of tasks, which multiply in a shuffle between two of them.
+MOST_LISTING_TASKS = 1_000
+MOST_READING_TASKS = 50_000
+
 _LISTING = "path string, modificationTime timestamp, length bigint, is_dir boolean"
 _LISTING_ARROW = pa.schema(
     [
@@ -102,7 +106,7 @@ def scan_files(
     The first ``spread_levels`` levels are dealt out to tasks one at a time; what
     lies below is walked by the task that got the folder.
     """
-    tasks = tasks or spark.sparkContext.defaultParallelism * 4
+    tasks = tasks or min(spark.sparkContext.defaultParallelism * 4, MOST_LISTING_TASKS)
     top = spark.range(1).select(
         F.lit(root_path(root)).alias("path"),
         F.lit(None).cast("timestamp").alias("modificationTime"),
@@ -148,6 +152,12 @@ def walk_files(
     return listed.where(exclusion_reason(F.col("file_path"), rules, extra_patterns).isNull())
 
 
+def reading_tasks(spark: SparkSession, files: int, size: int) -> int:
+    """How many tasks should read that many files of that many bytes."""
+    by_size = min(-(-size // TASK_BYTES), MOST_READING_TASKS)
+    return max(by_size, min(files, spark.sparkContext.defaultParallelism), 1)
+
+
 def read_contents(
     files: DataFrame, root: str, tasks: int | None = None, path: str = "absolute_path"
 ) -> DataFrame:
