@@ -1,4 +1,5 @@
-"""The same results stated in SQL for DuckDB, sharing no code with the library.
+"""The same results stated in SQL for DuckDB, sharing fixed tables of values with the library
+but no logic.
 
 Chunking is a recursive walk over lines, vectors are word counts by hash bucket,
 search is a comparison of every pair, and path rules test one path segment at a
@@ -6,16 +7,13 @@ time.
 """
 
 from checks.tables import DIM, FOLDERS, NAMES
+from shelfmark.functions.globs import DEFAULT_EXCLUDES
+from shelfmark.functions.paths import LANGUAGES
+from shelfmark.functions.text import WHITESPACE
 
 ORACLES = {}
 
-# White space a Unicode-aware strip removes.
-_SPACES = (
-    [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0x20, 0x85, 0xA0, 0x1680]
-    + list(range(0x2000, 0x200B))
-    + [0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-)
-SPACE = "(" + " || ".join(f"chr({c})" for c in _SPACES) + ")"
+SPACE = "(" + " || ".join(f"chr({ord(c)})" for c in WHITESPACE) + ")"
 
 
 def _quoted(values) -> str:
@@ -63,19 +61,8 @@ def _extension(path: str) -> str:
     )
 
 
-_LANGUAGE_NAMES = """py python, js javascript, jsx javascript, ts typescript, tsx typescript,
-java java, c c, cpp cpp, cc cpp, cxx cpp, h c, hpp cpp, cs csharp, go go, rs rust, rb ruby,
-php php, swift swift, kt kotlin, scala scala, sh shell, bash shell, zsh shell, fish shell, r r,
-m matlab, sql sql, html html, htm html, css css, scss scss, sass sass, less less, xml xml,
-json json, yaml yaml, yml yaml, toml toml, ini ini, cfg ini, conf conf, md markdown,
-markdown markdown, rst restructuredtext, txt text, vue vue, svelte svelte"""
-
-
 def _language(ext: str) -> str:
-    cases = " ".join(
-        f"WHEN '.{e}' THEN '{lang}'"
-        for e, lang in (pair.split() for pair in _LANGUAGE_NAMES.split(","))
-    )
+    cases = " ".join(f"WHEN '{e}' THEN '{lang}'" for e, lang in LANGUAGES.items())
     return f"(CASE lower({ext}) {cases} ELSE 'unknown' END)"
 
 
@@ -354,14 +341,6 @@ ORACLES["score_format"] = """SELECT l_orderkey, l_linenumber,
 
 # -- filters -------------------------------------------------------------------
 
-# Names left out of every index, as shell patterns of one path segment.
-_DEFAULT_SEGMENTS = [
-    "*.pyc", "__pycache__", ".git", ".gitignore", "node_modules", "*.log", "*.tmp", "*.lock",
-    ".env", ".env.*", "venv", ".venv", "env", ".idea", ".vscode", "*.egg-info", "dist", "build",
-    ".pytest_cache", ".tox", "*.db", "*.sqlite", "*.sqlite3",
-]
-
-
 def _segment(path: str, *patterns: str) -> str:
     tests = " OR ".join(f"s GLOB '{p}'" for p in patterns)
     return f"(len(list_filter(string_split({path}, '/'), lambda s: {tests})) > 0)"
@@ -371,7 +350,7 @@ def _below(path: str, folder: str) -> str:
     return f"(starts_with({path}, '{folder}/') AND length({path}) > {len(folder) + 1})"
 
 
-_BY_DEFAULT = _segment("file_path", *_DEFAULT_SEGMENTS)
+_BY_DEFAULT = _segment("file_path", *DEFAULT_EXCLUDES)
 _BY_RULES = f"""(CASE
   WHEN {_segment('file_path', '*.un[!x]')} THEN true
   WHEN {_segment('file_path', '?[0-4]*.py')} THEN true

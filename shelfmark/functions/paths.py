@@ -1,7 +1,5 @@
 """Column expressions over file paths."""
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,11 +57,11 @@ LANGUAGES = {
 
 # Extensions whose MIME type is text/*, and compression suffixes a
 # MIME lookup by name sees through.
-TEXT_EXTENSIONS = (
-    "bat c css csv etx h htm html js ksh markdown md mjs n3 pl py rst rtf rtx "
-    "sgm sgml srt tsv txt vcf vtt xml"
-).split()
-COMPRESSION_SUFFIXES = "gz Z bz2 xz br".split()
+TEXT_EXTENSIONS = [
+    "bat", "c", "css", "csv", "etx", "h", "htm", "html", "js", "ksh", "markdown", "md", "mjs",
+    "n3", "pl", "py", "rst", "rtf", "rtx", "sgm", "sgml", "srt", "tsv", "txt", "vcf", "vtt", "xml",
+]
+COMPRESSION_SUFFIXES = ["gz", "Z", "bz2", "xz", "br"]
 
 
 def extension(path: Column) -> Column:
@@ -107,7 +105,3 @@ def has_text_mime(path: Column) -> Column:
     names = "|".join(TEXT_EXTENSIONS)
     packed = "|".join(COMPRESSION_SUFFIXES)
     return path.rlike(rf"(?:^|/)\.*[^/.][^/]*\.(?i:{names})(?:\.(?:{packed}))?$")
-
-
-def any_of(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, columns, F.lit(False))

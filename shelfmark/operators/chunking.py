@@ -36,6 +36,30 @@ def _chunk_pattern(budget: int) -> str:
     return "|".join(parts)
 
 
+def _budget(max_tokens: int) -> int:
+    budget = chunk_budget(positive("max_tokens", max_tokens, CONTEXT_TOKENS))
+    if budget < 1:
+        raise ValueError(f"max_tokens={max_tokens} leaves no room for a character")
+    return budget
+
+
+def _parts(text: Column, budget: int) -> Column:
+    """The chunks of a text beyond the budget, newlines and white space still on."""
+    return F.regexp_extract_all(
+        F.concat(text, F.lit("\n")), F.lit(_chunk_pattern(budget)), F.lit(0)
+    )
+
+
+def chunk_count(text: Column, max_tokens: int | None = CONTEXT_TOKENS) -> Column:
+    """How many chunks ``chunk_text`` makes of a text, without making them; null for null."""
+    if max_tokens is None:
+        return F.when(text.isNotNull(), F.lit(1))
+    budget = _budget(max_tokens)
+    return F.when(F.length(text) <= budget, F.lit(1)).when(
+        text.isNotNull(), F.size(_parts(text, budget))
+    )
+
+
 def _newlines(part: Column) -> Column:
     return F.octet_length(part) - F.octet_length(F.replace(part, F.lit("\n"), F.lit("")))
 
@@ -92,14 +116,9 @@ def chunk_text(
     if max_tokens is None:
         rows = rows.select(*others, _whole_text_chunk(text).alias("_chunks"))
     else:
-        budget = chunk_budget(positive("max_tokens", max_tokens, CONTEXT_TOKENS))
-        if budget < 1:
-            raise ValueError(f"max_tokens={max_tokens} leaves no room for a character")
+        budget = _budget(max_tokens)
         fits = F.length(text) <= budget
-        parts = F.regexp_extract_all(
-            F.concat(text, F.lit("\n")), F.lit(_chunk_pattern(budget)), F.lit(0)
-        )
-        rows = rows.withColumn("_parts", F.when(~fits, parts))
+        rows = rows.withColumn("_parts", F.when(~fits, _parts(text, budget)))
         rows = rows.withColumn("_lines", _first_lines(F.col("_parts")))
         rows = rows.select(
             *others,

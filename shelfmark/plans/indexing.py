@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.paths import extension, language, modified_iso
 from shelfmark.functions.text import DOCUMENT_PREFIX, decoded
-from shelfmark.operators.chunking import chunk_text
+from shelfmark.operators.chunking import chunk_count, chunk_text
 from shelfmark.operators.embedding import embed, handle_invalid
 from shelfmark.operators.filters import is_binary, within_size
 from shelfmark.sources import storage
@@ -179,20 +179,7 @@ def file_statuses(
     max_tokens: int | None = None,
     text: Column | str = "content",
 ) -> DataFrame:
-    """``file_path, status, chunks``: what indexing does with each file, and into how many chunks.
-
-    Computed per file without a join: counting starts where splitting does.
-    """
-    marked = files.select(
-        "file_path",
-        status.alias("status"),
-        F.when(status == "ok", F.col(text) if isinstance(text, str) else text).alias("_body"),
-    )
-    chunks = chunk_text(
-        marked.withColumn("_body", F.coalesce("_body", F.lit(""))), "_body", max_tokens
-    ).where(F.col("chunk_index") == 0)
-    return chunks.select(
-        "file_path",
-        "status",
-        F.when(F.col("status") == "ok", F.col("total_chunks")).otherwise(0).alias("chunks"),
-    )
+    """``file_path, status, chunks``: what indexing does with each file, and into how many chunks."""
+    body = F.col(text) if isinstance(text, str) else text
+    count = F.when(F.col("status") == "ok", chunk_count(body, max_tokens)).otherwise(0)
+    return files.withColumn("status", status).select("file_path", "status", count.alias("chunks"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import chunk_budget
-from shelfmark.operators.chunking import chunk_text
+from shelfmark.operators.chunking import chunk_count, chunk_text
 from tests.conftest import SF_DIR
 
 
@@ -76,6 +76,14 @@ def test_edges(spark, tokens):
         assert {r.total_chunks for r in got} == {len(want)}
 
 
+@pytest.mark.parametrize("tokens", [512, 7, None])
+def test_counting_agrees_with_chunking(spark, tokens):
+    df = spark.createDataFrame([*enumerate(EDGES), (-1, None)], "i int, content string")
+    counts = {r.i: r.n for r in df.select("i", chunk_count(F.col("content"), tokens).alias("n")).collect()}
+    made = {r.i: r.total_chunks for r in chunk_text(df, max_tokens=tokens).collect()}
+    assert counts == {**made, -1: None}
+
+
 def test_random_texts(spark):
     rng = random.Random(3)
     bodies = [
