@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 from shelfmark.functions.text import chunk_budget, strip
 from shelfmark.schema import CONTEXT_TOKENS, positive
 
+# The regular-expression engine goes one level deeper at each change between one-unit
+# and two-unit characters in a repetition, up to the budget. Beyond this many
+# characters, two-unit ones (emoji and other supplementary characters) are stood in for.
+_DIRECT_BUDGET = 2048
+_SUPPLEMENTARY = r"[\x{10000}-\x{10FFFF}]"
+
 CHUNK_FIELDS = ("content", "start_line", "end_line", "chunk_index", "total_chunks")
 
 
@@ -43,20 +49,50 @@ def _budget(max_tokens: int) -> int:
     return budget
 
 
-def _parts(text: Column, budget: int) -> Column:
-    """The chunks of a text beyond the budget, newlines and white space still on."""
+def _matches(text: Column, budget: int) -> Column:
     return F.regexp_extract_all(
         F.concat(text, F.lit("\n")), F.lit(_chunk_pattern(budget)), F.lit(0)
     )
 
 
+def _stand_in(text: Column) -> Column:
+    """The text with a letter for each supplementary character: the same length and cuts."""
+    return F.regexp_replace(text, _SUPPLEMENTARY, "x")
+
+
+def _cut_as(text: Column, parts: Column) -> Column:
+    """The text cut into parts as long as the given ones."""
+    spans = F.aggregate(
+        F.transform(parts, F.length),
+        F.expr("struct(0 AS total, cast(array() AS array<struct<begin: int, size: int>>) AS spans)"),
+        lambda state, size: F.struct(
+            (state["total"] + size).alias("total"),
+            F.array_append(
+                state["spans"], F.struct(state["total"].alias("begin"), size.alias("size"))
+            ).alias("spans"),
+        ),
+        lambda state: state["spans"],
+    )
+    full = F.concat(text, F.lit("\n"))
+    return F.transform(spans, lambda s: F.substring(full, s["begin"] + 1, s["size"]))
+
+
+def _parts(text: Column, budget: int) -> Column:
+    """The chunks of a text beyond the budget, newlines and white space still on."""
+    if budget <= _DIRECT_BUDGET:
+        return _matches(text, budget)
+    return F.when(
+        text.rlike(_SUPPLEMENTARY), _cut_as(text, _matches(_stand_in(text), budget))
+    ).otherwise(_matches(text, budget))
+
+
 def chunk_count(text: Column, max_tokens: int | None = CONTEXT_TOKENS) -> Column:
     """How many chunks ``chunk_text`` makes of a text, without making them; null for null."""
     if max_tokens is None:
         return F.when(text.isNotNull(), F.lit(1))
     budget = _budget(max_tokens)
     return F.when(F.length(text) <= budget, F.lit(1)).when(
-        text.isNotNull(), F.size(_parts(text, budget))
+        text.isNotNull(), F.size(_matches(_stand_in(text), budget))
     )
 
 

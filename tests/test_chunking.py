@@ -94,6 +94,17 @@ def test_random_texts(spark):
         assert [(r.content, r.start_line, r.end_line) for r in got] == expected_chunks(body, 42)
 
 
+@pytest.mark.parametrize("tokens", [2000, 32768])
+def test_large_budgets_and_characters_of_two_sizes(spark, tokens):
+    bodies = [
+        "a😀" * 40000, "a😀 " * 30000, ("a😀" * 30 + "\n") * 1500, "x" * 200000, "word " * 30000,
+        "\n" * 40000, "é😀\n" * 40000 + "tail",
+    ]
+    budget = chunk_budget(tokens)
+    for body, got in zip(bodies, spark_chunks(spark, bodies, tokens)):
+        assert [(r.content, r.start_line, r.end_line) for r in got] == expected_chunks(body, budget)
+
+
 def test_documents_and_invariants(spark):
     documents = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text")
     bodies = {r.doc_id: r.text for r in documents.collect()}
