@@ -373,8 +373,10 @@ def nearest_batch(
     """The ``k`` nearest rows for each row of ``queries`` (``query_id`` and a vector).
 
     Gives the columns of ``table`` but the vector, and ``query_id``, ``distance``,
-    ``similarity`` and ``rank`` (from 1). ``query_id`` must be unique. ``strategy``
-    is ``ship`` or ``blocks`` to force one of the two ways, which give the same rows.
+    ``similarity`` and ``rank`` (from 1). ``query_id`` must be unique. The query
+    vectors are read when this is called, up to the bound for sending them along;
+    ``strategy`` is ``ship`` or ``blocks`` to force one of the two ways, which give
+    the same rows. The second counts both tables first.
     """
     _check(metric, filter_mode)
     if strategy not in ("auto", "ship", "blocks"):
