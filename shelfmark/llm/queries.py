@@ -16,6 +16,7 @@ from shelfmark.llm import (
     toxicity,
 )
 from shelfmark.llm.common import table
+from shelfmark.llm.sql import ORACLES
 
 
 def op1_content_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,4 +85,4 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]

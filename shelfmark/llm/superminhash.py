@@ -36,7 +36,7 @@ def superminhash(sets: list[np.ndarray], lanes: int = LANES) -> np.ndarray:
         order[:] = np.arange(lanes)
         row = np.arange(len(element))
         for step in range(lanes):
-            random = mix(element[row] + np.uint64(step + 1) * _STEP)
+            random = mix(element[row] + np.uint64((step + 1) * int(_STEP) & 0xFFFFFFFFFFFFFFFF))
             other = step + ((random & np.uint64(0xFFFFFFFF)) * np.uint64(lanes - step) >> np.uint64(32)).astype(np.int64)
             lane = order[row, other]
             order[row, other] = order[row, step]
