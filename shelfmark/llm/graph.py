@@ -1,5 +1,6 @@
-"""Connected components of a link table, by joins only."""
+"""Connected components of a link table, by joins only; and of the links that one task found."""
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,3 +55,21 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         )
     smallest = mapping.groupBy("root").agg(F.min("node").alias("component"))
     return mapping.join(smallest, "root").select("node", "component")
+
+
+def spanning_links(n: int, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join the same components as all of (u, v): each node with its component's smallest."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[u], label[v])
+        new = label.copy()
+        np.minimum.at(new, u, low)
+        np.minimum.at(new, v, low)
+        np.minimum.at(new, label[u], low)
+        np.minimum.at(new, label[v], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    nodes = np.flatnonzero(label != np.arange(n))
+    return nodes, label[nodes]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import saved
-from shelfmark.llm.graph import components
+from shelfmark.llm.graph import components, spanning_links
 
 TILE_ROWS = 4096
 #: Vectors whose directions name the neighbourhoods that tiles are cut from.
@@ -41,24 +41,6 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
 
 
-def _forest(n: int, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join the same components as all of (u, v): each node with its component's smallest."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[u], label[v])
-        new = label.copy()
-        np.minimum.at(new, u, low)
-        np.minimum.at(new, v, low)
-        np.minimum.at(new, label[u], low)
-        np.minimum.at(new, label[v], low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    nodes = np.flatnonzero(label != np.arange(n))
-    return nodes, label[nodes]
-
-
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1)
@@ -89,7 +71,7 @@ def _compare(threshold: float):
         u, v = np.concatenate(us or [np.zeros(0, int)]), np.concatenate(vs or [np.zeros(0, int)])
         links = np.bincount(u, copies[v], len(ids)) + np.bincount(v, copies[u], len(ids))
         hit = np.flatnonzero(links)
-        nodes, roots = _forest(len(ids), u, v)
+        nodes, roots = spanning_links(len(ids), u, v)
         none = lambda n: pa.nulls(n, pa.int64())
         return pa.table(
             {

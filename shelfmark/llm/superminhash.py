@@ -4,15 +4,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import saved, texts
-from shelfmark.llm.graph import components
+from shelfmark.llm.graph import components, spanning_links
 from shelfmark.llm.words import mix, shingles, word_hashes
 
 LANES = 128
 BAND_LANES = 4
+#: Buckets with more members than HOT are compared in blocks of about BLOCK members.
+HOT = 32
+BLOCK = 512
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BLOCK = 1 << 17
 
@@ -105,6 +109,58 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(enough).select("a", "b")
 
 
+def _overlaps(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, as products of 0/1 matrices, some shingles at a time."""
+    tokens = np.concatenate(rows + columns)
+    owner = np.repeat(np.arange(len(rows) + len(columns)), [len(s) for s in rows + columns])
+    _, token, n = np.unique(tokens, return_inverse=True, return_counts=True)
+    shared = n[token] > 1
+    number = np.cumsum(n > 1) - 1
+    token, owner = number[token[shared]], owner[shared]
+    out = np.zeros((len(rows), len(columns)), np.float32)
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    for start in range(0, int(token[-1]) + 1 if len(token) else 0, 4096):
+        low, high = np.searchsorted(token, [start, start + 4096])
+        part = np.zeros((len(rows) + len(columns), 4096), np.float32)
+        part[owner[low:high], token[low:high] - start] = 1
+        out += part[: len(rows)] @ part[len(rows) :].T
+    return out
+
+
+def _block_links(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        first, second = table["i"][0].as_py(), table["j"][0].as_py()
+        block, ids = table["block"].to_numpy(), table["rep"].to_numpy()
+        lists = table["shingles"].combine_chunks()
+        sets = np.split(lists.flatten().to_numpy(), np.cumsum(pc.list_value_length(lists).to_numpy())[:-1])
+        left = np.flatnonzero(block == first)
+        right = left if first == second else np.flatnonzero(block == second)
+        sizes = np.array([len(s) for s in sets], np.int64)
+        common = _overlaps([sets[k] for k in left], [sets[k] for k in right]).astype(np.int64)
+        u, v = np.nonzero(100 * common >= percent * (sizes[left][:, None] + sizes[right] - common))
+        nodes, roots = spanning_links(len(ids), left[u], right[v])
+        return pa.table({"a": pa.array(ids[roots]), "b": pa.array(ids[nodes])})
+
+    return run
+
+
+def _within_crowds(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect all members of large buckets which any chain of links connects; members: (first, rep) by bucket."""
+    edges = members.where(F.col("first") != F.col("rep")).select(F.col("first").alias("a"), F.col("rep").alias("b"))
+    crowd = saved(components(edges).select(F.col("node").alias("rep"), F.col("component").alias("crowd")), "crowds")
+    blocks = crowd.groupBy("crowd").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    placed = crowd.join(blocks, "crowd").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = placed.select("crowd", "rep", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+        "crowd", "rep", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
+    )
+    return (
+        dealt.join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+        .groupBy("crowd", "i", "j")
+        .applyInArrow(_block_links(percent), "a long, b long")
+    )
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -117,9 +173,12 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
        probability of about 5e-8.
     2. Within each band bucket all members are compared with the smallest one only, on
        full sets. The links found melt most of a group of near copies into one component.
-    3. Where a bucket still holds several components, only its pairs between different
-       ones that differ little in size are compared. So each pair that shares a bucket is
-       either compared or known to be connected, and copies never multiply into pairs.
+    3. Where a bucket still holds several components and at most HOT members, its pairs
+       between different ones that differ little in size are compared. Larger such buckets
+       make up crowds; a crowd is cut into blocks, and each pair of blocks is one task
+       that multiplies member-by-shingle matrices and returns links that connect what is
+       connected, not pairs. So each pair that shares a bucket is either compared or known
+       to be connected; a crowd's work grows with its square, its rows with its blocks.
 
     Empty or null texts have no shingles and are linked with nothing, nor is a row
     without doc_id (component_id null, kept). Rows that repeat a doc_id with the same text give
@@ -171,12 +230,13 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     )
     mixed = (
         placed.groupBy("bucket")
-        .agg(F.min("part").alias("low"), F.max("part").alias("high"))
+        .agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("n"), F.min("rep").alias("first"))
         .where("low < high")
-        .select("bucket")
+        .select("bucket", "n", "first")
     )
-    open_members = saved(placed.join(mixed, "bucket", "left_semi"), "open")
-    x, y = open_members.alias("x"), open_members.alias("y")
+    open_members = saved(placed.join(mixed, "bucket"), "open")
+    cold = open_members.where(F.col("n") <= HOT)
+    x, y = cold.alias("x"), cold.alias("y")
     rest = (
         x.join(y, "bucket")
         .where(F.col("x.part") < F.col("y.part"))
@@ -190,7 +250,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
         .distinct()
         .join(star.select("a", "b"), ["a", "b"], "left_anti")
     )
-    second = saved(_verified(saved(rest, "pairs"), sets, percent), "links")
+    hot = open_members.where(F.col("n") > HOT).select("first", "rep")
+    second = saved(_verified(saved(rest, "pairs"), sets, percent).union(_within_crowds(hot, sets, percent)), "links")
     parts = components(first.union(second)) if not second.isEmpty() else melted
     grouped = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(
         "key1", "key2", F.col("size").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")
