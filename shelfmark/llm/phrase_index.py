@@ -109,9 +109,10 @@ def phrase_hits(docs: DataFrame, windows: DataFrame, probes: int = PROBES) -> Da
     wanted = saved(
         claims.groupBy("doc_id", "content_key").agg(F.collect_set(F.struct("item_id", "start", "terms")).alias("claims")), "claims"
     )
-    wanted = small(wanted.withColumnsRenamed({"doc_id": "id_", "content_key": "key_"}))
+    wanted = wanted.withColumnsRenamed({"doc_id": "id_", "content_key": "key_"})
     same = F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("content_key") == F.col("key_"))
-    split = docs.join(wanted, same).select("doc_id", "content_key", "claims", words(F.col("text")).alias("words"))
+    # The numbers of the few documents with claims filter the others out before any text is shuffled.
+    split = docs.join(small(wanted.select("id_", "key_")), same, "left_semi").join(wanted, same).select("doc_id", "content_key", "claims", words(F.col("text")).alias("words"))
     true = F.filter("claims", lambda c: F.slice(F.col("words"), c["start"] + 1, F.size(c["terms"])) == c["terms"])
     return (
         split.select("doc_id", "content_key", F.explode(true).alias("hit"))
