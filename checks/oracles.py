@@ -169,6 +169,23 @@ ORACLES["knn_single"] = (
 ORACLES["knn_filtered"] = (
     f"SELECT vec_id, label, {_SCORES} FROM ({_FROM_FIRST} WHERE label = 1 ORDER BY d, vec_id LIMIT 5)"
 )
+ORACLES["threshold_nan"] = (
+    f"SELECT vec_id, label, {_SCORES} FROM ({_FROM_FIRST}) WHERE vec_id % 7 > 3 AND 1 / (1 + d) >= 0.38"
+)
+ORACLES["knn_dot_scaled"] = f"""WITH scaled AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: (x * (vec_id % 5)::FLOAT)::FLOAT) AS e,
+    (SELECT list_transform(q, lambda x: 3 * x::DOUBLE) FROM {_FIRST}) AS q FROM embeddings),
+nearest AS (SELECT vec_id, label, {_distance('e', 'q', 'dot')} AS d FROM scaled ORDER BY d, vec_id LIMIT 40),
+graded AS (SELECT *, CASE WHEN d < 0 THEN 1 - d ELSE 1 / (1 + d) END AS s FROM nearest)
+SELECT vec_id, label, round(d, 6) AS distance, round(s, 6) AS similarity FROM graded WHERE s >= 0.5"""
+ORACLES["degenerate_vectors"] = """WITH made AS (
+  SELECT label, CASE vec_id % 10 WHEN 0 THEN list_transform(embedding, lambda x: 0::FLOAT)
+    WHEN 1 THEN list_transform(embedding, lambda x: 0.25::FLOAT)
+    WHEN 2 THEN list_transform(range(len(embedding)), lambda i: i::FLOAT) ELSE embedding END AS v FROM embeddings)
+SELECT label, count(v) AS vectors, count(*) FILTER (list_min(v) = 0 AND list_max(v) = 0) AS zero,
+  count(*) FILTER (list_max(v) - list_min(v) <= 1e-6 AND list_max(v) <> 0) AS near_constant,
+  count(v) - count(DISTINCT v) AS repeated
+FROM made GROUP BY label"""
 ORACLES["knn_post_filter"] = (
     f"SELECT vec_id, label, {_SCORES} FROM ({_FROM_FIRST} ORDER BY d, vec_id LIMIT 40) WHERE label = 1"
 )
@@ -423,6 +440,13 @@ FROM by_corpus JOIN (
 
 
 ORACLES["corpus_stats"] = _corpus_stats()
+ORACLES["corpus_stats_store"] = f"""SELECT 'My App' AS codebase_name, 'my_app_rag' AS table_name,
+  sum(total_files)::BIGINT AS total_files, sum(total_chunks)::BIGINT AS total_chunks, (
+    SELECT string_agg(e || '=' || n, ',' ORDER BY e) FROM (
+      SELECT split_part(x, '=', 1) AS e, sum(split_part(x, '=', 2)::BIGINT)::BIGINT AS n
+      FROM (SELECT unnest(string_split(extension_distribution, ',')) AS x FROM ({_corpus_stats()})) GROUP BY e)
+  ) AS extension_distribution FROM ({_corpus_stats()})
+UNION ALL SELECT 'nothing_here', 'nothing_here_rag', 0, 0, ''"""
 ORACLES["corpus_roundtrip"] = _corpus_stats("codebase_name <> 'src2'")
 ORACLES["extension_counts"] = f"""WITH RECURSIVE {_FILE_CHUNKS}, {_EXT_CHUNKS}
 SELECT codebase_name, extension, count(*) AS chunks FROM ext_chunks GROUP BY ALL"""

@@ -106,6 +106,30 @@ def knn_threshold(spark, sf_dir):
     return _scored(filters.similar_enough(hits, 0.38), "vec_id", "label")
 
 
+@query
+def threshold_nan(spark, sf_dir):
+    """Rows whose vector has no distance, or none but infinity, pass no threshold."""
+    hits = nearest(
+        broken_vectors(spark, sf_dir),
+        _first_vector(spark, sf_dir),
+        k=broken_vectors(spark, sf_dir).count(),
+        ties=["vec_id"],
+    )
+    return _scored(filters.similar_enough(hits, 0.38), "vec_id", "label")
+
+
+@query
+def knn_dot_scaled(spark, sf_dir):
+    """Vectors that are not of unit length: the largest products are the most similar."""
+    scale = (F.col("vec_id") % 5).cast("float")
+    scaled = _embeddings(spark, sf_dir).select(
+        "vec_id", "label", F.transform("embedding", lambda x: x * scale).alias("vector")
+    )
+    question = [3 * x for x in _first_vector(spark, sf_dir)]
+    hits = nearest(scaled, question, k=40, metric="dot", ties=["vec_id"])
+    return _scored(filters.similar_enough(hits, 0.5), "vec_id", "label")
+
+
 def _all_vectors_as_queries(spark, sf_dir) -> DataFrame:
     return _embeddings(spark, sf_dir).select(
         F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")
@@ -586,6 +610,31 @@ def _stats_rows(df: DataFrame) -> DataFrame:
     return df.withColumn("extension_distribution", shown)
 
 
+@query
+def corpus_stats_store(spark, sf_dir):
+    """A corpus under two spellings of its name is one; one without rows is listed, too."""
+    store = CorpusStore(spark, f"{storage.shared_folder(spark)}/spelled-{uuid.uuid4().hex}")
+    store.create("Nothing Here", DIM)
+    spelled = F.when(F.col("size_bytes") % 2 == 0, F.lit("My App")).otherwise(F.lit("my_app"))
+    files = document_files(spark, sf_dir).withColumn("codebase_name", spelled)
+    index_documents(files, store, HashingEmbedder(DIM, CHUNK_TOKENS))
+    return _stats_rows(store.stats())
+
+
+@query
+def degenerate_vectors(spark, sf_dir):
+    """Per label: zero, near-constant and repeated vectors, of a table where a few are made so."""
+    kind = F.col("vec_id") % 10
+    changed = (
+        F.when(kind == 0, F.transform("embedding", lambda x: F.lit(0.0).cast("float")))
+        .when(kind == 1, F.transform("embedding", lambda x: F.lit(0.25).cast("float")))
+        .when(kind == 2, F.transform("embedding", lambda x, i: i.cast("float")))
+        .otherwise(F.col("embedding"))
+    )
+    vectors = _embeddings(spark, sf_dir).select("label", changed.alias("vector"))
+    return embedding.degenerate_vectors(vectors, by=["label"])
+
+
 @query
 def corpus_stats(spark, sf_dir):
     return _stats_rows(stats.corpus_stats(_chunk_table(spark, sf_dir)))

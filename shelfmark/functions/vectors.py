@@ -46,7 +46,10 @@ def distance(a: Column, b: Column, metric: str = "l2") -> Column:
 
 
 def similarity(distance_: Column) -> Column:
-    return F.try_divide(F.lit(1.0), F.lit(1.0) + distance_)
+    """``1 / (1 + distance)``; below 0, where only ``dot`` gets, ``1 - distance``, so that nearer is always more."""
+    return F.when(distance_ < 0, F.lit(1.0) - distance_).otherwise(
+        F.try_divide(F.lit(1.0), F.lit(1.0) + distance_)
+    )
 
 
 def zero_vector(dim: int) -> Column:

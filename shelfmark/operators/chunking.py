@@ -17,6 +17,9 @@ from shelfmark.schema import CONTEXT_TOKENS, positive
 _DIRECT_BUDGET = 2048
 _SUPPLEMENTARY = r"[\x{10000}-\x{10FFFF}]"
 
+# Line numbers are summed up in slices of so many chunks, as a fold that grows one array copies it each time.
+_FOLD = 256
+
 CHUNK_FIELDS = ("content", "start_line", "end_line", "chunk_index", "total_chunks")
 
 
@@ -113,10 +116,31 @@ def _whole_text_chunk(text: Column) -> Column:
 
 def _first_lines(parts: Column) -> Column:
     """Line each part begins in: one more than the newlines before it."""
+    counts = F.transform(parts, _newlines)
+    begins = F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1)), F.lit(_FOLD))
+    slices = F.transform(begins, lambda begin: F.slice(counts, begin, _FOLD))
+
+    def running(first: Column, part: Column) -> Column:
+        return F.aggregate(
+            part,
+            F.array(first),
+            lambda lines, count: F.array_append(lines, F.element_at(lines, -1) + count),
+        )
+
+    def step(state: Column, part: Column) -> Column:
+        # One entry through a transform, so that the inner fold is computed once.
+        made = F.transform(F.array(running(state["line"], part)), lambda lines: F.struct(
+            F.element_at(lines, -1).alias("line"),
+            F.array_append(state["lists"], F.slice(lines, 1, F.size(lines) - 1)).alias("lists"),
+        ))
+        return F.get(made, 0)
+
+    start = F.struct(F.lit(1).alias("line"), F.array().cast("array<array<int>>").alias("lists"))
     return F.aggregate(
-        F.transform(parts, _newlines),
-        F.array(F.lit(1)),
-        lambda lines, count: F.array_append(lines, F.element_at(lines, -1) + count),
+        slices,
+        start,
+        step,
+        lambda state: F.array_append(F.flatten(state["lists"]), state["line"]),
     )
 
 

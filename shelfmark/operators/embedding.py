@@ -202,6 +202,15 @@ def embed(
     )
 
 
+def where_computed(df: DataFrame, predicate: Column) -> DataFrame:
+    """``df.where(predicate)`` for columns that a model made.
+
+    A plain filter would be pushed below the model with a second copy of its call; one
+    on what a generator gives stays where it is.
+    """
+    return df.withColumn("_wanted", F.explode(F.array(predicate))).where("_wanted").drop("_wanted")
+
+
 def fill_missing_vectors(df: DataFrame, dim: int, vector_col: str = "vector") -> DataFrame:
     """Zero vector where none could be made, and ``embed_ok`` telling so."""
     vector = F.col(vector_col)
@@ -240,6 +249,33 @@ def vector_quality(df: DataFrame, dim: int, vector_col: str = "vector", by=()) -
     )
 
 
+def degenerate_vectors(
+    df: DataFrame, vector_col: str = "vector", by=(), spread: float = 1e-6
+) -> DataFrame:
+    """Per group: vectors, and how many are zero, near-constant or a repetition of another.
+
+    Near-constant: largest and smallest entry differ by at most ``spread``, zero vectors
+    aside. Repetitions are counted on hashes, each distinct vector once, before groups
+    meet, so one vector that is most of a corpus stays one row. Null counts as neither.
+    """
+    v = F.col(vector_col)
+    named = df.select(*by, v.alias("_v"), F.xxhash64(v).alias("_hash"))
+    distinct = named.groupBy(*by, "_hash").agg(F.count("_v").alias("_n"), F.first("_v").alias("_v"))
+    low, high = F.array_min("_v"), F.array_max("_v")
+    zero = (low == 0) & (high == 0)
+    constant = ~zero & (high - low <= spread)
+
+    def rows(test: Column) -> Column:
+        return F.coalesce(F.sum(F.when(test, F.col("_n"))), F.lit(0))
+
+    return distinct.groupBy(*by).agg(
+        F.sum("_n").alias("vectors"),
+        rows(zero).alias("zero"),
+        rows(constant).alias("near_constant"),
+        F.sum(F.greatest(F.col("_n") - 1, F.lit(0))).alias("repeated"),
+    )
+
+
 def handle_invalid(
     df: DataFrame, dim: int, vector_col: str = "vector", on_invalid: str = "flag"
 ) -> DataFrame:
@@ -248,7 +284,7 @@ def handle_invalid(
     if on_invalid == "flag":
         return df.withColumn("vector_ok", ok)
     if on_invalid == "drop":
-        return df.where(ok)
+        return where_computed(df, ok)
     if on_invalid == "zero":
         return df.withColumn(
             vector_col, F.when(ok, F.col(vector_col)).otherwise(vectors.zero_vector(dim))

@@ -57,9 +57,10 @@ def matching(df: DataFrame, where: Column | str | None) -> DataFrame:
 
 
 def similar_enough(df: DataFrame, min_similarity: float | None = None) -> DataFrame:
-    """Inclusive threshold; zero is a threshold like any other."""
+    """Inclusive threshold; zero is a threshold like any other, and no number passes none."""
     limit = MIN_SIMILARITY if min_similarity is None else min_similarity
-    return df.where(F.col("similarity") >= F.lit(float(limit)))
+    value = F.col("similarity")
+    return df.where(~F.isnan(value) & (value >= F.lit(float(limit))))
 
 
 def with_text(df: DataFrame, text_col: str = "query_text") -> DataFrame:

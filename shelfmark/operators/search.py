@@ -180,16 +180,20 @@ def nearest(
     metric: str = "l2",
     vector_col: str = "vector",
     ties: Sequence[str] = ("id", "chunk_index"),
+    dim: int | None = None,
 ) -> DataFrame:
     """The ``k`` rows nearest to one vector, nearest first, with ``distance`` and ``similarity``.
 
     ``pre`` ranks the rows that satisfy ``where``; ``post`` applies it to the
     ``k`` best of all rows, which may leave fewer. Rows whose vector is null or of
-    another length have no distance and are left out.
+    another length have no distance and are left out. ``dim``, where it is known, is
+    the length the question must have.
     """
     _check(metric, filter_mode)
     k = positive("k", k, SEARCH_LIMIT)
     query = np.asarray(query_vector, dtype=np.float64)
+    if dim is not None and len(query) != dim:
+        raise ValueError(f"the query vector has {len(query)} entries, those of the table {dim}")
 
     @F.arrow_udf(T.DoubleType())
     def distance_to_query(vectors: pa.Array) -> pa.Array:
@@ -244,7 +248,7 @@ def _candidates_shipped(
     rows: DataFrame, queries: pa.Table, id_type: T.DataType, k: int, metric: str, ties: Sequence[str]
 ) -> DataFrame:
     """Candidates by one pass over the table: only vectors and tie columns go to Python."""
-    blocks = _query_blocks(queries)
+    blocks, arrow_id = _query_blocks(queries), queries["query_id"].type
     hits_type = T.ArrayType(
         T.StructType([T.StructField("query_id", id_type), T.StructField("distance", T.DoubleType())])
     )
@@ -263,7 +267,7 @@ def _candidates_shipped(
                 )
                 parts.append((usable[row], ids.take(pa.array(col)), distance))
             if not parts:
-                yield pa.nulls(len(vectors), _arrow_hits(queries["query_id"].type))
+                yield pa.nulls(len(vectors), _arrow_hits(arrow_id))
                 continue
             row = np.concatenate([p[0] for p in parts])
             ids = pa.concat_arrays([p[1] for p in parts])
@@ -369,6 +373,7 @@ def nearest_batch(
     strategy: str = "auto",
     table_block_rows: int = TABLE_BLOCK_ROWS,
     query_block_rows: int = QUERY_BLOCK_ROWS,
+    dim: int | None = None,
 ) -> DataFrame:
     """The ``k`` nearest rows for each row of ``queries`` (``query_id`` and a vector).
 
@@ -382,6 +387,13 @@ def nearest_batch(
     if strategy not in ("auto", "ship", "blocks"):
         raise ValueError(f"strategy must be auto, ship or blocks, got {strategy!r}")
     k = positive("k", k, SEARCH_LIMIT)
+    if dim is not None:  # a question of another length fails the job instead of finding nothing
+        vector = F.col(query_vector_col)
+        wrong = F.raise_error(F.lit(f"a query vector has not the {dim} entries of the table's"))
+        fits = vector.isNull() | (F.size(vector) == dim)
+        queries = queries.withColumn(
+            query_vector_col, F.when(fits, vector).otherwise(wrong.cast(queries.schema[query_vector_col].dataType))
+        )
     rows = matching(table, where) if filter_mode == "pre" else table
     kept = [c for c in table.columns if c != vector_col]
     rows = rows.select(*kept, F.col(vector_col).alias("_vector"))

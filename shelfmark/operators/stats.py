@@ -24,21 +24,29 @@ def extension_counts(chunks: DataFrame) -> DataFrame:
 def corpus_stats(chunks: DataFrame) -> DataFrame:
     """One row per corpus: chunk rows, distinct files and a map extension -> chunk rows.
 
-    Rows are first reduced to one per file, so a corpus that holds most of the
-    table is spread over its files before anything meets per corpus. The map has an
-    entry per extension; where names make those very many, ``extension_counts``
-    gives the same numbers as rows.
+    Names that sanitise to the same table are one corpus, shown under the first of them. Rows
+    are first reduced to one per file, so a corpus that holds most of the table is spread
+    over its files before anything meets per corpus. The map has an entry per extension;
+    where names make those very many, ``extension_counts`` gives the same numbers as rows.
     """
-    per_file = chunks.groupBy("codebase_name", "file_path", "extension").agg(
-        F.count(F.lit(1)).alias("chunks")
+    return table_stats(chunks.withColumn("table_name", table_name(F.col("codebase_name"))))
+
+
+def table_stats(chunks: DataFrame) -> DataFrame:
+    """:func:`corpus_stats` of chunks that say their ``table_name``."""
+    per_file = chunks.groupBy("table_name", "file_path", "extension").agg(
+        F.count(F.lit(1)).alias("chunks"), F.min("codebase_name").alias("codebase_name")
     )
     # The extension is a function of the path, so this counts each file once.
-    per_extension = per_file.groupBy("codebase_name", "extension").agg(
-        F.sum("chunks").alias("chunks"), F.count(F.lit(1)).alias("files")
+    per_extension = per_file.groupBy("table_name", "extension").agg(
+        F.sum("chunks").alias("chunks"),
+        F.count(F.lit(1)).alias("files"),
+        F.min("codebase_name").alias("codebase_name"),
     )
     return (
-        per_extension.groupBy("codebase_name")
+        per_extension.groupBy("table_name")
         .agg(
+            F.min("codebase_name").alias("codebase_name"),
             F.sum("files").alias("total_files"),
             F.sum("chunks").alias("total_chunks"),
             F.map_from_entries(
@@ -46,11 +54,7 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
             ).alias("extension_distribution"),
         )
         .select(
-            "codebase_name",
-            table_name(F.col("codebase_name")).alias("table_name"),
-            "total_files",
-            "total_chunks",
-            "extension_distribution",
+            "codebase_name", "table_name", "total_files", "total_chunks", "extension_distribution"
         )
     )
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions.paths import extension, language, modified_iso
+from shelfmark.functions.vectors import is_valid_vector
 from shelfmark.functions.text import DOCUMENT_PREFIX, decoded
 from shelfmark.operators.chunking import chunk_count, chunk_text
 from shelfmark.operators.embedding import embed, handle_invalid
@@ -68,20 +69,33 @@ def embed_chunks(
 
 
 def _store(
-    store: CorpusStore, chunks: DataFrame, name: str | None, embedder, replace: bool
+    store: CorpusStore,
+    chunks: DataFrame,
+    name: str | None,
+    embedder,
+    replace: bool,
+    on_invalid: str | None,
 ) -> dict[str, int]:
     """Write, and count what was written while it is written.
 
     The counters sit in the last stage, whose tasks count once however often they
-    are tried.
+    are tried, and see the chunks before ``on_invalid`` drops any: a file is counted
+    by its first chunk, as failed if the model failed on that.
     """
     seen = Observation()
+    first = F.col("chunk_index") == 0
+    stored = F.lit(True)
+    if on_invalid == "drop":
+        stored = is_valid_vector(F.col("vector"), embedder.dim)
     counted = chunks.observe(
         seen,
-        F.count(F.lit(1)).alias("chunks_created"),
-        F.count_if(F.col("chunk_index") == 0).alias("files_processed"),
+        F.count_if(stored).alias("chunks_created"),
+        F.count_if(first & F.col("embed_ok")).alias("files_processed"),
+        F.count_if(first & ~F.col("embed_ok")).alias("files_failed"),
         F.count_if(~F.col("embed_ok")).alias("chunks_failed"),
     )
+    if on_invalid:
+        counted = handle_invalid(counted, embedder.dim, on_invalid=on_invalid)
     write = store.replace if replace else store.append
     write(counted, name, embedder.dim)
     return {key: int(value or 0) for key, value in seen.get.items()}
@@ -92,8 +106,8 @@ def _summary(found: int, written: dict[str, int], started: float) -> dict:
     return {
         "total_files_found": found,
         "files_processed": written["files_processed"],
-        "files_skipped": found - written["files_processed"],
-        "files_failed": 0,
+        "files_skipped": found - written["files_processed"] - written["files_failed"],
+        "files_failed": written["files_failed"],
         "chunks_created": written["chunks_created"],
         "chunks_failed": written["chunks_failed"],
         "start_time": started,
@@ -118,8 +132,7 @@ def index_files(
     """Scan, filter, decode, chunk, embed and store the files below ``root``.
 
     The chunk budget is the embedder's context. Returns the counters of the run. A
-    write is all or nothing: when it fails, the error is raised and nothing was
-    added. A text the model fails on is stored with a zero vector and counted in
+    write that fails raises its error; an append then added nothing. A text the model fails on is stored with a zero vector and counted in
     ``chunks_failed``.
     """
     started = time.time()
@@ -135,8 +148,8 @@ def index_files(
     contents = read_contents(files.where(wanted), root, reading_tasks(spark, found, size))
     chunks = chunk_files(contents, max_file_size, embedder.context_tokens, assume_latin1)
     store.create(name, embedder.dim)
-    embedded = embed_chunks(chunks, embedder, use_prefix, on_invalid)
-    written = _store(store, embedded, name, embedder, replace)
+    embedded = embed_chunks(chunks, embedder, use_prefix)
+    written = _store(store, embedded, name, embedder, replace, on_invalid)
     storage.delete(spark, listing)
     return _summary(found, written, started)
 
@@ -168,8 +181,8 @@ def index_documents(
         chunks = chunks.hint("rebalance", "codebase_name")
     if name is not None:
         store.create(name, embedder.dim)
-    embedded = embed_chunks(chunks, embedder, use_prefix, on_invalid)
-    written = _store(store, embedded, name, embedder, replace)
+    embedded = embed_chunks(chunks, embedder, use_prefix)
+    written = _store(store, embedded, name, embedder, replace, on_invalid)
     return _summary(found, written, started)
 
 

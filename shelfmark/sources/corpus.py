@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from shelfmark.functions import ids
 from shelfmark.operators import search as knn
-from shelfmark.operators.stats import corpus_stats
+from shelfmark.operators.stats import table_stats
 from shelfmark.schema import EMBEDDING_DIM, chunk_schema, hit_schema, positive
 from shelfmark.sources import storage
 
@@ -150,7 +150,13 @@ class CorpusStore:
             checked = F.when(F.size("vector") == dim, F.col("vector")).otherwise(F.raise_error(bad))
             kept = [c for c in rows.columns if c != "vector"]
             rows = rows.select(*kept, checked.alias("vector", metadata={"dimension": int(dim)}))
-        return rows.withColumn(PARTITION, ids.table_name(F.col("codebase_name")))
+        table = ids.table_name(F.col("codebase_name"))
+        named = table.isNotNull() & (table != ids.TABLE_SUFFIX)
+        unusable = F.concat(
+            F.lit("a corpus name has no character usable in a table name: "),
+            F.coalesce("codebase_name", F.lit("null")),
+        )
+        return rows.withColumn(PARTITION, F.when(named, table).otherwise(F.raise_error(unusable).cast("string")))
 
     def append(
         self, chunks: DataFrame, name: str | None = None, dim: int | None = None
@@ -200,21 +206,40 @@ class CorpusStore:
         """Nearest chunks of a corpus; no rows when the corpus does not exist."""
         if not self.exists(name):
             return self.spark.createDataFrame([], hit_schema())
-        found = knn.nearest(self.read(name), query_vector, limit, where, filter_mode, metric)
+        found = knn.nearest(
+            self.read(name), query_vector, limit, where, filter_mode, metric, dim=self.dimension(name)
+        )
         return found.select(*(f.name for f in hit_schema().fields))
 
     def search_batch(self, name: str, queries: DataFrame, **options) -> DataFrame:
         """Nearest chunks for each query vector; an unknown corpus is an error."""
-        found = knn.nearest_batch(self.read(name), queries, **options)
+        found = knn.nearest_batch(self.read(name), queries, dim=self.dimension(name), **options)
         return found.select("query_id", "rank", *(f.name for f in hit_schema().fields))
 
     def stats(self, name: str | None = None) -> DataFrame | None:
-        """Statistics of one corpus (None when it does not exist), or of all in one scan."""
-        if name is None:
-            if not self.tables():
-                return None
-            return corpus_stats(self.read())
-        return corpus_stats(self.read(name)) if self.exists(name) else None
+        """Statistics of one corpus (None when it does not exist), or of all in one scan.
+
+        One row per table, empty ones included; names that share a table are one corpus.
+        """
+        tables = self.tables() if name is None else [self.table_name(name)] * self.exists(name)
+        if not tables:
+            return None
+        rows = self.read(name).withColumn("table_name", F.col(PARTITION))
+        known = self.spark.createDataFrame(
+            [(t, t[: -len(ids.TABLE_SUFFIX)]) for t in tables], "table_name string, plain_name string"
+        )
+        return (
+            known.join(table_stats(rows), "table_name", "left")
+            .select(
+                F.coalesce("codebase_name", "plain_name").alias("codebase_name"),
+                "table_name",
+                F.coalesce("total_files", F.lit(0).cast("bigint")).alias("total_files"),
+                F.coalesce("total_chunks", F.lit(0).cast("bigint")).alias("total_chunks"),
+                F.coalesce(
+                    "extension_distribution", F.create_map().cast("map<string,bigint>")
+                ).alias("extension_distribution"),
+            )
+        )
 
     def count(self, name: str) -> int:
         return self.read(name).count()

@@ -6,6 +6,7 @@ tasks, level by level, and the files that survive the path and size rules are
 then read by tasks. Neither names nor bytes pass through the driver.
 """
 
+import os
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 
@@ -19,11 +20,12 @@ from shelfmark.functions.globs import clean_patterns, exclusion_reason
 from shelfmark.functions.paths import relative_path
 
 IGNORE_FILE = ".gitignore"
-IGNORE_FILE_LIMIT = 1_000_000
 
 # Bytes of content in one Arrow batch, and the share of a scan one task reads.
 BATCH_BYTES = 16 * 1024 * 1024
 TASK_BYTES = 128 * 1024 * 1024
+# A table beyond this is never shuffled only to use more cores.
+SPREAD_BYTES = 1024 * 1024 * 1024
 
 # Upper ends of the numbers of tasks, which multiply in a shuffle between two of them.
 MOST_LISTING_TASKS = 1_000
@@ -54,10 +56,14 @@ def root_path(root: str) -> str:
 
 
 def _children(file_system: fs.FileSystem, folder: str) -> list[fs.FileInfo]:
+    """What a folder holds, but for links to folders: a walk does not follow them."""
     try:
-        return file_system.get_file_info(fs.FileSelector(folder))
+        found = file_system.get_file_info(fs.FileSelector(folder))
     except (PermissionError, FileNotFoundError):  # as a walk of the tree would
         return []
+    if not isinstance(file_system, fs.LocalFileSystem):
+        return found
+    return [i for i in found if i.type != fs.FileType.Directory or not os.path.islink(i.path)]
 
 
 def _lister(root: str, whole_subtree: bool):
@@ -126,8 +132,6 @@ def ignore_patterns(root: str) -> list[str]:
     info = file_system.get_file_info(str(PurePosixPath(path) / IGNORE_FILE))
     if info.type != fs.FileType.File:
         return []
-    if info.size > IGNORE_FILE_LIMIT:
-        raise ValueError(f"{info.path} is too large for an ignore file ({info.size} bytes)")
     with file_system.open_input_stream(info.path) as stream:
         text = stream.read().decode("utf-8", errors="replace")
     return clean_patterns(text.splitlines())
@@ -195,9 +199,11 @@ def read_contents(
 def spread_scan(df: DataFrame) -> DataFrame:
     """Deal a scan's rows out to all cores when it has fewer splits than cores.
 
-    For small inputs only: a table of many files has splits enough and is left
-    alone, unshuffled.
+    Only up to SPREAD_BYTES by Spark's own estimate: a larger table is left alone,
+    unshuffled, whatever the number of cores.
     """
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > SPREAD_BYTES:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 

@@ -361,3 +361,100 @@ def test_same_results_under_any_number_of_shuffle_partitions(spark):
         found.append(rows)
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert found[0] == found[1] == found[2]
+
+
+def _texts(spark, n=10):
+    return spark.range(n).selectExpr(
+        "'c' AS codebase_name", "concat(id, '.txt') AS file_path", "concat(id, '.txt') AS absolute_path",
+        "10L AS size_bytes", "cast(null AS string) AS modified_at", "concat('text ', id) AS content",
+    )
+
+
+class CountedModel:
+    """Appends a line per text to a file; fails on texts that hold 7, gives a NaN for those that hold 3."""
+
+    def __init__(self, log):
+        self.log = str(log)
+
+    def __call__(self):
+        log = self.log
+
+        def model(texts):
+            if len(texts) > 1:
+                raise ValueError("one at a time")
+            with open(log, "a") as out:
+                out.write("x")
+            if "7" in texts[0]:
+                raise ValueError("seven")
+            return [[float("nan") if "3" in texts[0] else 1.0, 2.0]]
+
+        return model
+
+
+def _model(log):
+    return sm.ModelEmbedder(CountedModel(log), dim=2, batch_size=1, attempts=1)
+
+
+@pytest.mark.parametrize("on_invalid", [None, "drop", "zero"])
+def test_a_model_sees_each_text_once_and_counters_add_up(spark, store, tmp_path, on_invalid):
+    # a batch of one that fails is tried once more alone
+    log = tmp_path / "calls"
+    result = sm.index_documents(_texts(spark), store, _model(log), name="c", on_invalid=on_invalid)
+    assert len(log.read_text()) == 11
+    dropped = 1 if on_invalid == "drop" else 0
+    assert result["chunks_created"] == 10 - dropped == store.count("c")
+    assert (result["files_processed"], result["files_failed"], result["files_skipped"]) == (9, 1, 0)
+
+
+def test_failed_questions(spark, store, tmp_path):
+    sm.index_documents(_texts(spark), store, _model(tmp_path / "log"), name="c", on_invalid="zero")
+    asked = spark.createDataFrame([(1, "good"), (2, "bad 7")], "query_id long, query_text string")
+    log = tmp_path / "asked"
+    hits = sm.query_chunks(
+        store.read("c"), asked, _model(log), on_failed_query="skip", skip_zero_vectors=True, min_similarity=0.0
+    )
+    assert {r["query_id"] for r in hits.collect()} == {1}
+    with pytest.raises(Exception, match="failed on query 2"):
+        sm.query_chunks(store.read("c"), asked, _model(log)).collect()
+
+
+def test_statistics_of_empty_and_twice_spelled_corpora(spark, store, tmp_path):
+    store.create("Empty", 2)
+    texts = _texts(spark).withColumn("codebase_name", F.when(F.col("file_path") < "5", "My App").otherwise("my_app"))
+    sm.index_documents(texts, store, _model(tmp_path / "log"))
+    rows = {r["table_name"]: r for r in store.stats().collect()}
+    assert rows["empty_rag"]["total_files"] == 0 and rows["empty_rag"]["extension_distribution"] == {}
+    assert rows["my_app_rag"]["total_files"] == 10 and len(rows) == 2
+    assert store.stats("Empty").head()["total_chunks"] == 0 and store.stats("none") is None
+
+
+def test_unusable_names_and_wrong_lengths_are_refused(spark, store, tmp_path):
+    for name in ("!!", None):
+        with pytest.raises(Exception, match="no character usable"):
+            sm.index_documents(
+                _texts(spark).withColumn("codebase_name", F.lit(name).cast("string")), store, _model(tmp_path / "log")
+            )
+    sm.index_documents(_texts(spark), store, _model(tmp_path / "log"), name="c", on_invalid="zero")
+    with pytest.raises(ValueError, match="3 entries"):
+        store.search("c", [1.0, 2.0, 3.0])
+    asked = spark.createDataFrame([(1, [1.0, 2.0, 3.0])], "query_id long, query_vector array<float>")
+    for strategy in ("ship", "blocks"):
+        with pytest.raises(Exception, match="has not the 2 entries"):
+            store.search_batch("c", asked, strategy=strategy).collect()
+
+
+def test_links_to_folders_are_not_followed(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "f.py").write_text("x")
+    (tmp_path / "a" / "loop").symlink_to(tmp_path)
+    assert [r["path"] for r in sm.scan_files(spark, str(tmp_path)).collect()] == [f"{tmp_path}/a/f.py"]
+
+
+def test_thresholds_and_similarity_of_products(spark):
+    from shelfmark.functions.vectors import similarity
+    from shelfmark.operators.filters import similar_enough
+
+    rows = spark.createDataFrame([(float("nan"),), (-2.0,), (-1.0,), (0.0,), (3.0,)], "d double")
+    graded = rows.select("d", similarity(F.col("d")).alias("similarity"))
+    assert [r["d"] for r in similar_enough(graded, 0.5).orderBy("d").collect()] == [-2.0, -1.0, 0.0]
+    assert [r["similarity"] for r in graded.where("d = d and not isnan(d)").orderBy("d").collect()] == [3.0, 2.0, 1.0, 0.25]
