@@ -110,8 +110,9 @@ def level(rows: DataFrame, shards: int = SHARDS, passes: int = 4, tolerance: flo
 
     The driver sees at most 2 * CELLS numbers a shard and broadcasts as many moves.
     """
-    alone = rows.groupBy("group").agg(F.count(F.lit(1)).alias("members"))
-    rows = saved(rows.join(alone, "group"), "levelled")
+    # Written first, so that the join's two sides are plain exchanges, which adaptive execution may split.
+    linked = saved(rows.groupBy("group").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "linked")
+    rows = saved(rows.join(linked, "group", "left").withColumn("members", F.coalesce("members", F.lit(1))), "levelled")
     for turn in range(passes):
         cell = F.when(F.col("members") > 1, CELLS).otherwise(0) + F.pmod(F.xxhash64("tie", F.lit(100 + turn)), F.lit(CELLS))
         rows = rows.withColumn("cell", cell.cast("int"))
