@@ -411,6 +411,8 @@ SELECT doc_id, CASE doc_id % 7
     WHEN 1 THEN regexp_replace({_LATIN1}, '\\r\\n?', chr(10), 'g')
     ELSE regexp_replace(decode(CASE WHEN doc_id % 7 = 1 THEN ''::BLOB ELSE content END), '\\r\\n?', chr(10), 'g')
   END AS text FROM raw"""
+ORACLES["decode_marked"] = """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '' ELSE chr(65279) END
+  || regexp_replace(text, '\\r\\n?', chr(10), 'g') AS text FROM documents"""
 ORACLES["extension_filter"] = f"""WITH {FILES}
 SELECT file_path, '.py' AS extension, size_bytes FROM files
 WHERE ends_with(file_path, '.py') AND size_bytes > 500"""
@@ -558,6 +560,61 @@ hits AS MATERIALIZED (
 _HIT_COLUMNS = f"""query_id, rank, id, file_path, extension, start_line, end_line, chunk_index,
   total_chunks, {_SCORES}"""
 ORACLES["rag_query"] = f"WITH RECURSIVE {_hits(5)} SELECT {_HIT_COLUMNS} FROM hits"
+
+
+def _keyword_ctes(table: str, keys: str, text: str, k: int) -> str:
+    """CTEs ending in ``bm25(query_id, keys, keyword_score, rank)``."""
+    words = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+')"
+    return f"""
+worded AS MATERIALIZED (SELECT {keys}, {words.format(text)} AS w FROM {table}),
+sizes AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM worded),
+counts AS MATERIALIZED (
+  SELECT {keys}, term, any_value(size) AS size, count(*) AS c
+  FROM (SELECT {keys}, len(w) AS size, unnest(w) AS term FROM worded) GROUP BY {keys}, term),
+spread AS (SELECT term, count(*) AS df FROM counts GROUP BY term),
+wanted AS (SELECT DISTINCT item_id AS query_id, unnest({words.format("text")}) AS term FROM benchmark),
+bm25 AS MATERIALIZED (
+  SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY keyword_score DESC, {keys}))::INT AS rank FROM (
+    SELECT query_id, {keys}, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * c * 2.2
+             / (c + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS keyword_score
+    FROM counts JOIN spread USING (term) JOIN wanted USING (term) CROSS JOIN sizes GROUP BY query_id, {keys})
+  QUALIFY rank <= {k})"""
+
+
+ORACLES["keyword_search"] = f"WITH {_keyword_ctes('documents', 'doc_id', 'text', 10)} SELECT * FROM bm25"
+ORACLES["hybrid_search"] = f"""WITH RECURSIVE {_hits(20)},
+{_keyword_ctes('corpus', 'id, chunk_index', 'content', 20)},
+both_ranks AS (
+  SELECT query_id, id, chunk_index, h.rank AS vector_rank, b.rank AS keyword_rank,
+    coalesce(1.0::DOUBLE / (60 + h.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0) AS s
+  FROM hits h FULL JOIN bm25 b USING (query_id, id, chunk_index))
+SELECT query_id, id, chunk_index, vector_rank, keyword_rank, round(s, 9) AS score,
+  (row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id, chunk_index))::INT AS rank
+FROM both_ranks QUALIFY rank <= 5"""
+
+_PAGE_TEXT = "html"
+for _pattern in ("(?is)<script\\b[^>]*>.*?(</script\\s*>|\\z)", "(?is)<style\\b[^>]*>.*?(</style\\s*>|\\z)",
+                 "(?s)<!--.*?(-->|\\z)", "<[^>]*>"):
+    _PAGE_TEXT = f"regexp_replace({_PAGE_TEXT}, '{_pattern}', ' ', 'g')"
+for _entity, _code in (("&lt;", 60), ("&gt;", 62), ("&quot;", 34), ("&#39;", 39), ("&amp;", 38)):
+    _PAGE_TEXT = f"replace({_PAGE_TEXT}, '{_entity}', chr({_code}))"
+_PAGE_TEXT = f"regexp_replace({_PAGE_TEXT}, '[ \\t]+', ' ', 'g')"
+_PAGE_TEXT = f"replace(replace({_PAGE_TEXT}, chr(10) || ' ', chr(10)), ' ' || chr(10), chr(10))"
+ORACLES["page_index"] = f"""WITH RECURSIVE
+shown AS (SELECT page_id, split_part(split_part(split_part(split_part(string_split(url, '://')[2], '/', 1), '?', 1),
+  '#', 1), ':', 1) AS host, {_PAGE_TEXT} AS text FROM pages),
+{_chunk_ctes('shown', 'page_id', 'text', 537)},
+{_vector_ctes('vec', 'chunks', 'page_id, chunk_index', 'content')}
+SELECT host AS codebase_name, page_id::VARCHAR AS file_path, chunk_index, content,
+  len(list_filter(v, lambda x: x <> 0))::INT AS nonzero
+FROM chunks JOIN shown USING (page_id) JOIN vec USING (page_id, chunk_index)"""
+ORACLES["incremental_delta"] = f"""WITH RECURSIVE {FILES}, {_DOC_CHUNKS},
+made AS (SELECT doc_id, count(*) AS chunks, sum(length(content))::BIGINT AS characters FROM chunks GROUP BY doc_id)
+SELECT codebase_name, file_path,
+  CASE doc_id % 10 WHEN 0 THEN 'added' WHEN 1 THEN 'changed' WHEN 2 THEN 'deleted' ELSE 'same' END AS status,
+  CASE WHEN doc_id % 10 = 2 THEN 0 ELSE coalesce(chunks, 0) END::BIGINT AS chunks,
+  CASE WHEN doc_id % 10 = 2 THEN 0 ELSE coalesce(characters, 0) END::BIGINT AS characters
+FROM files LEFT JOIN made USING (doc_id)"""
 ORACLES["rag_query_filtered"] = (
     f"WITH RECURSIVE {_hits(3, where="extension = '.py'", min_similarity=0.55)} "
     f"SELECT {_HIT_COLUMNS} FROM hits"

@@ -32,12 +32,12 @@ from shelfmark import (
     scan_files,
     walk_files,
 )
-from shelfmark.functions import display, globs, ids, paths, text
-from shelfmark.operators import embedding, filters, stats
-from shelfmark.plans import indexing
+from shelfmark.functions import display, globs, html, ids, paths, text
+from shelfmark.operators import embedding, filters, hybrid, stats
+from shelfmark.plans import incremental, indexing
 from shelfmark.sources import storage
 from shelfmark.sources.corpus import with_defaults
-from shelfmark.sources.files import spread_scan
+from shelfmark.sources.files import documents_as_files, spread_scan
 
 
 IGNORE_RULES = ["*.log", "!keep*.log", "/src", "a/*", "!a/b/", "docs/**", "?[0-4]*.py", "*.un[!x]"]
@@ -165,8 +165,8 @@ def knn_batch(spark, sf_dir):
 
 @query
 def knn_batch_blocks(spark, sf_dir):
-    """The same question put the way that works for query tables of any size."""
-    hits = _batch(spark, sf_dir, strategy="blocks", table_block_rows=200, query_block_rows=150)
+    """More queries than one block holds, none kept: each batch of the table reads all blocks."""
+    hits = _batch(spark, sf_dir, query_block_rows=150, kept_query_bytes=0)
     return _scored(hits, "query_id", "rank", "vec_id", "label")
 
 
@@ -530,6 +530,16 @@ def decode_text(spark, sf_dir):
     return raw_files(spark, sf_dir).select("doc_id", text.decoded(F.col("content")).alias("text"))
 
 
+@query
+def decode_marked(spark, sf_dir):
+    """Every text as UTF-8 bytes behind a mark; odd documents hold a second one, which is text."""
+    mark = F.lit(bytearray(b"\xef\xbb\xbf"))
+    plain = F.encode("text", "UTF-8")
+    marked = F.when(F.col("doc_id") % 2 == 0, F.concat(mark, plain)).otherwise(F.concat(mark, mark, plain))
+    documents = table(spark, sf_dir, "documents")
+    return documents.select("doc_id", text.decoded(marked).alias("text"))
+
+
 @query
 def extension_filter(spark, sf_dir):
     files = document_files(spark, sf_dir).withColumn(
@@ -752,6 +762,62 @@ def rag_query(spark, sf_dir):
     return _hit_rows(_rag_hits(spark, sf_dir))
 
 
+@query
+def hybrid_search(spark, sf_dir):
+    """Fused ranks of the 20 best chunks by vector and by keyword."""
+    by_vector = _rag_hits(spark, sf_dir, limit=20)
+    by_keyword = hybrid.keyword_ranks(corpus_chunks(spark, sf_dir), questions(spark, sf_dir), 20)
+    return hybrid.fused(by_vector, by_keyword, 5).withColumn("score", F.round("score", 9))
+
+
+@query
+def keyword_search(spark, sf_dir):
+    """BM25 over whole documents."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return hybrid.keyword_ranks(documents, questions(spark, sf_dir), 10, "text", ["doc_id"])
+
+
+@query
+def page_index(spark, sf_dir):
+    """Pages as text, one corpus per host, chunked and embedded."""
+    pages = table(spark, sf_dir, "pages")
+    shown = pages.withColumn("text", html.page_text(F.col("html"))).withColumn("host", html.host(F.col("url")))
+    files = documents_as_files(shown, F.col("page_id").cast("string"), "text", "host")
+    done = indexing.embed_chunks(indexing.chunk_documents(files, max_tokens=CHUNK_TOKENS), HashingEmbedder(DIM))
+    return done.select(
+        "codebase_name",
+        "file_path",
+        "chunk_index",
+        "content",
+        F.size(F.filter("vector", lambda x: x != 0)).alias("nonzero"),
+    )
+
+
+@query
+def incremental_delta(spark, sf_dir):
+    """Per file: what happened to it, and its chunks and characters in the refreshed table.
+
+    Before, files numbered 0 modulo 10 were not there and those numbered 1 had another text;
+    now those numbered 2 are gone.
+    """
+    documents = table(spark, sf_dir, "documents")
+    kind = F.col("doc_id") % 10
+    text_then = F.when(kind == 1, F.concat(F.lit("draft "), F.col("text"))).otherwise(F.col("text"))
+    then = documents_as_files(
+        documents.where(kind != 0).withColumn("text", text_then), document_path(), "text", "source"
+    )
+    now = documents_as_files(documents.where(kind != 2), document_path(), "text", "source")
+    embedder = HashingEmbedder(DIM)
+    stored = with_defaults(indexing.embed_chunks(indexing.chunk_documents(then, max_tokens=CHUNK_TOKENS), embedder))
+    changes = incremental.file_changes(incremental.fingerprints(then), incremental.fingerprints(now))
+    rows = incremental.refreshed_chunks(stored, now, changes, embedder)
+    chunks = rows.groupBy("codebase_name", "file_path").agg(
+        F.count(F.lit(1)).alias("chunks"), F.sum(F.length("content").cast("bigint")).alias("characters")
+    )
+    joined = changes.join(chunks, ["codebase_name", "file_path"], "left")
+    return joined.fillna(0, ["chunks", "characters"])
+
+
 @query
 def rag_query_filtered(spark, sf_dir):
     return _hit_rows(

@@ -25,6 +25,7 @@ QUERY_PREFIX = "search_query: "
 DOCUMENT_PREFIX = "search_document: "
 
 SNIFF_BYTES = 1024
+UTF8_MARK = "\ufeff"
 
 
 def strip(text: Column) -> Column:
@@ -41,11 +42,13 @@ def unix_newlines(text: Column) -> Column:
 
 
 def decoded(content: Column) -> Column:
-    """Bytes to text: UTF-8 when valid, else Latin-1 (which always is); newlines become ``\\n``."""
-    as_text = F.coalesce(
-        F.try_validate_utf8(content.cast("string")), F.decode(content, "ISO-8859-1")
-    )
-    return unix_newlines(as_text)
+    """Bytes to text: UTF-8 when valid, else Latin-1 (which always is); newlines become ``\\n``.
+
+    A UTF-8 mark at the beginning is no part of the text.
+    """
+    utf8 = F.try_validate_utf8(content.cast("string"))
+    unmarked = F.when(F.startswith(utf8, F.lit(UTF8_MARK)), F.substring(utf8, 2, 2**31 - 1)).otherwise(utf8)
+    return unix_newlines(F.coalesce(unmarked, F.decode(content, "ISO-8859-1")))
 
 
 def head_is_binary(content: Column, assume_latin1: bool = True) -> Column:

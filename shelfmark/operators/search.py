@@ -7,30 +7,33 @@ more than ``k`` rows per query, so the comparison of every pair never exists as
 rows.
 
 * One query: a distance column, then ``orderBy().limit()``.
-* A batch of queries small enough to ship to every task (size checked): one
-  pass over the table, in place, without shuffling it.
-* More queries than that: both sides are dealt into blocks of bounded size and
-  each pair of blocks is one group; nothing passes through the driver.
+* A batch of queries: their vectors are written once as Parquet to the shared
+  folder, and each task reads them block by block while it passes over its share
+  of the table, in place. The table is never shuffled, whatever the number of
+  queries, and nothing passes through the driver.
 """
 
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import dataset
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from shelfmark.functions.vectors import METRICS, similarity
 from shelfmark.operators.filters import matching
 from shelfmark.schema import SEARCH_LIMIT, positive
+from shelfmark.sources import storage
+from shelfmark.sources.files import open_location
 
-# What may be sent to every task, and the block sizes beyond that.
-SHIPPED_QUERIES = 4096
-SHIPPED_BYTES = 64 * 1024 * 1024
-TABLE_BLOCK_ROWS = 32_768
+# Queries a task reads at a time, and bytes of them it keeps for its next batch.
 QUERY_BLOCK_ROWS = 4096
+KEPT_QUERY_BYTES = 64 * 1024 * 1024
 
 _QUERIES_PER_PRODUCT = 256
 _MERGE_SALTS = 16
@@ -156,7 +159,7 @@ def _best_pairs(
     )
 
 
-def _top_per_query(candidates: DataFrame, k: int, order: list[Column]) -> DataFrame:
+def top_per_query(candidates: DataFrame, k: int, order: list[Column]) -> DataFrame:
     """Best ``k`` rows per query. Ranking runs within a salt first, so that one query's
     candidates from very many tasks do not meet in a single one."""
     salted = candidates.withColumn("_salt", F.spark_partition_id() % _MERGE_SALTS)
@@ -217,16 +220,23 @@ def nearest(
     return matching(ranked, where) if filter_mode == "post" else ranked
 
 
-def _shippable(queries: DataFrame, query_vector_col: str) -> pa.Table | None:
-    """The query table, if it is within the bounds for sending it to every task."""
-    found = (
-        queries.select("query_id", F.col(query_vector_col).alias("vector"))
-        .limit(SHIPPED_QUERIES + 1)
-        .toArrow()
-    )
-    if found.num_rows > SHIPPED_QUERIES or found.nbytes > SHIPPED_BYTES:
-        return None
-    return found
+def _saved(queries: DataFrame, query_vector_col: str) -> str:
+    """Write the query vectors once to the shared folder, where every task can read them."""
+    spark = queries.sparkSession
+    folder = storage.qualified(spark, f"{storage.shared_folder(spark)}/queries-{uuid.uuid4().hex}")
+    asked = queries.select("query_id", F.col(query_vector_col).cast("array<double>").alias("vector"))
+    asked.write.parquet(folder)
+    storage.delete_at_exit(spark, folder)
+    return folder
+
+
+def _read_blocks(folder: str, rows: int) -> Iterator[pa.Table]:
+    """The saved queries in blocks of so many rows, in the same order each time."""
+    file_system, path = open_location(folder)
+    saved = dataset.dataset(path, filesystem=file_system, format="parquet")
+    for batch in saved.to_batches(batch_size=rows, batch_readahead=1, fragment_readahead=1):
+        if batch.num_rows:
+            yield pa.Table.from_batches([batch])
 
 
 def _query_blocks(queries: pa.Table) -> list[tuple[pa.Array, np.ndarray]]:
@@ -244,21 +254,49 @@ def _query_blocks(queries: pa.Table) -> list[tuple[pa.Array, np.ndarray]]:
     return blocks
 
 
-def _candidates_shipped(
-    rows: DataFrame, queries: pa.Table, id_type: T.DataType, k: int, metric: str, ties: Sequence[str]
+def _candidates(
+    rows: DataFrame,
+    folder: str,
+    id_type: T.DataType,
+    k: int,
+    metric: str,
+    ties: Sequence[str],
+    block_rows: int,
+    kept_bytes: int,
 ) -> DataFrame:
-    """Candidates by one pass over the table: only vectors and tie columns go to Python."""
-    blocks, arrow_id = _query_blocks(queries), queries["query_id"].type
+    """Candidates by one pass over the table, in place: only vectors and tie columns go to Python.
+
+    Each Arrow batch of the table meets the saved queries block by block. A task keeps
+    blocks in memory up to ``kept_bytes`` and reads the others again for each batch.
+    """
     hits_type = T.ArrayType(
         T.StructType([T.StructField("query_id", id_type), T.StructField("distance", T.DoubleType())])
     )
 
     @F.arrow_udf(hits_type)
     def hits_of_row(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        bounds = [np.full(len(q), np.inf) for _, q in blocks]
+        bounds: dict[int, np.ndarray] = {}
+        held: list | None = []
+        size = 0
+
+        def blocks():
+            nonlocal held, size
+            if held:
+                yield from held
+                return
+            keep = held is not None
+            for block in _read_blocks(folder, block_rows):
+                for part in _query_blocks(block):
+                    if keep:
+                        size += part[1].nbytes + part[0].nbytes
+                        keep = size <= kept_bytes
+                        held = [*held, part] if keep else None
+                    yield part
+
         for vectors, *keys in batches:
             parts = []
-            for (ids, q), bound in zip(blocks, bounds):
+            for number, (ids, q) in enumerate(blocks()):
+                bound = bounds.setdefault(number, np.full(len(q), np.inf))
                 x, usable = _matrix(vectors, q.shape[1])
                 if not len(usable):
                     continue
@@ -267,7 +305,7 @@ def _candidates_shipped(
                 )
                 parts.append((usable[row], ids.take(pa.array(col)), distance))
             if not parts:
-                yield pa.nulls(len(vectors), _arrow_hits(arrow_id))
+                yield pa.nulls(len(vectors), hits_arrow)
                 continue
             row = np.concatenate([p[0] for p in parts])
             ids = pa.concat_arrays([p[1] for p in parts])
@@ -280,6 +318,7 @@ def _candidates_shipped(
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             yield pa.ListArray.from_arrays(offsets, pairs)
 
+    hits_arrow = to_arrow_type(hits_type)
     # The outer explode keeps the optimizer from copying the function into a
     # filter below it.
     return (
@@ -293,73 +332,6 @@ def _candidates_shipped(
     )
 
 
-def _arrow_hits(id_type: pa.DataType) -> pa.DataType:
-    return pa.list_(pa.struct([("query_id", id_type), ("distance", pa.float64())]))
-
-
-def _candidates_by_blocks(
-    rows: DataFrame,
-    queries: DataFrame,
-    k: int,
-    metric: str,
-    ties: Sequence[str],
-    table_block_rows: int,
-    query_block_rows: int,
-) -> DataFrame:
-    """Candidates for any number of queries: one group per pair of bounded blocks.
-
-    Dealing rows out round-robin bounds every block whatever its keys are, and
-    stays the same when a lost task is run again.
-    """
-    table_blocks = max(1, -(-rows.count() // table_block_rows))
-    query_blocks = max(1, -(-queries.count() // query_block_rows))
-    left = (
-        rows.repartition(table_blocks)
-        .withColumn("_table_block", F.spark_partition_id())
-        .withColumn("_query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    )
-    right = (
-        queries.select("query_id", "vector")
-        .repartition(query_blocks)
-        .withColumn("_query_block", F.spark_partition_id())
-        .withColumn("_table_block", F.explode(F.sequence(F.lit(0), F.lit(table_blocks - 1))))
-    )
-    payload = [f for f in rows.schema.fields if f.name != "_vector"]
-    result = T.StructType(
-        payload
-        + [queries.schema["query_id"], T.StructField("distance", T.DoubleType(), True)]
-    )
-
-    def best_of_blocks(stored: pa.Table, asked: pa.Table) -> pa.Table:
-        stored = stored.combine_chunks()
-        vectors = stored["_vector"].combine_chunks() if stored.num_rows else pa.array([])
-        if isinstance(vectors, pa.ChunkedArray):
-            vectors = pa.concat_arrays(vectors.chunks)
-        found = []
-        for ids, q in _query_blocks(asked) if stored.num_rows and asked.num_rows else []:
-            x, usable = _matrix(vectors, q.shape[1])
-            if not len(usable):
-                continue
-            near = stored.take(pa.array(usable))
-            keys = [pa.concat_arrays(near[t].chunks) for t in ties]
-            row, col, distance = _best_pairs(x, q, keys, k, metric)
-            hits = near.select([f.name for f in payload]).take(pa.array(row))
-            found.append(
-                hits.append_column("query_id", ids.take(pa.array(col))).append_column(
-                    "distance", pa.array(distance)
-                )
-            )
-        if found:
-            return pa.concat_tables(found)
-        empty = stored.schema.empty_table().select([f.name for f in payload])
-        return empty.append_column(
-            "query_id", pa.array([], asked.schema.field("query_id").type)
-        ).append_column("distance", pa.array([], pa.float64()))
-
-    blocks = ["_table_block", "_query_block"]
-    return left.groupBy(*blocks).cogroup(right.groupBy(*blocks)).applyInArrow(best_of_blocks, result)
-
-
 def nearest_batch(
     table: DataFrame,
     queries: DataFrame,
@@ -370,22 +342,19 @@ def nearest_batch(
     vector_col: str = "vector",
     query_vector_col: str = "query_vector",
     ties: Sequence[str] = ("id", "chunk_index"),
-    strategy: str = "auto",
-    table_block_rows: int = TABLE_BLOCK_ROWS,
     query_block_rows: int = QUERY_BLOCK_ROWS,
+    kept_query_bytes: int = KEPT_QUERY_BYTES,
     dim: int | None = None,
 ) -> DataFrame:
     """The ``k`` nearest rows for each row of ``queries`` (``query_id`` and a vector).
 
     Gives the columns of ``table`` but the vector, and ``query_id``, ``distance``,
     ``similarity`` and ``rank`` (from 1). ``query_id`` must be unique. The query
-    vectors are read when this is called, up to the bound for sending them along;
-    ``strategy`` is ``ship`` or ``blocks`` to force one of the two ways, which give
-    the same rows. The second counts both tables first.
+    vectors are computed and written to the shared folder when this is called, and
+    removed when the session ends. A task holds the hits of one Arrow batch of the
+    table at a time, at most ``k`` per query.
     """
     _check(metric, filter_mode)
-    if strategy not in ("auto", "ship", "blocks"):
-        raise ValueError(f"strategy must be auto, ship or blocks, got {strategy!r}")
     k = positive("k", k, SEARCH_LIMIT)
     if dim is not None:  # a question of another length fails the job instead of finding nothing
         vector = F.col(query_vector_col)
@@ -397,19 +366,18 @@ def nearest_batch(
     rows = matching(table, where) if filter_mode == "pre" else table
     kept = [c for c in table.columns if c != vector_col]
     rows = rows.select(*kept, F.col(vector_col).alias("_vector"))
-    shipped = None if strategy == "blocks" else _shippable(queries, query_vector_col)
-    if shipped is not None:
-        id_type = queries.schema["query_id"].dataType
-        candidates = _candidates_shipped(rows, shipped, id_type, k, metric, ties)
-    elif strategy == "ship":
-        raise ValueError("the query table is too large to send to every task")
-    else:
-        asked = queries.select("query_id", F.col(query_vector_col).alias("vector"))
-        candidates = _candidates_by_blocks(
-            rows, asked, k, metric, ties, table_block_rows, query_block_rows
-        )
+    candidates = _candidates(
+        rows,
+        _saved(queries, query_vector_col),
+        queries.schema["query_id"].dataType,
+        k,
+        metric,
+        ties,
+        query_block_rows,
+        kept_query_bytes,
+    )
     order = [F.col("distance"), *(F.col(t) for t in ties)]
-    ranked = _top_per_query(candidates, k, order).withColumn(
+    ranked = top_per_query(candidates, k, order).withColumn(
         "similarity", similarity(F.col("distance"))
     )
     return matching(ranked, where) if filter_mode == "post" else ranked

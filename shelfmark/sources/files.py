@@ -43,7 +43,7 @@ _LISTING_ARROW = pa.schema(
 _ROWS_PER_BATCH = 10_000
 
 
-def _open(root: str) -> tuple[fs.FileSystem, str]:
+def open_location(root: str) -> tuple[fs.FileSystem, str]:
     """File system and path of a root: an absolute local path or a URI."""
     location = root.replace("s3a://", "s3://", 1)
     file_system, path = fs.FileSystem.from_uri(location)
@@ -52,7 +52,7 @@ def _open(root: str) -> tuple[fs.FileSystem, str]:
 
 def root_path(root: str) -> str:
     """The root as it begins the paths of a listing."""
-    return _open(root)[1]
+    return open_location(root)[1]
 
 
 def _children(file_system: fs.FileSystem, folder: str) -> list[fs.FileInfo]:
@@ -70,7 +70,7 @@ def _lister(root: str, whole_subtree: bool):
     """Replace each folder row by its children, or by all files below it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file_system, _ = _open(root)
+        file_system, _ = open_location(root)
 
         def rows(batch: pa.RecordBatch):
             for row in batch.to_pylist():
@@ -128,7 +128,7 @@ def scan_files(
 
 def ignore_patterns(root: str) -> list[str]:
     """Rules of the ignore file at the root, if there is one."""
-    file_system, path = _open(root)
+    file_system, path = open_location(root)
     info = file_system.get_file_info(str(PurePosixPath(path) / IGNORE_FILE))
     if info.type != fs.FileType.File:
         return []
@@ -174,7 +174,7 @@ def read_contents(
     schema = T.StructType([*spread.schema.fields, T.StructField("content", T.BinaryType())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file_system, _ = _open(root)
+        file_system, _ = open_location(root)
         for batch in batches:
             begin, size, contents = 0, 0, []
             for position, name in enumerate(batch.column(path).to_pylist()):

@@ -27,6 +27,11 @@ def delete(spark: SparkSession, location: str) -> bool:
     return _file_system(spark, location).delete(_path(spark, location), True)
 
 
+def delete_at_exit(spark: SparkSession, location: str) -> None:
+    """Remove a folder when the driver ends."""
+    _file_system(spark, location).deleteOnExit(_path(spark, location))
+
+
 def child_names(spark: SparkSession, location: str) -> list[str]:
     """Names directly below a directory; none when it is absent."""
     if not exists(spark, location):

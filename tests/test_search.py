@@ -74,10 +74,7 @@ def test_batch_equals_brute_force(spark, data, metric, k):
     table = spark.createDataFrame(rows, ROW).repartition(5)
     asked = spark.createDataFrame(queries, QUERY)
     want = brute(rows, queries, k, metric)
-    for options in (
-        {"strategy": "ship"},
-        {"strategy": "blocks", "table_block_rows": 70, "query_block_rows": 9},
-    ):
+    for options in ({}, {"query_block_rows": 9}, {"query_block_rows": 9, "kept_query_bytes": 0}):
         assert keys(nearest_batch(table, asked, k, metric=metric, **options)) == want
 
 
@@ -111,8 +108,8 @@ def test_odd_vectors(spark):
     table = spark.createDataFrame(rows, ROW).coalesce(1)
     queries = [(1, [1.0, 0.0]), (2, [inf, 0.0]), (3, [1.0, 2.0, 3.0]), (4, None), (5, [9.0] * 4)]
     asked = spark.createDataFrame(queries, QUERY)
-    for strategy in ("ship", "blocks"):
-        got = nearest_batch(table, asked, 9, strategy=strategy)
+    for rows_at_once in (2, 4096):
+        got = nearest_batch(table, asked, 9, query_block_rows=rows_at_once, kept_query_bytes=0)
         found = {}
         for r in got.orderBy("query_id", "rank").collect():
             found.setdefault(r.query_id, []).append(r.id)
@@ -152,11 +149,9 @@ def test_k_beyond_the_table_and_no_queries(spark, data):
     assert nearest(table, queries[0][1], 1000).count() == len(rows)
     nobody = spark.createDataFrame([], QUERY)
     assert nearest_batch(table, nobody, 3).count() == 0
-    assert nearest_batch(table, nobody, 3, strategy="blocks").count() == 0
     empty = spark.createDataFrame([], ROW)
     asked = spark.createDataFrame(queries, QUERY)
     assert nearest_batch(empty, asked, 3).count() == 0
-    assert nearest_batch(empty, asked, 3, strategy="blocks").count() == 0
 
 
 def test_bad_arguments(spark, data):
@@ -166,17 +161,14 @@ def test_bad_arguments(spark, data):
             nearest(table, [0.0] * 6, **options)
 
 
-def test_too_many_queries_go_by_blocks(spark, data, monkeypatch):
-    from shelfmark.operators import search
-
-    monkeypatch.setattr(search, "SHIPPED_QUERIES", 5)
+def test_the_table_is_not_shuffled(spark, data):
     rows, queries = data
     table, asked = spark.createDataFrame(rows, ROW), spark.createDataFrame(queries, QUERY)
-    with pytest.raises(ValueError):
-        nearest_batch(table, asked, 3, strategy="ship")
-    found = nearest_batch(table, asked, 3, table_block_rows=50, query_block_rows=10)
-    assert "RoundRobinPartitioning" in found._jdf.queryExecution().executedPlan().toString()
-    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()
+    found = nearest_batch(table, asked, 3, query_block_rows=10)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" not in plan and "Join" not in plan
+    physical = found._jdf.queryExecution().executedPlan().toString()
+    assert physical.index("ArrowEvalPython") > physical.rindex("Exchange")  # only hits are shuffled
     assert keys(found) == brute(rows, queries, 3)
 
 

@@ -438,9 +438,8 @@ def test_unusable_names_and_wrong_lengths_are_refused(spark, store, tmp_path):
     with pytest.raises(ValueError, match="3 entries"):
         store.search("c", [1.0, 2.0, 3.0])
     asked = spark.createDataFrame([(1, [1.0, 2.0, 3.0])], "query_id long, query_vector array<float>")
-    for strategy in ("ship", "blocks"):
-        with pytest.raises(Exception, match="has not the 2 entries"):
-            store.search_batch("c", asked, strategy=strategy).collect()
+    with pytest.raises(Exception, match="has not the 2 entries"):
+        store.search_batch("c", asked).collect()
 
 
 def test_links_to_folders_are_not_followed(spark, tmp_path):
@@ -458,3 +457,34 @@ def test_thresholds_and_similarity_of_products(spark):
     graded = rows.select("d", similarity(F.col("d")).alias("similarity"))
     assert [r["d"] for r in similar_enough(graded, 0.5).orderBy("d").collect()] == [-2.0, -1.0, 0.0]
     assert [r["similarity"] for r in graded.where("d = d and not isnan(d)").orderBy("d").collect()] == [3.0, 2.0, 1.0, 0.25]
+
+
+def test_only_changed_files_are_embedded_again(spark, store, tmp_path):
+    from shelfmark.plans.incremental import file_changes, fingerprints, refreshed_chunks
+
+    old = _texts(spark)
+    sm.index_documents(old, store, _model(tmp_path / "first"), name="c")
+    said = F.when(F.col("file_path") == "3.txt", F.lit("new text")).otherwise(F.col("content"))
+    new = old.where("file_path <> '4.txt'").withColumn("content", said)
+    new = new.unionByName(_texts(spark, 11).where("file_path = '10.txt'"))
+    changes = file_changes(fingerprints(old), fingerprints(new))
+    status = {r["file_path"]: r["status"] for r in changes.collect() if r["status"] != "same"}
+    assert status == {"3.txt": "changed", "4.txt": "deleted", "10.txt": "added"}
+    rows = refreshed_chunks(store.read("c"), new, changes, _model(tmp_path / "second"))
+    store.replace(rows, "c")
+    stored = {r["file_path"]: r["content"] for r in store.read("c").collect()}
+    assert stored == {r["file_path"]: r["content"] for r in new.collect()}
+    assert len((tmp_path / "second").read_text()) == 2  # one call for each of the two files
+
+
+def test_repeated_paths_and_null_texts_have_fingerprints(spark):
+    from shelfmark.plans.incremental import file_changes, fingerprints
+
+    shape = "codebase_name string, file_path string, content string"
+    old = spark.createDataFrame([("c", "a", "x"), ("c", "a", "y"), ("c", "b", None)], shape)
+    new = spark.createDataFrame([("c", "a", "y"), ("c", "a", "x"), ("c", "b", "")], shape)
+    assert {r["status"] for r in file_changes(fingerprints(old), fingerprints(new)).collect()} == {"same"}
+    more = spark.createDataFrame([("c", "a", "y"), ("c", "a", "z"), ("c", "b", "")], shape)
+    assert {r["status"] for r in file_changes(fingerprints(old), fingerprints(more)).collect()} == {"same", "changed"}
+    empty = spark.createDataFrame([], shape)
+    assert {r["status"] for r in file_changes(fingerprints(empty), fingerprints(new)).collect()} == {"added"}
