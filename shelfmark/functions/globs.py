@@ -121,6 +121,17 @@ def matches_any(path: Column, patterns: Iterable[str]) -> Column:
     return decision
 
 
+def pruning_regex(*rule_sets: Iterable[str]) -> str | None:
+    """Regex of folders, with a slash at their end, below which every file is excluded.
+
+    A set in which a ``!`` rule could bring a file back prunes nothing, nor does a
+    pattern with a character class.
+    """
+    sets = [list(rules) for rules in rule_sets]
+    sure = [p for s in sets if not any(p.startswith("!") for p in s) for p in s if p and "[" not in p]
+    return "|".join(glob_to_regex(p) for p in sure) or None
+
+
 def exclusion_reason(
     path: Column,
     ignore_patterns: Iterable[str] = (),

@@ -2,11 +2,14 @@
 
 Spark's own file sources skip names that begin with ``_`` or ``.``, which in a
 source tree are files like any other (``__init__.py``). So the tree is listed by
-tasks, level by level, and the files that survive the path and size rules are
+tasks, round by round, and the files that survive the path and size rules are
 then read by tasks. Neither names nor bytes pass through the driver.
 """
 
 import os
+import re
+import uuid
+from collections import deque
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 
@@ -16,8 +19,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmark.functions.globs import clean_patterns, exclusion_reason
+from shelfmark.functions.globs import DEFAULT_EXCLUDES, clean_patterns, exclusion_reason, pruning_regex
 from shelfmark.functions.paths import relative_path
+from shelfmark.schema import positive
+from shelfmark.sources import storage
 
 IGNORE_FILE = ".gitignore"
 
@@ -41,6 +46,8 @@ _LISTING_ARROW = pa.schema(
     ]
 )
 _ROWS_PER_BATCH = 10_000
+# Names a task lists before it gives back the folders it has not opened.
+WALK_ENTRIES = 10_000
 
 
 def open_location(root: str) -> tuple[fs.FileSystem, str]:
@@ -66,30 +73,34 @@ def _children(file_system: fs.FileSystem, folder: str) -> list[fs.FileInfo]:
     return [i for i in found if i.type != fs.FileType.Directory or not os.path.islink(i.path)]
 
 
-def _lister(root: str, whole_subtree: bool):
-    """Replace each folder row by its children, or by all files below it."""
+def _walker(root: str, entries: int, pruned: str | None):
+    """Replace each folder by the files below it, and by the folders the task did not get to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file_system, _ = open_location(root)
+        file_system, top = open_location(root)
+        excluded = re.compile(pruned).search if pruned else lambda folder: None
+        listed = 0
 
         def rows(batch: pa.RecordBatch):
-            for row in batch.to_pylist():
-                if not row["is_dir"]:
-                    yield row
+            nonlocal listed
+            folders = deque(batch.column("path").to_pylist())
+            while folders:
+                folder = folders.popleft()
+                if listed >= entries:
+                    yield {"path": folder, "is_dir": True}
                     continue
-                folders = [row["path"]]
-                while folders:
-                    for info in _children(file_system, folders.pop()):
-                        is_dir = info.type == fs.FileType.Directory
-                        if is_dir and whole_subtree:
+                for info in _children(file_system, folder):
+                    listed += 1
+                    if info.type == fs.FileType.File:
+                        yield {
+                            "path": info.path,
+                            "modificationTime": info.mtime,
+                            "length": info.size,
+                            "is_dir": False,
+                        }
+                    elif info.type == fs.FileType.Directory:
+                        if not excluded(info.path.removeprefix(top).lstrip("/") + "/"):
                             folders.append(info.path)
-                        elif is_dir or info.type == fs.FileType.File:
-                            yield {
-                                "path": info.path,
-                                "modificationTime": info.mtime,
-                                "length": info.size,
-                                "is_dir": is_dir,
-                            }
 
         for batch in batches:
             part: list[dict] = []
@@ -105,25 +116,33 @@ def _lister(root: str, whole_subtree: bool):
 
 
 def scan_files(
-    spark: SparkSession, root: str, tasks: int | None = None, spread_levels: int = 2
+    spark: SparkSession,
+    root: str,
+    tasks: int | None = None,
+    entries: int | None = None,
+    pruned: str | None = None,
 ) -> DataFrame:
     """Every regular file below ``root``: ``path, modificationTime, length``.
 
-    The first ``spread_levels`` levels are dealt out to tasks one at a time; what
-    lies below is walked by the task that got the folder.
+    The tree is walked in rounds when this is called. A task opens folders until it has
+    listed ``entries`` names and gives back those it has not opened, which the next round
+    deals out to all tasks; so a long trunk or one huge subtree is shared out like any
+    other, and a small tree takes one round. The listing lies in the shared folder until
+    the session ends. Folders whose path below the root, with a slash at its end,
+    matches ``pruned`` are never opened.
     """
     tasks = tasks or min(spark.sparkContext.defaultParallelism * 4, MOST_LISTING_TASKS)
-    top = spark.range(1).select(
-        F.lit(root_path(root)).alias("path"),
-        F.lit(None).cast("timestamp").alias("modificationTime"),
-        F.lit(None).cast("bigint").alias("length"),
-        F.lit(True).alias("is_dir"),
-    )
-    level = top.mapInArrow(_lister(root, False), _LISTING)
-    for _ in range(spread_levels - 1):
-        level = level.repartition(tasks).mapInArrow(_lister(root, False), _LISTING)
-    files = level.repartition(tasks).mapInArrow(_lister(root, True), _LISTING)
-    return files.drop("is_dir")
+    entries = positive("entries", entries, WALK_ENTRIES)
+    walk = f"{storage.shared_folder(spark)}/walk-{uuid.uuid4().hex}"
+    rounds: list[str] = []
+    folders = spark.range(1, numPartitions=1).select(F.lit(root_path(root)).alias("path"))
+    while not rounds or not folders.isEmpty():
+        dealt = folders.repartition(tasks) if rounds else folders
+        rounds.append(f"{walk}/{len(rounds)}")
+        dealt.mapInArrow(_walker(root, entries, pruned), _LISTING).write.parquet(rounds[-1])
+        storage.delete_at_exit(spark, rounds[-1])
+        folders = spark.read.schema(_LISTING).parquet(rounds[-1]).where("is_dir").select("path")
+    return spark.read.schema(_LISTING).parquet(*rounds).where("not is_dir").drop("is_dir")
 
 
 def ignore_patterns(root: str) -> list[str]:
@@ -145,15 +164,17 @@ def walk_files(
     tasks: int | None = None,
 ) -> DataFrame:
     """The files indexing looks at: ``file_path`` (below the root), ``absolute_path``,
-    ``modificationTime, length``. Nothing is opened to decide."""
+    ``modificationTime, length``. No file is opened to decide, nor is a folder all of whose files are excluded."""
     rules = ignore_patterns(root) if use_ignore_file else []
-    listed = scan_files(spark, root, tasks).select(
+    extra = list(extra_patterns)
+    pruned = pruning_regex(DEFAULT_EXCLUDES, rules, extra)
+    listed = scan_files(spark, root, tasks, pruned=pruned).select(
         relative_path(F.col("path"), root_path(root)).alias("file_path"),
         F.col("path").alias("absolute_path"),
         "modificationTime",
         "length",
     )
-    return listed.where(exclusion_reason(F.col("file_path"), rules, extra_patterns).isNull())
+    return listed.where(exclusion_reason(F.col("file_path"), rules, extra).isNull())
 
 
 def reading_tasks(spark: SparkSession, files: int, size: int) -> int:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import shelfmark as sm
+from shelfmark.functions.globs import pruning_regex
 from shelfmark.operators import stats
 from shelfmark.schema import chunk_schema, hit_schema
 from shelfmark.sources.corpus import with_defaults
@@ -63,7 +64,7 @@ def store(spark, tmp_path):
 def test_walk(spark, tree):
     assert {r.path[len(tree) + 1 :] for r in sm.scan_files(spark, tree).collect()} == set(FILES)
     for levels in (1, 4):
-        assert sm.scan_files(spark, tree, spread_levels=levels).count() == len(FILES)
+        assert sm.scan_files(spark, tree, entries=levels).count() == len(FILES)
     walked = {r.file_path: r for r in sm.walk_files(spark, tree, ["extra/*"]).collect()}
     assert set(walked) == set(FILES) - NOT_FOUND
     assert all(r.length == len(FILES[name]) for name, r in walked.items())
@@ -488,3 +489,23 @@ def test_repeated_paths_and_null_texts_have_fingerprints(spark):
     assert {r["status"] for r in file_changes(fingerprints(old), fingerprints(more)).collect()} == {"same", "changed"}
     empty = spark.createDataFrame([], shape)
     assert {r["status"] for r in file_changes(fingerprints(empty), fingerprints(new)).collect()} == {"added"}
+
+
+def test_a_walk_goes_on_where_a_task_stopped_and_leaves_out_pruned_folders(spark, tmp_path):
+    trunk = tmp_path
+    for depth in range(6):
+        trunk = trunk / f"d{depth}"
+        trunk.mkdir()
+        (trunk / "a.py").write_text("x")
+    for name in ("node_modules", "kept", "gen"):
+        (tmp_path / name / "sub").mkdir(parents=True)
+        (tmp_path / name / "sub" / "b.js").write_text("x")
+    every = {str(p) for p in tmp_path.rglob("*") if p.is_file()}
+    for entries in (1, 3, None):
+        found = [r.path for r in sm.scan_files(spark, str(tmp_path), entries=entries).collect()]
+        assert sorted(found) == sorted(every)
+    pruned = pruning_regex(["node_modules", "d3"], ["gen/"], ["kept", "!kept/sub/b.js"])
+    found = {r.path[len(str(tmp_path)) + 1 :] for r in sm.scan_files(spark, str(tmp_path), entries=2, pruned=pruned).collect()}
+    assert found == {"d0/a.py", "d0/d1/a.py", "d0/d1/d2/a.py", "kept/sub/b.js"}
+    walked = {r.file_path for r in sm.walk_files(spark, str(tmp_path), ["d1", "!a.py"]).collect()}
+    assert walked == {f[len(str(tmp_path)) + 1 :] for f in every if "node_modules" not in f}
