@@ -31,6 +31,7 @@ def train(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS, dictionary_bytes: i
 
     Spark keeps the sample_texts distinct texts with the smallest hashes per language: a
     third of all rows being copies of one text still is one text. Only those reach the driver.
+    Every language keeps its whole sample; a smaller one is repeated up to the size of the largest.
     """
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")
@@ -56,9 +57,9 @@ def train(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS, dictionary_bytes: i
     parts: dict[str, list[str]] = {}
     for lang, part in zip(found.column("lang").to_pylist(), found.column("part").to_pylist(), strict=True):
         parts.setdefault(lang, []).append(part)
-    joined = {lang: " ".join(p).encode("utf-8", "replace") for lang, p in parts.items()}
-    room = min(map(len, joined.values()), default=0)  # equal sizes, or the best-supplied language would win ties
-    return {lang: data[: max(room, 64)] for lang, data in sorted(joined.items())}
+    joined = {lang: " ".join(p).encode("utf-8", "replace") + b" " for lang, p in parts.items()}
+    room = max(64, *map(len, joined.values())) if joined else 0  # equal sizes by repetition, so that the size favours no language
+    return {lang: (data * -(-room // len(data)))[-room:] for lang, data in sorted(joined.items())}
 
 
 class Classifier:

@@ -423,6 +423,18 @@ def test_languages_held_out(spark):
     assert (found.lang == found.lang_pred).mean() > 0.95
 
 
+def test_languages_beside_one_of_one_short_text(spark):
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    rare = next(i for i in range(10**9, 10**9 + 100) if zlib.crc32(str(i).encode()) % 3 != 1)
+    more = table.union(spark.createDataFrame([(rare, "qxj wvk zzq jxw kqv", "xx")], "doc_id long, text string, lang string"))
+    plain, dictionaries = compression_language.train(table), compression_language.train(more)
+    assert set(dictionaries) == {*plain, "xx"} and all(dictionaries[lang] == data for lang, data in plain.items())
+    found = compression_language.predicted(table, dictionaries).join(table, "doc_id").toPandas()
+    before = compression_language.predicted(table, plain).toPandas().set_index("doc_id").lang_pred
+    assert (found.lang_pred == found.doc_id.map(before)).mean() > 0.99
+    assert compression_language.Classifier(dictionaries).predict("qxj wvk zzq jxw kqv")[0] == "xx"
+
+
 # -- 10 ---------------------------------------------------------------------------
 
 
