@@ -11,22 +11,15 @@ ROUNDS = 4
 SLACK = 0.02
 #: Cells per pair of shards in which the driver counts bytes that want to move.
 CELLS = 2048
+#: A linked group of over 1/LARGE of the mean shard's bytes is placed by the driver, in ranges of PLACES hashes.
+LARGE = 64
+PLACES = 1 << 30
 #: Rows of a shard that get their slots in one task, on average.
 SLOT_ROWS = 50_000
 
 
-def _target(limits: dict[tuple[int, int], int], cell: Column, wish: Column) -> Column:
-    """Where a row goes: to its wish if its cell is below the limit of that move, else it stays."""
-    pairs = [k for k, v in limits.items() if v > 0]
-    if not pairs:
-        return F.col("shard")
-    keys = F.create_map(*(F.lit(x) for i, j in pairs for x in (f"{i}-{j}", limits[i, j])))
-    limit = F.coalesce(F.element_at(keys, F.concat_ws("-", "shard", wish)), F.lit(0))
-    return F.when(cell < limit, wish).otherwise(F.col("shard"))
-
-
-def _grants(wanted: list[tuple[int, int, int, int]], load: list[int], room: int, shards: int) -> dict[tuple[int, int], int]:
-    """For each move from i to j, how many of its cells, in order, may go: swaps first, then what the target still takes."""
+def _grants(wanted: list[tuple[int, int, int, int]], load: list[int], room: int) -> dict[tuple[int, int], list[int]]:
+    """For each move from i to j, the cells that may go: swaps first, then what the target still takes; a cell that does not fit is skipped."""
     cells: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for i, j, cell, size in wanted:
         cells.setdefault((i, j), []).append((cell, size))
@@ -38,15 +31,64 @@ def _grants(wanted: list[tuple[int, int, int, int]], load: list[int], room: int,
         quota[k] += more
         load[k[1]] += more
         load[k[0]] -= more
-    limits = {}
+    granted = {}
     for k, listed in cells.items():
-        used, limit = 0, 0
+        used = 0
         for cell, size in sorted(listed):
-            if used + size > quota[k]:
-                break
-            used, limit = used + size, cell + 1
-        limits[k] = limit
-    return limits
+            if used + size <= quota[k]:
+                used += size
+                granted.setdefault(k, []).append(cell)
+    return granted
+
+
+def _bits(cells: list[int]) -> list[int]:
+    """The set of cells as signed 64-bit words."""
+    bits = sum(1 << cell for cell in set(cells))
+    return [int.from_bytes((bits >> at & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "little"), "little", signed=True) for at in range(0, CELLS, 64)]
+
+
+def _bounds(parts: list[int]) -> list[int]:
+    """Where each shard's range of [0, PLACES) ends, the ranges in proportion to the parts."""
+    total, ends, run = max(1, sum(parts)), [], 0
+    for part in parts[:-1]:
+        run += part
+        ends.append(PLACES * run // total)
+    return ends
+
+
+def _fill(groups: list[tuple[int, int]], size: int, shards: int) -> tuple[dict[int, list[int]], list[int]]:
+    """Bytes of each large group by shard, and the bytes each shard has left.
+
+    The largest group comes first, into the emptiest shard; one that fits nowhere fills whole shards before it begins the next.
+    """
+    left = [size // shards + (i < size % shards) for i in range(shards)]
+    parts = {}
+    for group, rest in sorted(groups, key=lambda g: (-g[1], g[0])):
+        parts[group] = [0] * shards
+        while rest > 0:
+            j = max(range(shards), key=left.__getitem__)
+            taken = min(rest, left[j])
+            parts[group][j] += taken
+            left[j] -= taken
+            rest -= taken
+    return parts, left
+
+
+def start(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """Rows (group, size, tie, ...) with a first shard: linked groups of over 1/LARGE of a shard gathered, all others by their hash.
+
+    A large group lies in one shard, or fills whole shards and part of another; the others
+    are dealt in proportion to the bytes that this leaves. The driver sees at most shards times LARGE groups.
+    """
+    sizes = saved(rows.groupBy("group").agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("n")), "sizes")
+    total = int(sizes.agg(F.sum("w").alias("w")).collect()[0]["w"] or 0)
+    large = sizes.where((F.col("n") > 1) & (F.col("w") * (shards * LARGE) > total)).select("group", "w").collect()
+    parts, left = _fill([(r["group"], r["w"]) for r in large], total, shards)
+    table = [(group, _bounds(by)) for group, by in parts.items()]
+    rows = rows.join(F.broadcast(rows.sparkSession.createDataFrame(table, "group long, bounds array<int>")), "group", "left")
+    bounds = F.coalesce("bounds", F.array(*(F.lit(b) for b in _bounds(left if sum(left) else [1] * shards))))
+    place = F.pmod(F.xxhash64("tie", F.lit(1)), F.lit(PLACES))
+    return rows.withColumn("large", F.col("bounds").isNotNull()).withColumn("shard", F.size(F.filter(bounds, lambda b: b <= place))).drop("bounds")
 
 
 def _loads(rows: DataFrame, shards: int) -> list[int]:
@@ -55,36 +97,44 @@ def _loads(rows: DataFrame, shards: int) -> list[int]:
 
 
 def propagate(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, slack: float = SLACK) -> DataFrame:
-    """Rows (group, size, tie, shard, ...) with new shards: every round, members move to where most of their group is.
+    """Rows (group, size, tie, large, shard, ...) with new shards: every round, members move to where most of their group is.
 
     All members of a group are linked, so a member's neighbours by shard are the group's
     bytes by shard, aggregated before the join. The driver sees bytes per (from, to, cell), at
     most shards squared times CELLS numbers, and grants moves under the capacity: swaps, then
-    whatever the target has room for. Cells are taken in the order of the group's hash,
-    so groups move whole, and parts of one only where it is larger than the room.
+    whatever the target has room for. Rows without neighbours count as room: level() moves them on
+    at no cost. Large groups stay where start() gathered them. Cells follow the group's hash, dealt anew
+    each round, so groups move whole, and parts of one only where it is larger than the room.
     """
-    for _ in range(rounds):
-        weight = rows.groupBy("group", "shard").agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("n"))
+    whole = sum(_loads(rows, shards))
+    for turn in range(rounds):
+        weight = rows.groupBy("group", "shard").agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("n"), F.max("large").alias("large"))
+        heaviest = F.max_by("shard", F.struct("w", F.xxhash64("group", "shard")))
         best = saved(
             weight.groupBy("group")
-            .agg(F.max_by("shard", F.struct("w", F.xxhash64("group", "shard"))).alias("wish"), F.count(F.lit(1)).alias("places"))
-            .where("places > 1")
-            .select("group", "wish"),
+            .agg(heaviest.alias("wish"), F.count(F.lit(1)).alias("places"), F.sum("n").alias("members"), F.max("large").alias("gathered"))
+            .where("members > 1")
+            .select("group", F.when((F.col("places") > 1) & ~F.col("gathered"), F.col("wish")).alias("wish"), F.lit(True).alias("linked")),
             "wishes",
         )
-        cell = (F.pmod(F.xxhash64("group", F.lit(7)), F.lit(CELLS // 16)) * 16 + F.pmod(F.xxhash64("tie"), F.lit(16))).cast("int")
-        asked = saved(rows.join(best, "group", "left").withColumn("cell", cell), "asked")
+        cell = F.pmod(F.xxhash64("group", F.lit(7 + turn)), F.lit(CELLS // 16)) * 16 + F.pmod(F.xxhash64("tie", F.lit(turn)), F.lit(16))
+        asked = saved(rows.join(best, "group", "left").withColumn("cell", cell.cast("int")), "asked")
         wanted = [
             (r["shard"], r["wish"], r["cell"], r["w"])
             for r in asked.where("wish != shard").groupBy("shard", "wish", "cell").agg(F.sum("size").alias("w")).collect()
         ]
         if not wanted:
             break
-        load = _loads(asked, shards)
-        limits = _grants(wanted, load, int(sum(load) / shards * (1 + slack)) + 1, shards)
-        if not any(limits.values()):
+        granted = _grants(wanted, _loads(asked.where("linked"), shards), int(whole / shards * (1 + slack)) + 1)
+        if not granted:
             break
-        rows = asked.withColumn("shard", F.when(F.col("wish").isNotNull(), _target(limits, F.col("cell"), F.col("wish"))).otherwise(F.col("shard"))).drop("wish", "cell")
+        table = rows.sparkSession.createDataFrame([(i, j, _bits(cells)) for (i, j), cells in granted.items()], "shard int, wish int, cells array<long>")
+        goes = F.getbit(F.get("cells", F.expr("cell div 64").cast("int")), F.pmod("cell", F.lit(64)).cast("int")) == 1
+        rows = (
+            asked.join(F.broadcast(table), ["shard", "wish"], "left")
+            .withColumn("shard", F.when(goes, F.col("wish")).otherwise(F.col("shard")))
+            .drop("wish", "cell", "linked", "cells")
+        )
     return rows
 
 
@@ -155,7 +205,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for each row of docs; the law is ``bytes``.
 
     Size is the text's UTF-8 bytes (null: none) plus 1. Documents of equal texts are linked;
-    a null text counts as empty, crc32 0. Labels start at a hash of the row, so shards start even.
+    a null text counts as empty, crc32 0. Large groups start gathered, other labels at a hash of the row, so shards start even.
     Repeated rows and rows without doc_id are placed like any other. grown_shard is null.
     """
     text = F.col("text").cast("string")
@@ -166,8 +216,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         crc.cast("long").alias("text_crc32"),
         F.xxhash64(F.coalesce(text, F.lit("")), F.octet_length(F.coalesce(text, F.lit("")))).alias("group"),
     ).withColumn("tie", F.xxhash64("doc_id", "group"))
-    rows = saved(rows.withColumn("shard", F.pmod(F.xxhash64("tie", F.lit(1)), F.lit(shards)).cast("int")), "documents")
-    placed = level(propagate(rows, shards), shards)
+    placed = level(propagate(saved(start(saved(rows, "documents"), shards), "started"), shards), shards)
     return slots(placed).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )

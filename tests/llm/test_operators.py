@@ -141,6 +141,24 @@ def test_shards_are_even_without_huge_rows(spark):
     assert loads.max() - loads.min() <= 0.01 * loads.mean()
 
 
+def test_shards_gather_a_group_of_a_third(spark):
+    rng = random.Random(9)
+    many = [(i, sentence(rng, 30)) for i in range(4000)]
+    many += [(10_000 + i, sentence(random.Random(-1), 30)) for i in range(2800)]
+    many += [(20_000 + i, sentence(random.Random(1000 + i // 4), 30)) for i in range(1600)]
+    found = sharding.shard_documents(spark.createDataFrame(many, "doc_id long, text string"))
+    loads = found.groupBy("shard").agg(F.sum("size").alias("w")).toPandas().w
+    assert len(loads) == 8 and loads.max() - loads.min() <= 0.02 * loads.mean()
+    cut = sharding.cut_share(found.select(F.col("text_crc32").alias("group"), "shard")).collect()[0]["cut"]
+    assert cut < 0.68  # two whole shards and part of a third cut 0.66 of the pairs, eight even parts 0.875
+    small = found.where("doc_id >= 20000").groupBy(F.expr("(doc_id - 20000) div 4")).agg(F.countDistinct("shard").alias("n"))
+    assert small.where("n = 1").count() > 0.9 * 400
+
+
+def test_shards_skip_cells_that_do_not_fit():
+    assert sharding._grants([(0, 1, 0, 50), (0, 1, 1, 5), (0, 1, 2, 4)], [60, 60], 70) == {(0, 1): [1, 2]}
+
+
 # -- 3 ----------------------------------------------------------------------------
 
 
