@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -310,6 +311,31 @@ def test_pseudo_likelihood_is_a_sum_over_both_sides():
     assert abs(sum(every) - 1) < 1e-5
 
 
+def test_pseudo_likelihood_predicts_words_not_buckets(spark, monkeypatch):
+    monkeypatch.setattr(pseudo_likelihood, "BLOCK", 500)
+    rng = random.Random(5)
+    common = [f"c{i}" for i in range(2000)]
+    text = [(i, " ".join(rng.choice(common) for _ in range(200))) for i in range(200)] + [(900, " ".join(f"r{i}" for i in range(200)))]
+    frame = spark.createDataFrame(text, "doc_id long, text string").repartition(3)
+    vocabulary, network = pseudo_likelihood.train(frame)
+    fresh = [(1, text[0][1]), (2, text[-1][1]), (3, " ".join(f"unseen{i}" for i in range(200))), (None, "r1"), (None, "r1"), (4, None)]
+    found = pseudo_likelihood.scored(spark.createDataFrame(fresh, "doc_id long, text string"), vocabulary, network).toPandas()
+    by = found.dropna(subset="doc_id").set_index("doc_id")
+    assert len(found) == 6 and by.n_tokens[4] == 0 and by.log_likelihood[4] == 0
+    assert by.perplexity[2] > 5 * by.perplexity[1] and by.perplexity[3] > 5 * by.perplexity[1]
+    # Every word's share by brute force: with the class's probability fixed, shares of a class and its uncounted word are 1.
+    counts = {r["word"] & (2**64 - 1): r["n"] for r in vocabulary.counts.collect()}
+    words = np.array(sorted(counts), np.uint64)
+    tokens = vocabulary.tokens(words)
+    for t in range(pseudo_likelihood.FREQUENT, pseudo_likelihood.EDGE):
+        assert sum(counts[int(w)] for w in words[tokens == t]) + 1 == vocabulary.seen[t]
+    hashes = next(hashed.word_hashes(pa.array([text[-1][1]])))[2][0]
+    tokens = vocabulary.tokens(hashes)
+    want = network.log_probabilities(pseudo_likelihood.neighbours(tokens), tokens).sum()
+    want += sum(np.log(counts[int(w)] / vocabulary.seen[t]) for w, t in zip(hashes, tokens) if t >= pseudo_likelihood.FREQUENT)
+    assert abs(by.log_likelihood[2] - want) < 1e-3
+
+
 # -- 6 ----------------------------------------------------------------------------
 
 
