@@ -336,6 +336,31 @@ def test_pseudo_likelihood_predicts_words_not_buckets(spark, monkeypatch):
     assert abs(by.log_likelihood[2] - want) < 1e-3
 
 
+def test_pseudo_likelihood_trains_on_every_token(docs, rows):
+    network = pseudo_likelihood.Network.new(np.zeros(pseudo_likelihood.EDGE))
+    vocabulary = pseudo_likelihood.Vocabulary([], None)
+    texts = pa.array([t for _, t, *_ in rows[:90]])
+    batch = pa.RecordBatch.from_arrays([texts], ["text"])
+    rounds = pseudo_likelihood.ROUNDS
+    seen = [next(pseudo_likelihood._trainer(network, vocabulary, turn, rounds, 0.3)(iter([batch]))).column("n")[0].as_py() for turn in range(rounds)]
+    assert sum(seen) == sum(len(t.split()) for t in texts.to_pylist()) and min(seen) > 0
+
+
+def test_pseudo_likelihood_steps_down_the_gradient():
+    network = pseudo_likelihood.Network.new(np.zeros(pseudo_likelihood.EDGE))
+    rng = np.random.default_rng(6)
+    tokens = rng.integers(0, 9, 40)
+    around, moved, by = pseudo_likelihood.neighbours(tokens), network.copy(), 1e-2
+    moved.step(around, tokens, 1.0)
+    for at in [(0, int(tokens[0]), 3), (4, int(tokens[7]), 5)]:
+        losses = []
+        for sign in (1, -1):
+            probe = network.copy()
+            probe.tables[at] += sign * by
+            losses.append(-probe.log_probabilities(around, tokens).mean())
+        assert abs((losses[0] - losses[1]) / (2 * by) - float(network.tables[at] - moved.tables[at])) < 1e-4
+
+
 # -- 6 ----------------------------------------------------------------------------
 
 
