@@ -7,6 +7,8 @@ from shelfmark.llm import (
     archives,
     blob_ledger,
     bpe,
+    centroids,
+    collocations,
     compression_language,
     phrase_index,
     pseudo_likelihood,
@@ -14,6 +16,7 @@ from shelfmark.llm import (
     sharding,
     superminhash,
     toxicity,
+    url_templates,
 )
 from shelfmark.llm.common import table
 from shelfmark.llm.sql import ORACLES
@@ -69,6 +72,19 @@ def op10_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = url_templates.judged(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "host", "path", "rule", "verdict", "template")
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_rollup_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -82,6 +98,9 @@ QUERIES = {
         op8_blob_ledger,
         op9_compression_language,
         op10_boosted_toxicity,
+        op11_path_templates,
+        op12_centroids,
+        op13_rollup_collocations,
     )
 }
 

@@ -126,10 +126,161 @@ SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(
 FROM body LEFT JOIN listed USING (doc_id)
 """
 
+_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+_RULE_ROWS = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in _RULES)
+
+PATH_TEMPLATES = rf"""
+WITH rules(v, h, p) AS (VALUES {_RULE_ROWS}),
+cut AS (
+  SELECT page_id, row_number() OVER () AS id,
+    CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+),
+url AS (
+  SELECT page_id, id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_UPPER.lower()}') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut
+),
+fit AS (
+  SELECT id, arg_max(h || p, length(h) + length(p)) AS rule, arg_max(v, length(h) + length(p)) AS v
+  FROM url JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY id
+),
+page AS (
+  SELECT page_id, host, path, rule, v,
+    list_filter(string_split(regexp_replace(path, '[0-9]+', '0', 'g'), '/'), lambda s: s <> '') AS parts
+  FROM url LEFT JOIN fit USING (id)
+),
+paths AS (
+  SELECT host, parts, count(*) AS n, count(*) FILTER (v = 'block') AS b, count(v) AS m FROM page GROUP BY ALL
+),
+held AS (
+  SELECT *, CASE WHEN len(parts) > 12 THEN list_append(parts[1:12], array_to_string(parts[13:], '/')) ELSE parts END AS segs FROM paths
+),
+kinds AS (
+  SELECT *, list_transform(segs, lambda s:
+    (CASE WHEN s = '0' THEN 'n' WHEN contains(s, '0') THEN 'm' ELSE 'w' END) || regexp_extract(s, '\.[A-Za-z]{{1,5}}$')) AS ks FROM held
+),
+place AS (
+  SELECT host, parts, n, b, m, i, segs[i] AS seg, i || '/' || array_to_string(ks[1:i - 1], '/') AS node,
+    array_to_string(ks[i + 1:], '/') AS tail
+  FROM kinds, unnest(range(1, len(segs) + 1)) AS t(i)
+),
+child AS (SELECT host, node, seg, sum(n) AS n, sum(b) AS b, sum(m) AS m FROM place GROUP BY ALL),
+frequent AS (
+  SELECT * FROM (SELECT *, sum(n) OVER (PARTITION BY host, node) AS total FROM child) WHERE n >= 5 AND 100 * n >= 2 * total
+),
+profile AS (
+  SELECT host, node, seg, tail, sum(place.n) AS n FROM place SEMI JOIN frequent USING (host, node, seg) GROUP BY ALL
+),
+pool AS (SELECT host, node, tail, sum(n) AS pool FROM profile GROUP BY ALL),
+node AS (
+  SELECT host, node, sum(n) AS everything, count(DISTINCT tail) AS tails, any_value(fb) AS nb, any_value(fm) AS nm
+  FROM profile JOIN (SELECT host, node, sum(b) AS fb, sum(m) AS fm FROM frequent GROUP BY ALL) USING (host, node) GROUP BY ALL
+),
+share AS (
+  SELECT f.host, f.node, f.seg, f.n, f.b, f.m, any_value(tails) AS tails, any_value(nb) AS nb, any_value(nm) AS nm,
+    round((sum(abs(p.n::DOUBLE / f.n::DOUBLE - pool::DOUBLE / everything::DOUBLE)) + 1 - sum(pool::DOUBLE / everything::DOUBLE)) / 2, 6) AS distance
+  FROM frequent f JOIN profile p USING (host, node, seg) JOIN pool USING (host, node, tail) JOIN node USING (host, node)
+  GROUP BY ALL
+),
+alike AS (
+  SELECT *, distance <= round(0.05 + sqrt(tails::DOUBLE / n::DOUBLE), 6)
+    AND (m = 0 OR round(abs(b::DOUBLE / m::DOUBLE - nb::DOUBLE / nm::DOUBLE), 6) <= round(0.05 + sqrt(1::DOUBLE / m::DOUBLE), 6)) AS alike
+  FROM share
+),
+token AS (
+  SELECT host, node, seg, CASE WHEN alike AND count(*) FILTER (alike) OVER (PARTITION BY host, node) > 1 THEN '~' ELSE seg END AS token
+  FROM alike
+),
+template AS (
+  SELECT host, parts, '/' || string_agg(coalesce(token, CASE WHEN seg = '0' THEN '0' ELSE '*' END), '/' ORDER BY i) AS template
+  FROM place LEFT JOIN token USING (host, node, seg) GROUP BY ALL
+  UNION ALL SELECT host, parts, '/' FROM paths WHERE len(parts) = 0
+),
+prior AS (SELECT (sum(b) + 1)::DOUBLE / (sum(m) + 2)::DOUBLE AS p FROM paths),
+by_host AS (SELECT host, sum(m) AS hm, (sum(b)::DOUBLE + 5 * any_value(p)) / (sum(m)::DOUBLE + 5) AS hp FROM paths, prior GROUP BY host),
+rejected AS (
+  SELECT host, template, any_value(hm) > 0 AND round((sum(b)::DOUBLE + 5 * any_value(hp)) / (sum(m)::DOUBLE + 5), 6) >= 0.6 AS rejected
+  FROM template JOIN paths USING (host, parts) JOIN by_host USING (host) GROUP BY ALL
+)
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN rejected THEN 'block' ELSE 'allow' END) AS verdict, template
+FROM page JOIN template USING (host, parts) JOIN rejected USING (host, template)
+"""
+
+
+def _lloyd(rounds: int) -> str:
+    """Rounds of assignment and floored means, one pair of common table expressions each."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""
+near{i} AS (
+  SELECT row, min((d, c)) AS best FROM (
+    SELECT row, c, list_sum(list_transform(list_zip(x, m), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM point, mean{i}
+  ) GROUP BY row
+)""")
+        if i < rounds:
+            steps.append(f"""
+total{i} AS (
+  SELECT c, j, sum(x[j]) AS s, count(*) AS n
+  FROM (SELECT best[2] AS c, x FROM near{i} JOIN point USING (row)), unnest(range(1, 65)) AS t(j) GROUP BY ALL
+),
+mean{i + 1} AS (
+  SELECT mean{i}.c, coalesce(v, m) AS m FROM mean{i} LEFT JOIN (
+    SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS v FROM total{i} GROUP BY c
+  ) USING (c)
+)""")
+    return ",".join(steps)
+
+
+CENTROIDS = f"""
+WITH point AS (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda v: floor(256 * v::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0
+),
+mean0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), x) - 1 AS c, x AS m FROM point ORDER BY sha256('2:' || vec_id), x LIMIT 40
+),{_lloyd(5)}
+SELECT vec_id, best[2]::INTEGER AS cluster, best[1] AS distance, sum(best[1]) OVER (PARTITION BY best[2])::BIGINT AS cluster_inertia,
+  (sum(best[1]) OVER ())::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM near5 JOIN point USING (row) JOIN mean5 ON c = best[2]
+"""
+
+COLLOCATIONS = rf"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWERED}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents
+),
+word AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM piece),
+counted AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM word, unnest(range(1, 4)) AS s(k), unnest(range(1, len(w) - k + 2)) AS t(i) WHERE len(w) >= k GROUP BY ALL
+),
+total AS (SELECT lang, sum(f) AS n FROM counted WHERE k = 1 GROUP BY lang),
+candidate AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM counted WHERE k > 1 AND f >= 10),
+half AS (
+  SELECT lang, phrase, a, j, array_to_string(w[1:j], ' ') AS head, array_to_string(w[j + 1:], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM candidate)
+),
+part AS (SELECT lang, phrase, f FROM counted WHERE f >= 10),
+cut AS (
+  SELECT h.lang, h.phrase, a, j, l.f AS l, r.f AS r, ((1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM half h JOIN part l ON l.lang = h.lang AND l.phrase = h.head JOIN part r ON r.lang = h.lang AND r.phrase = h.tail
+),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inside AS (
+  SELECT lang, array_to_string(w[i:i + 1], ' ') AS phrase, max(a) AS around
+  FROM (SELECT *, unnest([1, 2]) AS i FROM candidate WHERE k = 3) GROUP BY ALL
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n::BIGINT AS n, score
+FROM best LEFT JOIN inside USING (lang, phrase) JOIN total USING (lang)
+WHERE around IS NULL OR 100 * around < 50 * a
+QUALIFY rank <= 2000
+"""
+
 ORACLES = {
     "op3_superminhash": SUPERMINHASH,
     "op4_phrase_index": PHRASE_INDEX,
     "op6_int8_tiles": INT8_TILES,
     "op7_arc_to_warc": ARC_TO_WARC,
     "op8_blob_ledger": BLOB_LEDGER,
+    "op11_path_templates": PATH_TEMPLATES,
+    "op12_centroids": CENTROIDS,
+    "op13_rollup_collocations": COLLOCATIONS,
 }
