@@ -1,9 +1,23 @@
-"""Collocations of words: only the longest windows are counted; a ROLLUP sums shorter phrases out of them."""
+"""Collocations of words: only the longest windows are counted; a ROLLUP sums shorter phrases out of them.
 
+Most windows of a text occur once, and exchanging them all costs many times the text. So
+hashes of neighbouring words are counted first, and a window ends before the first pair
+whose hash occurs too seldom: no candidate reaches over it. A hash that several pairs share
+only keeps more windows than needed. The marks are a bitmap of fixed size, whatever the input; when
+it fills up, less is pruned, and the results stay the same.
+"""
+
+import zlib
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import saved, small
+from shelfmark.llm.words import column_bytes, mix, powers, runs
 
 #: Most words of a phrase, least occurrences of a candidate, phrases listed per language.
 ORDER = 3
@@ -12,31 +26,163 @@ TOP = 2000
 #: A phrase goes if a longer one around it has at least this share of its occurrences, in percent.
 COVERED_PERCENT = 50
 SCALE = 1_000_000
+#: Bits of the map of frequent pairs (8 MB), as a power of two; 64 to a word.
+PAIR_BITS = 26
+#: Bytes of a long text that are worked on at a time, up to the next mark.
+PIECE = 1 << 20
 
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Stands for the words that a window lacks at the end of its piece; no word is empty.
 _PAD = ""
+_WORD, _SPACE, _MARK = 0, 1, 2
+_KIND = np.zeros(256, np.uint8)
+_KIND[[9, 32]] = _SPACE
+_KIND[[*b".,;:!?", 10, 11, 12, 13]] = _MARK
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 def _columns(order: int) -> list[str]:
     return [f"w{i + 1}" for i in range(order)]
 
 
-def windows(docs: DataFrame, order: int = ORDER, text: str = "text", lang: str = "lang") -> DataFrame:
-    """lang, w1 ... w<order>: for every word, itself and the words that follow it in its piece, padded with ''.
+@dataclass
+class Words:
+    """The lowered words of adjacent texts, one after the other."""
+
+    letters: np.ndarray  # bytes of all words
+    lengths: np.ndarray
+    text: np.ndarray  # number of the text a word is in
+    piece: np.ndarray  # grows at each mark and each text
+
+    def __len__(self) -> int:
+        return len(self.lengths)
+
+    def strings(self) -> pa.Array:
+        offsets = np.zeros(len(self) + 1, np.int64)
+        np.cumsum(self.lengths, out=offsets[1:])
+        return pa.LargeStringArray.from_buffers(len(self), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(self.letters)))
+
+    def pairs(self, seeds: np.ndarray) -> np.ndarray:
+        """A hash of each word and the next one under its text's seed, in the upper 32 bits; for the last word, 0."""
+        if not len(self):
+            return np.zeros(0, np.uint64)
+        first = np.cumsum(self.lengths) - self.lengths
+        inside = np.arange(len(self.letters)) - np.repeat(first, self.lengths)
+        values = (self.letters + np.uint64(1)) * powers(int(self.lengths.max()))[inside]
+        hashes = mix(np.add.reduceat(values, first) + self.lengths.astype(np.uint64))
+        out = np.zeros(len(self), np.uint64)
+        out[:-1] = mix(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:] + seeds[self.text[:-1]]) >> np.uint64(32)
+        return out
+
+
+def _words(data: np.ndarray, bounds: np.ndarray) -> Words:
+    kind = _KIND[data]
+    word = kind == _WORD
+    inner = bounds[1:-1]
+    inner = inner[inner < len(data)]
+    head = word.copy()
+    head[1:] &= ~word[:-1]
+    head[inner] = word[inner]
+    breaks = kind == _MARK
+    breaks[inner] = True
+    at = np.flatnonzero(head)
+    # Letters between two heads belong to the first of them.
+    before = np.cumsum(word)[at] - 1 if len(at) else at
+    lengths = np.diff(np.append(before, np.count_nonzero(word)))
+    return Words(_LOWER[data[word]], lengths, np.searchsorted(bounds, at, side="right") - 1, np.cumsum(breaks)[at])
+
+
+def _parts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First row, bytes and bounds of texts of together about PIECE bytes; a longer text is cut after marks."""
+    data, bounds = column_bytes(column)
+    for start, end in runs(bounds):
+        low, high = int(bounds[start]), int(bounds[end])
+        while high - low > PIECE and end == start + 1:
+            cut, step = low + PIECE, low + PIECE
+            while cut < high and not (marks := np.flatnonzero(_KIND[data[cut : cut + PIECE]] == _MARK)).size:
+                cut += PIECE
+            step = cut + int(marks[0]) + 1 if cut < high else high
+            yield start, data[low:step], np.array([0, step - low])
+            low = step
+        if high > low:
+            yield start, data[low:high], np.maximum(bounds[start : end + 1] - low, 0)
+
 
-    The leading words are taken from the piece's own array, so no row is sorted or shuffled for them.
+def _seeds(langs: pa.Array) -> np.ndarray:
+    """A number per row that follows from its language alone."""
+    encoded = langs.dictionary_encode()
+    each = [zlib.crc32(value.encode("utf-8", "replace")) for value in encoded.dictionary.to_pylist()]
+    return mix(np.array(each, np.uint64))[encoded.indices.to_numpy()] if len(langs) else np.zeros(0, np.uint64)
+
+
+def _texts(docs: DataFrame, text: str, lang: str) -> DataFrame:
+    return docs.select(
+        F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")
+    )
+
+
+def frequent_pairs(docs: DataFrame, least: int = LEAST, text: str = "text", lang: str = "lang") -> np.ndarray:
+    """A map of 2^PAIR_BITS bits in words of 64: hashes of neighbouring words met at least ``least`` times in a language."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seeds, found = _seeds(batch.column(0)), []
+            for start, data, bounds in _parts(batch.column(1)):
+                words = _words(data, bounds)
+                found.append(words.pairs(seeds[start:])[:-1][words.piece[1:] == words.piece[:-1]].astype(np.uint32))
+            pairs, times = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint32), return_counts=True)
+            for i in range(0, len(pairs), 100_000):
+                part = [pa.array(pairs[i : i + 100_000].view(np.int32)), pa.array(times[i : i + 100_000])]
+                yield pa.RecordBatch.from_arrays(part, ["pair", "f"])
+
+    pairs = _texts(docs, text, lang).mapInArrow(count, "pair int, f long").groupBy("pair").agg(F.sum("f").alias("f"))
+    frequent = pairs.where(F.col("f") >= least)
+    at = F.shiftright(F.pmod(F.col("pair").cast("long"), F.lit(2**PAIR_BITS)), 6).alias("at")
+    mark = F.expr("shiftleft(1L, cast(pmod(pair, 64) as int))").alias("mark")
+    filled = frequent.select(at, mark).groupBy("at").agg(F.bit_or("mark").alias("marks")).toArrow()
+    marks = np.zeros(2 ** (PAIR_BITS - 6), np.int64)
+    marks[filled.column("at").to_numpy()] = filled.column("marks").to_numpy()
+    return marks.view(np.uint64)
+
+
+def windows(docs: DataFrame, order: int = ORDER, marks: np.ndarray | None = None, text: str = "text", lang: str = "lang") -> DataFrame:
+    """lang, w1 ... w<order>, f: for every word, itself and the words that follow it in its piece, padded with ''.
+
+    The columns of following words are the column of words moved up; equal windows of a part
+    of a batch are one row with their number f. ``marks`` is a map of pairs: a window is cut before its
+    first pair that is not in it. Texts stay where they are.
     """
-    lowered = F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), _UPPER, _UPPER.lower())
-    language = F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang")
-    pieces = docs.select(language, F.explode(F.split(lowered, r"[.,;:!?\x0A-\x0D]", -1)).alias("piece"))
-    words = pieces.select("lang", F.array_remove(F.split("piece", r"[\x20\x09]+", -1), "").alias("words"))
+    names = _columns(order)
 
-    def window(word: Column, at: Column) -> Column:
-        following = [F.coalesce(F.get("words", at + i), F.lit(_PAD)).alias(f"w{i + 1}") for i in range(1, order)]
-        return F.struct(word.alias("w1"), *following)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            encoded = batch.column(0).dictionary_encode()
+            languages, language = encoded.dictionary, encoded.indices.to_numpy()
+            seeds = _seeds(batch.column(0))
+            for start, data, bounds in _parts(batch.column(1)):
+                words = _words(data, bounds)
+                if not len(words):
+                    continue
+                together = np.append(words.piece[1:] == words.piece[:-1], False)
+                if marks is not None:
+                    bit = words.pairs(seeds[start:]) & np.uint64(2**PAIR_BITS - 1)
+                    together &= (marks[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+                coded = words.strings().dictionary_encode()
+                code = coded.indices.to_numpy()
+                columns, reaches = [code], np.ones(len(words), bool)
+                for i in range(1, order):
+                    reaches = reaches & np.append(together[i - 1 :], np.zeros(i - 1, bool))
+                    columns.append(np.where(reaches, np.append(code[i:], np.full(i, -1, code.dtype)), -1))
+                keys = {"lang": language[start + words.text], **dict(zip(names, columns, strict=True))}
+                counted = pa.table(keys).group_by(list(keys)).aggregate([([], "count_all")])
+                made = [languages.take(counted["lang"].combine_chunks())]
+                for name in names:
+                    at = counted[name].to_numpy()
+                    made.append(coded.dictionary.take(pa.array(at, mask=at < 0)).fill_null(_PAD).cast(pa.string()))
+                yield pa.RecordBatch.from_arrays([*made, counted["count_all"].combine_chunks()], ["lang", *names, "f"])
 
-    return words.select("lang", F.inline(F.transform("words", window)))
+    schema = ", ".join(f"{name} string" for name in ["lang", *names])
+    return _texts(docs, text, lang).mapInArrow(cut, f"{schema}, f long")
 
 
 def phrase_counts(docs: DataFrame, order: int = ORDER, least: int = LEAST, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -48,7 +194,8 @@ def phrase_counts(docs: DataFrame, order: int = ORDER, least: int = LEAST, text:
     then, whatever share of the text they hold.
     """
     names = _columns(order)
-    longest = windows(docs, order, text, lang).groupBy("lang", *names).agg(F.count(F.lit(1)).alias("f"))
+    pruned = windows(docs, order, frequent_pairs(docs, least, text, lang), text, lang)
+    longest = pruned.groupBy("lang", *names).agg(F.sum("f").alias("f"))
     last = F.when(F.col("f") >= least, F.col(names[-1])).otherwise(F.lit(_PAD))
     rolled = longest.withColumn(names[-1], last).rollup("lang", *names).agg(F.sum("f").alias("f"), F.grouping_id().alias("gone"))
     # grouping_id has one bit for each column summed over, so 2**i - 1 says that the last i are.
