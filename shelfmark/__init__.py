@@ -8,6 +8,7 @@ from shelfmark.operators.chunking import chunk_text
 from shelfmark.operators.embedding import HashingEmbedder, ModelEmbedder, embed
 from shelfmark.operators.render import render
 from shelfmark.operators.search import nearest, nearest_batch
+from shelfmark.plans.incremental import refresh_corpora
 from shelfmark.plans.indexing import index_documents, index_files
 from shelfmark.plans.querying import context_texts, query_chunks, query_corpus, query_database
 from shelfmark.sources.corpus import CorpusStore
@@ -33,6 +34,7 @@ __all__ = [
     "query_corpus",
     "query_database",
     "read_contents",
+    "refresh_corpora",
     "render",
     "scan_files",
     "walk_files",

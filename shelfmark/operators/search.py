@@ -8,18 +8,24 @@ rows.
 
 * One query: a distance column, then ``orderBy().limit()``.
 * A batch of queries: their vectors are written once as Parquet to the shared
-  folder, and each task reads them block by block while it passes over its share
-  of the table, in place. The table is never shuffled, whatever the number of
-  queries, and nothing passes through the driver.
+  folder, and each task reads them block by block while it holds a tile of its
+  share of the table. The table is never shuffled, whatever the number of
+  queries, and no vector passes through the driver.
+* What a hit shows besides is read last: columns of varying length (texts, paths)
+  of a table that is a Parquet scan stay out of the ranking. Rows are ranked with
+  their place (file and position in it), and the few that are left are joined with
+  the other columns by it. Rows of a table that is computed carry their columns
+  along, as computing them again would cost more.
 """
 
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import dataset
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,11 +37,23 @@ from shelfmark.schema import SEARCH_LIMIT, positive
 from shelfmark.sources import storage
 from shelfmark.sources.files import open_location
 
-# Queries a task reads at a time, and bytes of them it keeps for its next batch.
+# Queries a task reads at a time, and bytes of them it keeps for its next tile.
 QUERY_BLOCK_ROWS = 4096
 KEPT_QUERY_BYTES = 64 * 1024 * 1024
-
+# Bytes of vectors and rows of the table that pass over the queries together.
+TILE_BYTES = 128 * 1024 * 1024
+TILE_ROWS = 131_072
+# Queries whose hits a task collects for a tile; more of them are asked in several passes over the table.
+PASS_QUERIES = 1_000_000
+# Hits that are sent to the tasks that read the other columns; more of them are joined by a shuffle.
+SENT_HITS = 100_000
+# Files that are named to the scan of the other columns; where hits lie in more, all are read.
+NAMED_FILES = 1_000
+
+_QUERIES_PER_FILE = 100_000
+_ROWS_PER_PRODUCT = 8192
 _QUERIES_PER_PRODUCT = 256
+_PLACE = ("_file", "_position")
 _MERGE_SALTS = 16
 
 
@@ -207,8 +225,9 @@ def nearest(
         missing[usable] = False
         return pa.array(found, mask=missing)
 
-    rows = matching(table, where) if filter_mode == "pre" else table
-    kept = [c for c in table.columns if c != vector_col]
+    place, late = _late_columns(table, vector_col, ties)
+    rows = matching(table.withColumns(place), where) if filter_mode == "pre" else table.withColumns(place)
+    kept = [c for c in rows.columns if c != vector_col and c not in late]
     ranked = (
         rows.select(*kept, distance_to_query(vector_col).alias("distance"))
         .orderBy(F.col("distance").asc_nulls_last(), *ties)
@@ -217,26 +236,138 @@ def nearest(
         .where(F.col("distance").isNotNull())
         .withColumn("similarity", similarity(F.col("distance")))
     )
+    if late:
+        ranked = _with_late_columns(ranked, table, place, late, vector_col, k)
+        ranked = ranked.orderBy(F.col("distance"), *ties)
     return matching(ranked, where) if filter_mode == "post" else ranked
 
 
+def _late_columns(table: DataFrame, vector_col: str, ties: Sequence[str]) -> tuple[dict[str, Column], list[str]]:
+    """Where a row lies, and the columns to read after the ranking; both empty unless the table is a Parquet scan."""
+    varying = (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType, T.VariantType)
+    late = [f.name for f in table.schema.fields if f.name not in (vector_col, *ties) and isinstance(f.dataType, varying)]
+    place = {"_file": F.col("_metadata.file_path"), "_position": F.col("_metadata.row_index")}
+    if not late or "_metadata" in table.columns or set(_PLACE) & set(table.columns):
+        return {}, []
+    try:
+        table.select(*place.values()).schema  # only a scan knows it  # noqa: B018
+    except AnalysisException:
+        return {}, []
+    return place, late
+
+
+def _with_late_columns(
+    hits: DataFrame, table: DataFrame, place: dict[str, Column], late: list[str], vector_col: str, most: int
+) -> DataFrame:
+    """The hits (at most ``most``) with the columns left out so far, in the table's order, the hits' own last."""
+    others = table.select(*late, *(c.alias(name) for name, c in place.items()))
+    joined = others.join(F.broadcast(hits) if most <= SENT_HITS else hits, list(_PLACE))
+    own = [c for c in table.columns if c != vector_col]
+    return joined.select(*own, *(c for c in hits.columns if c not in (*own, *_PLACE)))
+
+
 def _saved(queries: DataFrame, query_vector_col: str) -> str:
     """Write the query vectors once to the shared folder, where every task can read them."""
     spark = queries.sparkSession
     folder = storage.qualified(spark, f"{storage.shared_folder(spark)}/queries-{uuid.uuid4().hex}")
     asked = queries.select("query_id", F.col(query_vector_col).cast("array<double>").alias("vector"))
-    asked.write.parquet(folder)
+    asked.write.option("maxRecordsPerFile", _QUERIES_PER_FILE).parquet(folder)
     storage.delete_at_exit(spark, folder)
     return folder
 
 
-def _read_blocks(folder: str, rows: int) -> Iterator[pa.Table]:
+def _passes(spark, folder: str, most: int) -> tuple[list[list[str]], int]:
+    """The saved files in groups of at most so many queries (or of one file), and the number of all queries."""
+    counts = spark.read.parquet(folder).groupBy(F.col("_metadata.file_path").alias("file")).count()
+    groups, held, total = [[]], 0, 0
+    for row in counts.orderBy("file").collect():  # one row per 100,000 queries
+        if groups[-1] and held + row["count"] > most:
+            groups.append([])
+            held = 0
+        groups[-1].append(row["file"])
+        held += row["count"]
+        total += row["count"]
+    return groups, total
+
+
+def _read_blocks(files: list[str], rows: int) -> Iterator[pa.Table]:
     """The saved queries in blocks of so many rows, in the same order each time."""
-    file_system, path = open_location(folder)
-    saved = dataset.dataset(path, filesystem=file_system, format="parquet")
-    for batch in saved.to_batches(batch_size=rows, batch_readahead=1, fragment_readahead=1):
-        if batch.num_rows:
-            yield pa.Table.from_batches([batch])
+    for file in files:
+        file_system, path = open_location(file)
+        saved = dataset.dataset(path, filesystem=file_system, format="parquet")
+        for batch in saved.to_batches(batch_size=rows, batch_readahead=1, fragment_readahead=1):
+            if batch.num_rows:
+                yield pa.Table.from_batches([batch])
+
+
+def _tiles(batches: Iterator[tuple[pa.Array, ...]], most_bytes: int, most_rows: int) -> Iterator[list[tuple[pa.Array, ...]]]:
+    """Batches of the table in groups that fit the limits, or of one batch."""
+    tile, size, rows = [], 0, 0
+    for batch in batches:
+        if tile and (size + batch[0].nbytes > most_bytes or rows + len(batch[0]) > most_rows):
+            yield tile
+            tile, size, rows = [], 0, 0
+        tile.append(batch)
+        size += batch[0].nbytes
+        rows += len(batch[0])
+    if tile:
+        yield tile
+
+
+class _Questions:
+    """The queries of a pass, read from their files once, or once per tile for those beyond ``kept_bytes``.
+
+    The distances that rows of the table have reached are kept with the queries in
+    memory only, so what a task holds does not grow with the number of queries.
+    """
+
+    def __init__(self, read: Callable[[], Iterator[pa.Table]], kept_bytes: int):
+        self.read, self.kept_bytes = read, kept_bytes
+        self.kept: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
+        self.complete, self.seen = False, False
+        self.reads = 0
+
+    def blocks(self) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+        """Ids, vectors and the distance reached so far, block by block."""
+        yield from self.kept
+        if self.complete:
+            return
+        self.reads += 1
+        skip, size, number, full = len(self.kept), sum(b[0].nbytes + b[1].nbytes for b in self.kept), 0, self.seen
+        for table in self.read():
+            for ids, q in _query_blocks(table):
+                number += 1
+                if number <= skip:
+                    continue
+                block = (ids, q, np.full(len(q), np.inf))
+                size += ids.nbytes + q.nbytes
+                full = full or size > self.kept_bytes
+                if not full:
+                    self.kept.append(block)
+                yield block
+        self.complete, self.seen = not full, True
+
+
+def _tile_hits(
+    vectors: pa.Array, keys: Sequence[pa.Array], questions: _Questions, k: int, metric: str
+) -> tuple[np.ndarray, pa.Array | None, np.ndarray]:
+    """Rows of a tile, the query each was found by, and the distance."""
+    found = []
+    for ids, q, bound in questions.blocks():
+        parts = []
+        for begin in range(0, len(vectors), _ROWS_PER_PRODUCT):
+            x, usable = _matrix(vectors.slice(begin, _ROWS_PER_PRODUCT), q.shape[1])
+            if len(usable):
+                near = [key.take(pa.array(usable + begin)) for key in keys]
+                row, col, distance = _best_pairs(x, q, near, k, metric, bound)
+                parts.append((usable[row] + begin, col, distance))
+        if parts:
+            row, col, distance = (np.concatenate(p) for p in zip(*parts, strict=True))
+            left = ~(distance > bound[col])  # a later part of the tile came nearer
+            found.append((row[left], ids.take(pa.array(col[left])), distance[left]))
+    if not found:
+        return np.empty(0, np.int64), None, np.empty(0)
+    return np.concatenate([f[0] for f in found]), pa.concat_arrays([f[1] for f in found]), np.concatenate([f[2] for f in found])
 
 
 def _query_blocks(queries: pa.Table) -> list[tuple[pa.Array, np.ndarray]]:
@@ -256,18 +387,18 @@ def _query_blocks(queries: pa.Table) -> list[tuple[pa.Array, np.ndarray]]:
 
 def _candidates(
     rows: DataFrame,
-    folder: str,
+    files: list[str],
     id_type: T.DataType,
     k: int,
     metric: str,
     ties: Sequence[str],
     block_rows: int,
     kept_bytes: int,
+    tile_bytes: int,
 ) -> DataFrame:
     """Candidates by one pass over the table, in place: only vectors and tie columns go to Python.
 
-    Each Arrow batch of the table meets the saved queries block by block. A task keeps
-    blocks in memory up to ``kept_bytes`` and reads the others again for each batch.
+    Tiles of the table meet the saved queries block by block.
     """
     hits_type = T.ArrayType(
         T.StructType([T.StructField("query_id", id_type), T.StructField("distance", T.DoubleType())])
@@ -275,48 +406,24 @@ def _candidates(
 
     @F.arrow_udf(hits_type)
     def hits_of_row(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        bounds: dict[int, np.ndarray] = {}
-        held: list | None = []
-        size = 0
-
-        def blocks():
-            nonlocal held, size
-            if held:
-                yield from held
-                return
-            keep = held is not None
-            for block in _read_blocks(folder, block_rows):
-                for part in _query_blocks(block):
-                    if keep:
-                        size += part[1].nbytes + part[0].nbytes
-                        keep = size <= kept_bytes
-                        held = [*held, part] if keep else None
-                    yield part
-
-        for vectors, *keys in batches:
-            parts = []
-            for number, (ids, q) in enumerate(blocks()):
-                bound = bounds.setdefault(number, np.full(len(q), np.inf))
-                x, usable = _matrix(vectors, q.shape[1])
-                if not len(usable):
-                    continue
-                row, col, distance = _best_pairs(
-                    x, q, [key.take(pa.array(usable)) for key in keys], k, metric, bound
+        questions = _Questions(lambda: _read_blocks(files, block_rows), kept_bytes)
+        for tile in _tiles(batches, tile_bytes, TILE_ROWS):
+            vectors, *keys = (pa.concat_arrays(parts) for parts in zip(*tile, strict=True))
+            row, ids, distance = _tile_hits(vectors, keys, questions, k, metric)
+            if ids is None:
+                made = pa.nulls(len(vectors), hits_arrow)
+            else:
+                order = np.argsort(row, kind="stable")
+                pairs = pa.StructArray.from_arrays(
+                    [ids.take(pa.array(order)), pa.array(distance[order])], ["query_id", "distance"]
                 )
-                parts.append((usable[row], ids.take(pa.array(col)), distance))
-            if not parts:
-                yield pa.nulls(len(vectors), hits_arrow)
-                continue
-            row = np.concatenate([p[0] for p in parts])
-            ids = pa.concat_arrays([p[1] for p in parts])
-            distance = np.concatenate([p[2] for p in parts])
-            order = np.argsort(row, kind="stable")
-            pairs = pa.StructArray.from_arrays(
-                [ids.take(pa.array(order)), pa.array(distance[order])], ["query_id", "distance"]
-            )
-            counts = np.bincount(row, minlength=len(vectors))
-            offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            yield pa.ListArray.from_arrays(offsets, pairs)
+                counts = np.bincount(row, minlength=len(vectors))
+                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                made = pa.ListArray.from_arrays(offsets, pairs)
+            begin = 0
+            for batch in tile:
+                yield made.slice(begin, len(batch[0]))
+                begin += len(batch[0])
 
     hits_arrow = to_arrow_type(hits_type)
     # The outer explode keeps the optimizer from copying the function into a
@@ -344,6 +451,8 @@ def nearest_batch(
     ties: Sequence[str] = ("id", "chunk_index"),
     query_block_rows: int = QUERY_BLOCK_ROWS,
     kept_query_bytes: int = KEPT_QUERY_BYTES,
+    tile_bytes: int = TILE_BYTES,
+    pass_queries: int = PASS_QUERIES,
     dim: int | None = None,
 ) -> DataFrame:
     """The ``k`` nearest rows for each row of ``queries`` (``query_id`` and a vector).
@@ -351,8 +460,9 @@ def nearest_batch(
     Gives the columns of ``table`` but the vector, and ``query_id``, ``distance``,
     ``similarity`` and ``rank`` (from 1). ``query_id`` must be unique. The query
     vectors are computed and written to the shared folder when this is called, and
-    removed when the session ends. A task holds the hits of one Arrow batch of the
-    table at a time, at most ``k`` per query.
+    removed when the session ends. A task holds a tile of the table, a block of queries
+    (and ``kept_query_bytes`` of them for the next tile), and about ``k`` hits for each of at most
+    ``pass_queries`` queries; more queries are asked in several passes.
     """
     _check(metric, filter_mode)
     k = positive("k", k, SEARCH_LIMIT)
@@ -363,21 +473,36 @@ def nearest_batch(
         queries = queries.withColumn(
             query_vector_col, F.when(fits, vector).otherwise(wrong.cast(queries.schema[query_vector_col].dataType))
         )
-    rows = matching(table, where) if filter_mode == "pre" else table
-    kept = [c for c in table.columns if c != vector_col]
+    place, late = _late_columns(table, vector_col, ties)
+    rows = matching(table.withColumns(place), where) if filter_mode == "pre" else table.withColumns(place)
+    kept = [c for c in rows.columns if c != vector_col and c not in late]
     rows = rows.select(*kept, F.col(vector_col).alias("_vector"))
-    candidates = _candidates(
-        rows,
-        _saved(queries, query_vector_col),
-        queries.schema["query_id"].dataType,
-        k,
-        metric,
-        ties,
-        query_block_rows,
-        kept_query_bytes,
-    )
+    passes, asked = _passes(table.sparkSession, _saved(queries, query_vector_col), pass_queries)
+    id_type = queries.schema["query_id"].dataType
+    candidates = None
+    for files in passes:
+        found = _candidates(rows, files, id_type, k, metric, ties, query_block_rows, kept_query_bytes, tile_bytes)
+        candidates = found if candidates is None else candidates.unionAll(found)
     order = [F.col("distance"), *(F.col(t) for t in ties)]
     ranked = top_per_query(candidates, k, order).withColumn(
         "similarity", similarity(F.col("distance"))
     )
+    if late:
+        if k * asked > SENT_HITS:
+            ranked, table = _written_hits(ranked, table)
+        ranked = _with_late_columns(ranked, table, place, late, vector_col, k * asked)
     return matching(ranked, where) if filter_mode == "post" else ranked
+
+
+def _written_hits(hits: DataFrame, table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Many hits, written down; and the table without files that hold none, if those that do are few enough to be named.
+
+    Without this, a join by shuffle would begin to move the table's texts before it is known which are asked for.
+    """
+    spark = hits.sparkSession
+    folder = f"{storage.shared_folder(spark)}/hits-{uuid.uuid4().hex}"
+    hits.write.parquet(folder)
+    storage.delete_at_exit(spark, folder)
+    written = spark.read.schema(hits.schema).parquet(folder)
+    files = [row["_file"] for row in written.select("_file").distinct().limit(NAMED_FILES + 1).collect()]
+    return written, table.where(F.col("_metadata.file_path").isin(files)) if len(files) <= NAMED_FILES else table

@@ -1,7 +1,9 @@
 """Paths on whatever file system the cluster uses, through Spark's own Hadoop client."""
 
 import tempfile
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -40,6 +42,39 @@ def child_names(spark: SparkSession, location: str) -> list[str]:
     return sorted(status.getPath().getName() for status in found)
 
 
+def read_text(spark: SparkSession, location: str) -> str:
+    stream = _file_system(spark, location).open(_path(spark, location))
+    try:
+        return bytes(stream.readAllBytes()).decode("utf-8")
+    finally:
+        stream.close()
+
+
+def write_new_text(spark: SparkSession, location: str, text: str) -> bool:
+    """Make a file with this text at once; false, and nothing done, if there is one already.
+
+    The text is written beside it and renamed, which file systems such as HDFS do as one step.
+    """
+    beside = f"{location.rpartition('/')[0]}/.{uuid.uuid4().hex}"
+    stream = _file_system(spark, location).create(_path(spark, beside))
+    stream.write(bytearray(text.encode("utf-8")))
+    stream.close()
+    files = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+        _path(spark, qualified(spark, location)).toUri(), spark._jsc.hadoopConfiguration()
+    )
+    plain = getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark._sc._gateway.new_array(plain, 1)
+    options[0] = plain.NONE
+    try:
+        files.rename(_path(spark, beside), _path(spark, location), options)
+    except Py4JJavaError as error:
+        delete(spark, beside)
+        if "FileAlreadyExists" in str(error.java_exception):
+            return False
+        raise
+    return True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the session names it.
 

@@ -1,12 +1,11 @@
 """Index documents as they arrive."""
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from shelfmark.functions import ids
+from shelfmark.plans.incremental import refresh_corpora
 from shelfmark.plans.indexing import chunk_documents, embed_chunks
-from shelfmark.sources.corpus import PARTITION, with_defaults
+from shelfmark.sources.corpus import CorpusStore
 
 
 def index_stream(
@@ -16,21 +15,30 @@ def index_stream(
     embedder,
     max_file_size: int | None = None,
     use_prefix: bool = False,
+    on_invalid: str | None = None,
+    upsert: bool = False,
 ) -> DataStreamWriter:
     """A writer that chunks, embeds and stores a stream in the shape of ``documents_as_files``.
 
-    Every step is per row, so there is no state to keep and no watermark to set.
-    The file sink's log makes every document count once, also when a batch is
-    run again. Such a store belongs to the stream: batch appends to it are not
-    in the log and would not be read.
+    Every step is per row, so there is no state to keep and no watermark to set. Each
+    batch is one version of the store, which keeps the number of the stream's last batch (a
+    stream is known by its ``checkpoint``): a batch that is run again after a failure changes
+    nothing. Names, vector lengths and ``on_invalid`` are handled as in ``index_documents``.
+
+    By default documents are appended, repeated ones again. With ``upsert`` a document takes
+    the place of the one stored under its corpus and path, unless it is the same; within one
+    batch, all texts of a path count together.
     """
-    chunks = chunk_documents(documents, max_file_size, embedder.context_tokens)
-    rows = with_defaults(embed_chunks(chunks, embedder, use_prefix))
-    return (
-        rows.withColumn(PARTITION, ids.table_name(F.col("codebase_name")))
-        .writeStream.format("parquet")
-        .partitionBy(PARTITION)
-        .option("path", store_root)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-    )
+
+    def store_batch(batch: DataFrame, number: int) -> None:
+        store = CorpusStore(batch.sparkSession, store_root)
+        told = (checkpoint, number)
+        if upsert:
+            refresh_corpora(
+                store, batch, embedder, None, False, max_file_size, use_prefix, on_invalid, told
+            )
+            return
+        chunks = chunk_documents(batch, max_file_size, embedder.context_tokens)
+        store.append(embed_chunks(chunks, embedder, use_prefix, on_invalid), None, embedder.dim, told)
+
+    return documents.writeStream.option("checkpointLocation", checkpoint).foreachBatch(store_batch)
