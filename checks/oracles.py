@@ -209,6 +209,7 @@ ORACLES["knn_metrics"] = " UNION ALL ".join(
 )
 ORACLES["knn_batch"] = f"SELECT query_id, rank, vec_id, label, {_SCORES} FROM ({_all_pairs()})"
 ORACLES["knn_batch_blocks"] = ORACLES["knn_batch"]
+ORACLES["knn_batch_many"] = ORACLES["knn_batch"]
 ORACLES["knn_batch_filtered"] = (
     f"SELECT query_id, rank, vec_id, label, {_SCORES} FROM ({_all_pairs(where='e.label < 3')})"
 )
@@ -483,6 +484,17 @@ SELECT count(*) FILTER (status <> 'excluded') AS total_files_found,
   (SELECT count(*) FROM chunks) AS chunks_created
 FROM statuses"""
 
+_REFUSED = "(length(content) % 5 = 0 AND regexp_matches(content, '\\S'))"
+ORACLES["run_stats_failures"] = f"""WITH RECURSIVE {_FILE_CHUNKS},
+counted AS (
+  SELECT count(*) FILTER (chunk_index = 0 AND NOT {_REFUSED}) AS files_processed,
+    count(*) FILTER (chunk_index = 0 AND {_REFUSED}) AS files_failed, count(*) AS chunks_created,
+    count(*) FILTER ({_REFUSED}) AS chunks_failed, count(*) AS stored,
+    count(*) FILTER ({_REFUSED} OR (regexp_matches(content, '\\S') AND NOT regexp_matches(content, '[\\p{{L}}\\p{{N}}_]'))) AS without_vector
+  FROM chunks)
+SELECT *, (SELECT count(*) FROM files) AS total_files_found,
+  (SELECT count(*) FROM files) - files_processed - files_failed AS files_skipped FROM counted"""
+
 # -- trees of files ------------------------------------------------------------
 
 ORACLES["scan_tree"] = f"""WITH {BYTES}
@@ -490,6 +502,8 @@ SELECT file_path, octet_length(content)::BIGINT AS length, md5(content) AS diges
 ORACLES["walk_tree"] = f"""WITH {BYTES}
 SELECT file_path, octet_length(content)::BIGINT AS length, true AS below_root FROM raw
 WHERE NOT {_BY_DEFAULT} AND NOT {_BY_EXTRA}"""
+ORACLES["walk_ignored"] = f"""WITH {BYTES}
+SELECT file_path, octet_length(content)::BIGINT AS length FROM raw WHERE NOT {_BY_RULES} AND NOT {_BY_DEFAULT}"""
 ORACLES["index_tree"] = f"""WITH RECURSIVE {_statuses(1000000, _BY_EXTRA)},
 {_chunk_ctes('decoded', 'doc_id', 'text', 537)}
 SELECT {_row_id("'The Tree'", 'file_path')} AS id, 'The Tree' AS codebase_name,
@@ -515,6 +529,13 @@ SELECT codebase_name AS corpus, true AS found, count(*) AS chunks, {DIM} AS dim
 FROM chunks WHERE codebase_name <> 'src3' GROUP BY codebase_name
 UNION ALL SELECT 'an_empty_one', true, 0, NULL"""
 
+ORACLES["guarded_open"] = f"""WITH RECURSIVE {_FILE_CHUNKS},
+sizes AS (SELECT codebase_name AS c, count(*) AS n FROM chunks GROUP BY 1)
+SELECT name, found, NOT found AS refused, NOT found AS no_stats, CASE WHEN found THEN n ELSE 0 END AS chunks,
+  0::BIGINT AS hits_of_missing
+FROM (SELECT c AS name, true AS found, n FROM sizes UNION ALL SELECT upper(c), true, n FROM sizes
+      UNION ALL SELECT c || ' missing', false, n FROM sizes)"""
+
 _CORPUS = f"""{_FILE_CHUNKS},
 corpus AS MATERIALIZED (
   SELECT {_row_id('codebase_name', 'file_path')} AS id, codebase_name, file_path, content,
@@ -529,11 +550,13 @@ texts AS (SELECT id, chunk_index, {text} AS t FROM corpus),
 {_vector_ctes('vec', 'texts', 'id, chunk_index', 't')}"""
 
 
+_DIGEST = "round(list_sum(list_transform(v, lambda x, i: x::DOUBLE * i)), 4) AS digest"
 ORACLES["index_documents_rows"] = f"""WITH RECURSIVE {_corpus_vectors()}
 SELECT id, codebase_name, file_path, file_path AS absolute_path, content, extension, size_bytes,
   {_language('extension')} AS language, start_line, end_line, chunk_index, total_chunks,
-  len(list_filter(v, lambda x: x <> 0))::INT AS nonzero
+  {_DIGEST}
 FROM corpus JOIN vec USING (id, chunk_index)"""
+ORACLES["index_stream_rows"] = ORACLES["index_documents_rows"]
 
 # -- questions to texts --------------------------------------------------------
 
@@ -560,6 +583,9 @@ hits AS MATERIALIZED (
 _HIT_COLUMNS = f"""query_id, rank, id, file_path, extension, start_line, end_line, chunk_index,
   total_chunks, {_SCORES}"""
 ORACLES["rag_query"] = f"WITH RECURSIVE {_hits(5)} SELECT {_HIT_COLUMNS} FROM hits"
+ORACLES["rag_query_stored"] = ORACLES["rag_query"]
+ORACLES["rag_query_failed"] = f"""WITH RECURSIVE {_hits(5)} SELECT {_HIT_COLUMNS} FROM hits JOIN benchmark ON item_id = query_id
+WHERE (CASE WHEN length(text) / 1.5 > 409.6 THEN 537 ELSE length(text) END) % 5 <> 0"""
 
 
 def _keyword_ctes(table: str, keys: str, text: str, k: int) -> str:
@@ -606,7 +632,7 @@ shown AS (SELECT page_id, split_part(split_part(split_part(split_part(string_spl
 {_chunk_ctes('shown', 'page_id', 'text', 537)},
 {_vector_ctes('vec', 'chunks', 'page_id, chunk_index', 'content')}
 SELECT host AS codebase_name, page_id::VARCHAR AS file_path, chunk_index, content,
-  len(list_filter(v, lambda x: x <> 0))::INT AS nonzero
+  {_DIGEST}
 FROM chunks JOIN shown USING (page_id) JOIN vec USING (page_id, chunk_index)"""
 ORACLES["incremental_delta"] = f"""WITH RECURSIVE {FILES}, {_DOC_CHUNKS},
 made AS (SELECT doc_id, count(*) AS chunks, sum(length(content))::BIGINT AS characters FROM chunks GROUP BY doc_id)
@@ -615,6 +641,9 @@ SELECT codebase_name, file_path,
   CASE WHEN doc_id % 10 = 2 THEN 0 ELSE coalesce(chunks, 0) END::BIGINT AS chunks,
   CASE WHEN doc_id % 10 = 2 THEN 0 ELSE coalesce(characters, 0) END::BIGINT AS characters
 FROM files LEFT JOIN made USING (doc_id)"""
+ORACLES["incremental_apply"] = f"""WITH RECURSIVE {FILES}, {_DOC_CHUNKS}
+SELECT codebase_name, file_path, (doc_id // 7) % 10 IN (0, 1) AS rewritten, count(*) AS chunks, sum(length(content))::BIGINT AS characters
+FROM chunks JOIN files USING (doc_id) WHERE (doc_id // 7) % 10 <> 2 GROUP BY ALL"""
 ORACLES["rag_query_filtered"] = (
     f"WITH RECURSIVE {_hits(3, where="extension = '.py'", min_similarity=0.55)} "
     f"SELECT {_HIT_COLUMNS} FROM hits"
@@ -644,7 +673,7 @@ ORACLES["render_human"] = f"""WITH RECURSIVE {_hits(5, min_similarity=0.55)} {_t
               || CASE WHEN length(content) > 200
                       THEN left(content, 200) || {_NL} || '... (truncated)' ELSE content END
               || {_NL} || {_NL} || repeat('-', 60) || {_NL}, {_NL} ORDER BY rank)''')}"""
-ORACLES["render_machine"] = f"""WITH RECURSIVE {_hits(5, where="extension = '.py'")} {_texts(f'''
+ORACLES["render_machine"] = f"""WITH RECURSIVE {_hits(5)} {_texts(f'''
 'Found ' || count(*) || ' relevant files:' || {_NL} || {_NL}
 || string_agg({_NL} || '## ' || rank || '. ' || {_HIT_LABEL} || {_NL} || '**Relevance:** '
               || printf('%.2f', 1 / (1 + d) * 100) || '% | **Type:** ' || extension || {_NL}

@@ -2,6 +2,7 @@
 
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +39,7 @@ from shelfmark.plans import incremental, indexing
 from shelfmark.sources import storage
 from shelfmark.sources.corpus import with_defaults
 from shelfmark.sources.files import documents_as_files, spread_scan
+from shelfmark.streaming.ingest import index_stream
 
 
 IGNORE_RULES = ["*.log", "!keep*.log", "/src", "a/*", "!a/b/", "docs/**", "?[0-4]*.py", "*.un[!x]"]
@@ -53,6 +55,12 @@ def query(function):
     return function
 
 
+def _digest(vector: str = "vector") -> Column:
+    """One number that changes with every entry of a vector and its place."""
+    weighed = F.transform(vector, lambda v, i: v.cast("double") * (i + 1))
+    return F.round(F.aggregate(weighed, F.lit(0.0), lambda total, v: total + v), 4).alias("digest")
+
+
 def _r6(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
@@ -170,6 +178,14 @@ def knn_batch_blocks(spark, sf_dir):
     return _scored(hits, "query_id", "rank", "vec_id", "label")
 
 
+@query
+def knn_batch_many(spark, sf_dir):
+    """More questions than a task keeps, asked in passes, over tiles of several Arrow batches."""
+    options = {"query_block_rows": 64, "kept_query_bytes": 64 * 1024, "tile_bytes": 256 * 1024}
+    hits = _batch(spark, sf_dir, pass_queries=300, **options)
+    return _scored(hits, "query_id", "rank", "vec_id", "label")
+
+
 @query
 def knn_batch_filtered(spark, sf_dir):
     return _scored(_batch(spark, sf_dir, where="label < 3"), "query_id", "rank", "vec_id", "label")
@@ -580,6 +596,16 @@ def walk_tree(spark, sf_dir):
     )
 
 
+@query
+def walk_ignored(spark, sf_dir):
+    """A tree with an ignore file whose rules also take files back in."""
+    root = file_tree(spark, sf_dir)
+    file_system, top = fs.FileSystem.from_uri(root)
+    with file_system.open_output_stream(f"{top}/.gitignore") as stream:
+        stream.write(("# rules\n\n" + "\n".join(IGNORE_RULES) + "\n").encode())
+    return walk_files(spark, root).select("file_path", "length")
+
+
 @query
 def index_tree(spark, sf_dir):
     """What indexing a tree of files stores."""
@@ -679,6 +705,33 @@ def run_stats(spark, sf_dir):
     return stats.run_stats(indexing.file_statuses(files, status, CHUNK_TOKENS, body))
 
 
+class _Refusing(HashingEmbedder):
+    """Fails on texts whose length is a multiple of five."""
+
+    def embedded(self, text):
+        failed = F.coalesce(F.length(text) % 5 == 0, F.lit(False))
+        zero = F.array_repeat(F.lit(0.0).cast("float"), self.dim)
+        return F.struct(
+            F.when(failed, zero).otherwise(self.vector(text)).alias("vector"),
+            (~failed).alias("ok"),
+            F.when(failed, F.lit("refused")).alias("error"),
+        )
+
+
+@query
+def run_stats_failures(spark, sf_dir):
+    """Counters of an index run whose model fails on some texts, and what is stored nevertheless."""
+    store = CorpusStore(spark, f"{storage.shared_folder(spark)}/refused-{uuid.uuid4().hex}")
+    done = index_documents(document_files(spark, sf_dir), store, _Refusing(DIM, CHUNK_TOKENS))
+    counters = [c for c in done if not c.endswith("_time") and c != "files_per_second"]
+    zero = F.forall("vector", lambda v: v == 0) & F.col("content").rlike(r"\S")
+    return store.read().agg(
+        *(F.lit(done[c]).cast("bigint").alias(c) for c in counters),
+        F.count(F.lit(1)).alias("stored"),
+        F.count_if(zero).alias("without_vector"),
+    )
+
+
 # -- store ---------------------------------------------------------------------
 
 
@@ -728,13 +781,34 @@ def corpus_catalog(spark, sf_dir):
     return listed.join(sizes, "corpus", "left").fillna(0, ["chunks"])
 
 
+@query
+def guarded_open(spark, sf_dir):
+    """Reading, searching and counting corpora under names that exist, in another spelling, and not."""
+    store = CorpusStore(spark, f"{storage.shared_folder(spark)}/guarded-{uuid.uuid4().hex}")
+    index_documents(document_files(spark, sf_dir), store, HashingEmbedder(DIM, CHUNK_TOKENS))
+    asked = []
+    for plain in store.names():
+        for name in (plain, plain.upper(), f"{plain} missing"):
+            try:
+                refused = store.read(name) is None
+            except ValueError as error:
+                refused = str(error) == f"corpus {name!r} does not exist"
+            found = store.exists(name)
+            asked.append((name, plain, found, refused, not found and store.stats(name) is None))
+    answers = spark.createDataFrame(asked, "name string, corpus string, found boolean, refused boolean, no_stats boolean")
+    rows = store.read().groupBy(ids.corpus_of_table(F.col("table_name")).alias("corpus")).agg(F.count(F.lit(1)).alias("chunks"))
+    first = store.search(store.names()[0] + " missing", [0.0] * DIM)  # no rows, whatever the question
+    hits = first.agg(F.count(F.lit(1)).alias("hits_of_missing"))
+    counted = answers.join(rows, "corpus", "left").join(F.broadcast(hits))
+    return counted.withColumn("chunks", F.when(F.col("found"), F.col("chunks")).otherwise(0)).drop("corpus")
+
+
 @query
 def index_documents_rows(spark, sf_dir):
     """The rows indexing stores, with a digest of the vector."""
     rows = corpus_chunks(spark, sf_dir)
     return rows.select(
-        *(c for c in rows.columns if c not in ("modified_at", "vector")),
-        F.size(F.filter("vector", lambda v: v != 0)).alias("nonzero"),
+        *(c for c in rows.columns if c not in ("modified_at", "vector")), _digest()
     )
 
 
@@ -762,6 +836,22 @@ def rag_query(spark, sf_dir):
     return _hit_rows(_rag_hits(spark, sf_dir))
 
 
+@query
+def rag_query_stored(spark, sf_dir):
+    """The same over stored corpora: texts and paths are read for the hits only."""
+    store = CorpusStore(spark, f"{storage.shared_folder(spark)}/asked-{uuid.uuid4().hex}")
+    index_documents(document_files(spark, sf_dir), store, HashingEmbedder(DIM, CHUNK_TOKENS))
+    return _hit_rows(query_chunks(store.read(), questions(spark, sf_dir), HashingEmbedder(DIM)))
+
+
+@query
+def rag_query_failed(spark, sf_dir):
+    """Questions the model fails on find nothing; the others what they always find."""
+    chunks = corpus_chunks(spark, sf_dir)
+    hits = query_chunks(chunks, questions(spark, sf_dir), _Refusing(DIM), on_failed_query="skip")
+    return _hit_rows(hits)
+
+
 @query
 def hybrid_search(spark, sf_dir):
     """Fused ranks of the 20 best chunks by vector and by keyword."""
@@ -789,32 +879,62 @@ def page_index(spark, sf_dir):
         "file_path",
         "chunk_index",
         "content",
-        F.size(F.filter("vector", lambda x: x != 0)).alias("nonzero"),
+        _digest(),
     )
 
 
-@query
-def incremental_delta(spark, sf_dir):
-    """Per file: what happened to it, and its chunks and characters in the refreshed table.
-
-    Before, files numbered 0 modulo 10 were not there and those numbered 1 had another text;
-    now those numbered 2 are gone.
-    """
+def _then_and_now(spark, sf_dir, number: Column) -> tuple[DataFrame, DataFrame]:
+    """Before, files numbered 0 modulo 10 were not there and those numbered 1 had another text; now those numbered 2 are gone."""
     documents = table(spark, sf_dir, "documents")
-    kind = F.col("doc_id") % 10
+    kind = number % 10
     text_then = F.when(kind == 1, F.concat(F.lit("draft "), F.col("text"))).otherwise(F.col("text"))
     then = documents_as_files(
         documents.where(kind != 0).withColumn("text", text_then), document_path(), "text", "source"
     )
-    now = documents_as_files(documents.where(kind != 2), document_path(), "text", "source")
+    return then, documents_as_files(documents.where(kind != 2), document_path(), "text", "source")
+
+
+def _chunks_per_file(rows: DataFrame, *keys) -> DataFrame:
+    return rows.groupBy("codebase_name", "file_path", *keys).agg(
+        F.count(F.lit(1)).alias("chunks"), F.sum(F.length("content").cast("bigint")).alias("characters")
+    )
+
+
+@query
+def incremental_apply(spark, sf_dir):
+    """A store refreshed from what there was then to what there is now: per file its rows, and whether the refresh wrote them."""
+    then, now = _then_and_now(spark, sf_dir, F.floor(F.col("doc_id") / 7))
+    store = CorpusStore(spark, f"{storage.shared_folder(spark)}/refreshed-{uuid.uuid4().hex}")
+    embedder = HashingEmbedder(DIM, CHUNK_TOKENS)
+    incremental.refresh_corpora(store, then, embedder)
+    incremental.refresh_corpora(store, now, embedder)
+    new = F.contains(F.col("_metadata.file_path"), F.lit("/segment=000000000002-")).alias("rewritten")
+    return _chunks_per_file(store.read().select("codebase_name", "file_path", "content", new), "rewritten")
+
+
+@query
+def index_stream_rows(spark, sf_dir):
+    """What a stream of documents stores, each under its path; the stream is started again and finds nothing new."""
+    folder = f"{storage.shared_folder(spark)}/streamed-{uuid.uuid4().hex}"
+    given = table(spark, sf_dir, "documents").schema
+    for _ in range(2):
+        arriving = spark.readStream.schema(given).parquet(f"{sf_dir}/documents.parque[t]")  # a pattern may also name one file
+        files = documents_as_files(arriving, document_path(), "text", "source")
+        writer = index_stream(files, f"{folder}/store", f"{folder}/log", HashingEmbedder(DIM, CHUNK_TOKENS), upsert=True)
+        writer.trigger(availableNow=True).start().awaitTermination()
+    rows = CorpusStore(spark, f"{folder}/store").read()
+    return rows.select(*(c for c in rows.columns if c not in ("modified_at", "vector", "table_name")), _digest())
+
+
+@query
+def incremental_delta(spark, sf_dir):
+    """Per file: what happened to it, and its chunks and characters in the refreshed table."""
+    then, now = _then_and_now(spark, sf_dir, F.col("doc_id"))
     embedder = HashingEmbedder(DIM)
     stored = with_defaults(indexing.embed_chunks(indexing.chunk_documents(then, max_tokens=CHUNK_TOKENS), embedder))
     changes = incremental.file_changes(incremental.fingerprints(then), incremental.fingerprints(now))
     rows = incremental.refreshed_chunks(stored, now, changes, embedder)
-    chunks = rows.groupBy("codebase_name", "file_path").agg(
-        F.count(F.lit(1)).alias("chunks"), F.sum(F.length("content").cast("bigint")).alias("characters")
-    )
-    joined = changes.join(chunks, ["codebase_name", "file_path"], "left")
+    joined = changes.join(_chunks_per_file(rows), ["codebase_name", "file_path"], "left")
     return joined.fillna(0, ["chunks", "characters"])
 
 
@@ -838,5 +958,4 @@ def render_human(spark, sf_dir):
 
 @query
 def render_machine(spark, sf_dir):
-    hits = _rag_hits(spark, sf_dir, extension_filter=".py")
-    return context_texts(hits, questions(spark, sf_dir), "machine")
+    return context_texts(_rag_hits(spark, sf_dir), questions(spark, sf_dir), "machine")

@@ -242,15 +242,25 @@ def nearest(
     return matching(ranked, where) if filter_mode == "post" else ranked
 
 
+def _is_scan(table: DataFrame) -> bool:
+    """Whether a table's rows are rows of files: what is between may only choose columns and leave rows out."""
+    node = table._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias", "Join"):
+        if node.nodeName() == "Join" and node.joinType().toString() not in ("LeftAnti", "LeftSemi"):
+            return False
+        node = node.children().apply(0)
+    return node.nodeName() in ("LogicalRelation", "Relation")
+
+
 def _late_columns(table: DataFrame, vector_col: str, ties: Sequence[str]) -> tuple[dict[str, Column], list[str]]:
     """Where a row lies, and the columns to read after the ranking; both empty unless the table is a Parquet scan."""
     varying = (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType, T.VariantType)
     late = [f.name for f in table.schema.fields if f.name not in (vector_col, *ties) and isinstance(f.dataType, varying)]
     place = {"_file": F.col("_metadata.file_path"), "_position": F.col("_metadata.row_index")}
-    if not late or "_metadata" in table.columns or set(_PLACE) & set(table.columns):
+    if not late or "_metadata" in table.columns or set(_PLACE) & set(table.columns) or not _is_scan(table):
         return {}, []
     try:
-        table.select(*place.values()).schema  # only a scan knows it  # noqa: B018
+        table.select(*place.values()).schema  # of other formats than Parquet, rows have no number  # noqa: B018
     except AnalysisException:
         return {}, []
     return place, late

@@ -509,3 +509,93 @@ def test_a_walk_goes_on_where_a_task_stopped_and_leaves_out_pruned_folders(spark
     assert found == {"d0/a.py", "d0/d1/a.py", "d0/d1/d2/a.py", "kept/sub/b.js"}
     walked = {r.file_path for r in sm.walk_files(spark, str(tmp_path), ["d1", "!a.py"]).collect()}
     assert walked == {f[len(str(tmp_path)) + 1 :] for f in every if "node_modules" not in f}
+
+
+def _versions(spark, texts):
+    rows = [(path, text, corpus) for path, text, corpus in texts]
+    frame = spark.createDataFrame(rows, "path string, body string, corpus string")
+    return sm.documents_as_files(frame, F.col("path"), "body", "corpus")
+
+
+def _held(store):
+    return sorted((r["table_name"], r["file_path"], r["content"]) for r in store.read().collect())
+
+
+def test_a_failed_replacement_changes_no_corpus(spark, store, monkeypatch):
+    first = chunks(spark, [("a", "old", [1.0, 0.0]), ("b", "old", [1.0, 0.0])])
+    both = first.withColumn("codebase_name", F.when(F.col("file_path") == "a", "one").otherwise("two"))
+    store.append(both, dim=2)
+    before = _held(store)
+    failing = both.withColumn("content", F.when(F.col("file_path") == "b", F.raise_error(F.lit("lost"))).otherwise(F.lit("new")))
+    with pytest.raises(Exception, match="lost"):
+        store.replace(failing)
+    assert _held(store) == before
+
+    def killed(*_):
+        raise KeyboardInterrupt  # after all rows are written, before the version is
+
+    with monkeypatch.context() as patch:
+        patch.setattr("shelfmark.sources.storage.write_new_text", killed)
+        with pytest.raises(KeyboardInterrupt):
+            store.replace(both.withColumn("content", F.lit("new")))
+    assert _held(store) == before
+    store.replace(both.withColumn("content", F.lit("new")))
+    assert {content for _, _, content in _held(store)} == {"new"}
+    assert store.vacuum() > 0 and {content for _, _, content in _held(store)} == {"new"}
+
+
+def test_two_writers_keep_each_others_rows(spark, store, monkeypatch):
+    from shelfmark.sources import storage
+
+    plain, raced = storage.write_new_text, []
+
+    def slower(session, location, text):
+        if not raced:  # another writer takes the number first
+            raced.append(location)
+            monkeypatch.setattr("shelfmark.sources.storage.write_new_text", plain)
+            store.append(chunks(spark, [("fast", "x", [1.0, 0.0])]), "c", 2)
+        return plain(session, location, text)
+
+    monkeypatch.setattr("shelfmark.sources.storage.write_new_text", slower)
+    store.append(chunks(spark, [("slow", "x", [1.0, 0.0])]), "c", 2)
+    assert raced and {path for _, path, _ in _held(store)} == {"fast", "slow"}
+
+
+def test_a_refresh_writes_changed_files_only(spark, store):
+    then = [("a.py", "one", "x"), ("b.py", "two", "x"), ("gone.py", "three", "x"), ("c.py", "four", "y"), (None, "no path", "x")]
+    now = [("a.py", "one", "x"), ("b.py", "two changed", "x"), ("new.py", "five", "X"), ("c.py", "four", "y"), ("z.py", "zz", "z")]
+    assert sm.refresh_corpora(store, _versions(spark, then), EMBEDDER) == {"added": 4, "changed": 0, "deleted": 0, "same": 0}
+    assert sm.refresh_corpora(store, _versions(spark, now), EMBEDDER) == {"added": 2, "changed": 1, "deleted": 1, "same": 2}
+    want = sorted((f"{c.lower()}_rag", p, t) for p, t, c in now)
+    assert _held(store) == want
+    files = store.read().select("file_path", F.col("_metadata.file_path").alias("f")).collect()
+    assert {r["file_path"] for r in files if "segment=000000000002-" in r["f"]} == {"b.py", "new.py", "z.py"}
+    assert sm.refresh_corpora(store, _versions(spark, now), EMBEDDER)["same"] == 5
+    store.vacuum()
+    assert _held(store) == want and store.count("x") == 3
+    # back again: a file that went and came counts once, and only the named corpus is looked at
+    assert sm.refresh_corpora(store, _versions(spark, then[:3]), EMBEDDER, "x") == {"added": 1, "changed": 1, "deleted": 1, "same": 1}
+    assert [r[1:] for r in _held(store) if r[0] == "x_rag"] == [("a.py", "one"), ("b.py", "two"), ("gone.py", "three")]
+    assert sm.refresh_corpora(store, _versions(spark, then[:1]).limit(0), EMBEDDER, "x")["deleted"] == 3
+    assert store.exists("x") and store.count("x") == 0 and store.count("y") == 1
+
+
+def test_a_refresh_of_rows_without_fingerprints(spark, store):
+    documents = _versions(spark, [("a.py", "one", "x"), ("b.py", "two", "x")])
+    sm.index_documents(documents, store, EMBEDDER)
+    assert sm.refresh_corpora(store, documents.where("file_path = 'a.py'"), EMBEDDER) == {"added": 0, "changed": 1, "deleted": 1, "same": 0}
+    assert _held(store) == [("x_rag", "a.py", "one")]
+    store.replace(chunks(spark, [("r", "x", [1.0] * 16)]), "x")
+    assert [r[1] for r in _held(store)] == ["r"] and store.fingerprints("x").count() == 0
+
+
+def test_a_batch_of_a_stream_counts_once(spark, store):
+    documents = _versions(spark, [("a.py", "one", "x")])
+    for number, texts in ((0, "one"), (0, "ignored"), (1, "two")):
+        batch = documents.withColumn("content", F.lit(texts))
+        sm.refresh_corpora(store, batch, EMBEDDER, delete_missing=False, stream=("log", number))
+    assert _held(store) == [("x_rag", "a.py", "two")]
+    rows = chunks(spark, [("r", "x", [1.0] * 16)])
+    for number in (2, 2, 1, 3):
+        store.append(rows, "x", stream=("log", number))
+    assert store.count("x") == 3
