@@ -135,24 +135,31 @@ def with_findings(versions: DataFrame, found: DataFrame, text: str = "text", int
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """The text with every span replaced by [kind]; overlapping spans become one."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with every span replaced by [kind]; overlapping spans become one.
+
+    The spans (by start) are first reduced to the parts of the text that stay. These are cut
+    out of its UTF-32 form, where a place is found without walking over what is before it.
+    """
+    begin = F.expr("struct(0 AS at, cast(array() AS array<struct<begin: int, end: int, kind: string>>) AS parts)")
 
     def step(state: Column, span: Column) -> Column:
+        part = F.struct(state["at"].alias("begin"), span["start"].alias("end"), span["kind"].alias("kind"))
         fresh = span["start"] >= state["at"]
         return F.struct(
             F.greatest(state["at"], span["end"]).alias("at"),
-            F.when(
-                fresh,
-                F.concat(state["out"], F.substring(text, state["at"] + 1, span["start"] - state["at"]), F.lit("["), span["kind"], F.lit("]")),
-            )
-            .otherwise(state["out"])
-            .alias("out"),
+            F.when(fresh, F.array_append(state["parts"], part)).otherwise(state["parts"]).alias("parts"),
         )
 
-    return F.when(F.size(spans) == 0, text).otherwise(
-        F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    )
+    def cut(units: Column, first: Column, last: Column) -> Column:
+        return F.decode(F.substring(units, 4 * first + 1, 4 * (last - first)), "UTF-32")
+
+    def rebuilt(row: Column) -> Column:
+        parts = F.transform(row["kept"]["parts"], lambda p: F.concat(cut(row["units"], p["begin"], p["end"]), F.lit("["), p["kind"], F.lit("]")))
+        return F.concat(F.array_join(parts, ""), cut(row["units"], row["kept"]["at"], row["length"]))
+
+    # One entry through a transform, so that what its parts share is computed once.
+    row = F.struct(F.encode(text, "UTF-32").alias("units"), F.length(text).alias("length"), F.aggregate(spans, begin, step).alias("kept"))
+    return F.when(F.size(spans) == 0, text).otherwise(F.get(F.transform(F.array(row), rebuilt), 0))
 
 
 def document_secrets(docs: DataFrame, ledger_folder: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -23,11 +23,15 @@ MAX_CHUNK = 4096
 #: Characters of chunks that a task remembers with their tokens; those unused longest go first.
 REMEMBERED = 8_000_000
 
+#: Runs of white space from this length on are cut by hand: the regular expression beneath runs out of stack on a million.
+LONG_SPACE = 100_000
+
 _ROLL = np.uint32(0x01000193)
 _SPREAD = np.uint32(0x9E3779B1)
 #: Between these two characters a new piece always begins, whatever surrounds them: every alternative of the
 #: splitting pattern takes white space at its start or takes nothing else.
 _SAFE = regex.compile(r"\S(?=\s)")
+_LONG_SPACE = regex.compile(rf"\p{{White_Space}}{{{LONG_SPACE},}}+")
 
 
 def default_path() -> str:
@@ -117,10 +121,27 @@ class ChunkEncoder:
             if begin < 0:
                 join += chunk
                 continue
-            ids += self.coder.encode_ordinary(join + chunk[:begin])
+            ids += self._pieces(join + chunk[:begin])
             ids += tokens
             join = chunk[end:]
-        return ids + self.coder.encode_ordinary(join)
+        return ids + self._pieces(join)
+
+    def _pieces(self, text: str) -> list[int]:
+        """Tokens of a text, found by the pattern's pieces.
+
+        A long run of white space is one piece but for its last character, which may begin the
+        next piece; at the end of the text it is one piece as a whole. A piece is merged without the pattern.
+        """
+        if len(text) < LONG_SPACE:
+            return self.coder.encode_ordinary(text)
+        ids: list[int] = []
+        at = 0
+        for run in _LONG_SPACE.finditer(text):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            ids += self.coder.encode_ordinary(text[at : run.start()])
+            ids += self.coder._encode_single_piece(text[run.start() : end])
+            at = end
+        return ids + self.coder.encode_ordinary(text[at:])
 
     def encode(self, text: str) -> list[int]:
         if self.split is None:

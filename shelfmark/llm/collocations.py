@@ -1,10 +1,10 @@
 """Collocations of words: only the longest windows are counted; a ROLLUP sums shorter phrases out of them.
 
-Most windows of a text occur once, and exchanging them all costs many times the text. So
-hashes of neighbouring words are counted first, and a window ends before the first pair
-whose hash occurs too seldom: no candidate reaches over it. A hash that several pairs share
-only keeps more windows than needed. The marks are a bitmap of fixed size, whatever the input; when
-it fills up, less is pruned, and the results stay the same.
+Most windows of a text occur once, and exchanging their words costs many times the text. So
+32-bit hashes of windows and their beginnings are counted first, and a window ends where the hash
+of its beginning occurs too seldom: no candidate begins like that. A hash that several
+phrases share only keeps more words than needed. The marks are a bitmap of fixed size, whatever the
+input; when it fills up, less is pruned, and the results stay the same.
 """
 
 import zlib
@@ -26,8 +26,8 @@ TOP = 2000
 #: A phrase goes if a longer one around it has at least this share of its occurrences, in percent.
 COVERED_PERCENT = 50
 SCALE = 1_000_000
-#: Bits of the map of frequent pairs (8 MB), as a power of two; 64 to a word.
-PAIR_BITS = 26
+#: Bits of the map of frequent phrases (8 MB), as a power of two; 64 to a word.
+MAP_BITS = 26
 #: Bytes of a long text that are worked on at a time, up to the next mark.
 PIECE = 1 << 20
 
@@ -62,17 +62,17 @@ class Words:
         np.cumsum(self.lengths, out=offsets[1:])
         return pa.LargeStringArray.from_buffers(len(self), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(self.letters)))
 
-    def pairs(self, seeds: np.ndarray) -> np.ndarray:
-        """A hash of each word and the next one under its text's seed, in the upper 32 bits; for the last word, 0."""
-        if not len(self):
-            return np.zeros(0, np.uint64)
+    def prefixes(self, seeds: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For 2 to ``order`` words from each word on: their hash of 32 bits under the text's seed, and whether they are in one piece."""
         first = np.cumsum(self.lengths) - self.lengths
         inside = np.arange(len(self.letters)) - np.repeat(first, self.lengths)
         values = (self.letters + np.uint64(1)) * powers(int(self.lengths.max()))[inside]
-        hashes = mix(np.add.reduceat(values, first) + self.lengths.astype(np.uint64))
-        out = np.zeros(len(self), np.uint64)
-        out[:-1] = mix(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:] + seeds[self.text[:-1]]) >> np.uint64(32)
-        return out
+        word = mix(np.add.reduceat(values, first) + self.lengths.astype(np.uint64))
+        value = word + seeds[self.text]
+        for k in range(1, order):
+            value = mix(value[:-1] * np.uint64(0x9E3779B97F4A7C15) + word[k:])
+            whole = self.piece[k:] == self.piece[: len(self) - k]
+            yield (value >> np.uint64(32)).astype(np.uint32), whole
 
 
 def _words(data: np.ndarray, bounds: np.ndarray) -> Words:
@@ -121,26 +121,26 @@ def _texts(docs: DataFrame, text: str, lang: str) -> DataFrame:
     )
 
 
-def frequent_pairs(docs: DataFrame, least: int = LEAST, text: str = "text", lang: str = "lang") -> np.ndarray:
-    """A map of 2^PAIR_BITS bits in words of 64: hashes of neighbouring words met at least ``least`` times in a language."""
+def frequent_phrases(docs: DataFrame, order: int = ORDER, least: int = LEAST, text: str = "text", lang: str = "lang") -> np.ndarray:
+    """A map of 2^MAP_BITS bits in words of 64: hashes of 2 to ``order`` words met at least ``least`` times in a language."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seeds, found = _seeds(batch.column(0)), []
+            seeds, found = _seeds(batch.column(0)), [np.zeros(0, np.uint32)]
             for start, data, bounds in _parts(batch.column(1)):
                 words = _words(data, bounds)
-                found.append(words.pairs(seeds[start:])[:-1][words.piece[1:] == words.piece[:-1]].astype(np.uint32))
-            pairs, times = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint32), return_counts=True)
-            for i in range(0, len(pairs), 100_000):
-                part = [pa.array(pairs[i : i + 100_000].view(np.int32)), pa.array(times[i : i + 100_000])]
-                yield pa.RecordBatch.from_arrays(part, ["pair", "f"])
-
-    pairs = _texts(docs, text, lang).mapInArrow(count, "pair int, f long").groupBy("pair").agg(F.sum("f").alias("f"))
-    frequent = pairs.where(F.col("f") >= least)
-    at = F.shiftright(F.pmod(F.col("pair").cast("long"), F.lit(2**PAIR_BITS)), 6).alias("at")
-    mark = F.expr("shiftleft(1L, cast(pmod(pair, 64) as int))").alias("mark")
-    filled = frequent.select(at, mark).groupBy("at").agg(F.bit_or("mark").alias("marks")).toArrow()
-    marks = np.zeros(2 ** (PAIR_BITS - 6), np.int64)
+                if len(words):
+                    found += [hashes[whole] for hashes, whole in words.prefixes(seeds[start:], order)]
+            hashes, times = np.unique(np.concatenate(found), return_counts=True)
+            for i in range(0, len(hashes), 100_000):
+                part = [pa.array(hashes[i : i + 100_000].view(np.int32)), pa.array(times[i : i + 100_000])]
+                yield pa.RecordBatch.from_arrays(part, ["hash", "f"])
+
+    counts = _texts(docs, text, lang).mapInArrow(count, "hash int, f long").groupBy("hash").agg(F.sum("f").alias("f"))
+    at = F.shiftright(F.pmod(F.col("hash").cast("long"), F.lit(2**MAP_BITS)), 6).alias("at")
+    mark = F.expr("shiftleft(1L, cast(pmod(hash, 64) as int))").alias("mark")
+    filled = counts.where(F.col("f") >= least).select(at, mark).groupBy("at").agg(F.bit_or("mark").alias("marks")).toArrow()
+    marks = np.zeros(2 ** (MAP_BITS - 6), np.int64)
     marks[filled.column("at").to_numpy()] = filled.column("marks").to_numpy()
     return marks.view(np.uint64)
 
@@ -149,8 +149,8 @@ def windows(docs: DataFrame, order: int = ORDER, marks: np.ndarray | None = None
     """lang, w1 ... w<order>, f: for every word, itself and the words that follow it in its piece, padded with ''.
 
     The columns of following words are the column of words moved up; equal windows of a part
-    of a batch are one row with their number f. ``marks`` is a map of pairs: a window is cut before its
-    first pair that is not in it. Texts stay where they are.
+    of a batch are one row with their number f. With ``marks``, a map of frequent phrases, a window
+    is cut after its longest beginning in it. Texts stay where they are.
     """
     names = _columns(order)
 
@@ -163,16 +163,17 @@ def windows(docs: DataFrame, order: int = ORDER, marks: np.ndarray | None = None
                 words = _words(data, bounds)
                 if not len(words):
                     continue
-                together = np.append(words.piece[1:] == words.piece[:-1], False)
-                if marks is not None:
-                    bit = words.pairs(seeds[start:]) & np.uint64(2**PAIR_BITS - 1)
-                    together &= (marks[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
                 coded = words.strings().dictionary_encode()
                 code = coded.indices.to_numpy()
                 columns, reaches = [code], np.ones(len(words), bool)
-                for i in range(1, order):
-                    reaches = reaches & np.append(together[i - 1 :], np.zeros(i - 1, bool))
-                    columns.append(np.where(reaches, np.append(code[i:], np.full(i, -1, code.dtype)), -1))
+                for i, (hashes, whole) in enumerate(words.prefixes(seeds[start:], order), 1):
+                    if marks is not None:
+                        bit = hashes & np.uint32(2**MAP_BITS - 1)
+                        whole = whole & ((marks[bit >> 6] >> (bit & np.uint32(63)).astype(np.uint64)) & np.uint64(1) == 1)
+                    reaches = reaches[: len(whole)] & whole
+                    column = np.full(len(words), -1, code.dtype)
+                    column[: len(whole)][reaches] = code[i:][reaches]
+                    columns.append(column)
                 keys = {"lang": language[start + words.text], **dict(zip(names, columns, strict=True))}
                 counted = pa.table(keys).group_by(list(keys)).aggregate([([], "count_all")])
                 made = [languages.take(counted["lang"].combine_chunks())]
@@ -194,7 +195,7 @@ def phrase_counts(docs: DataFrame, order: int = ORDER, least: int = LEAST, text:
     then, whatever share of the text they hold.
     """
     names = _columns(order)
-    pruned = windows(docs, order, frequent_pairs(docs, least, text, lang), text, lang)
+    pruned = windows(docs, order, frequent_phrases(docs, order, least, text, lang), text, lang)
     longest = pruned.groupBy("lang", *names).agg(F.sum("f").alias("f"))
     last = F.when(F.col("f") >= least, F.col(names[-1])).otherwise(F.lit(_PAD))
     rolled = longest.withColumn(names[-1], last).rollup("lang", *names).agg(F.sum("f").alias("f"), F.grouping_id().alias("gone"))

@@ -10,6 +10,8 @@ WINDOW_WORDS = 10
 PROBES = 2
 #: Item windows, items or candidate documents (two numbers each, or one item's words) that a broadcast may hold.
 BROADCAST_TERMS = 200_000
+#: Bytes of words or ids that a broadcast may hold.
+BROADCAST_BYTES = 32 * 1024 * 1024
 
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -51,14 +53,22 @@ def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text",
     """item_id, first (position) and terms of each window of ``size`` words; a shorter item is one window.
 
     Repeated items count once, items that share an id stay apart; items without words have no window.
+    Equal windows of an item are one, at the first place.
     """
     split = items.select(
         F.col(item_id).cast("string").alias("item_id"), words(F.col(text).cast("string")).alias("terms")
     ).where(F.size("terms") > 0)
     first = F.explode(F.sequence(F.lit(0), F.greatest(F.size("terms") - size, F.lit(0)))).alias("first")
-    return split.select("item_id", F.xxhash64("item_id", "terms").alias("item_key"), first, "terms").distinct().select(
+    cut = split.select("item_id", F.xxhash64("item_id", "terms").alias("item_key"), first, "terms").select(
         "item_id", "item_key", "first", F.slice("terms", F.col("first") + 1, size).alias("terms")
     )
+    return cut.groupBy("item_id", "item_key", "terms").agg(F.min("first").alias("first")).select("item_id", "item_key", "first", "terms")
+
+
+def _small_texts(frame: DataFrame, texts: Column) -> DataFrame:
+    """The (saved) frame with a broadcast hint if rows and the bytes of ``texts`` are both few."""
+    rows, size = frame.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(texts)), F.lit(0))).head()
+    return F.broadcast(frame) if rows <= BROADCAST_TERMS and size <= BROADCAST_BYTES else frame
 
 
 def phrase_hits(docs: DataFrame, windows: DataFrame, probes: int = PROBES) -> DataFrame:
@@ -72,7 +82,7 @@ def phrase_hits(docs: DataFrame, windows: DataFrame, probes: int = PROBES) -> Da
     """
     numbered = saved(windows, "windows")
     place = numbered.select("item_key", "first", F.posexplode("terms").alias("offset", "term"))
-    vocabulary = small(saved(place.select("term").distinct(), "terms"), BROADCAST_TERMS)
+    vocabulary = _small_texts(saved(place.select("term").distinct(), "terms"), F.col("term"))
     known = saved(term_counts(docs, vocabulary), "counts")
     rarity = Window.partitionBy("item_key", "first").orderBy(F.coalesce("n", F.lit(0)), "offset")
     probe = saved(
@@ -84,25 +94,24 @@ def phrase_hits(docs: DataFrame, windows: DataFrame, probes: int = PROBES) -> Da
     )
     places = saved(probe.select("item_key", "term", "at").distinct(), "places")
     found = (
-        postings(docs, small(places, BROADCAST_TERMS))
+        postings(docs, _small_texts(places, F.col("term")))
         .groupBy("doc_id", "content_key", "item_key", (F.col("position") - F.col("at")).alias("shift"))
         .agg(F.collect_set("at").alias("ats"))
     )
-    needed = probe.groupBy("item_key", "first").agg(F.collect_set("at").alias("needed"))
-    per_item = small(
-        saved(
-            needed.groupBy("item_key").agg(F.collect_list(F.struct("first", "needed")).alias("windows")),
-            "needed",
-        ),
-        BROADCAST_TERMS,
-    )
-    aligned = F.filter("windows", lambda w: F.size(F.array_except(w["needed"], F.col("ats"))) == 0)
+    # Most shifts have fewer terms in step than any window of the item asks for; only the others are looked at by window.
+    needed = probe.groupBy("item_key", "first").agg(F.count(F.lit(1)).alias("needed"))
+    fewest = small(saved(needed.groupBy("item_key").agg(F.min("needed").alias("fewest")), "needed"), BROADCAST_TERMS)
+    in_step = found.join(fewest, "item_key").where(F.size("ats") >= F.col("fewest"))
+    by_place = small(saved(probe.select("item_key", "first", "at").join(needed, ["item_key", "first"]), "places"), BROADCAST_TERMS)
     candidates = saved(
-        found.join(per_item, "item_key")
-        .select("doc_id", "content_key", "item_key", "shift", F.explode(F.transform(aligned, lambda w: w["first"])).alias("first")),
+        in_step.select("doc_id", "content_key", "item_key", "shift", F.explode("ats").alias("at"))
+        .join(by_place, ["item_key", "at"])
+        .groupBy("doc_id", "content_key", "item_key", "shift", "first", "needed")
+        .agg(F.count(F.lit(1)).alias("met"))
+        .where("met = needed"),
         "candidates",
     )
-    terms = small(numbered.select("item_id", "item_key", "first", "terms"), BROADCAST_TERMS)
+    terms = _small_texts(numbered.select("item_id", "item_key", "first", "terms"), F.array_join("terms", ""))
     claims = candidates.join(terms, ["item_key", "first"]).select(
         "doc_id", "content_key", "item_id", (F.col("shift") + F.col("first")).alias("start"), "terms"
     ).where("start >= 0")
@@ -113,7 +122,9 @@ def phrase_hits(docs: DataFrame, windows: DataFrame, probes: int = PROBES) -> Da
     same = F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("content_key") == F.col("key_"))
     # The numbers of the few documents with claims filter the others out before any text is shuffled.
     split = docs.join(small(wanted.select("id_", "key_")), same, "left_semi").join(wanted, same).select("doc_id", "content_key", "claims", words(F.col("text")).alias("words"))
-    true = F.filter("claims", lambda c: F.slice(F.col("words"), c["start"] + 1, F.size(c["terms"])) == c["terms"])
+    # Word by word: a slice in a lambda would copy the whole text for each claim.
+    other = lambda c: F.transform(c["terms"], lambda t, i: F.coalesce(F.get("words", c["start"] + i) != t, F.lit(True)))
+    true = F.filter("claims", lambda c: ~F.exists(other(c), lambda differs: differs))
     return (
         split.select("doc_id", "content_key", F.explode(true).alias("hit"))
         .select("doc_id", "content_key", "hit.item_id", "hit.start", (F.col("hit.start") + F.size("hit.terms")).alias("stop"))
@@ -160,13 +171,14 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS, d
     rows = _documents(docs, doc_id, text)
     hits = phrase_hits(rows, item_windows(items, size=size))
     covered = F.size(F.array_distinct(F.flatten(F.collect_list(F.sequence("start", F.col("stop") - 1))))).cast("long")
-    per_document = small(
+    per_document = _small_texts(
         saved(
             hits.groupBy("doc_id", "content_key").agg(
                 covered.alias("hit"), F.sort_array(F.collect_set("item_id")).alias("items")
             ),
             "hits",
-        )
+        ),
+        F.array_join("items", ","),
     )
     per_document = per_document.withColumnsRenamed({"doc_id": "id_", "content_key": "key_"})
     no_items = F.array().cast("array<string>")

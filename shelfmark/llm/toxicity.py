@@ -223,9 +223,12 @@ def _sample(docs: DataFrame, labels: DataFrame, per_class: int, label: str) -> D
         top = distinct.where(F.col("y") == value).orderBy("key").limit(per_class)
         chosen = top if chosen is None else chosen.union(top)
     chosen = saved(chosen, "sample")
+    # Rows that repeat a chosen one are one text again, per task first.
     return (
         rows.join(F.broadcast(chosen.select("doc_id", "key", "y")), "doc_id")
         .where(F.xxhash64("text") == F.col("key"))
+        .groupBy("key", "y")
+        .agg(F.first("text").alias("text"))
         .select("text", "y", F.pmod(F.col("key"), F.lit(10)).cast("int").alias("part"))
     )
 
@@ -283,7 +286,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS,
     x = np.array(rest.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
     y, part = rest.column("y").to_numpy().astype(float), rest.column("part").to_numpy()
     fit, hold = part < 8, part >= 8
-    if not (len(y) and 0 < y[fit].mean() < 1 and 0 < y[hold].mean() < 1):
+    if any(len(set(y[rows])) < 2 for rows in (fit, hold)):
         return ToxicityModel(lexicon, None, np.zeros(0), np.zeros(0))
     trees = Trees().fit(x[fit], y[fit])
     at, rate = isotonic(trees.margin(x[hold]), y[hold])

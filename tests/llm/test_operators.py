@@ -539,3 +539,51 @@ def test_obfuscated_words_and_second_person():
     value = dict(zip(toxicity.FEATURES, toxicity.features("You 1d10t! losers, LOSERVILLE", lexicon), strict=True))
     assert value["heaviest"] == 3.0 and value["near_you"] > 0 and value["obfuscated"] > 0 and value["capitals"] > 0.3
     assert toxicity.features("", lexicon) == [0.0] * len(toxicity.FEATURES)
+
+
+# -- long runs, repeats ---------------------------------------------------------------
+
+
+@pytest.mark.parametrize("character", [" ", "\n", "\t", "^", "a", "\u3000"])
+def test_bpe_of_long_runs(character):
+    tokenizer, coder = reference_tokenizer(), bpe.ChunkEncoder(bpe.default_path())
+    run = character * 2_000_000
+    for text in (f"x{run}y", run, f"a b {run} c{run[:150_000]}"):
+        assert coder.encode(text) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_repeated_labelled_rows_are_one_of_the_sample(spark):
+    rng = random.Random(2)
+    rows = [(i, sentence(rng, 20)) for i in range(60)]
+    docs = spark.createDataFrame(rows + [rows[0]] * 5000, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    sample = [tuple(r)[:2] for r in toxicity._sample(docs, labels, 20, "toxic").collect()]
+    assert len(sample) == len(set(sample)) and all(sum(y == k for _, y in sample) <= 20 for k in (0, 1))
+
+
+def test_phrases_of_one_repeated_word(spark):
+    import time
+
+    item = spark.createDataFrame([("i", "zz " * 2000), ("j", "ab cd " * 300)], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "x " + "zz " * 20_000), (2, "zz " * 9), (3, "q " + "ab cd " * 1000 + "ab")], "doc_id long, text string")
+    phrase_index.contamination(docs.limit(1), item.limit(0)).collect()
+    began = time.time()
+    found = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"]) for r in phrase_index.contamination(docs, item).collect()}
+    assert found == {1: (20_001, 20_000, 1), 2: (9, 0, 0), 3: (2002, 2001, 1)}
+    assert time.time() - began < 60
+
+
+def test_redaction_takes_time_in_proportion(spark):
+    import time
+
+    def seconds(n):
+        text = " ".join(f"é{i} password=abcdef{i}" for i in range(n))
+        row = spark.createDataFrame([(1, text)], "doc_id long, text string").checkpoint()
+        found = blob_ledger.findings(blob_ledger.saved(blob_ledger.scan(row), "ledger"))
+        began = time.time()
+        clean = blob_ledger.with_findings(row, found).select(blob_ledger.redacted(F.col("text"), F.col("spans"))).head()[0]
+        assert clean == " ".join(f"é{i} [assign]" for i in range(n))
+        return time.time() - began
+
+    seconds(100)
+    assert seconds(8000) < 10

@@ -3,6 +3,8 @@
 import re
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from shelfmark.llm import bpe
 from tests.llm.test_operators import brute_near, brute_spans, smallest_reachable  # noqa: F401
 
@@ -44,5 +46,22 @@ def test_odd_rows(spark):
     odd = [(1, None, "x"), (2, "", "x"), (None, "text of no number", "x"), (None, None, "x"), (3, "same words here", "x"), (3, "same words here", "x")]
     docs = spark.createDataFrame(odd, "doc_id long, text string, __other string")
     for rows in (docs, docs.limit(0)):
-        for _, stage in corpus_pipeline.STAGES:
-            assert stage(spark, rows, SF).count() == rows.count()
+        for name, stage in corpus_pipeline.STAGES:
+            repeated = name == "near_duplicates" and not rows.isEmpty()
+            assert stage(spark, rows, SF).count() == rows.count() - repeated
+
+
+def test_decisions_are_on_rows(spark):
+    """Rows without doc_id, and texts that share one, go or stay by their own text."""
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").head()["text"]
+    plain = " ".join(f"word{i}" for i in range(40))
+    other = " ".join(f"other{i}" for i in range(40))
+    rows = [(1, plain), (1, f"before {item} after"), (None, f"again {item}"), (None, other), (None, other), (2, plain + " more"), (3, "alone in here"), (0, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).checkpoint()
+    left = [tuple(r) for r in corpus_pipeline.drop_contaminated(spark, docs, SF).collect()]
+    assert sorted(left, key=str) == sorted((r for r in rows if item not in (r[1] or "")), key=str)
+    clean = docs.where(~F.contains(F.coalesce("text", F.lit("")), F.lit(item)))  # the two are copies of each other
+    left = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, clean.checkpoint(), SF).collect()]
+    assert sorted(left, key=str) == sorted({r for r in rows if r != (2, plain + " more") and item not in (r[1] or "")}, key=str)
+    named = spark.createDataFrame([(None, other), (9, other), (7, other)], "doc_id long, text string").checkpoint()
+    assert [r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, named, SF).collect()] == [7]
