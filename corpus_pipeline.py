@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm import blob_ledger, bpe, phrase_index, superminhash, toxicity
-from shelfmark.llm.common import table
+from shelfmark.llm.common import saved, table
 from shelfmark.sources import storage
 
 #: Words of a shingle of the near-duplicate stage, and the similarity in percent from which documents are linked.
 SHINGLE_WORDS = 5
 PERCENT = 80
+#: Column of the numbers of a stage's rows.
+ROW = "__row"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,18 +27,40 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.with_score(docs, model, score).where(F.col(score) < toxicity.REJECT).drop(score)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a number of their own, so that a decision is on a row, whatever its doc_id.
+
+    The number is the row's place in its part of the written table, the same each time that is read.
+    """
+    return docs.withColumn(ROW, F.monotonically_increasing_id())
+
+
+def _as_documents(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col(ROW).alias("doc_id"), "text")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies; rows without doc_id stay."""
-    parts = superminhash.near_duplicates(docs, SHINGLE_WORDS, PERCENT)
-    gone = parts.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """One row of each group of near copies: that with the smallest doc_id, one without doc_id only where all have none.
+
+    Of equal rows one stays, also of those without doc_id; rows that share a doc_id but not the text are
+    different documents. Empty and null texts are copies of nothing.
+    """
+    rows = _numbered(docs)
+    parts = superminhash.near_duplicates(_as_documents(rows), SHINGLE_WORDS, PERCENT)
+    parts = saved(parts.select(F.col("doc_id").alias(ROW), "component_id"), "groups")
+    large = parts.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id")
+    grouped = parts.join(large, "component_id", "left_semi").join(rows.select(ROW, "doc_id"), ROW)
+    first = grouped.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("first"))
+    gone = grouped.select(ROW).join(first.select(F.col("first")[ROW].alias(ROW)), ROW, "left_anti")
+    return rows.join(saved(gone, "gone"), ROW, "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of any benchmark item."""
-    found = phrase_index.contamination(docs, table(spark, sf_dir, "benchmark"))
-    gone = found.where("contaminated").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """Rows without a passage of any benchmark item, with or without a doc_id."""
+    rows = _numbered(docs)
+    found = phrase_index.contamination(_as_documents(rows), table(spark, sf_dir, "benchmark"))
+    gone = found.where("contaminated").select(F.col("doc_id").alias(ROW))
+    return rows.join(saved(gone, "gone"), ROW, "left_anti").select(*docs.columns)
 
 
 def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
