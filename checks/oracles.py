@@ -608,6 +608,7 @@ bm25 AS MATERIALIZED (
 
 
 ORACLES["keyword_search"] = f"WITH {_keyword_ctes('documents', 'doc_id', 'text', 10)} SELECT * FROM bm25"
+ORACLES["keyword_indexed"] = ORACLES["keyword_search"]
 ORACLES["hybrid_search"] = f"""WITH RECURSIVE {_hits(20)},
 {_keyword_ctes('corpus', 'id, chunk_index', 'content', 20)},
 both_ranks AS (

@@ -35,6 +35,7 @@ from shelfmark import (
 )
 from shelfmark.functions import display, globs, html, ids, paths, text
 from shelfmark.operators import embedding, filters, hybrid, stats
+from shelfmark.operators.keyword_index import KeywordIndex
 from shelfmark.plans import incremental, indexing
 from shelfmark.sources import storage
 from shelfmark.sources.corpus import with_defaults
@@ -867,6 +868,15 @@ def keyword_search(spark, sf_dir):
     return hybrid.keyword_ranks(documents, questions(spark, sf_dir), 10, "text", ["doc_id"])
 
 
+@query
+def keyword_indexed(spark, sf_dir):
+    """The same hits from a stored index, opened again after it was built."""
+    documents = table(spark, sf_dir, "documents")
+    location = f"{storage.shared_folder(spark)}/keyword-index-{uuid.uuid4().hex}"
+    KeywordIndex.build(documents, location, "text", ["doc_id"])
+    return KeywordIndex(spark, location).search(questions(spark, sf_dir), 10)
+
+
 @query
 def page_index(spark, sf_dir):
     """Pages as text, one corpus per host, chunked and embedded."""

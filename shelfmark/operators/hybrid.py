@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from shelfmark.operators.search import top_per_query
@@ -15,8 +15,15 @@ RANK_OFFSET = 60
 SCORE_DIGITS = 6
 
 
-def _words(text_col: str):
-    return F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit(WORD), F.lit(0))
+def words_of(text: Column | str) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+
+
+def term_weight(corpus: Row) -> Column:
+    """What ``_count`` occurrences of a word that ``_rows`` rows hold add to a row of ``_length`` words."""
+    rarity = F.log1p((corpus["rows"] - F.col("_rows") + 0.5) / (F.col("_rows") + 0.5))
+    damped = SATURATION * (1 - LENGTH_WEIGHT + LENGTH_WEIGHT * F.col("_length") / corpus["length"])
+    return rarity * F.col("_count") * (SATURATION + 1) / (F.col("_count") + damped)
 
 
 def keyword_ranks(
@@ -33,11 +40,12 @@ def keyword_ranks(
     ranked, so that equal rows tie, and ties follow the keys.
 
     Words that no query asks for are dropped before anything is counted or shuffled; where the
-    words asked for are few, Spark sends them to the rows instead of the rows to them.
+    words asked for are few, Spark sends them to the rows instead of the rows to them. For many
+    questions with common words, :class:`keyword_index.KeywordIndex` gives the same rows for less.
     """
     k = positive("k", k, SEARCH_LIMIT)
-    asked = queries.select("query_id", F.explode(F.array_distinct(_words("query_text"))).alias("_term"))
-    rows = table.select(*keys, _words(text_col).alias("_words")).withColumn("_length", F.size("_words"))
+    asked = queries.select("query_id", F.explode(F.array_distinct(words_of("query_text"))).alias("_term"))
+    rows = table.select(*keys, words_of(text_col).alias("_words")).withColumn("_length", F.size("_words"))
     # counts over all rows, as one value each
     corpus = rows.agg(F.struct(F.count(F.lit(1)).alias("rows"), F.avg("_length").alias("length"))).scalar()
     counted = (
@@ -47,12 +55,9 @@ def keyword_ranks(
         .agg(F.count(F.lit(1)).alias("_count"))
     )
     found_in = counted.groupBy("_term").agg(F.count(F.lit(1)).alias("_rows"))
-    rarity = F.log1p((corpus["rows"] - F.col("_rows") + 0.5) / (F.col("_rows") + 0.5))
-    damped = SATURATION * (1 - LENGTH_WEIGHT + LENGTH_WEIGHT * F.col("_length") / corpus["length"])
-    weight = rarity * F.col("_count") * (SATURATION + 1) / (F.col("_count") + damped)
     scored = (
         counted.join(found_in, "_term")
-        .select(*keys, "_term", weight.alias("_weight"))
+        .select(*keys, "_term", term_weight(corpus).alias("_weight"))
         .join(asked, "_term")
         .groupBy("query_id", *keys)
         .agg(F.round(F.sum("_weight"), SCORE_DIGITS).alias("keyword_score"))
