@@ -267,15 +267,15 @@ SELECT vec_id, len(v)::INT AS vector_length,
   len(list_filter(v, lambda x: isnan(x)))::INT AS nan_count,
   v IS NULL OR len(v) <> {DIM} AS wrong_length,
   vec_id % 7 > 3 AS vector_ok,
-  CASE WHEN vec_id % 7 > 3 THEN round(list_min(v)::DOUBLE, 6) END AS vector_min,
-  CASE WHEN vec_id % 7 > 3 THEN round(list_max(v)::DOUBLE, 6) END AS vector_max
+  round(list_min(v)::DOUBLE, 6) AS vector_min, round(list_max(v)::DOUBLE, 6) AS vector_max
 FROM broken"""
-ORACLES["vector_quality"] = """SELECT label, count(*) AS vectors,
+ORACLES["vector_quality"] = f"""WITH {_BROKEN} SELECT label, count(*) AS vectors,
   count(*) FILTER (vec_id % 7 > 3) AS valid,
   count(*) FILTER (vec_id % 7 IN (2, 3)) AS wrong_length,
   count(*) FILTER (vec_id % 7 = 1) AS with_inf,
-  count(*) FILTER (vec_id % 7 = 0) AS with_nan
-FROM embeddings GROUP BY label"""
+  count(*) FILTER (vec_id % 7 = 0) AS with_nan,
+  round(min(list_min(v))::DOUBLE, 6) AS smallest, round(max(list_max(v))::DOUBLE, 6) AS largest
+FROM broken GROUP BY label"""
 ORACLES["vector_repair"] = """SELECT label, 'drop' AS mode, count(*) FILTER (vec_id % 7 > 3) AS vectors,
   0::BIGINT AS zero_vectors FROM embeddings GROUP BY label HAVING vectors > 0
 UNION ALL
@@ -414,6 +414,8 @@ SELECT doc_id, CASE doc_id % 7
   END AS text FROM raw"""
 ORACLES["decode_marked"] = """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '' ELSE chr(65279) END
   || regexp_replace(text, '\\r\\n?', chr(10), 'g') AS text FROM documents"""
+ORACLES["decode_wide"] = """SELECT doc_id, text IS NULL OR doc_id % 4 = 3 AS is_binary,
+  CASE WHEN doc_id % 4 < 3 THEN regexp_replace(text, '\\r\\n?', chr(10), 'g') END AS text FROM documents"""
 ORACLES["extension_filter"] = f"""WITH {FILES}
 SELECT file_path, '.py' AS extension, size_bytes FROM files
 WHERE ends_with(file_path, '.py') AND size_bytes > 500"""

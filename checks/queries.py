@@ -308,15 +308,16 @@ def vector_checks(spark, sf_dir):
         "nan_count",
         "wrong_length",
         "vector_ok",
-        F.when(F.col("vector_ok"), _r6(F.col("vector_min").cast("double"))).alias("vector_min"),
-        F.when(F.col("vector_ok"), _r6(F.col("vector_max").cast("double"))).alias("vector_max"),
+        _r6(F.col("vector_min").cast("double")).alias("vector_min"),
+        _r6(F.col("vector_max").cast("double")).alias("vector_max"),
     )
 
 
 @query
 def vector_quality(spark, sf_dir):
     summary = embedding.vector_quality(broken_vectors(spark, sf_dir), DIM, by=["label"])
-    return summary.drop("smallest", "largest")
+    ends = {name: _r6(F.col(name).cast("double")) for name in ("smallest", "largest")}
+    return summary.withColumns(ends)
 
 
 @query
@@ -557,6 +558,21 @@ def decode_marked(spark, sf_dir):
     return documents.select("doc_id", text.decoded(marked).alias("text"))
 
 
+@query
+def decode_wide(spark, sf_dir):
+    """Every text as UTF-16 or UTF-32 behind its mark; a byte too many at the end makes one binary."""
+    documents = table(spark, sf_dir, "documents")
+    kind = F.col("doc_id") % 4
+    content = (
+        F.when(kind == 0, F.concat(F.lit(bytearray(b"\xff\xfe")), F.encode("text", "UTF-16LE")))
+        .when(kind == 1, F.concat(F.lit(bytearray(b"\xfe\xff")), F.encode("text", "UTF-16BE")))
+        .when(kind == 2, F.concat(F.lit(bytearray(b"\0\0\xfe\xff")), F.encode("text", "UTF-32")))
+        .otherwise(F.concat(F.lit(bytearray(b"\xff\xfe")), F.encode("text", "UTF-16LE"), F.lit(bytearray(b"\0"))))
+    )
+    made = documents.select("doc_id", text.head_is_binary(content).alias("is_binary"), text.decoded(content).alias("text"))
+    return made.withColumn("text", F.when(~F.col("is_binary"), F.col("text")))
+
+
 @query
 def extension_filter(spark, sf_dir):
     files = document_files(spark, sf_dir).withColumn(

@@ -12,12 +12,12 @@ from shelfmark.functions.text import chunk_budget, strip
 from shelfmark.schema import CONTEXT_TOKENS, positive
 
 # The regular-expression engine goes one level deeper at each change between one-unit
-# and two-unit characters in a repetition, up to the budget. Beyond this many
-# characters, two-unit ones (emoji and other supplementary characters) are stood in for.
-_DIRECT_BUDGET = 2048
+# and two-unit characters in a repetition, up to the budget. So two-unit ones (emoji and
+# other supplementary characters) are stood in for, and texts read in pieces of so many characters.
+_PIECE = 1024
 _SUPPLEMENTARY = r"[\x{10000}-\x{10FFFF}]"
 
-# Line numbers are summed up in slices of so many chunks, as a fold that grows one array copies it each time.
+# Lines and lengths are summed up in slices of so many chunks, as a fold that grows one array copies it each time.
 _FOLD = 256
 
 CHUNK_FIELDS = ("content", "start_line", "end_line", "chunk_index", "total_chunks")
@@ -64,26 +64,28 @@ def _stand_in(text: Column) -> Column:
 
 
 def _cut_as(text: Column, parts: Column) -> Column:
-    """The text cut into parts as long as the given ones."""
-    spans = F.aggregate(
-        F.transform(parts, F.length),
-        F.expr("struct(0 AS total, cast(array() AS array<struct<begin: int, size: int>>) AS spans)"),
-        lambda state, size: F.struct(
-            (state["total"] + size).alias("total"),
-            F.array_append(
-                state["spans"], F.struct(state["total"].alias("begin"), size.alias("size"))
-            ).alias("spans"),
-        ),
-        lambda state: state["spans"],
-    )
-    full = F.concat(text, F.lit("\n"))
-    return F.transform(spans, lambda s: F.substring(full, s["begin"] + 1, s["size"]))
+    """The text cut into parts as long as the given ones.
+
+    Each is put together from the pieces that it touches, as looking for a place from the text's start would take
+    quadratic time.
+    """
+    sizes = F.transform(parts, F.length)
+    pieces = F.regexp_extract_all(F.concat(text, F.lit("\n")), F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))
+
+    def part(known: Column, size: Column, index: Column) -> Column:
+        begin = F.get(known["begins"], index)
+        first, last = F.floor(begin / _PIECE), F.floor((begin + size - 1) / _PIECE)
+        touched = F.array_join(F.slice(known["pieces"], (first + 1).cast("int"), (last - first + 1).cast("int")), "")
+        return F.substring(touched, (begin % _PIECE + 1).cast("int"), size)
+
+    # One entry through a transform, so that the inner one finds everything computed.
+    known = F.struct(sizes.alias("sizes"), _running_sums(sizes, 0).alias("begins"), pieces.alias("pieces"))
+    cut = F.transform(F.array(known), lambda k: F.transform(k["sizes"], lambda size, i: part(k, size, i)))
+    return F.get(cut, 0)
 
 
 def _parts(text: Column, budget: int) -> Column:
     """The chunks of a text beyond the budget, newlines and white space still on."""
-    if budget <= _DIRECT_BUDGET:
-        return _matches(text, budget)
     return F.when(
         text.rlike(_SUPPLEMENTARY), _cut_as(text, _matches(_stand_in(text), budget))
     ).otherwise(_matches(text, budget))
@@ -116,8 +118,12 @@ def _whole_text_chunk(text: Column) -> Column:
 
 def _first_lines(parts: Column) -> Column:
     """Line each part begins in: one more than the newlines before it."""
-    counts = F.transform(parts, _newlines)
-    begins = F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1)), F.lit(_FOLD))
+    return _running_sums(F.transform(parts, _newlines), 1)
+
+
+def _running_sums(counts: Column, first: int) -> Column:
+    """``first`` and the sums of it and all counts up to each."""
+    begins = F.sequence(F.lit(1), F.greatest(F.size(counts), F.lit(1)), F.lit(_FOLD))
     slices = F.transform(begins, lambda begin: F.slice(counts, begin, _FOLD))
 
     def running(first: Column, part: Column) -> Column:
@@ -135,7 +141,7 @@ def _first_lines(parts: Column) -> Column:
         ))
         return F.get(made, 0)
 
-    start = F.struct(F.lit(1).alias("line"), F.array().cast("array<array<int>>").alias("lists"))
+    start = F.struct(F.lit(first).alias("line"), F.array().cast("array<array<int>>").alias("lists"))
     return F.aggregate(
         slices,
         start,

@@ -255,13 +255,18 @@ def degenerate_vectors(
     """Per group: vectors, and how many are zero, near-constant or a repetition of another.
 
     Near-constant: largest and smallest entry differ by at most ``spread``, zero vectors
-    aside. Repetitions are counted on hashes, each distinct vector once, before groups
+    aside. Repetitions are counted on two hashes, each distinct vector once, before groups
     meet, so one vector that is most of a corpus stays one row. Null counts as neither.
+    Vectors themselves are not shuffled.
     """
     v = F.col(vector_col)
-    named = df.select(*by, v.alias("_v"), F.xxhash64(v).alias("_hash"))
-    distinct = named.groupBy(*by, "_hash").agg(F.count("_v").alias("_n"), F.first("_v").alias("_v"))
-    low, high = F.array_min("_v"), F.array_max("_v")
+    hashes = {"_hash": F.xxhash64(v), "_other_hash": F.xxhash64(F.lit(1), v)}
+    ends = {"_low": F.array_min(v), "_high": F.array_max(v)}
+    named = df.select(*by, v.isNotNull().alias("_given"), *(c.alias(n) for n, c in (hashes | ends).items()))
+    distinct = named.groupBy(*by, *hashes).agg(
+        F.count_if("_given").alias("_n"), *(F.max(n).alias(n) for n in ends)
+    )
+    low, high = F.col("_low"), F.col("_high")
     zero = (low == 0) & (high == 0)
     constant = ~zero & (high - low <= spread)
 
