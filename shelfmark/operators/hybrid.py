@@ -19,11 +19,20 @@ def words_of(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def term_weight(corpus: Row) -> Column:
-    """What ``_count`` occurrences of a word that ``_rows`` rows hold add to a row of ``_length`` words."""
-    rarity = F.log1p((corpus["rows"] - F.col("_rows") + 0.5) / (F.col("_rows") + 0.5))
+def rarity(corpus: Row) -> Column:
+    """The factor of a word that ``_rows`` rows hold."""
+    return F.log1p((corpus["rows"] - F.col("_rows") + 0.5) / (F.col("_rows") + 0.5))
+
+
+def term_share(corpus: Row) -> Column:
+    """The factor of ``_count`` occurrences of a word in a row of ``_length`` words."""
     damped = SATURATION * (1 - LENGTH_WEIGHT + LENGTH_WEIGHT * F.col("_length") / corpus["length"])
-    return rarity * F.col("_count") * (SATURATION + 1) / (F.col("_count") + damped)
+    return F.col("_count") * (SATURATION + 1) / (F.col("_count") + damped)
+
+
+def term_weight(corpus: Row) -> Column:
+    """What these occurrences of a word add to a row's score."""
+    return rarity(corpus) * term_share(corpus)
 
 
 def keyword_ranks(

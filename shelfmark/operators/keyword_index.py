@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfmark.operators.hybrid import SCORE_DIGITS, term_weight, words_of
+from shelfmark.operators.hybrid import SCORE_DIGITS, rarity, term_share, term_weight, words_of
 from shelfmark.operators.search import top_per_query
 from shelfmark.schema import SEARCH_LIMIT, positive
 from shelfmark.sources import storage
@@ -23,7 +23,7 @@ LIST = 100_000
 _SLACK = 1.01 * 10.0**-SCORE_DIGITS
 
 
-def _text_id(text: Column) -> Column:
+def _text_hash(text: Column) -> Column:
     return F.unhex(F.md5(F.encode(text, "UTF-8")))
 
 
@@ -35,7 +35,7 @@ class KeywordIndex:
         if not storage.exists(spark, f"{self.location}/totals/_SUCCESS"):
             raise ValueError(f"no complete keyword index in {location}")
         self.totals = self._table("totals").first()
-        self.keys = [c for c in self._table("members").columns if c != "_text_id"]
+        self.keys = [c for c in self._table("members").columns if c != "_hash"]
 
     def _table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.location}/{name}")
@@ -57,43 +57,51 @@ class KeywordIndex:
             return spark.read.schema(rows.schema).parquet(f"{location}/{name}")
 
         text = F.coalesce(F.col(text_col), F.lit(""))
-        written("members", table.select(*keys, _text_id(text).alias("_text_id")))
+        written("members", table.select(*keys, _text_hash(text).alias("_hash")))
         texts = (
-            table.select(F.struct(*keys).alias("_first"), text.alias("_text"), _text_id(text).alias("_text_id"))
-            .groupBy("_text_id")
+            table.select(F.struct(*keys).alias("_first"), text.alias("_text"), _text_hash(text).alias("_hash"))
+            .groupBy("_hash")
             .agg(F.min("_first").alias("_first"), F.count(F.lit(1)).alias("_copies"), F.first("_text").alias("_text"))
-            .select("_text_id", "_first", "_copies", words_of(F.col("_text")).alias("_words"))
+            .select("_hash", "_first", "_copies", words_of(F.col("_text")).alias("_words"))
         )
         # One row per text before and after, so that all three groupings keep the partitioning of the first.
-        of_text = ["_text_id", "_first", "_copies", "_length"]
+        of_text = ["_hash", "_first", "_copies", "_length"]
         word = F.explode_outer("_words").alias("_term")
         counted = texts.select(*of_text[:3], F.size("_words").alias("_length"), word).groupBy(*of_text, "_term")
+        counted = counted.agg(F.count(F.lit(1)).cast("int").alias("_count"))
         entry = F.when(F.col("_term").isNotNull(), F.struct("_term", "_count"))  # a list leaves nulls out
-        bags = counted.agg(F.count(F.lit(1)).alias("_count")).groupBy(*of_text)
-        bags = written("bags", bags.agg(F.collect_list(entry).alias("_bag")))
+        bags = counted.groupBy(*of_text).agg(F.collect_list(entry).alias("_bag"))
+        # Numbers are short in postings; they are fixed by being written here.
+        bags = written("bags", bags.withColumn("_text", F.monotonically_increasing_id()))
 
         totals = bags.agg(
             F.coalesce(F.sum("_copies"), F.lit(0)).alias("rows"),
             F.coalesce(F.sum(F.col("_copies") * F.col("_length")) / F.sum("_copies"), F.lit(0.0)).alias("length"),
         )
         corpus = totals.first()
-        exploded = bags.select("_text_id", "_copies", "_length", F.inline("_bag"))
         words = written(
             "words",
-            exploded.groupBy("_term").agg(F.sum("_copies").alias("_rows"), F.count(F.lit(1)).alias("_texts")),
+            bags.select("_copies", F.inline("_bag"))
+            .groupBy("_term")
+            .agg(F.sum("_copies").alias("_rows"), F.count(F.lit(1)).alias("_texts")),
         )
-        dealt = exploded.join(words, "_term").select(
+        # Only words of more than one list need to say so; the others are in list 0 without a join of all words.
+        common = words.where(F.col("_texts") > LIST).select("_term", F.ceil(F.col("_texts") / LIST).alias("_lists"))
+        found = bags.select("_text", "_length", F.inline("_bag")).join(common, "_term", "left")
+        list_of = F.coalesce(F.pmod(F.xxhash64("_text"), F.col("_lists")), F.lit(0)).cast("int").alias("_list")
+        posting = F.struct((-term_share(corpus)).alias("_share"), "_text", "_count", "_length")
+        dealt = found.select("_term", list_of, posting.alias("_posting"))
+        lists = dealt.groupBy("_term", "_list").agg(F.sort_array(F.collect_list("_posting")).alias("_postings"))
+        begins = F.sequence(F.lit(1), F.size("_postings"), F.lit(BLOCK))
+        blocks = F.transform(begins, lambda begin: F.slice("_postings", begin, BLOCK))
+        blocks = lists.select("_term", "_list", F.posexplode(blocks).alias("_block", "_entries")).select(
             "_term",
-            F.pmod(F.xxhash64("_text_id"), F.ceil(F.col("_texts") / LIST)).alias("_list"),
-            term_weight(corpus).alias("_weight"),
-            "_text_id",
+            "_list",
+            "_block",
+            (-F.col("_entries")[0]["_share"]).alias("_share"),
+            F.transform("_entries", lambda e: F.struct(e["_text"], e["_count"], e["_length"])).alias("_entries"),
         )
-        falling = Window.partitionBy("_term", "_list").orderBy(F.col("_weight").desc(), "_text_id")
-        place = dealt.withColumn("_block", F.floor((F.row_number().over(falling) - 1) / BLOCK))
-        blocks = place.groupBy("_term", "_list", "_block").agg(
-            F.max("_weight").alias("_best"), F.collect_list(F.struct("_weight", "_text_id")).alias("_entries")
-        )
-        written("postings", blocks.sortWithinPartitions("_term", "_list", "_block"))
+        written("postings", blocks)
         totals.coalesce(1).write.parquet(f"{location}/totals")
         return cls(spark, location)
 
@@ -112,18 +120,22 @@ class KeywordIndex:
         that a word may add to a text it was not looked up for.
         """
         asked = queries.select("query_id", F.explode(F.array_distinct(words_of(F.col("query_text")))).alias("_term"))
-        asked = asked.distinct().join(self._table("words").select("_term", "_rows"), "_term")
-        blocks = self._table("postings").join(asked.select("_term").distinct(), "_term", "left_semi")
+        # Written first, so that Spark knows their size when it decides what to send where.
+        asked = self._kept(asked.distinct())
+        asked = self._kept(self._table("words").select("_term", "_rows").join(asked, "_term"))
+        terms = asked.select("_term", "_rows").distinct()
+        # Blocks are ranked by their heads; only those that win are read.
+        best = (rarity(self.totals) * F.col("_share")).alias("_best")
+        of_block = ["_term", "_list", "_block"]
+        blocks = self._table("postings").select(*of_block, "_share").join(terms, "_term").select(*of_block, "_rows", best)
         by_best = Window.partitionBy("_term").orderBy(F.col("_best").desc(), "_list", "_block")
-        heads = (
-            blocks.withColumn("_place", F.row_number().over(by_best))
-            .where(F.col("_place") <= -(-k // BLOCK))
-            .select("_term", "_place", "_best", "_entries")
-        )
+        heads = blocks.withColumn("_place", F.row_number().over(by_best)).where(F.col("_place") <= -(-k // BLOCK))
         heads = self._kept(heads)
-        seen = heads.join(asked, "_term").select("query_id", F.inline("_entries"))
+        entries = self._table("postings").drop("_share").join(heads.select(*of_block, "_rows"), of_block)
+        entries = self._kept(entries.select("_term", "_rows", F.inline("_entries")))
+        seen = entries.select("_term", "_text", term_weight(self.totals).alias("_weight")).join(asked, "_term")
         reached = top_per_query(
-            seen.groupBy("query_id", "_text_id").agg(F.sum("_weight").alias("_sum")), k, [F.col("_sum").desc(), F.col("_text_id")]
+            seen.groupBy("query_id", "_text").agg(F.sum("_weight").alias("_sum")), k, [F.col("_sum").desc(), F.col("_text")]
         ).where(F.col("rank") == k).select("query_id", (F.col("_sum") - _SLACK).alias("_reached"))
         most = heads.where("_place = 1").select("_term", "_best")
         rising = Window.partitionBy("query_id").orderBy("_best", "_term")
@@ -141,17 +153,18 @@ class KeywordIndex:
         )
 
     def _looked_up(self, bounds: DataFrame) -> DataFrame:
-        """``query_id, _text_id, _sum, _seen``: the weights of a text at or above the cuts, and what of the open is closed."""
-        blocks = self._table("postings").select("_term", "_best", "_entries")
+        """``query_id, _text, _sum, _seen``: the weights of a text at or above the cuts, and what of the open is closed."""
         wanted = bounds.where(F.col("_cut") < float("inf"))
-        met = blocks.join(wanted, (blocks["_term"] == wanted["_term"]) & (blocks["_best"] >= wanted["_cut"]))
-        entries = met.select("query_id", "_cut", "_open", F.inline("_entries")).where(F.col("_weight") >= F.col("_cut"))
-        return entries.groupBy("query_id", "_text_id").agg(F.sum("_weight").alias("_sum"), F.sum("_open").alias("_seen"))
+        reaches = rarity(self.totals) * F.col("_share") >= F.col("_cut")
+        met = self._table("postings").join(wanted, "_term").where(reaches)
+        entries = met.select("query_id", "_rows", "_cut", "_open", F.inline("_entries"))
+        entries = entries.withColumn("_weight", term_weight(self.totals)).where(F.col("_weight") >= F.col("_cut"))
+        return entries.groupBy("query_id", "_text").agg(F.sum("_weight").alias("_sum"), F.sum("_open").alias("_seen"))
 
     def _candidates(self, bounds: DataFrame, k: int) -> DataFrame:
-        """``query_id, _text_id`` of all texts that may be among the ``k`` best."""
+        """``query_id, _text`` of all texts that may be among the ``k`` best."""
         partial = self._kept(self._looked_up(bounds))
-        order = [F.col("_sum").desc(), F.col("_text_id")]
+        order = [F.col("_sum").desc(), F.col("_text")]
         reached = top_per_query(partial, k, order).where(F.col("rank") == k).select("query_id", F.col("_sum").alias("_reached"))
         opened = bounds.groupBy("query_id").agg(F.sum("_open").alias("_open"))
         possible = F.col("_sum") + F.col("_open") - F.col("_seen")
@@ -159,7 +172,7 @@ class KeywordIndex:
             partial.join(opened, "query_id")
             .join(reached, "query_id", "left")
             .where(F.col("_reached").isNull() | (possible >= F.col("_reached") - _SLACK))
-            .select("query_id", "_text_id")
+            .select("query_id", "_text")
         )
 
     def search(self, queries: DataFrame, k: int | None = None) -> DataFrame:
@@ -171,20 +184,20 @@ class KeywordIndex:
         k = positive("k", k, SEARCH_LIMIT)
         bounds = self._kept(self._bounds(queries, k))
         candidates = self._kept(self._candidates(bounds, k))
-        bags = self._table("bags").join(candidates.select("_text_id").distinct(), "_text_id", "left_semi")
-        words = bags.select("_text_id", "_first", "_length", F.inline("_bag"))
+        bags = self._table("bags").join(candidates.select("_text").distinct(), "_text", "left_semi")
+        words = bags.select("_text", "_hash", "_first", "_length", F.inline("_bag"))
         asked = candidates.join(bounds.select("query_id", "_term", "_rows"), "query_id")
         scored = (
-            words.join(asked, ["_text_id", "_term"])
+            words.join(asked, ["_text", "_term"])
             .withColumn("_weight", term_weight(self.totals))
-            .groupBy("query_id", "_text_id", "_first")
+            .groupBy("query_id", "_hash", "_first")
             .agg(F.round(F.sum("_weight"), SCORE_DIGITS).alias("keyword_score"))
         )
         # A text before another in this order has a row before all rows of the other.
         best = top_per_query(scored, k, [F.col("keyword_score").desc(), F.col("_first")])
-        best = self._kept(best.select("query_id", "_text_id", "keyword_score"))
-        members = self._table("members").join(best.select("_text_id").distinct(), "_text_id", "left_semi")
-        first = Window.partitionBy("_text_id").orderBy(*self.keys)
+        best = self._kept(best.select("query_id", "_hash", "keyword_score"))
+        members = self._table("members").join(best.select("_hash").distinct(), "_hash", "left_semi")
+        first = Window.partitionBy("_hash").orderBy(*self.keys)
         members = members.withColumn("_place", F.row_number().over(first)).where(F.col("_place") <= k).drop("_place")
-        rows = best.join(members, "_text_id").select("query_id", *self.keys, "keyword_score")
+        rows = best.join(members, "_hash").select("query_id", *self.keys, "keyword_score")
         return top_per_query(rows, k, [F.col("keyword_score").desc(), *(F.col(c) for c in self.keys)])
