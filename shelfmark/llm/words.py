@@ -13,6 +13,7 @@ import pyarrow as pa
 PIECE = 1 << 20
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x100000001B3)
+ENDING = np.uint64(0xFFFF)
 
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -40,7 +41,7 @@ def powers(n: int) -> np.ndarray:
     return _powers
 
 
-def _hash_run(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hash_run(data: np.ndarray, bounds: np.ndarray, endings: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of adjacent texts, and the number of words of each text."""
     word = ~SPACE[data]
     head = word.copy()
@@ -57,10 +58,15 @@ def _hash_run(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     values = (LOWER[data[index]] + np.uint64(1)) * powers(int(inside.max()) + 1)[inside]
     first = np.flatnonzero(head[index])
     lengths = np.diff(np.append(first, len(index))).astype(np.uint64)
-    return mix(np.add.reduceat(values, first) + lengths * _GOLDEN), np.diff(np.searchsorted(at, bounds))
+    hashes = mix(np.add.reduceat(values, first) + lengths * _GOLDEN)
+    if endings:
+        last = at + lengths.astype(np.int64) - 1
+        before = np.where(lengths > 1, LOWER[data[np.maximum(last - 1, 0)]], np.uint64(0))
+        hashes = hashes & ~ENDING | before << np.uint64(8) | LOWER[data[last]]
+    return hashes, np.diff(np.searchsorted(at, bounds))
 
 
-def _hash_long(data: np.ndarray) -> np.ndarray:
+def _hash_long(data: np.ndarray, endings: bool = False) -> np.ndarray:
     found, start = [], 0
     while start < len(data):
         end = start + PIECE
@@ -71,7 +77,7 @@ def _hash_long(data: np.ndarray) -> np.ndarray:
                 break
             end += PIECE
         piece = data[start:end]
-        found.append(_hash_run(piece, np.array([0, len(piece)]))[0])
+        found.append(_hash_run(piece, np.array([0, len(piece)]), endings)[0])
         start = end
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
@@ -97,15 +103,18 @@ def runs(bounds: np.ndarray) -> Iterator[tuple[int, int]]:
         start = end
 
 
-def word_hashes(column: pa.Array) -> Iterator[tuple[int, int, list[np.ndarray]]]:
-    """For each run of texts: its first and last row (exclusive) and each text's word hashes in order."""
+def word_hashes(column: pa.Array, endings: bool = False) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """For each run of texts: its first and last row (exclusive) and each text's word hashes in order.
+
+    With ``endings`` the low 16 bits of a hash (``ENDING``) are the word's last two bytes, lower-cased.
+    """
     data, bounds = column_bytes(column)
     for start, end in runs(bounds):
         low, high = bounds[start], bounds[end]
         if end - start == 1 and high - low > PIECE:
-            yield start, end, [_hash_long(data[low:high])]
+            yield start, end, [_hash_long(data[low:high], endings)]
         else:
-            hashes, counts = _hash_run(data[low:high], bounds[start : end + 1] - low)
+            hashes, counts = _hash_run(data[low:high], bounds[start : end + 1] - low, endings)
             yield start, end, np.split(hashes, np.cumsum(counts)[:-1])
 
 

@@ -3,9 +3,11 @@
 import base64
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -329,7 +331,7 @@ def test_pseudo_likelihood_predicts_words_not_buckets(spark, monkeypatch):
     tokens = vocabulary.tokens(words)
     for t in range(pseudo_likelihood.FREQUENT, pseudo_likelihood.EDGE):
         assert sum(counts[int(w)] for w in words[tokens == t]) + 1 == vocabulary.seen[t]
-    hashes = next(hashed.word_hashes(pa.array([text[-1][1]])))[2][0]
+    hashes = next(hashed.word_hashes(pa.array([text[-1][1]]), True))[2][0]
     tokens = vocabulary.tokens(hashes)
     want = network.log_probabilities(pseudo_likelihood.neighbours(tokens), tokens).sum()
     want += sum(np.log(counts[int(w)] / vocabulary.seen[t]) for w, t in zip(hashes, tokens) if t >= pseudo_likelihood.FREQUENT)
@@ -346,6 +348,28 @@ def test_pseudo_likelihood_trains_on_every_token(docs, rows):
     assert sum(seen) == sum(len(t.split()) for t in texts.to_pylist()) and min(seen) > 0
 
 
+def test_pseudo_likelihood_classes_are_endings():
+    keys = next(hashed.word_hashes(pa.array(["a Running É x ring, sing"]), True))[2][0]
+    assert (keys & hashed.ENDING).tolist() == [ord("a"), int.from_bytes(b"ng"), int.from_bytes("É".encode()), ord("x"), int.from_bytes(b"g,"), int.from_bytes(b"ng")]
+    assert len(set(keys.tolist())) == 6
+    vocabulary = pseudo_likelihood.Vocabulary([int(keys.view(np.int64)[1])], None, [int.from_bytes(b"ng")])
+    assert vocabulary.tokens(keys).tolist() == [pseudo_likelihood.REST, 0, *[pseudo_likelihood.REST] * 3, pseudo_likelihood.FREQUENT]
+
+
+def test_pseudo_likelihood_beats_word_counts_whatever_the_partitions(spark):
+    rng = random.Random(8)
+    tongues = [[f"{rng.choice('bdfgklm')}{rng.choice('aeiou')}{i}{end}" for i in range(400) for end in ends] for ends in (("on", "ed"), ("eux", "ai"), ("ung", "ig"))]
+    text = [(i, " ".join(rng.choice(tongues[i % 3]) for _ in range(200))) for i in range(600)]
+    frame = spark.createDataFrame(text, "doc_id long, text string")
+    counts = Counter(w for _, t in text for w in t.split())
+    tokens = sum(counts.values())
+    unigram = -sum(n * math.log(n / tokens) for n in counts.values()) / tokens
+    for parts in (1, 8, 24):
+        vocabulary, network = pseudo_likelihood.train(frame.repartition(parts))
+        found = pseudo_likelihood.scored(frame, vocabulary, network).agg(F.sum("log_likelihood") / F.sum("n_tokens")).first()[0]
+        assert -found < unigram - 0.3
+
+
 def test_pseudo_likelihood_steps_down_the_gradient():
     network = pseudo_likelihood.Network.new(np.zeros(pseudo_likelihood.EDGE))
     rng = np.random.default_rng(6)
