@@ -1,11 +1,15 @@
 """Counts over files, chunk tables and index runs."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions.ids import table_name
 from shelfmark.functions.paths import extension_or_placeholder
+from shelfmark.schema import positive
 
+# Entries of a corpus' map of extensions, and the entry that the smaller ones share.
+MOST_EXTENSIONS = 1_000
+OTHER_EXTENSIONS = "other_extensions"
 STATUSES = ("excluded", "empty", "too_large", "binary", "undecodable", "embed_failed", "ok")
 
 
@@ -21,19 +25,22 @@ def extension_counts(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("codebase_name", "extension").agg(F.count(F.lit(1)).alias("chunks"))
 
 
-def corpus_stats(chunks: DataFrame) -> DataFrame:
+def corpus_stats(chunks: DataFrame, most_extensions: int | None = None) -> DataFrame:
     """One row per corpus: chunk rows, distinct files and a map extension -> chunk rows.
 
     Names that sanitise to the same table are one corpus, shown under the first of them. Rows
     are first reduced to one per file, so a corpus that holds most of the table is spread
-    over its files before anything meets per corpus. The map has an entry per extension;
-    where names make those very many, ``extension_counts`` gives the same numbers as rows.
+    over its files before anything meets per corpus. The map has an entry for each of the
+    ``most_extensions`` with most chunks (ties: the first by name), and the chunks of all others
+    under ``OTHER_EXTENSIONS``, which is no extension; ``extension_counts`` gives every one as a row.
     """
-    return table_stats(chunks.withColumn("table_name", table_name(F.col("codebase_name"))))
+    named = chunks.withColumn("table_name", table_name(F.col("codebase_name")))
+    return table_stats(named, most_extensions)
 
 
-def table_stats(chunks: DataFrame) -> DataFrame:
+def table_stats(chunks: DataFrame, most_extensions: int | None = None) -> DataFrame:
     """:func:`corpus_stats` of chunks that say their ``table_name``."""
+    most = positive("most_extensions", most_extensions, MOST_EXTENSIONS)
     per_file = chunks.groupBy("table_name", "file_path", "extension").agg(
         F.count(F.lit(1)).alias("chunks"), F.min("codebase_name").alias("codebase_name")
     )
@@ -43,20 +50,35 @@ def table_stats(chunks: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("files"),
         F.min("codebase_name").alias("codebase_name"),
     )
-    return (
-        per_extension.groupBy("table_name")
+    totals = per_extension.groupBy("table_name").agg(
+        F.min("codebase_name").alias("codebase_name"),
+        F.sum("files").alias("total_files"),
+        F.sum("chunks").alias("total_chunks"),
+    )
+    # Each task passes on its own first ones only, so no task gets all extensions of a corpus.
+    place = F.row_number().over(
+        Window.partitionBy("table_name").orderBy(F.desc("chunks"), "extension")
+    )
+    shown = (
+        per_extension.withColumn("place", place)
+        .where(F.col("place") <= most)
+        .groupBy(F.col("table_name").alias("shown_table"))
         .agg(
-            F.min("codebase_name").alias("codebase_name"),
-            F.sum("files").alias("total_files"),
-            F.sum("chunks").alias("total_chunks"),
-            F.map_from_entries(
-                F.sort_array(F.collect_list(F.struct("extension", "chunks")))
-            ).alias("extension_distribution"),
-        )
-        .select(
-            "codebase_name", "table_name", "total_files", "total_chunks", "extension_distribution"
+            F.sort_array(F.collect_list(F.struct("extension", "chunks"))).alias("entries"),
+            F.sum("chunks").alias("shown_chunks"),
         )
     )
+    rest = F.col("total_chunks") - F.col("shown_chunks")
+    other = F.array(F.struct(F.lit(OTHER_EXTENSIONS).alias("extension"), rest.alias("chunks")))
+    return totals.join(shown, F.col("table_name").eqNullSafe(F.col("shown_table"))).select(
+        "codebase_name",
+        "table_name",
+        "total_files",
+        "total_chunks",
+        F.map_from_entries(
+            F.when(rest > 0, F.concat("entries", other)).otherwise(F.col("entries"))
+        ).alias("extension_distribution"),
+    )
 
 
 def run_stats(files: DataFrame, status: str = "status", chunks: str = "chunks", by=()) -> DataFrame:

@@ -14,7 +14,7 @@ from shelfmark.operators.embedding import embed, handle_invalid
 from shelfmark.operators.filters import is_binary, within_size
 from shelfmark.sources import storage
 from shelfmark.sources.corpus import CorpusStore
-from shelfmark.sources.files import read_contents, reading_tasks, walk_files
+from shelfmark.sources.files import dealing_tasks, read_contents, walk_files
 
 
 def chunk_files(
@@ -139,13 +139,12 @@ def index_files(
     # The listing is written down once: the counters, the number of reading tasks
     # and the read itself then see the same files, whatever happens to the tree.
     listing = f"{storage.shared_folder(spark)}/listing-{uuid.uuid4().hex}"
+    storage.delete_at_exit(spark, listing)
     walk_files(spark, root, extra_patterns).write.parquet(listing)
     files = spark.read.parquet(listing)
     wanted = within_size(F.col("length"), max_file_size)
-    found, size = files.agg(
-        F.count(F.lit(1)), F.coalesce(F.sum(F.when(wanted, F.col("length"))), F.lit(0))
-    ).head()
-    contents = read_contents(files.where(wanted), root, reading_tasks(spark, found, size))
+    found, to_read = files.agg(F.count(F.lit(1)), F.count_if(wanted)).head()
+    contents = read_contents(files.where(wanted), root, dealing_tasks(spark, to_read))
     chunks = chunk_files(contents, max_file_size, embedder.context_tokens, assume_latin1)
     store.create(name, embedder.dim)
     embedded = embed_chunks(chunks, embedder, use_prefix)

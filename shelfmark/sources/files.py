@@ -26,15 +26,10 @@ from shelfmark.sources import storage
 
 IGNORE_FILE = ".gitignore"
 
-# Bytes of content in one Arrow batch, and the share of a scan one task reads.
+# Bytes of content in one Arrow batch.
 BATCH_BYTES = 16 * 1024 * 1024
-TASK_BYTES = 128 * 1024 * 1024
-# A table beyond this is never shuffled only to use more cores.
-SPREAD_BYTES = 1024 * 1024 * 1024
-
-# Upper ends of the numbers of tasks, which multiply in a shuffle between two of them.
-MOST_LISTING_TASKS = 1_000
-MOST_READING_TASKS = 50_000
+# Tasks per core that folders, or files to be read, are dealt out to.
+TASKS_PER_CORE = 4
 
 _LISTING = "path string, modificationTime timestamp, length bigint, is_dir boolean"
 _LISTING_ARROW = pa.schema(
@@ -128,20 +123,22 @@ def scan_files(
     listed ``entries`` names and gives back those it has not opened, which the next round
     deals out to all tasks; so a long trunk or one huge subtree is shared out like any
     other, and a small tree takes one round. The listing lies in the shared folder until
-    the session ends. Folders whose path below the root, with a slash at its end,
+    the session ends. Without ``tasks`` there are ``TASKS_PER_CORE`` for each core, or one for
+    each folder of a round if those are fewer. Folders whose path below the root, with a slash at its end,
     matches ``pruned`` are never opened.
     """
-    tasks = tasks or min(spark.sparkContext.defaultParallelism * 4, MOST_LISTING_TASKS)
     entries = positive("entries", entries, WALK_ENTRIES)
     walk = f"{storage.shared_folder(spark)}/walk-{uuid.uuid4().hex}"
     rounds: list[str] = []
     folders = spark.range(1, numPartitions=1).select(F.lit(root_path(root)).alias("path"))
-    while not rounds or not folders.isEmpty():
-        dealt = folders.repartition(tasks) if rounds else folders
+    waiting = 1
+    while waiting:
+        dealt = folders.repartition(tasks or dealing_tasks(spark, waiting)) if rounds else folders
         rounds.append(f"{walk}/{len(rounds)}")
         dealt.mapInArrow(_walker(root, entries, pruned), _LISTING).write.parquet(rounds[-1])
         storage.delete_at_exit(spark, rounds[-1])
         folders = spark.read.schema(_LISTING).parquet(rounds[-1]).where("is_dir").select("path")
+        waiting = folders.count()
     return spark.read.schema(_LISTING).parquet(*rounds).where("not is_dir").drop("is_dir")
 
 
@@ -177,10 +174,9 @@ def walk_files(
     return listed.where(exclusion_reason(F.col("file_path"), rules, extra).isNull())
 
 
-def reading_tasks(spark: SparkSession, files: int, size: int) -> int:
-    """How many tasks should read that many files of that many bytes."""
-    by_size = min(-(-size // TASK_BYTES), MOST_READING_TASKS)
-    return max(by_size, min(files, spark.sparkContext.defaultParallelism), 1)
+def dealing_tasks(spark: SparkSession, rows: int) -> int:
+    """How many tasks that many folders or files are dealt out to; a task streams what it reads, however much."""
+    return max(min(rows, spark.sparkContext.defaultParallelism * TASKS_PER_CORE), 1)
 
 
 def read_contents(
@@ -220,11 +216,9 @@ def read_contents(
 def spread_scan(df: DataFrame) -> DataFrame:
     """Deal a scan's rows out to all cores when it has fewer splits than cores.
 
-    Only up to SPREAD_BYTES by Spark's own estimate: a larger table is left alone,
-    unshuffled, whatever the number of cores.
+    A scan has a split for every ``spark.sql.files.maxPartitionBytes``, so a large table is
+    never shuffled here.
     """
-    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > SPREAD_BYTES:
-        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 

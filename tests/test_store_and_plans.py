@@ -2,6 +2,7 @@
 
 import os
 import shutil
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -241,6 +242,26 @@ def test_only_one_partition_is_read(spark, store):
     assert "vector" not in plan and "content" not in plan
 
 
+def test_corpus_stats_with_more_extensions_than_the_map_holds(spark):
+    rows = [("a", f"f{e}_{i}.x{e:02}", f".x{e:02}") for e in range(40) for i in range(1 + e % 3)]
+    rows += [("b", "only.py", ".py")] * 2 + [(None, "no name.py", ".py")]
+    chunks = spark.createDataFrame(rows, "codebase_name string, file_path string, extension string")
+    found = {r["codebase_name"]: r for r in stats.corpus_stats(chunks, 5).collect()}
+    largest = sorted(Counter(e for c, _, e in rows if c == "a").items(), key=lambda x: (-x[1], x[0]))
+    others = sum(n for _, n in largest[5:])
+    assert found["a"]["extension_distribution"] == dict(largest[:5]) | {stats.OTHER_EXTENSIONS: others}
+    assert found["a"]["total_chunks"] == found["a"]["total_files"] == sum(n for _, n in largest)
+    assert found["b"]["extension_distribution"] == {".py": 2} and found["b"]["total_files"] == 1
+    assert len(found) == 3
+    whole = {r["codebase_name"]: r["extension_distribution"] for r in stats.corpus_stats(chunks).collect()}
+    assert whole["a"] == dict(largest)
+    plan = stats.corpus_stats(chunks, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+    with pytest.raises(ValueError):
+        stats.corpus_stats(chunks, 0)
+    assert stats.corpus_stats(chunks.where("false")).count() == 0
+
+
 def test_corpus_stats(spark, store):
     rows = [("a.py", "1", [0.0]), ("a.py", "2", [0.0]), ("b.md", "3", [0.0])]
     store.append(
