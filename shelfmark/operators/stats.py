@@ -10,6 +10,7 @@ from shelfmark.schema import positive
 # Entries of a corpus' map of extensions, and the entry that the smaller ones share.
 MOST_EXTENSIONS = 1_000
 OTHER_EXTENSIONS = "other_extensions"
+RANKING_PARTS = 64
 STATUSES = ("excluded", "empty", "too_large", "binary", "undecodable", "embed_failed", "ok")
 
 
@@ -50,34 +51,42 @@ def table_stats(chunks: DataFrame, most_extensions: int | None = None) -> DataFr
         F.count(F.lit(1)).alias("files"),
         F.min("codebase_name").alias("codebase_name"),
     )
-    totals = per_extension.groupBy("table_name").agg(
-        F.min("codebase_name").alias("codebase_name"),
-        F.sum("files").alias("total_files"),
-        F.sum("chunks").alias("total_chunks"),
-    )
-    # Each task passes on its own first ones only, so no task gets all extensions of a corpus.
+    # A corpus' extensions are ranked in parts, of which only the first ones stay as entries.
+    part = F.pmod(F.xxhash64("extension"), F.lit(RANKING_PARTS))
     place = F.row_number().over(
-        Window.partitionBy("table_name").orderBy(F.desc("chunks"), "extension")
+        Window.partitionBy("table_name", "part").orderBy(F.desc("chunks"), "extension")
     )
-    shown = (
-        per_extension.withColumn("place", place)
-        .where(F.col("place") <= most)
-        .groupBy(F.col("table_name").alias("shown_table"))
+    entry = F.struct((-F.col("chunks")).alias("less"), "extension", "chunks")
+    per_part = (
+        per_extension.withColumn("part", part)
+        .withColumn("place", place)
+        .groupBy("table_name", "part")
         .agg(
-            F.sort_array(F.collect_list(F.struct("extension", "chunks"))).alias("entries"),
-            F.sum("chunks").alias("shown_chunks"),
+            F.min("codebase_name").alias("codebase_name"),
+            F.sum("files").alias("files"),
+            F.sum("chunks").alias("chunks"),
+            F.collect_list(F.when(F.col("place") <= most, entry)).alias("entries"),
         )
     )
-    rest = F.col("total_chunks") - F.col("shown_chunks")
+    whole = per_part.groupBy("table_name").agg(
+        F.min("codebase_name").alias("codebase_name"),
+        F.sum("files").alias("total_files"),
+        F.sum("chunks").alias("total_chunks"),
+        F.slice(F.array_sort(F.flatten(F.collect_list("entries"))), 1, most).alias("entries"),
+    )
+    shown = F.sort_array(F.transform("entries", lambda e: F.struct(e["extension"], e["chunks"])))
+    rest = F.col("total_chunks") - F.aggregate(
+        "entries", F.lit(0).cast("bigint"), lambda n, e: n + e["chunks"]
+    )
     other = F.array(F.struct(F.lit(OTHER_EXTENSIONS).alias("extension"), rest.alias("chunks")))
-    return totals.join(shown, F.col("table_name").eqNullSafe(F.col("shown_table"))).select(
+    return whole.select(
         "codebase_name",
         "table_name",
         "total_files",
         "total_chunks",
-        F.map_from_entries(
-            F.when(rest > 0, F.concat("entries", other)).otherwise(F.col("entries"))
-        ).alias("extension_distribution"),
+        F.map_from_entries(F.when(rest > 0, F.concat(shown, other)).otherwise(shown)).alias(
+            "extension_distribution"
+        ),
     )
 
 

@@ -256,7 +256,7 @@ def test_corpus_stats_with_more_extensions_than_the_map_holds(spark):
     whole = {r["codebase_name"]: r["extension_distribution"] for r in stats.corpus_stats(chunks).collect()}
     assert whole["a"] == dict(largest)
     plan = stats.corpus_stats(chunks, 5)._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan
+    assert plan.count("Scan") == 1  # what gives the chunks runs once
     with pytest.raises(ValueError):
         stats.corpus_stats(chunks, 0)
     assert stats.corpus_stats(chunks.where("false")).count() == 0
