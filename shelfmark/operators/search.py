@@ -51,8 +51,9 @@ SENT_HITS = 100_000
 NAMED_FILES = 1_000
 
 _QUERIES_PER_FILE = 100_000
-_ROWS_PER_PRODUCT = 8192
+_ROWS_PER_PRODUCT = 4096
 _QUERIES_PER_PRODUCT = 256
+_FEW = 4
 _PLACE = ("_file", "_position")
 _MERGE_SALTS = 16
 
@@ -91,6 +92,14 @@ def _pair_distance(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
         return 1.0 - inner.astype(np.float32).astype(np.float64)
 
 
+def _widened(limit: np.ndarray, metric: str, scale: np.ndarray, finite: np.ndarray) -> np.ndarray:
+    """Limits with slack for the rounding of the product and of reported distances; none for queries that are not finite."""
+    limit = limit + 1e-6 * np.where(np.isfinite(limit), np.abs(limit), 0.0)
+    limit = limit + (1e-9 if metric == "l2" else 1e-6) * scale
+    limit[~finite] = np.inf
+    return limit
+
+
 def _best_pairs(
     x: np.ndarray,
     q: np.ndarray,
@@ -114,31 +123,30 @@ def _best_pairs(
         part_finite = np.isfinite(part).all(axis=1)
         qs = np.where(part_finite[:, None], part, 0.0)
         q_size = np.einsum("ij,ij->i", qs, qs)
-        inner = xs @ qs.T
+        # One product gives the distances: what is added to the inner product is columns of both sides.
+        one, sides = np.ones((len(part), 1)), np.ones((len(xs), 1))
         if metric == "l2":
-            rough = x_size[:, None] + q_size[None, :] - 2.0 * inner
+            rough = np.hstack([xs, x_size[:, None], sides]) @ np.hstack([-2.0 * qs, one, q_size[:, None]]).T
             scale = x_size.max(initial=0.0) + q_size
         elif metric == "cosine":
-            sizes = np.sqrt(x_size)[:, None] * np.sqrt(q_size)[None, :]
-            rough = 1.0 - np.where(sizes == 0, 0.0, inner / np.where(sizes == 0, 1.0, sizes))
+            x_norm, q_norm = (np.sqrt(np.where(size == 0, 1.0, size))[:, None] for size in (x_size, q_size))
+            rough = np.hstack([xs / x_norm, sides]) @ np.hstack([-qs / q_norm, one]).T
             scale = np.ones(len(part))
         else:
-            rough = 1.0 - inner
+            rough = np.hstack([xs, sides]) @ np.hstack([-qs, one]).T
             scale = np.sqrt(x_size.max(initial=0.0) * q_size) + 1.0
         # Entries that are not finite cannot be judged by the product: keep them.
         rough[~finite, :] = np.inf
         limit = np.full(len(part), np.inf)
-        if len(x) >= k:
-            limit = np.partition(rough, k - 1, axis=0)[k - 1]
         if bound is not None:
             limit = np.minimum(limit, bound[begin : begin + len(part)])
-        # Slack for the rounding of the product and of reported distances.
-        limit = limit + 1e-6 * np.where(np.isfinite(limit), np.abs(limit), 0.0)
-        limit = limit + (1e-9 if metric == "l2" else 1e-6) * scale
-        limit[~part_finite] = np.inf
-        keep = rough <= limit[None, :]
+        keep = rough <= _widened(limit, metric, scale, part_finite)[None, :]
+        # Where few are nearer than what was reached elsewhere, the block's own order need not be known.
+        if len(x) >= k and np.count_nonzero(keep) > _FEW * k * len(part):
+            limit = np.minimum(limit, np.partition(rough, k - 1, axis=0)[k - 1])
+            keep = rough <= _widened(limit, metric, scale, part_finite)[None, :]
         keep[~finite, :] = True
-        row, col = np.nonzero(keep)
+        row, col = np.divmod(np.flatnonzero(keep), len(part))
         distance = np.concatenate(
             [
                 _pair_distance(x[row[i : i + 65536]], part[col[i : i + 65536]], metric)
