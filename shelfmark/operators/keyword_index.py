@@ -8,8 +8,12 @@ heaviest first, in blocks. ``totals`` is written last: a folder without it is no
 import uuid
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfmark.operators.hybrid import SCORE_DIGITS, rarity, term_share, term_weight, words_of
 from shelfmark.operators.search import top_per_query
@@ -27,6 +31,20 @@ def _text_hash(text: Column) -> Column:
     return F.unhex(F.md5(F.encode(text, "UTF-8")))
 
 
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("_term", T.StringType()), T.StructField("_count", T.IntegerType())])))
+def _bag_of(words: pa.Array) -> pa.Array:
+    """The distinct words of each row's list, and how often each is in it."""
+    flat = pc.dictionary_encode(words.flatten())
+    distinct = max(len(flat.dictionary), 1)
+    row = np.repeat(np.arange(len(words)), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+    code = flat.indices.to_numpy(zero_copy_only=False)
+    pairs, counts = np.unique(row * distinct + code, return_counts=True)
+    row, code = np.divmod(pairs, distinct)
+    begins = pa.array(np.searchsorted(row, np.arange(len(words) + 1)).astype(np.int32))
+    entries = [flat.dictionary.take(pa.array(code)), pa.array(counts.astype(np.int32))]
+    return pa.ListArray.from_arrays(begins, pa.StructArray.from_arrays(entries, ["_term", "_count"]))
+
+
 class KeywordIndex:
     """BM25 over a table as it was when the index was built; the same hits as :func:`hybrid.keyword_ranks`."""
 
@@ -64,13 +82,10 @@ class KeywordIndex:
             .agg(F.min("_first").alias("_first"), F.count(F.lit(1)).alias("_copies"), F.first("_text").alias("_text"))
             .select("_hash", "_first", "_copies", words_of(F.col("_text")).alias("_words"))
         )
-        # One row per text before and after, so that all three groupings keep the partitioning of the first.
-        of_text = ["_hash", "_first", "_copies", "_length"]
-        word = F.explode_outer("_words").alias("_term")
-        counted = texts.select(*of_text[:3], F.size("_words").alias("_length"), word).groupBy(*of_text, "_term")
-        counted = counted.agg(F.count(F.lit(1)).cast("int").alias("_count"))
-        entry = F.when(F.col("_term").isNotNull(), F.struct("_term", "_count"))  # a list leaves nulls out
-        bags = counted.groupBy(*of_text).agg(F.collect_list(entry).alias("_bag"))
+        # Words are counted in the row, so no task holds the words of many texts.
+        bags = texts.select("_hash", "_first", "_copies", _bag_of("_words").alias("_bag"))
+        length = F.aggregate("_bag", F.lit(0), lambda total, e: total + e["_count"]).alias("_length")
+        bags = bags.select("_hash", "_first", "_copies", length, "_bag")
         # Numbers are short in postings; they are fixed by being written here.
         bags = written("bags", bags.withColumn("_text", F.monotonically_increasing_id()))
 

@@ -81,3 +81,22 @@ def test_empty_tables_and_questions(spark):
     assert hybrid.keyword_ranks(table.limit(0), asked, 3, keys=["id"]).count() == 0
     assert hybrid.keyword_ranks(table, asked.limit(0), 3, keys=["id"]).count() == 0
     assert hybrid.keyword_ranks(table, asked.where("query_id = 3"), 3, keys=["id"]).count() == 0
+
+
+def test_an_index_counts_words_in_the_row(spark, tmp_path, monkeypatch):
+    """What is written as bags is grouped once, by text; no row per text and word is grouped."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from shelfmark.operators.keyword_index import KeywordIndex
+
+    grouped, group = [], DataFrame.groupBy
+    monkeypatch.setattr(DataFrame, "groupBy", lambda frame, *by: grouped.append(by) or group(frame, *by))
+    table = spark.createDataFrame([(1, "a b A"), (2, "a b A"), (3, None), (4, "ß x y z y")], "id long, text string")
+    index = KeywordIndex.build(table, str(tmp_path / "index"), "text", ["id"])
+    assert [by for by in grouped if "_hash" in by] == [("_hash",)]
+    bags = {tuple(r["_first"]): (r["_copies"], r["_length"], sorted(map(tuple, r["_bag"]))) for r in index._table("bags").collect()}
+    assert bags == {
+        (1,): (2, 3, [("a", 2), ("b", 1)]),
+        (3,): (1, 0, []),
+        (4,): (1, 5, [("x", 1), ("y", 2), ("z", 1), ("ß", 1)]),
+    }
