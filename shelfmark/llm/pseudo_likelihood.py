@@ -29,12 +29,19 @@ SLAB = 128
 #: Words of a block of texts whose distinct words are joined with the counts.
 BLOCK = 1 << 20
 RATE = 0.1
+#: Logits less apart than this have exponentials that single precision holds without loss.
+APART = 80
 
 REST = FREQUENT + ENDINGS
 EDGE = REST + 1
 SIZE = EDGE + 1
-_BLOCK_TYPES = [pa.list_(t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int32(), pa.int64())]
-_OFFSETS = [d for d in range(-SIDE, SIDE + 1) if d]
+#: Tokens whose neighbours are held together.
+STRETCH = 1 << 16
+_CLASS = np.uint8 if SIZE <= 1 << 8 else np.uint16
+_BLOCK_TYPES = [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), *map(pa.list_, (pa.int64(), pa.int32(), pa.int64()))]
+_BLOCK_NAMES = ["block", "doc_id", "n_tokens", "tokens", "turns", "words", "at", "n_at"]
+_SCORED = ["block", "doc_id", "n_tokens", "sums", "at", "n_at"]
+_OFFSETS = np.array([d for d in range(-SIDE, SIDE + 1) if d])
 
 
 def product(a: np.ndarray, b: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
@@ -104,10 +111,11 @@ class Network:
         return np.empty((BATCH, EDGE), np.float32)
 
     def logits(self, hidden: np.ndarray) -> np.ndarray:
-        """Of at most BATCH rows, less each row's largest; the next call writes over them."""
+        """Of at most BATCH rows, less the largest of all, or less each row's if they are further apart than ``exp`` allows; the next call writes over them."""
         found = product(hidden, self.out, self.room[: len(hidden)])
         found += self.prior
-        found -= found.max(1, keepdims=True)
+        top = found.max()
+        found -= top if top - found.min() < APART else found.max(1, keepdims=True)
         return found
 
     def log_probabilities(self, around: np.ndarray, token: np.ndarray) -> np.ndarray:
@@ -116,7 +124,7 @@ class Network:
         for at in range(0, len(token), BATCH):  # so many logits stay in a core's cache
             logits = self.logits(self.hidden(around[at : at + BATCH]))
             mine = logits[np.arange(len(logits)), token[at : at + BATCH]]
-            out[at : at + BATCH] = mine - np.log(np.exp(logits, out=logits).sum(1))
+            out[at : at + BATCH] = mine - np.log(np.einsum("ij->i", np.exp(logits, out=logits)))
         return out
 
     def step(self, around: np.ndarray, token: np.ndarray, rate: float, past: "Network | None" = None) -> None:
@@ -136,12 +144,14 @@ class Network:
         hidden = self.hidden(around)
         p = self.logits(hidden)
         np.exp(p, out=p)
-        p *= np.float32(1 / len(p)) / p.sum(1, keepdims=True)
-        p[np.arange(len(p)), token] -= np.float32(1 / len(p))
-        inner = product(p, self.out.T)
-        inner *= 1 - hidden * hidden
-        self.out -= scaled(2, inner_product(hidden, p))
-        self.prior -= scaled(3, p.sum(0))
+        sums = np.einsum("ij->i", p)
+        p[np.arange(len(p)), token] -= sums
+        # Each row of p still lacks this factor; it goes to the narrow side of the products.
+        factor = (np.float32(1 / len(p)) / sums)[:, None]
+        inner = product(p, np.ascontiguousarray(self.out.T))
+        inner *= factor * (1 - hidden * hidden)
+        self.out -= scaled(2, inner_product(factor * hidden, p))
+        self.prior -= scaled(3, inner_product(factor, p)[0])
         self.bias -= scaled(1, inner.sum(0))
         # Rows of a table that several tokens share get the sum, over runs of equal rows.
         rows = (around + np.arange(2 * SIDE) * SIZE).ravel().astype(np.int16)
@@ -157,10 +167,18 @@ def neighbours(tokens: np.ndarray, places: np.ndarray | None = None) -> np.ndarr
     """For each token (or those at some places) the SIDE before and the SIDE after it; EDGE beyond the text."""
     padded = np.concatenate([np.full(SIDE, EDGE), tokens, np.full(SIDE, EDGE)])
     if places is not None:
-        return padded[places[:, None] + (SIDE + np.array(_OFFSETS))]
+        return padded[places[:, None] + (SIDE + _OFFSETS)]
     return np.stack([padded[SIDE + d : SIDE + d + len(tokens)] for d in _OFFSETS], 1)
 
 
+def edged(sizes: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts laid side by side with SIDE edges around each, and the place of each token there."""
+    places = np.arange(len(tokens)) + SIDE * np.repeat(np.arange(1, len(sizes) + 1), sizes)
+    padded = np.full(len(tokens) + SIDE * (len(sizes) + 1), EDGE)
+    padded[places] = tokens
+    return padded, places
+
+
 class Vocabulary:
     """Class numbers of word hashes (the place among the frequent words, or that of the ending), and how often each word occurs.
 
@@ -199,9 +217,58 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return texts(docs).select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _trainer(network: Network, vocabulary: Vocabulary, turn: int, rounds: int, rate: float):
-    share = np.uint64(WARM ** (rounds - 1))
-    low, high = (WARM ** (turn - 1) if turn else 0), WARM**turn
+def _blocks(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, rounds: int, block: int) -> Iterator[pa.RecordBatch]:
+    """Texts (doc_id, text), tokenised, in blocks that are numbered from ``block``; one ends after BLOCK words or one longer text.
+
+    ``tokens`` has the class of each word and ``turns`` the round that trains on it, text by text, a byte each, ``n_tokens`` of
+    them in a text. ``words`` has each of the block's words that share a class once, in order of its hash; ``at`` the place
+    there of each occurrence, ``n_at`` of them in a text.
+    """
+    limits = np.array([WARM**turn for turn in range(rounds - 1)], np.uint64)
+    ids, sizes, classes, turns, words, n_at, held = [], [], [], [], [], [], 0
+
+    def made() -> pa.RecordBatch:
+        every, at = np.unique(np.concatenate(words), return_inverse=True)
+        columns = (ids, sizes, np.concatenate(classes).tobytes(), np.concatenate(turns).tobytes(), every.view(np.int64), at.astype(np.int32), n_at)
+        arrays = [pa.array([c], t) for c, t in zip(columns, _BLOCK_TYPES, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *arrays], _BLOCK_NAMES)
+
+    for batch in batches:
+        for start, end, lists in word_hashes(batch.column(1), True):
+            for doc_id, hashes in zip(batch.column(0)[start:end].to_pylist(), lists, strict=True):
+                tokens = vocabulary.tokens(hashes)
+                picked = mix(hashes + np.arange(len(hashes), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                picked %= np.uint64(WARM ** (rounds - 1))
+                turn = np.searchsorted(limits, picked, side="right") if rounds > 2 else picked >= limits[0] if rounds > 1 else np.zeros(len(picked))
+                other = hashes[tokens >= FREQUENT]
+                for column, value in ((ids, doc_id), (sizes, len(hashes)), (classes, tokens.astype(_CLASS)), (turns, turn.astype(np.uint8)), (words, other), (n_at, len(other))):
+                    column.append(value)
+                held += len(hashes) + 1
+                if held >= BLOCK:
+                    yield made()
+                    block += 1
+                    ids, sizes, classes, turns, words, n_at, held = [], [], [], [], [], [], 0
+    if ids:
+        yield made()
+
+
+def tokenised(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> DataFrame:
+    """The texts as blocks of tokens, saved: all rounds and the scores read them, so words are hashed once after they are counted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _blocks(batches, vocabulary, rounds, TaskContext.get().partitionId() << 32)
+
+    kinds = "block long, doc_id array<long>, n_tokens array<long>, tokens binary, turns binary, words array<long>, at array<int>, n_at array<long>"
+    return saved(texts(docs).mapInArrow(run, kinds), "blocks")
+
+
+def _sizes_and_bytes(batch: pa.RecordBatch, row: int, name: str) -> tuple[np.ndarray, np.ndarray]:
+    sizes = batch.column("n_tokens")[row].values.to_numpy()
+    return sizes, np.frombuffer(batch.column(name)[row].as_buffer(), _CLASS if name == "tokens" else np.uint8)
+
+
+def _learner(network: Network, turn: int, rate: float):
+    """The weights after a round over a partition's blocks, each times the tokens trained on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, past, seen, around, token = network.copy(), network.squares(), 0, [], []
@@ -216,20 +283,14 @@ def _trainer(network: Network, vocabulary: Vocabulary, turn: int, rounds: int, r
             around, token = [a[whole:]], [t[whole:]]
 
         for batch in batches:
-            for _, _, lists in word_hashes(batch.column(0), True):
-                for hashes in lists:
-                    if not len(hashes):
-                        continue
-                    tokens = vocabulary.tokens(hashes)
-                    places = mix(hashes + np.arange(len(hashes), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                    places %= share
-                    mine = np.flatnonzero((places >= low) & (places < high))
-                    for at in range(0, len(mine), 1 << 18):  # a long text's neighbours are not held together
-                        around.append(neighbours(tokens, mine[at : at + (1 << 18)]))
-                        token.append(tokens[mine[at : at + (1 << 18)]])
-                        if len(mine) > 1 << 18:
-                            learn(False)
-                if token and sum(map(len, token)) >= 16 * BATCH:
+            for row in range(len(batch)):
+                sizes, tokens = _sizes_and_bytes(batch, row, "tokens")
+                padded, places = edged(sizes, tokens)
+                places = places[_sizes_and_bytes(batch, row, "turns")[1] == turn]
+                for at in range(0, len(places), STRETCH):  # a block's neighbours are not held together
+                    mine = places[at : at + STRETCH]
+                    around.append(padded[mine[:, None] + _OFFSETS])
+                    token.append(padded[mine])
                     learn(False)
         if token:
             learn(True)
@@ -242,14 +303,21 @@ def _trainer(network: Network, vocabulary: Vocabulary, turn: int, rounds: int, r
     return run
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS, rate: float = RATE) -> tuple[Vocabulary, Network]:
-    """Word counts over all texts, then rounds of local training in every partition, averaged by tokens seen.
+def _trainer(network: Network, vocabulary: Vocabulary, turn: int, rounds: int, rate: float):
+    """A round over texts that are not tokenised yet."""
 
-    Each round takes its share of the tokens, so that all of them together take every token once.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (pa.RecordBatch.from_arrays([pa.nulls(len(b), pa.int64()), b.column("text")], ["doc_id", "text"]) for b in batches)
+        return _learner(network, turn, rate)(_blocks(rows, vocabulary, rounds, 0))
+
+    return run
+
+
+def learn_vocabulary(docs: DataFrame) -> Vocabulary:
+    """Word counts over all texts, the frequent words and the common endings of the others.
 
-    What is gathered grows with the texts (all distinct words, a copy of the weights per
-    partition) and is summed by Spark; the driver gets the frequent words, the common endings and
-    the mean weights, all of fixed size. The counts of all words stay in Spark, as the vocabulary's second level.
+    The driver gets the frequent words and the common endings, of fixed size. The counts of all words
+    stay in Spark, as the vocabulary's second level.
     """
     counts = saved(word_counts(docs), "counts")
     frequent = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
@@ -265,10 +333,19 @@ def train(docs: DataFrame, rounds: int = ROUNDS, rate: float = RATE) -> tuple[Vo
 
     seen = {r["token"]: r["n"] for r in counts.mapInArrow(tokenise, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()}
     vocabulary.seen = np.array([seen.get(t, 0) + 1.0 for t in range(EDGE)])
+    return vocabulary
+
+
+def fit(blocks: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, rate: float = RATE) -> Network:
+    """Rounds of local training in every partition of the blocks, averaged by tokens seen.
+
+    Each round takes its share of the tokens, so that all of them together take every token once. What is
+    gathered (a copy of the weights per partition) is summed by Spark; the driver gets the mean weights, of fixed size.
+    """
     network = Network.new(np.log(vocabulary.seen / vocabulary.seen.sum()))
     for turn in range(rounds):
         summed = (
-            texts(docs).select("text").mapInArrow(_trainer(network, vocabulary, turn, rounds, rate), "i long, w double, n long")
+            blocks.select("n_tokens", "tokens", "turns").mapInArrow(_learner(network, turn, rate), "i long, w double, n long")
             .groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w"))
         ).toArrow()
         if not summed.num_rows:
@@ -276,50 +353,35 @@ def train(docs: DataFrame, rounds: int = ROUNDS, rate: float = RATE) -> tuple[Vo
         flat = np.zeros(summed.num_rows)
         flat[summed.column("i").to_numpy()] = summed.column("w").to_numpy()
         network = network.filled(flat)
-    return vocabulary, network
+    return network
 
 
-def _scorer(vocabulary: Vocabulary, network: Network):
-    """Per block of texts: doc_id, n_tokens and the classes' log-likelihood of each, and the block's words that share a class.
+def train(docs: DataFrame, rounds: int = ROUNDS, rate: float = RATE) -> tuple[Vocabulary, Network]:
+    """The vocabulary of all texts, and the network trained on every token of them."""
+    vocabulary = learn_vocabulary(docs)
+    return vocabulary, fit(tokenised(docs, vocabulary, rounds), vocabulary, rounds, rate)
 
-    ``words`` has each such word once, in order of its hash; ``at`` the place there of each
-    occurrence, text by text, ``n_at`` of them in a text. A block ends after BLOCK words or one longer text.
-    """
 
-    def totals(tokens: np.ndarray) -> float:
-        total = 0.0
-        for at in range(0, len(tokens), 1 << 18):
-            low, high = max(0, at - SIDE), min(len(tokens), at + (1 << 18) + SIDE)
-            piece = neighbours(tokens[low:high])
-            mine = slice(at - low, min(at + (1 << 18), len(tokens)) - low)
-            total += float(network.log_probabilities(piece[mine], tokens[low:high][mine]).sum())
-        return total
+def _scorer(vocabulary: Vocabulary, network: Network):
+    """For each text of a block, the classes' log-likelihood less the logs of how often its shared classes occur."""
+    shared = np.log(vocabulary.seen)
+    shared[:FREQUENT] = 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
-        ids, sizes, sums, words, n_at, held = [], [], [], [], [], 0
-
-        def made() -> pa.RecordBatch:
-            every, at = np.unique(np.concatenate(words), return_inverse=True)
-            columns = (ids, sizes, sums, every.view(np.int64), at.astype(np.int32), n_at)
-            arrays = [pa.array([c], t) for c, t in zip(columns, _BLOCK_TYPES, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *arrays], ["block", "doc_id", "n_tokens", "sums", "words", "at", "n_at"])
-
         for batch in batches:
-            for start, end, lists in word_hashes(batch.column(1), True):
-                for doc_id, hashes in zip(batch.column(0)[start:end].to_pylist(), lists, strict=True):
-                    tokens = vocabulary.tokens(hashes)
-                    other = hashes[tokens >= FREQUENT]
-                    total = totals(tokens) - float(np.log(vocabulary.seen[tokens[tokens >= FREQUENT]]).sum())
-                    for column, value in ((ids, doc_id), (sizes, len(hashes)), (sums, total), (words, other), (n_at, len(other))):
-                        column.append(value)
-                    held += len(hashes) + 1
-                    if held >= BLOCK:
-                        yield made()
-                        block += 1
-                        ids, sizes, sums, words, n_at, held = [], [], [], [], [], 0
-        if ids:
-            yield made()
+            for row in range(len(batch)):
+                sizes, tokens = _sizes_and_bytes(batch, row, "tokens")
+                padded, places = edged(sizes, tokens)
+                upto = np.zeros(len(tokens) + 1)
+                for at in range(0, len(tokens), STRETCH):
+                    mine = places[at : at + STRETCH]
+                    token = padded[mine]
+                    found = network.log_probabilities(padded[mine[:, None] + _OFFSETS], token) - shared[token]
+                    upto[at + 1 : at + 1 + len(mine)] = upto[at] + np.cumsum(found)
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                sums = pa.array([upto[ends[1:]] - upto[ends[:-1]]], pa.list_(pa.float64()))
+                one = batch.slice(row, 1)
+                yield pa.RecordBatch.from_arrays([sums if c == "sums" else one.column(c) for c in _SCORED], _SCORED)
 
     return run
 
@@ -342,12 +404,16 @@ def scored(docs: DataFrame, vocabulary: Vocabulary, network: Network) -> DataFra
     class's occurrences; all words that were not counted share one occurrence of their class. The
     distinct words of each block of texts, not the tokens, are joined with the counts.
     """
-    kinds = "block long, doc_id array<long>, n_tokens array<long>, sums array<double>, words array<long>, at array<int>, n_at array<long>"
-    blocks = saved(texts(docs).mapInArrow(_scorer(vocabulary, network), kinds), "blocks")
+    return score_blocks(tokenised(docs, vocabulary), vocabulary, network)
+
+
+def score_blocks(blocks: DataFrame, vocabulary: Vocabulary, network: Network) -> DataFrame:
+    """``scored`` of tokenised texts."""
     words = blocks.select(F.col("block").alias("in_block"), F.explode("words").alias("word"))
     counted = words.join(vocabulary.counts, "word", "left").select("in_block", "word", F.coalesce("n", F.lit(1)).alias("n"))
+    kinds = "block long, doc_id array<long>, n_tokens array<long>, sums array<double>, at array<int>, n_at array<long>"
     return (
-        blocks.drop("words").groupBy("block").cogroup(counted.groupBy("in_block"))
+        blocks.drop("turns", "words").mapInArrow(_scorer(vocabulary, network), kinds).groupBy("block").cogroup(counted.groupBy("in_block"))
         .applyInArrow(_finish, "doc_id long, n_tokens long, log_likelihood double")
         .withColumn("perplexity", F.when(F.col("n_tokens") > 0, F.exp(-F.col("log_likelihood") / F.col("n_tokens"))))
     )
@@ -355,5 +421,6 @@ def scored(docs: DataFrame, vocabulary: Vocabulary, network: Network) -> DataFra
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """Train on all texts and score each row's whole text; null and empty texts have no tokens and likelihood 0."""
-    vocabulary, network = train(docs)
-    return scored(docs, vocabulary, network)
+    vocabulary = learn_vocabulary(docs)
+    blocks = tokenised(docs, vocabulary)
+    return score_blocks(blocks, vocabulary, fit(blocks, vocabulary))

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from shelfmark.llm import archives, blob_ledger, bpe, compression_language, graph, phrase_index, pseudo_likelihood, quantised, sharding, superminhash, toxicity
+from shelfmark.llm import archives, blob_ledger, bpe, common, compression_language, graph, phrase_index, pseudo_likelihood, quantised, sharding, superminhash, toxicity
 from shelfmark.llm import words as hashed
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, bucket int, key string, score double, shard int, rep long, n long"
@@ -348,6 +348,31 @@ def test_pseudo_likelihood_trains_on_every_token(docs, rows):
     assert sum(seen) == sum(len(t.split()) for t in texts.to_pylist()) and min(seen) > 0
 
 
+def test_pseudo_likelihood_hashes_texts_twice(spark, docs, monkeypatch):
+    read = []
+    monkeypatch.setattr(pseudo_likelihood, "texts", lambda d: read.append(d) or common.texts(d))
+    assert pseudo_likelihood.score_documents(docs).count() == docs.count()
+    assert len(read) == 2  # for the counts, and for the tokens that all rounds and the scores read
+
+
+def test_pseudo_likelihood_texts_side_by_side_are_apart():
+    sizes, tokens = np.array([0, 4, 1, 0, 9, 0]), np.arange(14) % pseudo_likelihood.EDGE
+    padded, places = pseudo_likelihood.edged(sizes, tokens)
+    ends = np.cumsum(sizes)
+    want = np.concatenate([pseudo_likelihood.neighbours(tokens[e - n : e]) for e, n in zip(ends, sizes) if n])
+    assert (padded[places[:, None] + pseudo_likelihood._OFFSETS] == want).all() and (padded[places] == tokens).all()
+
+
+def test_pseudo_likelihood_of_logits_far_apart():
+    network = pseudo_likelihood.Network.new(np.linspace(0, -1000, pseudo_likelihood.EDGE))
+    network.out[:, -1] += 1000 * np.sign(network.hidden(np.zeros((1, 6), int))[0])
+    around = np.array([[0] * 6, [pseudo_likelihood.EDGE] * 6, [5] * 6])
+    logits = network.hidden(around).astype(float) @ network.out + network.prior
+    want = logits - np.logaddexp.reduce(logits, axis=1)[:, None]
+    for t in (0, 1, pseudo_likelihood.EDGE - 1):
+        assert np.allclose(network.log_probabilities(around, np.full(3, t)), want[:, t], rtol=1e-4, atol=1e-3)
+
+
 def test_pseudo_likelihood_classes_are_endings():
     keys = next(hashed.word_hashes(pa.array(["a Running É x ring, sing"]), True))[2][0]
     assert (keys & hashed.ENDING).tolist() == [ord("a"), int.from_bytes(b"ng"), int.from_bytes("É".encode()), ord("x"), int.from_bytes(b"g,"), int.from_bytes(b"ng")]
