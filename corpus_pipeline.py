@@ -47,12 +47,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     rows = _numbered(docs)
     parts = superminhash.near_duplicates(_as_documents(rows), SHINGLE_WORDS, PERCENT)
-    parts = saved(parts.select(F.col("doc_id").alias(ROW), "component_id"), "groups")
+    n = rows.count()
+    parts = saved(parts.select(F.col("doc_id").alias(ROW), "component_id"), "groups", n)
     large = parts.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id")
     grouped = parts.join(large, "component_id", "left_semi").join(rows.select(ROW, "doc_id"), ROW)
     first = grouped.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("first"))
     gone = grouped.select(ROW).join(first.select(F.col("first")[ROW].alias(ROW)), ROW, "left_anti")
-    return rows.join(saved(gone, "gone"), ROW, "left_anti").select(*docs.columns)
+    return rows.join(saved(gone, "gone", n), ROW, "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +61,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     rows = _numbered(docs)
     found = phrase_index.contamination(_as_documents(rows), table(spark, sf_dir, "benchmark"))
     gone = found.where("contaminated").select(F.col("doc_id").alias(ROW))
-    return rows.join(saved(gone, "gone"), ROW, "left_anti").select(*docs.columns)
+    return rows.join(saved(gone, "gone", rows.count()), ROW, "left_anti").select(*docs.columns)
 
 
 def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """What the operators share: their input columns, tables kept in the shared folder, the training fold."""
 
+import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,19 +10,25 @@ from shelfmark.sources import storage
 
 #: A table is broadcast only when it was counted and has at most so many rows of a few numbers or one short text.
 BROADCAST_ROWS = 50_000
+#: Rows for which a saved table gets a part of its own, where the number of its rows is bounded.
+PACKED = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def saved(frame: DataFrame, name: str) -> DataFrame:
+def saved(frame: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """The frame, written as Parquet to the folder all executors share and read again.
 
     This cuts the lineage: a lost executor costs the tasks that it ran, not the steps
-    before. The folder goes when the session's JVM ends.
+    before. The folder goes when the session's JVM ends. Where it is known that the frame has
+    at most ``rows`` narrow rows, no more tasks make it, and no more files, than hold PACKED
+    of them each, or than there are cores.
     """
     spark = frame.sparkSession
+    if rows is not None:
+        frame = frame.coalesce(max(spark.sparkContext.defaultParallelism, math.ceil(rows / PACKED)))
     folder = f"{storage.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     path = storage._path(spark, folder)
     frame.write.parquet(folder)

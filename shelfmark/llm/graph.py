@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from shelfmark.llm.common import saved
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", rows: int | None = None) -> DataFrame:
     """One row (node, component) for each node that has a link; component is the smallest node reachable.
 
     Each round, every node picks the neighbour (or itself) whose hash under that
@@ -15,7 +15,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     within a melted node go, and so a constant share of the nodes goes each round: the
     rounds grow with the logarithm of the longest path, also where numbers ascend along
     it. Nothing but the count of remaining links reaches the driver. Links with a null
-    end and links of a node to itself are ignored; repeated links do no harm.
+    end and links of a node to itself are ignored; repeated links do no harm. ``rows``: the
+    most links there may be, if known.
     """
     left = saved(
         links.select(
@@ -25,11 +26,14 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         .where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v")))
         .distinct(),
         "links",
+        rows,
     )
+    n = left.count()
+    nodes = 2 * n  # at most
     ends = left.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     mapping = ends.select("node", F.col("node").alias("root"))
     seed = 0
-    while not left.isEmpty():
+    while n:
         seed += 1
         both = left.select("u", "v").union(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
         rank = lambda c: F.xxhash64(F.lit(seed), F.col(c))
@@ -38,12 +42,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .agg(F.min(F.struct(rank("v").alias("h"), F.col("v").alias("v"))).alias("best"))
             .select("u", F.when(F.col("best.h") < rank("u"), F.col("best.v")).otherwise(F.col("u")).alias("to"))
         )
-        pick = saved(pick, "picks")
+        pick = saved(pick, "picks", 2 * n)
         mapping = saved(
             mapping.join(pick.withColumnRenamed("u", "root"), "root", "left").select(
                 "node", F.coalesce("to", "root").alias("root")
             ),
             "roots",
+            nodes,
         )
         left = saved(
             left.join(pick.select("u", F.col("to").alias("x")), "u")
@@ -52,7 +57,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
             .distinct(),
             "links",
+            n,
         )
+        n = left.count()
     smallest = mapping.groupBy("root").agg(F.min("node").alias("component"))
     return mapping.join(smallest, "root").select("node", "component")
 

@@ -145,10 +145,10 @@ def _block_links(percent: int):
     return run
 
 
-def _within_crowds(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that connect all members of large buckets which any chain of links connects; members: (first, rep) by bucket."""
+def _within_crowds(members: DataFrame, sets: DataFrame, percent: int, rows: int) -> DataFrame:
+    """Links (a, b) that connect all members of large buckets which any chain of links connects; members: (first, rep) by bucket, at most ``rows``."""
     edges = members.where(F.col("first") != F.col("rep")).select(F.col("first").alias("a"), F.col("rep").alias("b"))
-    crowd = saved(components(edges).select(F.col("node").alias("rep"), F.col("component").alias("crowd")), "crowds")
+    crowd = saved(components(edges, rows=rows).select(F.col("node").alias("rep"), F.col("component").alias("crowd")), "crowds", 2 * rows)
     blocks = crowd.groupBy("crowd").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     placed = crowd.join(blocks, "crowd").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = placed.select("crowd", "rep", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
@@ -191,12 +191,14 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
         ),
         "signatures",
     )
+    n = signed.count()
     classes = saved(
         signed.where("n_shingles > 0 and doc_id is not null")
         .groupBy("key1", "key2", "n_shingles")
         .agg(F.min(F.struct("doc_id", "bands")).alias("first"))
         .select("key1", "key2", F.col("n_shingles").alias("size"), F.col("first.doc_id").alias("rep"), F.col("first.bands").alias("bands")),
         "classes",
+        n,
     )
     member = classes.select("rep", "size", F.explode("bands").alias("bucket"))
     centre = (
@@ -205,7 +207,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
         .where("n > 1")
         .select("bucket", F.col("centre.rep").alias("a"), F.col("centre.size").alias("size_a"))
     )
-    shared = saved(member.join(centre, "bucket"), "buckets")
+    shared = saved(member.join(centre, "bucket"), "buckets", n * (LANES // BAND_LANES))
+    n_shared = shared.count()
     alike = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     star = saved(
         shared.where(F.col("a") != F.col("rep"))
@@ -213,6 +216,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
         .select("a", F.col("rep").alias("b"), "size_a", F.col("size").alias("size_b"))
         .distinct(),
         "pairs",
+        n_shared,
     )
     candidates = shared.select(F.col("rep").alias("doc_id")).distinct()
     sets = saved(
@@ -221,8 +225,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
         ),
         "sets",
     )
-    first = saved(_verified(star, sets, percent), "links")
-    melted = saved(components(first), "components")
+    first = saved(_verified(star, sets, percent), "links", star.count())
+    melted = saved(components(first, rows=first.count()), "components", n)
     placed = (
         shared.select("bucket", "rep", "size")
         .join(melted.withColumnRenamed("node", "rep"), "rep", "left")
@@ -234,7 +238,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
         .where("low < high")
         .select("bucket", "n", "first")
     )
-    open_members = saved(placed.join(mixed, "bucket"), "open")
+    open_members = saved(placed.join(mixed, "bucket"), "open", n_shared)
     cold = open_members.where(F.col("n") <= HOT)
     x, y = cold.alias("x"), cold.alias("y")
     rest = (
@@ -251,15 +255,16 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
         .join(star.select("a", "b"), ["a", "b"], "left_anti")
     )
     hot = open_members.where(F.col("n") > HOT).select("first", "rep")
-    second = saved(_verified(saved(rest, "pairs"), sets, percent).union(_within_crowds(hot, sets, percent)), "links")
-    parts = components(first.union(second)) if not second.isEmpty() else melted
+    second = saved(_verified(saved(rest, "pairs"), sets, percent).union(_within_crowds(hot, sets, percent, n_shared)), "links")
+    found = second.count()
+    parts = components(first.union(second), rows=first.count() + found) if found else melted
     grouped = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(
         "key1", "key2", F.col("size").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")
     )
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return (
         signed.drop("bands")
-        .join(saved(grouped, "classes"), ["key1", "key2", "n_shingles"], "left")
+        .join(saved(grouped, "classes", n), ["key1", "key2", "n_shingles"], "left")
         .select(
             "doc_id",
             "n_shingles",

@@ -195,6 +195,25 @@ def brute_near(rows, k):
     return sets, smallest_reachable([i for i in sets if i is not None], links)
 
 
+def test_components_of_few_links_are_few_files(spark, monkeypatch):
+    files = {}
+    monkeypatch.setattr(graph, "saved", lambda frame, name, *rows: files.setdefault(name, []).append(common.saved(frame, name, *rows)) or files[name][-1])
+    put = {"spark.sql.shuffle.partitions": "97", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in put}
+    try:
+        for k, v in put.items():
+            spark.conf.set(k, v)
+        links = spark.createDataFrame([(i, i + 1) for i in range(3000)], "a long, b long")
+        assert {r["component"] for r in graph.components(links).collect()} == {0}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    for name in ("picks", "roots"):
+        assert all(len(frame.inputFiles()) <= spark.sparkContext.defaultParallelism for frame in files[name])
+    monkeypatch.setattr(common, "PACKED", 100)  # more rows, more parts
+    assert len(common.saved(spark.range(0, 3000, 1, 64), "many", 3000).inputFiles()) == 30
+
+
 @pytest.mark.parametrize(("k", "hot"), [(2, 32), (5, 32), (2, 4)])
 def test_near_duplicates(docs, rows, empty, monkeypatch, k, hot):
     monkeypatch.setattr(superminhash, "HOT", hot)
