@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.llm.common import saved
 from shelfmark.sources import storage
 
 #: Bytes of records after which an ARC archive is closed and the next begun.
@@ -200,10 +201,10 @@ def _warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_warcs(records: DataFrame, folder: str, least_bytes: int = 0) -> None:
     """Gzipped WARC files in the folder; of records with equal payloads the one with the largest page_id is kept in full.
 
-    The roles are found on digests alone. Payloads move once, by record_id, so copies of one
-    page do not meet in one task. Spark's text writer puts the two line ends after each record.
+    The roles are found on digests alone, which are saved, so the archives are parsed twice: for them and for the
+    payloads. These move once, by record_id, so copies of one page do not meet in one task. Spark's text writer puts the two line ends after each record.
     """
-    keys = records.select("record_id", "payload_digest", "payload_bytes", "page_id").distinct()
+    keys = saved(records.select("record_id", "payload_digest", "payload_bytes", "page_id"), "keys").distinct()
     kept = (
         keys.where(F.col("payload_bytes") >= least_bytes)
         .groupBy("payload_digest")
@@ -278,6 +279,6 @@ def round_trip(pages: DataFrame, folder: str | None = None, least_bytes: int = 0
     if folder is None:
         path = storage._path(spark, target)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    rows = read_warcs(spark, target)
+    rows = saved(read_warcs(spark, target), "read")  # narrow; the archives are read and checked once
     responses = rows.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to_id")).agg(F.max("page_id").alias("refers_to"))
     return rows.join(responses, "refers_to_id", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -484,6 +484,24 @@ def test_archives(spark, tmp_path):
     assert archives.round_trip(frame.limit(0)).count() == 0
 
 
+def test_archives_are_parsed_twice_and_read_once(spark, tmp_path, monkeypatch):
+    parsed, read, convert, unpack = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0), archives._convert, archives._read
+
+    def counted(total, step):
+        def run(batches):
+            for batch in step(batches):
+                total.add(len(batch))
+                yield batch
+
+        return run
+
+    monkeypatch.setattr(archives, "_convert", counted(parsed, convert))
+    monkeypatch.setattr(archives, "_read", counted(read, unpack))
+    frame = spark.createDataFrame([(i, "u", f"text {i % 7}") for i in range(30)], "page_id long, url string, html string")
+    assert archives.round_trip(frame, str(tmp_path / "w")).count() == 30
+    assert (parsed.value, read.value) == (60, 30)
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_headers(version):
     data = archives.arc_header(version, "a.arc")
