@@ -15,7 +15,7 @@ from shelfmark.llm.words import ENDING, mix, word_hashes
 
 #: Classes: each of the FREQUENT most frequent words; the others by their last two bytes, the ENDINGS commonest of which
 #: have a class each and the rest one together; and the text's edge. The network predicts a word's class, the counts of
-#: all words the word in its class.
+#: all words by the kind of their sides the word in its class.
 FREQUENT = 32
 ENDINGS = 94
 SIDE = 3
@@ -29,6 +29,8 @@ SLAB = 128
 #: Words of a block of texts whose distinct words are joined with the counts.
 BLOCK = 1 << 20
 RATE = 0.1
+#: A token's sides are of one of 2 ** SIGNS kinds.
+SIGNS = 3
 #: Logits less apart than this have exponentials that single precision holds without loss.
 APART = 80
 
@@ -362,10 +364,112 @@ def train(docs: DataFrame, rounds: int = ROUNDS, rate: float = RATE) -> tuple[Vo
     return vocabulary, fit(tokenised(docs, vocabulary, rounds), vocabulary, rounds, rate)
 
 
-def _scorer(vocabulary: Vocabulary, network: Network):
-    """For each text of a block, the classes' log-likelihood less the logs of how often its shared classes occur."""
-    shared = np.log(vocabulary.seen)
-    shared[:FREQUENT] = 0
+@dataclass
+class Sides:
+    """The kind of a token's sides, and how often each word has sides of each kind: p(word | its class, its sides).
+
+    The kind is the signs of sums over the neighbours, one table per neighbour's place. Of a word, ``n0``, ``n1``, ...
+    in ``counts`` (a table of Spark, a row for each distinct word) are its occurrences by kind. One of each kind that it has
+    is set aside and dealt to all kinds by the class's ``share``, so a word that occurs once does not know its sides.
+    """
+
+    tables: np.ndarray  # (2 * SIDE, SIZE, signs)
+    share: np.ndarray  # (EDGE, kinds)
+    total: np.ndarray  # (EDGE, kinds): the weights of a class's words, and of one word that was not counted
+    counts: DataFrame
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "counts"}
+
+    @classmethod
+    def alike(cls, vocabulary: Vocabulary) -> "Sides":
+        """All sides of one kind: a word's share of its class's occurrences."""
+        seen = vocabulary.seen[:, None]
+        return cls(np.zeros((2 * SIDE, SIZE, 0), np.float32), np.ones(seen.shape), seen, vocabulary.counts.withColumnRenamed("n", "n0"))
+
+    @property
+    def names(self) -> list[str]:
+        return [f"n{k}" for k in range(self.share.shape[1])]
+
+    def kinds(self, around: np.ndarray) -> np.ndarray:
+        total = self.tables[0].take(around[:, 0], axis=0)
+        for k in range(1, 2 * SIDE):
+            total += self.tables[k].take(around[:, k], axis=0)
+        return (total > 0) @ (1 << np.arange(total.shape[1]))
+
+    def logs(self, words: np.ndarray, n: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
+        """Log of each word's share of its class, in rows, for each kind of sides; ``n`` has its counts by kind, 0 if it was not counted."""
+        of = vocabulary.tokens(words)
+        return np.log((np.maximum(n - 1, 0) + np.maximum((n > 0).sum(1), 1)[:, None] * self.share[of]) / self.total[of])
+
+
+def directions(network: Network, vocabulary: Vocabulary, signs: int = SIGNS) -> np.ndarray:
+    """Tables whose sums over the neighbours' places are above 0 or not: the ``signs`` directions that move the network's outputs most.
+
+    The principal axes of the outputs as linear functions of independent neighbours, each as often as its class, less their means.
+    """
+    often = vocabulary.seen / vocabulary.seen.sum()
+    tables = network.tables.astype(np.float64)
+    tables -= np.einsum("c,pch->ph", often, tables[:, :EDGE])[:, None]
+    spread = np.einsum("c,pch,pcg->hg", often, tables[:, :EDGE], tables[:, :EDGE])
+    out = network.out.astype(np.float64)
+    out = (out - (out @ often)[:, None]) * np.sqrt(often)
+    axes = np.linalg.eigh(out.T @ spread @ out)[1][:, ::-1][:, :signs]
+    return (tables @ (out @ axes)).astype(np.float32)
+
+
+def _kind_counts(sides: Sides):
+    """The words of blocks with their counts by kind of sides."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(len(batch)):
+                sizes, tokens = _sizes_and_bytes(batch, row, "tokens")
+                padded, places = edged(sizes, tokens)
+                places = places[tokens >= FREQUENT]
+                words, at = batch.column("words")[row].values, batch.column("at")[row].values.to_numpy() * np.int64(len(sides.names))
+                for start in range(0, len(places), STRETCH):
+                    at[start : start + STRETCH] += sides.kinds(padded[places[start : start + STRETCH, None] + _OFFSETS])
+                n = np.bincount(at, minlength=len(words) * len(sides.names)).reshape(len(words), -1)
+                yield pa.RecordBatch.from_arrays([words, *map(pa.array, np.ascontiguousarray(n.T))], ["word", *sides.names])
+
+    return run
+
+
+def _class_counts(vocabulary: Vocabulary, names: list[str]):
+    """Of words with their counts by kind: occurrences, and words that occur, by class and kind."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = vocabulary.tokens(batch.column("word").to_numpy().view(np.uint64))
+            for kind, name in enumerate(names):
+                n = batch.column(name).to_numpy()
+                several = np.zeros((2, EDGE), np.int64)
+                np.add.at(several[0], of, n)
+                several[1] = np.bincount(of[n > 0], minlength=EDGE)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(EDGE)), pa.array(np.full(EDGE, kind)), *map(pa.array, several)], ["token", "kind", "n", "words"])
+
+    return run
+
+
+def learn_sides(blocks: DataFrame, vocabulary: Vocabulary, network: Network, signs: int = SIGNS) -> Sides:
+    """Each word's counts by kind of sides, over all occurrences in the blocks; the driver gets their sums by class, of fixed size."""
+    kinds = 1 << signs
+    sides = Sides(directions(network, vocabulary, signs), np.ones((EDGE, kinds)), np.ones((EDGE, kinds)), vocabulary.counts)
+    counted = blocks.select("n_tokens", "tokens", "words", "at").mapInArrow(_kind_counts(sides), ", ".join(f"{c} long" for c in ["word", *sides.names]))
+    sides.counts = saved(counted.groupBy("word").agg(*(F.sum(c).alias(c) for c in sides.names)), "sides")
+    summed = sides.counts.mapInArrow(_class_counts(vocabulary, sides.names), "token long, kind long, n long, words long")
+    n, words = np.zeros((2, EDGE, kinds))
+    for r in summed.groupBy("token", "kind").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).collect():
+        n[r["token"], r["kind"]], words[r["token"], r["kind"]] = r["n"], r["words"]
+    sides.share = (n + 1 / kinds) / (n.sum(1, keepdims=True) + 1)
+    sides.total = n - words + (words.sum(1, keepdims=True) + 1) * sides.share
+    return sides
+
+
+def _scorer(network: Network, sides: Sides):
+    """For each text of a block the classes' log-likelihood; ``at`` has a place for each word and kind of sides."""
+    kinds = len(sides.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -373,48 +477,61 @@ def _scorer(vocabulary: Vocabulary, network: Network):
                 sizes, tokens = _sizes_and_bytes(batch, row, "tokens")
                 padded, places = edged(sizes, tokens)
                 upto = np.zeros(len(tokens) + 1)
-                for at in range(0, len(tokens), STRETCH):
-                    mine = places[at : at + STRETCH]
-                    token = padded[mine]
-                    found = network.log_probabilities(padded[mine[:, None] + _OFFSETS], token) - shared[token]
-                    upto[at + 1 : at + 1 + len(mine)] = upto[at] + np.cumsum(found)
+                at, done = batch.column("at")[row].values.to_numpy() * np.int64(kinds), 0
+                for start in range(0, len(tokens), STRETCH):
+                    mine = places[start : start + STRETCH]
+                    token, around = padded[mine], padded[mine[:, None] + _OFFSETS]
+                    upto[start + 1 : start + 1 + len(mine)] = upto[start] + np.cumsum(network.log_probabilities(around, token))
+                    found = sides.kinds(around[token >= FREQUENT])
+                    at[done : done + len(found)] += found
+                    done += len(found)
                 ends = np.concatenate([[0], np.cumsum(sizes)])
-                sums = pa.array([upto[ends[1:]] - upto[ends[:-1]]], pa.list_(pa.float64()))
+                made = {
+                    "sums": pa.array([upto[ends[1:]] - upto[ends[:-1]]], pa.list_(pa.float64())),
+                    "at": pa.array([at.astype(np.uint32).view(np.int32)], pa.list_(pa.int32())),
+                }
                 one = batch.slice(row, 1)
-                yield pa.RecordBatch.from_arrays([sums if c == "sums" else one.column(c) for c in _SCORED], _SCORED)
+                yield pa.RecordBatch.from_arrays([made[c] if c in made else one.column(c) for c in _SCORED], _SCORED)
 
     return run
 
 
-def _finish(blocks: pa.Table, counted: pa.Table) -> pa.Table:
-    """The texts of one block, whose words' counts are known: each occurrence adds the log of its word's count."""
-    order = np.argsort(counted.column("word").to_numpy().view(np.uint64))
-    logs = np.log(counted.column("n").to_numpy()[order].astype(np.float64))
-    values = {k: blocks.column(k).combine_chunks().flatten() for k in ("doc_id", "n_tokens", "sums", "at", "n_at")}
-    ends = np.concatenate([[0], np.cumsum(values["n_at"].to_numpy())])
-    added = np.concatenate([[0.0], np.cumsum(logs[values["at"].to_numpy()])]) if len(logs) else np.zeros(1)
-    total = values["sums"].to_numpy() + added[ends[1:]] - added[ends[:-1]]
-    return pa.table([values["doc_id"], values["n_tokens"], pa.array(total)], ["doc_id", "n_tokens", "log_likelihood"])
+def _finish(vocabulary: Vocabulary, sides: Sides):
+    """The texts of one block, whose words' counts are known: each occurrence adds the log of its word's share for the kind of its sides."""
+
+    def run(blocks: pa.Table, counted: pa.Table) -> pa.Table:
+        words = counted.column("word").to_numpy().view(np.uint64)
+        order = np.argsort(words)
+        n = np.stack([counted.column(c).to_numpy()[order] for c in sides.names], 1)
+        values = {k: blocks.column(k).combine_chunks().flatten() for k in ("doc_id", "n_tokens", "sums", "at", "n_at")}
+        ends = np.concatenate([[0], np.cumsum(values["n_at"].to_numpy())])
+        logs = sides.logs(words[order], n, vocabulary).ravel()
+        added = np.concatenate([[0.0], np.cumsum(logs[values["at"].to_numpy().view(np.uint32)])])
+        total = values["sums"].to_numpy() + added[ends[1:]] - added[ends[:-1]]
+        return pa.table([values["doc_id"], values["n_tokens"], pa.array(total)], ["doc_id", "n_tokens", "log_likelihood"])
+
+    return run
 
 
-def scored(docs: DataFrame, vocabulary: Vocabulary, network: Network) -> DataFrame:
+def scored(docs: DataFrame, vocabulary: Vocabulary, network: Network, sides: Sides | None = None) -> DataFrame:
     """doc_id, n_tokens, log_likelihood (sum of the conditional log-probabilities), perplexity; null without tokens.
 
     A word's probability is that of its class given the neighbours, times the word's share of the
-    class's occurrences; all words that were not counted share one occurrence of their class. The
-    distinct words of each block of texts, not the tokens, are joined with the counts.
+    class's occurrences with ``sides`` of that kind (of all occurrences, without them); all words that were not counted
+    share one occurrence of their class. The distinct words of each block of texts, not the tokens, are joined with the counts.
     """
-    return score_blocks(tokenised(docs, vocabulary), vocabulary, network)
+    return score_blocks(tokenised(docs, vocabulary), vocabulary, network, sides)
 
 
-def score_blocks(blocks: DataFrame, vocabulary: Vocabulary, network: Network) -> DataFrame:
+def score_blocks(blocks: DataFrame, vocabulary: Vocabulary, network: Network, sides: Sides | None = None) -> DataFrame:
     """``scored`` of tokenised texts."""
+    sides = sides or Sides.alike(vocabulary)
     words = blocks.select(F.col("block").alias("in_block"), F.explode("words").alias("word"))
-    counted = words.join(vocabulary.counts, "word", "left").select("in_block", "word", F.coalesce("n", F.lit(1)).alias("n"))
+    counted = words.join(sides.counts, "word", "left").select("in_block", "word", *(F.coalesce(c, F.lit(0)).alias(c) for c in sides.names))
     kinds = "block long, doc_id array<long>, n_tokens array<long>, sums array<double>, at array<int>, n_at array<long>"
     return (
-        blocks.drop("turns", "words").mapInArrow(_scorer(vocabulary, network), kinds).groupBy("block").cogroup(counted.groupBy("in_block"))
-        .applyInArrow(_finish, "doc_id long, n_tokens long, log_likelihood double")
+        blocks.drop("turns", "words").mapInArrow(_scorer(network, sides), kinds).groupBy("block").cogroup(counted.groupBy("in_block"))
+        .applyInArrow(_finish(vocabulary, sides), "doc_id long, n_tokens long, log_likelihood double")
         .withColumn("perplexity", F.when(F.col("n_tokens") > 0, F.exp(-F.col("log_likelihood") / F.col("n_tokens"))))
     )
 
@@ -423,4 +540,5 @@ def score_documents(docs: DataFrame) -> DataFrame:
     """Train on all texts and score each row's whole text; null and empty texts have no tokens and likelihood 0."""
     vocabulary = learn_vocabulary(docs)
     blocks = tokenised(docs, vocabulary)
-    return score_blocks(blocks, vocabulary, fit(blocks, vocabulary))
+    network = fit(blocks, vocabulary)
+    return score_blocks(blocks, vocabulary, network, learn_sides(blocks, vocabulary, network))

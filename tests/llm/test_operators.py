@@ -392,6 +392,50 @@ def test_pseudo_likelihood_of_logits_far_apart():
         assert np.allclose(network.log_probabilities(around, np.full(3, t)), want[:, t], rtol=1e-4, atol=1e-3)
 
 
+def test_pseudo_likelihood_words_of_one_class_are_told_apart_by_their_sides(spark):
+    # Two topics; each word "x..y" has the class of all others, so only its sides say whose it is.
+    rng = random.Random(9)
+    often = [[f"{t}{i}{end}" for i in range(4) for end in ends] for t, ends in (("a", ("on", "ed")), ("b", ("ui", "as")))]
+    rare = [[f"x{t}{i}yy" for i in range(150)] for t in "ab"]
+    extra = [f"f{i}" for i in range(pseudo_likelihood.FREQUENT)]
+
+    def line(topic, words):
+        return " ".join(rng.choice(words if at % 3 == 1 else often[topic]) for at in range(60))
+
+    text = [(i, line(i % 2, rare[i % 2])) for i in range(400)] + [(i, " ".join(extra * 60)) for i in range(400, 405)]
+    state = rng.getstate()
+    own = line(0, rare[0])
+    rng.setstate(state)
+    other = line(0, rare[1])  # the same classes in the same order
+    found = pseudo_likelihood.score_documents(spark.createDataFrame([*text, (900, own), (901, other)], "doc_id long, text string").repartition(2)).toPandas()
+    by = found.set_index("doc_id").log_likelihood
+    assert by[900] > by[901] + 20
+
+
+def test_pseudo_likelihood_shares_of_a_class_are_one_for_every_kind_of_sides(spark, rows, docs):
+    vocabulary, network = pseudo_likelihood.train(docs)
+    blocks = pseudo_likelihood.tokenised(docs, vocabulary)
+    sides = pseudo_likelihood.learn_sides(blocks, vocabulary, network)
+    every = sides.counts.toPandas()
+    assert (every.word.nunique(), every[sides.names].to_numpy().sum()) == (len(every), sum(vocabulary.seen[pseudo_likelihood.FREQUENT :] - 1))
+    words = every.word.to_numpy().view(np.uint64)
+    shares = np.exp(sides.logs(words, every[sides.names].to_numpy(), vocabulary))
+    of = vocabulary.tokens(words)
+    uncounted = sides.share / sides.total
+    for t in np.unique(of):
+        assert np.allclose(shares[of == t].sum(0) + uncounted[t], 1)
+    # A text's likelihood by brute force.
+    text = max((t or "" for _, t, *_ in rows), key=len)
+    hashes = next(hashed.word_hashes(pa.array([text]), True))[2][0]
+    tokens = vocabulary.tokens(hashes)
+    around = pseudo_likelihood.neighbours(tokens)
+    at = {w: i for i, w in enumerate(words.tolist())}
+    want = network.log_probabilities(around, tokens).sum()
+    want += sum(np.log(shares[at[w], k]) for w, k, t in zip(hashes.tolist(), sides.kinds(around).tolist(), tokens) if t >= pseudo_likelihood.FREQUENT)
+    one = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert abs(pseudo_likelihood.scored(one, vocabulary, network, sides).first()["log_likelihood"] - want) < 1e-3 * len(tokens)
+
+
 def test_pseudo_likelihood_classes_are_endings():
     keys = next(hashed.word_hashes(pa.array(["a Running É x ring, sing"]), True))[2][0]
     assert (keys & hashed.ENDING).tolist() == [ord("a"), int.from_bytes(b"ng"), int.from_bytes("É".encode()), ord("x"), int.from_bytes(b"g,"), int.from_bytes(b"ng")]
