@@ -31,6 +31,8 @@ BLOCK = 1 << 20
 RATE = 0.1
 #: A token's sides are of one of 2 ** SIGNS kinds.
 SIGNS = 3
+#: Counts by kind that tasks get of the most frequent words; those of all others are joined.
+COMMON = 1 << 17
 #: Logits less apart than this have exponentials that single precision holds without loss.
 APART = 80
 
@@ -377,6 +379,8 @@ class Sides:
     share: np.ndarray  # (EDGE, kinds)
     total: np.ndarray  # (EDGE, kinds): the weights of a class's words, and of one word that was not counted
     counts: DataFrame
+    common: np.ndarray  # hashes of the most frequent words, in order
+    gains: np.ndarray  # (common words, kinds): their ``gain``
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "counts"}
@@ -385,7 +389,7 @@ class Sides:
     def alike(cls, vocabulary: Vocabulary) -> "Sides":
         """All sides of one kind: a word's share of its class's occurrences."""
         seen = vocabulary.seen[:, None]
-        return cls(np.zeros((2 * SIDE, SIZE, 0), np.float32), np.ones(seen.shape), seen, vocabulary.counts.withColumnRenamed("n", "n0"))
+        return cls(np.zeros((2 * SIDE, SIZE, 0), np.float32), np.ones(seen.shape), seen, vocabulary.counts.withColumnRenamed("n", "n0"), np.zeros(0, np.uint64), np.zeros((0, 1)))
 
     @property
     def names(self) -> list[str]:
@@ -395,12 +399,30 @@ class Sides:
         total = self.tables[0].take(around[:, 0], axis=0)
         for k in range(1, 2 * SIDE):
             total += self.tables[k].take(around[:, k], axis=0)
-        return (total > 0) @ (1 << np.arange(total.shape[1]))
+        return np.packbits(total > 0, axis=1, bitorder="little")[:, 0] if total.shape[1] else np.zeros(len(around), np.uint8)
+
+    @cached_property
+    def once(self) -> np.ndarray:
+        """Log-share of a word that occurs once, or was not counted, in each class for each kind; 0 where the class is one word."""
+        found = np.log(self.share / self.total)
+        found[:FREQUENT] = 0
+        return found
+
+    def gain(self, of: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """What words of classes ``of`` with counts ``n`` by kind, in rows, have more: 0 for those that occur once."""
+        return np.log(np.maximum(n - 1, 0) / self.share[of] + np.maximum((n > 0).sum(1), 1)[:, None])
 
     def logs(self, words: np.ndarray, n: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
         """Log of each word's share of its class, in rows, for each kind of sides; ``n`` has its counts by kind, 0 if it was not counted."""
         of = vocabulary.tokens(words)
-        return np.log((np.maximum(n - 1, 0) + np.maximum((n > 0).sum(1), 1)[:, None] * self.share[of]) / self.total[of])
+        return self.once[of] + self.gain(of, n)
+
+    def places(self, words: np.ndarray) -> np.ndarray:
+        """Where the words are among the common ones; -1 if they are not."""
+        if not len(self.common):
+            return np.full(len(words), -1)
+        at = np.minimum(np.searchsorted(self.common, words), len(self.common) - 1)
+        return np.where(self.common[at] == words, at, -1)
 
 
 def directions(network: Network, vocabulary: Vocabulary, signs: int = SIGNS) -> np.ndarray:
@@ -453,9 +475,12 @@ def _class_counts(vocabulary: Vocabulary, names: list[str]):
 
 
 def learn_sides(blocks: DataFrame, vocabulary: Vocabulary, network: Network, signs: int = SIGNS) -> Sides:
-    """Each word's counts by kind of sides, over all occurrences in the blocks; the driver gets their sums by class, of fixed size."""
+    """Each word's counts by kind of sides, over all occurrences in the blocks.
+
+    The driver gets their sums by class and those of the COMMON most frequent words, both of fixed size.
+    """
     kinds = 1 << signs
-    sides = Sides(directions(network, vocabulary, signs), np.ones((EDGE, kinds)), np.ones((EDGE, kinds)), vocabulary.counts)
+    sides = Sides(directions(network, vocabulary, signs), np.ones((EDGE, kinds)), np.ones((EDGE, kinds)), vocabulary.counts, np.zeros(0, np.uint64), np.zeros((0, kinds)))
     counted = blocks.select("n_tokens", "tokens", "words", "at").mapInArrow(_kind_counts(sides), ", ".join(f"{c} long" for c in ["word", *sides.names]))
     sides.counts = saved(counted.groupBy("word").agg(*(F.sum(c).alias(c) for c in sides.names)), "sides")
     summed = sides.counts.mapInArrow(_class_counts(vocabulary, sides.names), "token long, kind long, n long, words long")
@@ -464,31 +489,65 @@ def learn_sides(blocks: DataFrame, vocabulary: Vocabulary, network: Network, sig
         n[r["token"], r["kind"]], words[r["token"], r["kind"]] = r["n"], r["words"]
     sides.share = (n + 1 / kinds) / (n.sum(1, keepdims=True) + 1)
     sides.total = n - words + (words.sum(1, keepdims=True) + 1) * sides.share
+    common = sides.counts.orderBy(F.desc(sum(map(F.col, sides.names))), "word").limit(COMMON).toArrow()
+    found = common.column("word").to_numpy().view(np.uint64)
+    order = np.argsort(found)
+    sides.common = found[order]
+    if len(order):
+        n = np.stack([common.column(c).to_numpy()[order] for c in sides.names], 1)
+        sides.gains = sides.gain(vocabulary.tokens(sides.common), n)
     return sides
 
 
+def _rarer(vocabulary: Vocabulary, sides: Sides):
+    """The words of blocks that are not common, with their places and classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, row in zip(batch.column("block").to_pylist(), range(len(batch)), strict=True):
+                words = batch.column("words")[row].values.to_numpy().view(np.uint64)
+                place = np.flatnonzero(sides.places(words) < 0)
+                words = words[place]
+                columns = (np.full(len(place), block), place.astype(np.int32), vocabulary.tokens(words).astype(np.int32), words.view(np.int64))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["in_block", "place", "token", "word"])
+
+    return run
+
+
 def _scorer(network: Network, sides: Sides):
-    """For each text of a block the classes' log-likelihood; ``at`` has a place for each word and kind of sides."""
-    kinds = len(sides.names)
+    """For each text of a block the log-likelihood, but for gains of words that are not common; ``at`` has a place for each of these and kind of sides."""
+    kinds, once = len(sides.names), sides.once.ravel()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(len(batch)):
                 sizes, tokens = _sizes_and_bytes(batch, row, "tokens")
                 padded, places = edged(sizes, tokens)
-                upto = np.zeros(len(tokens) + 1)
-                at, done = batch.column("at")[row].values.to_numpy() * np.int64(kinds), 0
+                common = sides.places(batch.column("words")[row].values.to_numpy().view(np.uint64))
+                gains = np.zeros((len(common), kinds))
+                gains[common >= 0] = sides.gains[common[common >= 0]]
+                gains = gains.ravel()
+                at, upto, left = np.zeros(len(tokens), np.int64), np.zeros(len(tokens) + 1), np.zeros(len(tokens) + 1, np.int64)
+                shared = np.flatnonzero(tokens >= FREQUENT)
+                at[shared] = batch.column("at")[row].values.to_numpy()
+                rarer = np.zeros(len(tokens), bool)
+                rarer[shared] = common[at[shared]] < 0
+                at *= kinds
                 for start in range(0, len(tokens), STRETCH):
                     mine = places[start : start + STRETCH]
                     token, around = padded[mine], padded[mine[:, None] + _OFFSETS]
-                    upto[start + 1 : start + 1 + len(mine)] = upto[start] + np.cumsum(network.log_probabilities(around, token))
-                    found = sides.kinds(around[token >= FREQUENT])
-                    at[done : done + len(found)] += found
-                    done += len(found)
+                    kind = sides.kinds(around)
+                    at[start : start + STRETCH] += kind
+                    found = network.log_probabilities(around, token) + once.take(token * kinds + kind)
+                    own = np.flatnonzero(token >= FREQUENT)
+                    found[own] += gains[at[start + own]]
+                    upto[start + 1 : start + 1 + len(mine)] = upto[start] + np.cumsum(found)
+                np.cumsum(rarer, out=left[1:])
                 ends = np.concatenate([[0], np.cumsum(sizes)])
                 made = {
                     "sums": pa.array([upto[ends[1:]] - upto[ends[:-1]]], pa.list_(pa.float64())),
-                    "at": pa.array([at.astype(np.uint32).view(np.int32)], pa.list_(pa.int32())),
+                    "at": pa.array([at[rarer].astype(np.uint32).view(np.int32)], pa.list_(pa.int32())),
+                    "n_at": pa.array([left[ends[1:]] - left[ends[:-1]]], pa.list_(pa.int64())),
                 }
                 one = batch.slice(row, 1)
                 yield pa.RecordBatch.from_arrays([made[c] if c in made else one.column(c) for c in _SCORED], _SCORED)
@@ -496,17 +555,19 @@ def _scorer(network: Network, sides: Sides):
     return run
 
 
-def _finish(vocabulary: Vocabulary, sides: Sides):
-    """The texts of one block, whose words' counts are known: each occurrence adds the log of its word's share for the kind of its sides."""
+def _finish(sides: Sides):
+    """The texts of one block, and the counts of its words that are not common and occur more than once: each occurrence adds its word's gain."""
 
     def run(blocks: pa.Table, counted: pa.Table) -> pa.Table:
-        words = counted.column("word").to_numpy().view(np.uint64)
-        order = np.argsort(words)
-        n = np.stack([counted.column(c).to_numpy()[order] for c in sides.names], 1)
         values = {k: blocks.column(k).combine_chunks().flatten() for k in ("doc_id", "n_tokens", "sums", "at", "n_at")}
+        at = values["at"].to_numpy().view(np.uint32)
+        kinds = len(sides.names)
+        gains = np.zeros((int(at.max()) // kinds + 1 if len(at) else 0, kinds))
+        if counted.num_rows:
+            n = np.stack([counted.column(c).to_numpy() for c in sides.names], 1)
+            gains[counted.column("place").to_numpy()] = sides.gain(counted.column("token").to_numpy(), n)
         ends = np.concatenate([[0], np.cumsum(values["n_at"].to_numpy())])
-        logs = sides.logs(words[order], n, vocabulary).ravel()
-        added = np.concatenate([[0.0], np.cumsum(logs[values["at"].to_numpy().view(np.uint32)])])
+        added = np.concatenate([[0.0], np.cumsum(gains.ravel()[at])])
         total = values["sums"].to_numpy() + added[ends[1:]] - added[ends[:-1]]
         return pa.table([values["doc_id"], values["n_tokens"], pa.array(total)], ["doc_id", "n_tokens", "log_likelihood"])
 
@@ -518,7 +579,8 @@ def scored(docs: DataFrame, vocabulary: Vocabulary, network: Network, sides: Sid
 
     A word's probability is that of its class given the neighbours, times the word's share of the
     class's occurrences with ``sides`` of that kind (of all occurrences, without them); all words that were not counted
-    share one occurrence of their class. The distinct words of each block of texts, not the tokens, are joined with the counts.
+    share one occurrence of their class. The distinct words of each block of texts, not the tokens, are joined with the counts
+    (but the most frequent ones, whose counts all tasks get).
     """
     return score_blocks(tokenised(docs, vocabulary), vocabulary, network, sides)
 
@@ -526,12 +588,13 @@ def scored(docs: DataFrame, vocabulary: Vocabulary, network: Network, sides: Sid
 def score_blocks(blocks: DataFrame, vocabulary: Vocabulary, network: Network, sides: Sides | None = None) -> DataFrame:
     """``scored`` of tokenised texts."""
     sides = sides or Sides.alike(vocabulary)
-    words = blocks.select(F.col("block").alias("in_block"), F.explode("words").alias("word"))
-    counted = words.join(sides.counts, "word", "left").select("in_block", "word", *(F.coalesce(c, F.lit(0)).alias(c) for c in sides.names))
+    words = blocks.select("block", "words").mapInArrow(_rarer(vocabulary, sides), "in_block long, place int, token int, word long")
+    counts = sides.counts.where(sum(map(F.col, sides.names)) > 1)
+    counted = words.join(counts, "word").select("in_block", "place", "token", *sides.names)
     kinds = "block long, doc_id array<long>, n_tokens array<long>, sums array<double>, at array<int>, n_at array<long>"
     return (
-        blocks.drop("turns", "words").mapInArrow(_scorer(network, sides), kinds).groupBy("block").cogroup(counted.groupBy("in_block"))
-        .applyInArrow(_finish(vocabulary, sides), "doc_id long, n_tokens long, log_likelihood double")
+        blocks.drop("turns").mapInArrow(_scorer(network, sides), kinds).groupBy("block").cogroup(counted.groupBy("in_block"))
+        .applyInArrow(_finish(sides), "doc_id long, n_tokens long, log_likelihood double")
         .withColumn("perplexity", F.when(F.col("n_tokens") > 0, F.exp(-F.col("log_likelihood") / F.col("n_tokens"))))
     )
 

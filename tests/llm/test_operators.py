@@ -412,7 +412,8 @@ def test_pseudo_likelihood_words_of_one_class_are_told_apart_by_their_sides(spar
     assert by[900] > by[901] + 20
 
 
-def test_pseudo_likelihood_shares_of_a_class_are_one_for_every_kind_of_sides(spark, rows, docs):
+def test_pseudo_likelihood_shares_of_a_class_are_one_for_every_kind_of_sides(spark, rows, docs, monkeypatch):
+    monkeypatch.setattr(pseudo_likelihood, "COMMON", 9)
     vocabulary, network = pseudo_likelihood.train(docs)
     blocks = pseudo_likelihood.tokenised(docs, vocabulary)
     sides = pseudo_likelihood.learn_sides(blocks, vocabulary, network)
