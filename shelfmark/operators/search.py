@@ -52,7 +52,11 @@ NAMED_FILES = 1_000
 
 _QUERIES_PER_FILE = 100_000
 _ROWS_PER_PRODUCT = 4096
-_QUERIES_PER_PRODUCT = 256
+_QUERIES_PER_PRODUCT = 512
+# Rows whose products with a part of the queries stay in a core's cache; a multiple of eight.
+_ROWS_IN_CACHE = 512
+# Selected pairs whose distances are computed together, and more only by those of one product.
+_PAIRS_HELD = 1 << 18
 _FEW = 4
 _PLACE = ("_file", "_position")
 _MERGE_SALTS = 16
@@ -92,12 +96,85 @@ def _pair_distance(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
         return 1.0 - inner.astype(np.float32).astype(np.float64)
 
 
-def _widened(limit: np.ndarray, metric: str, scale: np.ndarray, finite: np.ndarray) -> np.ndarray:
-    """Limits with slack for the rounding of the product and of reported distances; none for queries that are not finite."""
-    limit = limit + 1e-6 * np.where(np.isfinite(limit), np.abs(limit), 0.0)
-    limit = limit + (1e-9 if metric == "l2" else 1e-6) * scale
-    limit[~finite] = np.inf
-    return limit
+def _augmented(
+    x: np.ndarray, q: np.ndarray, metric: str
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``b, a`` whose product ``a @ b.T`` (queries by rows) holds what no distance of a pair is below, and per query by
+    how much the distance of any row may be above it; then which rows and which queries that judges.
+
+    What is added to the inner product is columns of both sides, less all that rounding may do to a pair. Single
+    precision serves where squares stay far from its ends.
+    """
+    with np.errstate(over="ignore"):
+        x_size, q_size = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", q, q)
+    # A sum of finite squares is finite if all entries are.
+    x_finite, q_finite = np.isfinite(x_size), np.isfinite(q_size)
+    if not (x_finite.all() and q_finite.all()):
+        x, q = np.where(x_finite[:, None], x, 0.0), np.where(q_finite[:, None], q, 0.0)
+        x_size, q_size = np.where(x_finite, x_size, 0.0), np.where(q_finite, q_size, 0.0)
+    largest = x_size.max(initial=0.0), q_size.max(initial=0.0)
+    kind = np.float32 if metric == "cosine" or all(1e-12 < size < 1e24 for size in largest) else np.float64
+    slack = 2 * (x.shape[1] + 8) * float(np.finfo(kind).eps) + 2e-7
+    b, a = np.empty((len(x), x.shape[1] + 2), kind), np.empty((len(q), q.shape[1] + 2), kind)
+    if metric == "l2":
+        b[:, :-2], b[:, -2], b[:, -1] = x, x_size * (1 - slack), 1.0
+        a[:, :-2], a[:, -2], a[:, -1] = -2.0 * q, 1.0, q_size * (1 - slack)
+        above = 2 * slack * (largest[0] + q_size)
+    elif metric == "cosine":
+        x_norm, q_norm = (np.sqrt(np.where(size == 0, 1.0, size))[:, None] for size in (x_size, q_size))
+        b[:, :-2], b[:, -2], b[:, -1] = x / x_norm, 1.0 - slack, 0.0
+        a[:, :-2], a[:, -2], a[:, -1] = -q / q_norm, 1.0, 0.0
+        above = np.full(len(q), 2 * slack)
+    else:
+        b[:, :-2], b[:, -2], b[:, -1] = x, np.sqrt(x_size), 1.0 - slack
+        a[:, :-2], a[:, -2], a[:, -1] = -q, -slack * np.sqrt(q_size), 1.0
+        above = 2 * slack * (np.sqrt(largest[0] * q_size) + 1)
+    return b, a, above, x_finite, q_finite
+
+
+def _widened(limit: np.ndarray, kind: type) -> np.ndarray:
+    """Limits with slack for the rounding of reported distances and of very small numbers, as a column."""
+    ends = (1 - 1e-6) * float(np.finfo(np.float32).max)  # beyond, distances are reported as infinite, and equal
+    limit = np.where(limit > ends, np.inf, np.maximum(limit, -ends))
+    limit = limit + 1e-6 * np.where(np.isfinite(limit), np.abs(limit), 0.0) + 1e-35
+    return limit.astype(kind)[:, None]
+
+
+def _below(b: np.ndarray, a: np.ndarray, limit: np.ndarray, most: int) -> np.ndarray | None:
+    """Places (query times rows, plus row) where ``a @ b.T`` is not above the query's limit; None if they are more than ``most``."""
+    n, found, count = len(b), [], 0
+    limit = _widened(limit, a.dtype.type)
+    room = np.empty((len(a), _ROWS_IN_CACHE), a.dtype)
+    kept = np.zeros((len(a), _ROWS_IN_CACHE), bool)
+    for begin in range(0, n, _ROWS_IN_CACHE):
+        part = b[begin : begin + _ROWS_IN_CACHE]
+        if len(part) < _ROWS_IN_CACHE:
+            room, kept[:, len(part) :] = np.empty((len(a), len(part)), a.dtype), False
+        np.less_equal(np.matmul(a, part.T, out=room), limit, out=kept[:, : len(part)])
+        # Few are kept: they are looked for eight at a time.
+        eights = np.flatnonzero(kept.view(np.uint64))
+        if len(eights):
+            which, place = np.nonzero(kept.reshape(-1, 8)[eights])
+            at = eights[which] * 8 + place
+            count += len(at)
+            if count > most:
+                return None
+            col, row = np.divmod(at, _ROWS_IN_CACHE)
+            found.append(col * n + row + begin)
+    return np.concatenate(found) if found else np.empty(0, np.int64)
+
+
+def _first(col: np.ndarray, distance: np.ndarray, ties: Sequence[pa.Array], k: int) -> np.ndarray:
+    """Of hits (query, distance and what orders equal distances), the best ``k`` of each query, in order."""
+    columns = {"col": pa.array(col), "distance": pa.array(distance)}
+    for i, tie in enumerate(ties):
+        if tie.null_count:  # nulls come first, as they do in Spark
+            columns[f"valid{i}"] = tie.is_valid()
+        columns[f"tie{i}"] = tie
+    # NaN sorts after every number, as it does in Spark.
+    order = pc.sort_indices(pa.table(columns), sort_keys=[(name, "ascending") for name in columns]).to_numpy()
+    col = col[order]
+    return order[np.arange(len(col)) - np.searchsorted(col, col) < k]
 
 
 def _best_pairs(
@@ -114,75 +191,59 @@ def _best_pairs(
     query, a distance already reached by ``k`` rows elsewhere; rows beyond it are
     left out, and it is lowered to what this block reaches.
     """
-    rows_out, queries_out, distances_out = [], [], []
-    finite = np.isfinite(x).all(axis=1)
-    xs = np.where(finite[:, None], x, 0.0)
-    x_size = np.einsum("ij,ij->i", xs, xs)
-    for begin in range(0, len(q), _QUERIES_PER_PRODUCT):
-        part = q[begin : begin + _QUERIES_PER_PRODUCT]
-        part_finite = np.isfinite(part).all(axis=1)
-        qs = np.where(part_finite[:, None], part, 0.0)
-        q_size = np.einsum("ij,ij->i", qs, qs)
-        # One product gives the distances: what is added to the inner product is columns of both sides.
-        one, sides = np.ones((len(part), 1)), np.ones((len(xs), 1))
-        if metric == "l2":
-            rough = np.hstack([xs, x_size[:, None], sides]) @ np.hstack([-2.0 * qs, one, q_size[:, None]]).T
-            scale = x_size.max(initial=0.0) + q_size
-        elif metric == "cosine":
-            x_norm, q_norm = (np.sqrt(np.where(size == 0, 1.0, size))[:, None] for size in (x_size, q_size))
-            rough = np.hstack([xs / x_norm, sides]) @ np.hstack([-qs / q_norm, one]).T
-            scale = np.ones(len(part))
-        else:
-            rough = np.hstack([xs, sides]) @ np.hstack([-qs, one]).T
-            scale = np.sqrt(x_size.max(initial=0.0) * q_size) + 1.0
-        # Entries that are not finite cannot be judged by the product: keep them.
-        rough[~finite, :] = np.inf
-        limit = np.full(len(part), np.inf)
-        if bound is not None:
-            limit = np.minimum(limit, bound[begin : begin + len(part)])
-        keep = rough <= _widened(limit, metric, scale, part_finite)[None, :]
-        # Where few are nearer than what was reached elsewhere, the block's own order need not be known.
-        if len(x) >= k and np.count_nonzero(keep) > _FEW * k * len(part):
-            limit = np.minimum(limit, np.partition(rough, k - 1, axis=0)[k - 1])
-            keep = rough <= _widened(limit, metric, scale, part_finite)[None, :]
-        keep[~finite, :] = True
-        row, col = np.divmod(np.flatnonzero(keep), len(part))
+    found, held, rows, cols = [], 0, [], []
+    b, a, above, judged, q_judged = _augmented(x, q, metric)
+    unjudged = np.flatnonzero(~judged)
+    known = b if judged.all() else b[judged]
+
+    def finish() -> None:
+        nonlocal held
+        row, col = np.concatenate(rows), np.concatenate(cols)
         distance = np.concatenate(
-            [
-                _pair_distance(x[row[i : i + 65536]], part[col[i : i + 65536]], metric)
-                for i in range(0, len(row), 65536)
-            ]
+            [_pair_distance(x[row[i : i + 65536]], q[col[i : i + 65536]], metric) for i in range(0, len(row), 65536)]
             or [np.empty(0)]
         )
-        table = pa.table(
-            {
-                "col": col,
-                "distance": pa.array(distance),
-                **{f"tie{i}": t.take(pa.array(row)) for i, t in enumerate(ties)},
-            }
-        )
-        # NaN sorts after every number, as it does in Spark.
-        order = pc.sort_indices(
-            table, sort_keys=[(name, "ascending") for name in table.column_names]
-        ).to_numpy()
-        row, col, distance = row[order], col[order], distance[order]
-        first = np.searchsorted(col, np.arange(len(part)))
-        best = np.arange(len(col)) - first[col] < k
-        row, col, distance = row[best], col[best], distance[best]
-        if bound is not None and len(col):
-            filled = np.bincount(col, minlength=len(part)) == k
-            last = np.searchsorted(col, np.arange(len(part)), side="right") - 1
-            reached = np.where(filled, distance[np.maximum(last, 0)], np.inf)
-            reached = np.where(np.isnan(reached), np.inf, reached)
-            bound[begin : begin + len(part)] = np.minimum(bound[begin : begin + len(part)], reached)
-        rows_out.append(row)
-        queries_out.append(col + begin)
-        distances_out.append(distance)
-    return (
-        np.concatenate(rows_out),
-        np.concatenate(queries_out),
-        np.concatenate(distances_out),
-    )
+        best = _first(col, distance, [t.take(pa.array(row)) for t in ties], k)
+        found.append((row[best], col[best], distance[best]))
+        rows.clear(), cols.clear()
+        held = 0
+
+    for begin in range(0, len(q), _QUERIES_PER_PRODUCT):
+        part = slice(begin, min(begin + _QUERIES_PER_PRODUCT, len(q)))
+        n, some = part.stop - begin, _FEW * k * (part.stop - begin)
+        limit = np.full(n, np.inf) if bound is None else bound[part].copy()
+        limit[~q_judged[part]] = np.inf
+        at = None if len(known) >= k and np.isinf(limit).any() else _below(known, a[part], limit, some)
+        if at is None:
+            # Where few are nearer than what was reached elsewhere, the block's own order need not be known.
+            if len(known) >= k:
+                reached = np.partition(a[part] @ known.T, k - 1, axis=1)[:, k - 1] + above[part]
+                limit = np.minimum(limit, reached)
+                limit[~q_judged[part]] = np.inf
+            at = _below(known, a[part], limit, n * len(known))
+        col, row = np.divmod(at, max(len(known), 1))
+        if len(unjudged):  # rows that the product cannot judge are kept
+            row = np.concatenate([np.flatnonzero(judged)[row], np.tile(unjudged, n)])
+            col = np.concatenate([col, np.repeat(np.arange(n), len(unjudged))])
+        rows.append(row)
+        cols.append(col + begin)
+        held += len(row)
+        if held >= _PAIRS_HELD:
+            finish()
+    finish()
+    row, col, distance = (np.concatenate(parts) for parts in zip(*found, strict=True))
+    if bound is not None and len(col):
+        _lowered(bound, np.full((len(q), k), np.inf), col, distance)
+    return row, col, distance
+
+
+def _lowered(bound: np.ndarray, reached: np.ndarray, col: np.ndarray, distance: np.ndarray) -> None:
+    """Put hits (at most ``k`` a query, query by query in order) to the ``k`` distances that each query has reached, and lower the bound to the last."""
+    mine, place = np.unique(col, return_inverse=True)
+    new = np.full((len(mine), reached.shape[1]), np.inf)
+    new[place, np.arange(len(col)) - np.searchsorted(col, col)] = np.where(np.isnan(distance), np.inf, distance)
+    reached[mine] = np.sort(np.hstack([reached[mine], new]), axis=1)[:, : reached.shape[1]]
+    bound[mine] = np.minimum(bound[mine], reached[mine, -1])
 
 
 def top_per_query(candidates: DataFrame, k: int, order: list[Column]) -> DataFrame:
@@ -372,17 +433,20 @@ def _tile_hits(
     """Rows of a tile, the query each was found by, and the distance."""
     found = []
     for ids, q, bound in questions.blocks():
-        parts = []
+        parts, reached = [], np.full((len(q), k), np.inf)
         for begin in range(0, len(vectors), _ROWS_PER_PRODUCT):
             x, usable = _matrix(vectors.slice(begin, _ROWS_PER_PRODUCT), q.shape[1])
             if len(usable):
                 near = [key.take(pa.array(usable + begin)) for key in keys]
                 row, col, distance = _best_pairs(x, q, near, k, metric, bound)
+                _lowered(bound, reached, col, distance)
                 parts.append((usable[row] + begin, col, distance))
         if parts:
             row, col, distance = (np.concatenate(p) for p in zip(*parts, strict=True))
-            left = ~(distance > bound[col])  # a later part of the tile came nearer
-            found.append((row[left], ids.take(pa.array(col[left])), distance[left]))
+            left = np.flatnonzero(~(distance > bound[col]))  # a later part of the tile came nearer
+            row, col, distance = row[left], col[left], distance[left]
+            best = _first(col, distance, [key.take(pa.array(row)) for key in keys], k)
+            found.append((row[best], ids.take(pa.array(col[best])), distance[best]))
     if not found:
         return np.empty(0, np.int64), None, np.empty(0)
     return np.concatenate([f[0] for f in found]), pa.concat_arrays([f[1] for f in found]), np.concatenate([f[2] for f in found])
