@@ -2,6 +2,8 @@
 
 import math
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,24 +20,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def saved(frame: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+def saved(frame: DataFrame, name: str, rows: int | None = None, together: int | None = None) -> DataFrame:
     """The frame, written as Parquet to the folder all executors share and read again.
 
     This cuts the lineage: a lost executor costs the tasks that it ran, not the steps
     before. The folder goes when the session's JVM ends. Where it is known that the frame has
     at most ``rows`` narrow rows, no more tasks make it, and no more files, than hold PACKED
-    of them each, or than there are cores.
+    of them each, or than there are cores. Rows of several MB are written, and read again, ``together`` at most: else a
+    task holds as many of them as a row group has, and these grow with its share of the input.
     """
     spark = frame.sparkSession
     if rows is not None:
         frame = frame.coalesce(max(spark.sparkContext.defaultParallelism, math.ceil(rows / PACKED)))
     folder = f"{storage.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     path = storage._path(spark, folder)
-    frame.write.parquet(folder)
+    writer = frame.write if together is None else frame.write.option("parquet.block.row.count.limit", together)
+    writer.parquet(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     return spark.read.schema(frame.schema).parquet(folder)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, size: str) -> Iterator[None]:
+    """What runs meanwhile hands rows to Python in Arrow batches of about that size (or of one row)."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def small(frame: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """The (saved) frame with a broadcast hint if it has at most that many rows; joins shuffle it otherwise."""
     return F.broadcast(frame) if frame.count() <= rows else frame

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import saved, texts
+from shelfmark.llm.common import batches_of, saved, texts
 from shelfmark.llm.words import ENDING, mix, word_hashes
 
 #: Classes: each of the FREQUENT most frequent words; the others by their last two bytes, the ENDINGS commonest of which
@@ -28,6 +28,8 @@ BATCH = 512
 SLAB = 128
 #: Words of a block of texts whose distinct words are joined with the counts.
 BLOCK = 1 << 20
+#: Of an Arrow batch, about a block: a task holds several batches in the JVM and in Python, whatever its share of the input.
+BATCH_SIZE = "8m"
 RATE = 0.1
 #: A token's sides are of one of 2 ** SIGNS kinds.
 SIGNS = 3
@@ -263,7 +265,7 @@ def tokenised(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) ->
         yield from _blocks(batches, vocabulary, rounds, TaskContext.get().partitionId() << 32)
 
     kinds = "block long, doc_id array<long>, n_tokens array<long>, tokens binary, turns binary, words array<long>, at array<int>, n_at array<long>"
-    return saved(texts(docs).mapInArrow(run, kinds), "blocks")
+    return saved(texts(docs).mapInArrow(run, kinds), "blocks", together=1)
 
 
 def _sizes_and_bytes(batch: pa.RecordBatch, row: int, name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -601,7 +603,8 @@ def score_blocks(blocks: DataFrame, vocabulary: Vocabulary, network: Network, si
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """Train on all texts and score each row's whole text; null and empty texts have no tokens and likelihood 0."""
-    vocabulary = learn_vocabulary(docs)
-    blocks = tokenised(docs, vocabulary)
-    network = fit(blocks, vocabulary)
-    return score_blocks(blocks, vocabulary, network, learn_sides(blocks, vocabulary, network))
+    with batches_of(docs.sparkSession, BATCH_SIZE):
+        vocabulary = learn_vocabulary(docs)
+        blocks = tokenised(docs, vocabulary)
+        network = fit(blocks, vocabulary)
+        return saved(score_blocks(blocks, vocabulary, network, learn_sides(blocks, vocabulary, network)), "scores")

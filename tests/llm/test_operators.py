@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyarrow import parquet
 from pyspark.sql import functions as F
 
 from shelfmark.llm import archives, blob_ledger, bpe, common, compression_language, graph, phrase_index, pseudo_likelihood, quantised, sharding, superminhash, toxicity
@@ -323,6 +324,25 @@ def test_pseudo_likelihood_learns_order(spark, docs, rows, empty):
     assert pseudo_likelihood.score_documents(empty).count() == 0
 
 
+def test_pseudo_likelihood_holds_few_blocks_at_once(spark):
+    """A partition's blocks are read one by one and go to Python in batches of about one, whatever their number."""
+    words = "a few of the words " * (pseudo_likelihood.BLOCK // 5 + 1)
+    docs = spark.createDataFrame([(i, words) for i in range(3)], "doc_id long, text string").coalesce(1)
+    blocks = pseudo_likelihood.tokenised(docs, pseudo_likelihood.Vocabulary([], None))
+    files = [parquet.ParquetFile(f.removeprefix("file://")).metadata for f in blocks.inputFiles()]
+    assert [m.row_group(g).num_rows for m in files for g in range(m.num_row_groups)] == [1, 1, 1]
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    with common.batches_of(spark, pseudo_likelihood.BATCH_SIZE):
+        found = [r["n"] for r in blocks.mapInArrow(sizes, "n long").collect()]
+    assert len(found) > 1 and sum(found) == 3 and spark.conf.get(key) == before
+
+
 def test_pseudo_likelihood_is_a_sum_over_both_sides():
     network = pseudo_likelihood.Network.new(np.zeros(pseudo_likelihood.EDGE))
     tokens = np.arange(10)
