@@ -57,6 +57,14 @@ def small(frame: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(frame) if frame.count() <= rows else frame
 
 
+def joinable(frame: DataFrame, rows: int) -> DataFrame:
+    """The frame, of at most so many rows, for a join; if they may be too many to broadcast, it is not, however small its files are.
+
+    Spark goes by the bytes of files or shuffles, which are a fraction of what the driver holds while it makes a broadcast.
+    """
+    return frame if rows <= BROADCAST_ROWS else frame.hint("merge")
+
+
 def texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Two columns, doc_id and text, whatever else the table has; a null text becomes an empty one."""
     return docs.select(

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import saved
+from shelfmark.llm.common import joinable, saved
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", rows: int | None = None) -> DataFrame:
@@ -14,7 +14,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rows: int | None =
     round's seed is smallest, and all nodes that picked the same one melt into it. Links
     within a melted node go, and so a constant share of the nodes goes each round: the
     rounds grow with the logarithm of the longest path, also where numbers ascend along
-    it. Nothing but the count of remaining links reaches the driver. Links with a null
+    it. Nothing but the count of remaining links and what is small enough to broadcast reaches the driver. Links with a null
     end and links of a node to itself are ignored; repeated links do no harm. ``rows``: the
     most links there may be, if known.
     """
@@ -42,7 +42,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rows: int | None =
             .agg(F.min(F.struct(rank("v").alias("h"), F.col("v").alias("v"))).alias("best"))
             .select("u", F.when(F.col("best.h") < rank("u"), F.col("best.v")).otherwise(F.col("u")).alias("to"))
         )
-        pick = saved(pick, "picks", 2 * n)
+        pick = joinable(saved(pick, "picks", 2 * n), 2 * n)
         mapping = saved(
             mapping.join(pick.withColumnRenamed("u", "root"), "root", "left").select(
                 "node", F.coalesce("to", "root").alias("root")
@@ -61,7 +61,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rows: int | None =
         )
         n = left.count()
     smallest = mapping.groupBy("root").agg(F.min("node").alias("component"))
-    return mapping.join(smallest, "root").select("node", "component")
+    return mapping.join(joinable(smallest, nodes), "root").select("node", "component")
 
 
 def spanning_links(n: int, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import saved, texts
+from shelfmark.llm.common import joinable, saved, texts
 from shelfmark.llm.graph import components, spanning_links
 from shelfmark.llm.words import mix, shingles, word_hashes
 
@@ -225,8 +225,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
         ),
         "sets",
     )
-    first = saved(_verified(star, sets, percent), "links", star.count())
-    melted = saved(components(first, rows=first.count()), "components", n)
+    n_star = star.count()
+    first = saved(_verified(joinable(star, n_star), sets, percent), "links", n_star)
+    n_first = first.count()
+    melted = joinable(saved(components(first, rows=n_first), "components", n), 2 * n_first)
     placed = (
         shared.select("bucket", "rep", "size")
         .join(melted.withColumnRenamed("node", "rep"), "rep", "left")
@@ -252,19 +254,19 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
             F.when(F.col("x.rep") < F.col("y.rep"), F.col("y.size")).otherwise(F.col("x.size")).alias("size_b"),
         )
         .distinct()
-        .join(star.select("a", "b"), ["a", "b"], "left_anti")
+        .join(joinable(star.select("a", "b"), n_star), ["a", "b"], "left_anti")
     )
     hot = open_members.where(F.col("n") > HOT).select("first", "rep")
     second = saved(_verified(saved(rest, "pairs"), sets, percent).union(_within_crowds(hot, sets, percent, n_shared)), "links")
     found = second.count()
-    parts = components(first.union(second), rows=first.count() + found) if found else melted
+    parts = joinable(components(first.union(second), rows=n_first + found), 2 * (n_first + found)) if found else melted
     grouped = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(
         "key1", "key2", F.col("size").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")
     )
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return (
         signed.drop("bands")
-        .join(saved(grouped, "classes", n), ["key1", "key2", "n_shingles"], "left")
+        .join(joinable(saved(grouped, "classes", n), n), ["key1", "key2", "n_shingles"], "left")
         .select(
             "doc_id",
             "n_shingles",

@@ -324,6 +324,18 @@ def test_pseudo_likelihood_learns_order(spark, docs, rows, empty):
     assert pseudo_likelihood.score_documents(empty).count() == 0
 
 
+def test_components_broadcast_no_large_table(spark, monkeypatch):
+    """Links and components are shuffled for a join if they are more rows than may be broadcast, whatever their bytes."""
+    plans, keep = [], graph.saved
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 50)
+    monkeypatch.setattr(graph, "saved", lambda frame, *a: plans.append(frame) or keep(frame, *a))
+    links = spark.range(100).selectExpr("id as a", "id + 1 as b")
+    found = graph.components(links, rows=100)
+    large = [f._jdf.queryExecution().executedPlan().toString() for f in [found, *plans[:4]]]
+    assert any("SortMergeJoin" in p for p in large) and not any("Broadcast" in p for p in large)
+    assert {(r["node"], r["component"]) for r in found.collect()} == {(i, 0) for i in range(101)}
+
+
 def test_pseudo_likelihood_holds_few_blocks_at_once(spark):
     """A partition's blocks are read one by one and go to Python in batches of about one, whatever their number."""
     words = "a few of the words " * (pseudo_likelihood.BLOCK // 5 + 1)
